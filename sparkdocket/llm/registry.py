@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, warc
+from sparkdocket.llm import decontaminate, embed_dedup, warc
 
-_MODULES = [decontaminate, warc]
+_MODULES = [decontaminate, warc, embed_dedup]
 
 
 def queries() -> dict:
