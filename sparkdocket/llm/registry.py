@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, warc
+from sparkdocket.llm import decontaminate, embed_dedup, url_filter, warc
 
-_MODULES = [decontaminate, warc, embed_dedup]
+_MODULES = [decontaminate, warc, embed_dedup, url_filter]
 
 
 def queries() -> dict:
