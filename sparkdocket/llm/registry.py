@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, langid, quality, toxicity, url_filter, warc
 
-_MODULES = [decontaminate, warc, embed_dedup, url_filter]
+_MODULES = [quality, toxicity, decontaminate, warc, langid, embed_dedup, url_filter]
 
 
 def queries() -> dict:
