@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, langid, quality, toxicity, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, quality, toxicity, url_filter, warc
 
-_MODULES = [quality, toxicity, decontaminate, warc, langid, embed_dedup, url_filter]
+_MODULES = [quality, toxicity, decontaminate, warc, langid, jaccard_join, embed_dedup, url_filter]
 
 
 def queries() -> dict:
