@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pii, quality, toxicity, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pieces, pii, quality, toxicity, url_filter, warc
 
-_MODULES = [quality, toxicity, decontaminate, warc, langid, jaccard_join, embed_dedup, pii, url_filter]
+_MODULES = [quality, toxicity, decontaminate, warc, langid, jaccard_join, embed_dedup, pii, pieces, url_filter]
 
 
 def queries() -> dict:
