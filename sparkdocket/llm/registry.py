@@ -1,15 +1,21 @@
-"""Queries and SQL of this subpackage."""
+"""Queries and SQL of this subpackage, and the pipeline over it."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pieces, pii, quality, toxicity, url_filter, warc
 
-_MODULES = [quality, toxicity, decontaminate, warc, langid, jaccard_join, embed_dedup, pii, pieces, url_filter]
+_MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter]
 
 
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    out = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    out["pipeline"] = corpus_pipeline.run
+    return out
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items() if s}
+    out = {k: s for m in _MODULES for k, s in m.ORACLE.items() if s}
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
