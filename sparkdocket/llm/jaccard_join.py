@@ -1,25 +1,27 @@
 """N-gram Jaccard self-join by a size-aware heavy-light split.
 
-A document is the set of its word shingles; equal sets form one node.  Two nodes
-of sizes s and t that link share at least c(s, t) = ceil(T (s + t) / (100 + T))
-shingles, T being the threshold in per cent.
+A document is the set of its word shingles; documents with equal sets form one
+node.  Two nodes of sizes s and t that link share at least
+c(s, t) = ceil(T (s + t) / (100 + T)) shingles, T being the threshold in per cent.
 
 * Light sets enumerate all their subsets of the sizes c(s, t) that partners t of
   theirs may ask for.  Sets that share such a subset link; in a group of sets with
   one subset, everything that links with anything links with the smallest set, so
   one row per member keeps all connections.
 * Heavy sets are found by scanning inverted lists.  In a total order of shingles
-  (those frequent in the corpus last) two linking sets share one of their first
-  s - ceil(T s / 100) + 1, so only these are listed.  Lists also hold the light
-  sets large enough to link with a heavy one.
+  two linking sets share at least 1 + d of their first s - ceil(T s / 100) + 1 + d,
+  so only these are listed, and a pair that shares fewer is dropped unseen.  Lists
+  also hold the light sets large enough to link with a heavy one.
 * The boundary between light and heavy sizes is where the estimated number of
   rows is smallest, from the histogram of set sizes.
 
-List scans come in two steps, so that a list of many similar sets does not turn
-into all its pairs.  First every set is checked against one central partner per
-list, the one that shares most lists with others.  Then only pairs that are still
-in different components are checked.  Every pair that links is either checked or
-already connected: nothing is capped.
+The order puts rare shingles first.  Document frequencies are counted for the
+shingles whose hash falls below a global cut, enough of each set to fill a prefix:
+first those that occur once (they need no list at all), then the others by
+frequency, last the uncounted.  Short lists give pairs, which are checked on the
+exact sets.  Sets of long lists form clusters (two sets of one long list are always
+in the same cluster); a cluster is compared block by block, and a task returns a
+spanning forest of the links it finds, never the pairs.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +59,7 @@ class _WordHashes(dict):
 
 
 def shingle_set(text: bytes | None, k: int, known: dict | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles (A-Z lower-cased, ASCII space).
+    """Sorted distinct 48-bit hashes of the k-word shingles (A-Z lower-cased, ASCII space).
 
     With fewer words the whole sequence is one shingle; without words there are none.
     """
@@ -69,7 +73,7 @@ def shingle_set(text: bytes | None, k: int, known: dict | None = None) -> np.nda
         rolled = mixed(h[: len(h) - n + 1] + np.uint64(n))
         for j in range(1, n):
             rolled = mixed(rolled * _A + h[j : len(h) - n + 1 + j])
-    return np.unique(rolled.view(np.int64))
+    return np.unique((rolled >> np.uint64(16)).view(np.int64))
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -109,74 +113,158 @@ def boundary_by_cost(sizes: dict[int, int], percent: int, list_row_cost: float =
     return best
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, often: int) -> DataFrame:
-    """Rows ``id, n, node, sh``; rows with a null ``node`` list shingles that were
-    frequent (``often`` sets or more) in some stretch of sets, with their counts."""
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit numbers as six bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+_SPACE = 1 << 48
+#: Sets with hashes below this share of the space are counted.
+COUNTED = 0.35
+_CUT = int(_SPACE * COUNTED)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Rows ``rid, id, n, digest, sh``: a row number, the set's size, its digest and packed hashes.
+
+    ``sh`` is null where the task has met the set before.
+    """
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
         [
-            T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()),
-            T.StructField("sh", T.ArrayType(T.LongType(), False)), T.StructField("seen", T.ArrayType(T.LongType(), False)),
+            T.StructField("rid", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()),
+            T.StructField("digest", T.BinaryType()), T.StructField("sh", T.BinaryType()),
         ]
     )
 
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = _WordHashes()
-        stretch: dict[bytes, np.ndarray] = {}
-        held = 0
-        id_type = None
-
-        def frequent() -> pa.RecordBatch | None:
-            if not stretch:
-                return None
-            every = np.sort(np.concatenate([*stretch.values()]))
-            starts = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0]
-            runs = np.diff(np.append(starts, len(every)))
-            high = runs >= often
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), lists([every[starts[high]]]), lists([runs[high].astype(np.int64)])],
-                names=["id", "n", "node", "sh", "seen"],
-            )
-
+        met: set[bytes] = set()
+        rid = TaskContext.get().partitionId() << 36
         for b in batches:
-            id_type = b.column("id").type
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):  # in parts of bounded size
-                rows, size, first = [], 0, at
-                while at < len(texts) and size < 500_000:
-                    rows.append(shingle_set(texts[at], k, known))
-                    size += len(rows[-1])
-                    at += 1
-                nodes = [xxhash.xxh3_128_digest(r.tobytes()) if len(r) else b"" for r in rows]
-                for node, r in zip(nodes, rows, strict=True):
-                    if len(r) and node not in stretch:
-                        stretch[node] = r
-                        held += len(r)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("id").slice(first, at - first), pa.array([len(r) for r in rows], pa.int64()), pa.array(nodes, pa.binary()),
-                        lists(rows), lists([np.zeros(0, np.int64)] * len(rows)),
-                    ],
-                    names=["id", "n", "node", "sh", "seen"],
-                )
-                if held > 2_000_000:
-                    if (more := frequent()) is not None:
-                        yield more
-                    stretch, held = {}, 0
+            sizes, digests, packed = [], [], []
+            for text in texts:
+                keys = shingle_set(text, k, known)
+                raw = pack(keys) if len(keys) else b""
+                digest = xxhash.xxh3_128_digest(raw)
+                sizes.append(len(keys))
+                digests.append(digest)
+                packed.append(raw if len(keys) and digest not in met else None)
+                met.add(digest)
                 if len(known) > 500_000:
                     known.clear()
-        if (more := frequent()) is not None:
-            yield more
+                if len(met) > 500_000:
+                    met.clear()
+            rids = pa.array(np.arange(rid, rid + len(texts)))
+            rid += len(texts)
+            yield pa.RecordBatch.from_arrays([rids, b.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
+    """Document frequencies of 2 and more (``key, df``) of the counted shingles.
+
+    Keys travel as packed, sorted stretches of key ranges; the number of ranges
+    follows the number of shingles, so a range stays at about a million keys.
+    """
+    ranges = max(64, 2 * int(shingles * COUNTED) // 1_000_000)
+    width = -(-_CUT // ranges)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(ranges + 1) * width)
+            some = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()), pa.array([pack(keys[cuts[r] : cuts[r + 1]] - r * width) for r in some], pa.binary()),
+                    pa.array([np.minimum(counts[cuts[r] : cuts[r + 1]], 60_000).astype("<u2").tobytes() for r in some], pa.binary()),
+                ],
+                names=["range", "keys", "counts"],
+            )
+
+        for b in batches:
+            for raw in b.column("sh").to_pylist():
+                keys = unpack(raw)
+                held.append(keys[: np.searchsorted(keys, _CUT)])
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([unpack(x) for x in pdf["keys"]])
+        counts = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["counts"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        heads = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+        df = np.add.reduceat(counts, heads)
+        often = df >= 2
+        return pd.DataFrame({"key": keys[heads][often] + int(pdf["range"].iloc[0]) * width, "df": df[often]})
+
+    return sets.select("sh").mapInArrow(packed, "range int, keys binary, counts binary").groupBy("range").applyInPandas(counted, "key long, df long")
+
+
+def _bit_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(values.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bit_filter(df: DataFrame, column: str, most_bits: int = 1 << 30) -> tuple[np.ndarray, int]:
+    """A bit array in which every value of ``column`` sets a bit.
+
+    It has 16 bits a value, rounded up to a power of two, and at most ``most_bits``
+    (128 MB); beyond that it lets more values pass but never loses one.
+    """
+    rows = df.count()
+    bits = 1 << 16
+    while bits < min(16 * rows, most_bits):
+        bits *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _bit_of(b.column(0).to_numpy(), bits)
+            word, inverse = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    found = df.select(column).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.int64).view(np.uint64)
+    return out, bits
+
+
+def _has_bit(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    at = _bit_of(values, bits)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def _bodies(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rid, sh`` of the wanted ``rid`` values; a bit filter keeps most others out of the shuffle."""
+    table = sets.sparkSession.sparkContext.broadcast(_bit_filter(wanted, "rid"))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = table.value
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(_has_bit(words, bits, b.column("rid").to_numpy())))
+
+    return sets.select("rid", "sh").mapInArrow(passing, "rid long, sh binary").join(wanted, "rid", "left_semi")
+
+
 def jaccard_components(
     docs: DataFrame,
     *,
@@ -184,8 +272,10 @@ def jaccard_components(
     text_col: str = "text",
     k: int = 4,
     percent: int = 85,
-    frequent_shingles: int = 1 << 18,
-    often: int = 4,
+    extra: int = 4,
+    short_list: int = 24,
+    block_rows: int = 400,
+    ordered_shingles: int = 1 << 18,
 ) -> DataFrame:
     """Return ``id, n_shingles long, component_id``, one row per input row.
 
@@ -196,155 +286,189 @@ def jaccard_components(
     document with a null id alone in its component has a null component.  An
     empty table gives an empty result.
 
-    ``frequent_shingles`` bounds the broadcast order table; it and ``often`` only
-    influence which shingles are listed, not the result.
+    The other parameters steer the work, not the result: ``extra`` is the d of the
+    prefix rule, ``short_list`` the length up to which lists give pairs,
+    ``block_rows`` the block size of clusters, and ``ordered_shingles`` how many of
+    the most frequent shingles are ordered among each other (a broadcast table).
     """
     spark: SparkSession = docs.sparkSession
-    staged = stage(_sets(docs, id_col, text_col, k, often), "jj-sets", codec="snappy")
-    sets = staged.df.where("node IS NOT NULL AND n > 0")
-    hot = (
-        staged.df.where("node IS NULL").select(F.explode(F.arrays_zip("sh", "seen")).alias("z"))
-        .groupBy(F.col("z.sh").alias("sh")).agg(F.sum("z.seen").alias("c")).orderBy(F.desc("c"), "sh").limit(frequent_shingles)
-    ).toPandas()
-    order = np.argsort(hot["sh"].to_numpy())
-    hot_keys, hot_counts = hot["sh"].to_numpy()[order].astype(np.int64), hot["c"].to_numpy()[order].astype(np.int64)
-    sizes = {r["n"]: r["c"] for r in sets.where("n <= 32").groupBy("n").agg(F.approx_count_distinct("node").alias("c")).collect()}
+    staged = stage(_sets(docs, id_col, text_col, k), "jj-sets")
+    with_sets = staged.df.where("sh IS NOT NULL")
+    totals = with_sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    frequent = stage(_frequencies(with_sets, totals["t"]), "jj-frequent")
+    top = frequent.df.orderBy(F.desc("df"), "key").limit(ordered_shingles).toPandas()
+    by_key = np.argsort(top["key"].to_numpy())
+    table = spark.sparkContext.broadcast(
+        (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(frequent.df, "key"))
+    )
+    frequent.drop()
+    sizes = {r["n"]: r["c"] for r in with_sets.where("n <= 32").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary_by_cost(sizes, percent)
-    table = spark.sparkContext.broadcast((hot_keys, hot_counts))
-    prefixes = np.array([0] + [prefix_size(s, percent) for s in range(1, 4097)], np.int64)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_hot, counts_hot = table.value
+        top_keys, top_df, words, bits = table.value
         for b in batches:
-            col = b.column("sh")
-            flat, offs = col.values.to_numpy(), col.offsets.to_numpy()
-            nodes = b.column("node").to_pylist()
-            done: set[bytes] = set()
+            raws = b.column("sh").to_pylist()
+            lens = np.fromiter((len(r) // 6 for r in raws), np.int64, len(raws))
+            flat = unpack(b"".join(raws))
+            rank = np.where(flat < _CUT, np.where(_has_bit(words, bits, flat), 2, 0), 1 << 40)
+            if len(top_keys):
+                spot = np.minimum(np.searchsorted(top_keys, flat), len(top_keys) - 1)
+                rank = np.where(top_keys[spot] == flat, 2 + top_df[spot], rank)
             who, key, pos = [], [], []
-            if len(keys_hot):
-                spot = np.minimum(np.searchsorted(keys_hot, flat), len(keys_hot) - 1)
-                rank = np.where(keys_hot[spot] == flat, counts_hot[spot], 0)
-            else:
-                rank = np.zeros(len(flat), np.int64)
-            for i, node in enumerate(nodes):
-                if node in done:
-                    continue
-                done.add(node)
-                a, z = offs[i], offs[i + 1]
-                s = int(z - a)
+            ends = np.cumsum(lens)
+            for i, s in enumerate(lens.tolist()):
                 if s <= light and 100 * s < percent * (light + 1):
                     continue
-                p = int(prefixes[s]) if s < len(prefixes) else prefix_size(s, percent)
-                r = rank[a:z]
-                cold = np.nonzero(r == 0)[0]
-                first = cold[:p]
-                if len(first) < p:
-                    warm = np.nonzero(r)[0]
-                    first = np.concatenate([first, warm[np.argsort(r[warm], kind="stable")][: p - len(first)]])
-                who.append(np.full(p, i))
-                key.append(flat[a:z][first])
-                pos.append(np.arange(p))
+                r = rank[ends[i] - s : ends[i]]
+                p = min(s, prefix_size(s, percent) + extra)
+                cold = int((r == 0).sum())
+                if cold >= p:
+                    continue  # a prefix of shingles that occur nowhere else
+                first = np.argsort(r, kind="stable")[cold:p]
+                who.append(np.full(len(first), i))
+                key.append(flat[ends[i] - s : ends[i]][first])
+                pos.append(np.arange(cold, p))
             if who:
-                who = np.concatenate(who)
+                rows = pa.array(np.concatenate(who))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(key)), b.column("node").take(pa.array(who)), b.column("n").take(pa.array(who)), pa.array(np.concatenate(pos).astype(np.int32))],
-                    names=["key", "node", "n", "pos"],
+                    [pa.array(np.concatenate(key)), b.column("rid").take(rows), b.column("n").take(rows), pa.array(np.concatenate(pos).astype(np.int32))],
+                    names=["key", "rid", "n", "pos"],
                 )
 
     def subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[bytes] = set()
-            key, who = [], []
-            col = b.column("sh")
-            flat, offs = col.values.to_numpy(), col.offsets.to_numpy()
-            for i, node in enumerate(b.column("node").to_pylist()):
-                if node in seen:
-                    continue
-                seen.add(node)
-                members = flat[offs[i] : offs[i + 1]]
+            key, size, who = [], [], []
+            for i, raw in enumerate(b.column("sh").to_pylist()):
+                members = unpack(raw)
                 for c in subset_sizes(len(members), percent):
                     for chosen in combinations(range(len(members)), c):
                         key.append(xxhash.xxh3_128_digest(members[list(chosen)].tobytes()))
-                        who.append((i, c))
-            if key:
-                rows = pa.array([w for w, _ in who])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.binary()), pa.array([c for _, c in who], pa.int32()), b.column("node").take(rows), b.column("n").take(rows)],
-                    names=["key", "c", "node", "n"],
-                )
+                        size.append(c)
+                        who.append(i)
+            rows = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int32()), b.column("rid").take(rows), b.column("n").take(rows)], names=["key", "c", "rid", "n"])
+
+    # One row stands for each distinct set.
+    same = stage(staged.df.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
+    one_each = same.df.select("rid")
 
     # Light sets: a star around the smallest set of each subset group.
-    subsets = sets.where(F.col("n") <= light).select("node", "n", "sh").mapInArrow(subset_rows, "key binary, c int, node binary, n long").distinct()
-    smallest = subsets.groupBy("key", "c").agg(F.min(F.struct("n", "node")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    light_links = (
-        subsets.join(smallest, ["key", "c"]).where(F.col("node") != F.col("m.node"))
-        .where((F.col("n") + F.col("m.n")) * percent <= F.col("c") * (100 + percent))
-        .select(F.col("node").alias("x"), F.col("m.node").alias("y"))
+    subsets = with_sets.where(F.col("n") <= light).select("rid", "n", "sh").mapInArrow(subset_rows, "key binary, c int, rid long, n long").join(one_each, "rid", "left_semi")
+    smallest = stage(
+        subsets.groupBy("key", "c").agg(F.min(F.struct("n", "rid")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "c", F.col("m.n").alias("mn"), F.col("m.rid").alias("mrid")), "jj-smallest"
     )
+    light_links = (
+        subsets.join(smallest.df, ["key", "c"]).where(F.col("rid") != F.col("mrid"))
+        .where((F.col("n") + F.col("mn")) * percent <= F.col("c") * (100 + percent))
+        .select(F.col("rid").alias("x"), F.col("mrid").alias("y")).distinct()
+    )
 
-    # Heavy sets: rows of inverted lists that hold more than one set.
-    listed = sets.select("node", "n", "sh").mapInArrow(index_rows, "key long, node binary, n long, pos int").dropDuplicates(["key", "node"])
-    lengths = listed.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
-    lists = stage(listed.join(lengths, "key"), "jj-lists")
-    weight = lists.df.groupBy("node").agg(F.sum(F.col("len") - 1).alias("weight"))
-    weighed = lists.df.join(weight, "node")
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    bound = lambda a, i, b, j: ((F.least(a - i, b - j)) * (100 + percent) >= (a + b) * percent)
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
-    near = (
-        weighed.join(hubs, "key")
-        .where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")) & bound(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-        .groupBy("node").agg(F.max(F.struct("hub.weight", "hub.node")).alias("best"))
-        .select(F.col("node").alias("x"), F.col("best.node").alias("y"))
-    )
-    bodies = sets.select("node", "sh")
-    pairs = near.union(light_links).distinct()
-    links = stage(_verified(pairs, bodies, percent), "jj-links")
-    parts = stage(connected_components(links.df, "x", "y"), "jj-parts")
-    # Second step: pairs of one list whose sets are in different components so far.
-    part_of = parts.df.select(F.col("vertex").alias("node"), "component")
-    apart = lists.df.join(part_of, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
-    mixed_lists = apart.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "part")).alias("main")
-    ).where("parts > 1").select("key", F.col("main.part").alias("main"))
-    both = stage(apart.join(mixed_lists, "key"), "jj-apart")
-    left, right = both.df.where("part <> main").alias("l"), both.df.alias("r")
-    crossing = (
-        left.join(right, F.col("l.key") == F.col("r.key"))
-        .where(F.col("l.part") != F.col("r.part"))
-        # Of two sets outside the main component, one order is enough.
-        .where((F.col("r.part") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
-        .where(fits(F.col("l.n"), F.col("r.n")) & bound(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
-        .select(F.least("l.node", "r.node").alias("x"), F.greatest("l.node", "r.node").alias("y")).distinct()
-    )
-    more = stage(_verified(crossing, bodies, percent), "jj-more")
-    edges = links.df.union(more.df)
-    # From nodes to the smallest document of each.
-    reps = staged.df.where("node IS NOT NULL AND n > 0").groupBy("node").agg(F.min("id").alias("rep"))
-    touched = edges.select(F.col("x").alias("node")).union(edges.select(F.col("y").alias("node"))).distinct()
-    rep_of = reps.join(touched, "node", "left_semi")
-    by_node = connected_components(edges, "x", "y").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
-    named = by_node.join(rep_of, "node").select("node", "root", "rep")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
-    low_of = stage(named.join(lowest, "root").select("node", "low"), "jj-low")
-    final = reps.join(low_of.df, "node", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
-    out = staged.df.where("node IS NOT NULL").select("id", "n", "node").join(final, "node", "left")
-    for done in (lists, both):
-        done.drop()
+    # Heavy sets: inverted lists that hold more than one set.
+    listed = stage(with_sets.select("rid", "n", "sh").mapInArrow(index_rows, "key long, rid long, n long, pos int").join(one_each, "rid", "left_semi"), "jj-listed")
+    lengths = stage(listed.df.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
+    lists = stage(listed.df.join(lengths.df, "key"), "jj-lists")
+    pairs = stage(_short_pairs(lists.df.where(F.col("len") <= short_list), percent, extra), "jj-pairs")
+    clusters = _clusters(lists.df.where(F.col("len") > short_list))
+    checked = stage(_verified(pairs.df, with_sets, percent).union(_cluster_links(clusters, with_sets, percent, block_rows)).union(light_links), "jj-links")
+    parts = connected_components(checked.df, "x", "y")
+
+    # From rows to the smallest document of each component.
+    rooted = same.df.join(parts.withColumnRenamed("vertex", "rid"), "rid", "left").select("digest", "low", F.coalesce("component", "rid").alias("root"))
+    lowest = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "jj-lowest")
+    named = stage(rooted.join(lowest.df, "root").select("digest", "component_id"), "jj-named")
+    out = staged.df.select("id", "n", "digest").join(named.df, "digest", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (x, y) of nodes that link, by their exact sets."""
-    pairs = stage(pairs, "jj-pairs").df
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    own = stage(bodies.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jj-bodies", codec="snappy").df
-    with_x = pairs.join(own.select(F.col("node").alias("x"), F.col("sh").alias("sx")), "x")
-    full = with_x.join(own.select(F.col("node").alias("y"), F.col("sh").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return full.where(common * (100 + percent) >= (F.size("sx") + F.size("sy")) * percent).select("x", "y")
+def _short_pairs(lists: DataFrame, percent: int, extra: int) -> DataFrame:
+    """Pairs of sets that share enough of their prefixes to link."""
+    l, r = lists.alias("l"), lists.alias("r")
+    both = F.col("l.n") + F.col("r.n")
+    joined = (
+        l.join(r, F.col("l.key") == F.col("r.key")).where(F.col("l.rid") < F.col("r.rid"))
+        .where(F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+        .select(F.col("l.rid").alias("x"), F.col("r.rid").alias("y"), both.alias("both"), F.lit(1).alias("shared"))
+    )
+    # A pair that shares long lists too is compared there; short lists alone must then hold all that it shares.
+    need = F.ceil(F.col("both") * percent / (100 + percent))
+    return joined.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("both").alias("both")).where(F.col("shared") >= F.least(F.lit(1 + extra), need)).select("x", "y")
+
+
+def _clusters(long_lists: DataFrame) -> DataFrame:
+    """``rid, cluster``: sets of one long list are in one cluster."""
+    heads = stage(long_lists.groupBy("key").agg(F.min("rid").alias("head")), "jj-heads")
+    parts = connected_components(long_lists.join(heads.df, "key").select("rid", "head"), "rid", "head")
+    return parts.select(F.col("vertex").alias("rid"), F.col("component").alias("cluster"))
+
+
+def _linked_rows(packed: list[bytes], percent: int) -> np.ndarray:
+    """Boolean matrix of the links among some sets, from exact counts of common shingles."""
+    sets = [unpack(x) for x in packed]
+    sizes = np.array([len(x) for x in sets])
+    keys, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(keys)) > 1
+    number = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(often.sum()), 4096):  # columns in parts of bounded size
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        common += part @ part.T
+    return common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Links inside clusters as a spanning forest per pair of blocks."""
+    members = stage(clusters, "jj-clusters").df
+    blocks = stage(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "jj-blocks").df
+    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    whole = placed.join(_bodies(sets, members.select("rid")), "rid")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rid", "sh"
+    )
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid")
+        hit = _linked_rows(pdf["sh"].tolist(), percent)
+        label = np.arange(len(pdf))
+        while True:
+            low = np.where(hit, label[None, :], len(label)).min(axis=1)
+            new = np.minimum(label, low)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        rid = pdf["rid"].to_numpy()
+        own = label != np.arange(len(label))
+        return pd.DataFrame({"x": rid[own], "y": rid[label[own]]})
+
+    return dealt.groupBy("cluster", "bi", "bj").applyInPandas(compare, "x long, y long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (x, y) that link, by their exact sets."""
+    wanted = stage(pairs.select(F.col("x").alias("rid")).union(pairs.select(F.col("y").alias("rid"))).distinct(), "jj-wanted").df
+    own = stage(_bodies(sets, wanted), "jj-bodies").df
+    full = pairs.join(own.select(F.col("rid").alias("x"), F.col("sh").alias("sx")), "x").join(own.select(F.col("rid").alias("y"), F.col("sh").alias("sy")), "y")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            right = []
+            for a, z in zip(b.column("sx").to_pylist(), b.column("sy").to_pylist(), strict=True):
+                a, z = unpack(a), unpack(z)
+                common = len(np.intersect1d(a, z, assume_unique=True))
+                right.append(common * (100 + percent) >= (len(a) + len(z)) * percent)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(right, pa.bool_()))
+
+    return full.select("x", "y", "sx", "sy").mapInArrow(linked, "x long, y long")
 
 
 def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
