@@ -225,12 +225,12 @@ def _bit_of(values: np.ndarray, bits: int) -> np.ndarray:
 def _bit_filter(df: DataFrame, column: str, most_bits: int = 1 << 30) -> tuple[np.ndarray, int]:
     """A bit array in which every value of ``column`` sets a bit.
 
-    It has 16 bits a value, rounded up to a power of two, and at most ``most_bits``
+    It has 8 bits a value, rounded up to a power of two, and at most ``most_bits``
     (128 MB); beyond that it lets more values pass but never loses one.
     """
     rows = df.count()
     bits = 1 << 16
-    while bits < min(16 * rows, most_bits):
+    while bits < min(8 * rows, most_bits):
         bits *= 2
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +241,9 @@ def _bit_filter(df: DataFrame, column: str, most_bits: int = 1 << 30) -> tuple[n
             np.bitwise_or.at(value, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
 
-    found = df.select(column).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    found = df.select(column).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[found["word"].to_numpy()] = found["value"].to_numpy().astype(np.int64).view(np.uint64)
+    out[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
     return out, bits
 
 
@@ -296,7 +296,7 @@ def jaccard_components(
     with_sets = staged.df.where("sh IS NOT NULL")
     totals = with_sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
     frequent = stage(_frequencies(with_sets, totals["t"]), "jj-frequent")
-    top = frequent.df.orderBy(F.desc("df"), "key").limit(ordered_shingles).toPandas()
+    top = frequent.df.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
     by_key = np.argsort(top["key"].to_numpy())
     table = spark.sparkContext.broadcast(
         (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(frequent.df, "key"))
