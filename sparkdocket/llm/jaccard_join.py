@@ -305,36 +305,43 @@ def jaccard_components(
     sizes = {r["n"]: r["c"] for r in with_sets.where("n <= 32").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary_by_cost(sizes, percent)
 
-    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, place) of the prefix shingles that may occur elsewhere."""
         top_keys, top_df, words, bits = table.value
+        lens = np.fromiter((len(r) // 6 for r in raws), np.int64, len(raws))
+        flat = unpack(b"".join(raws))
+        counted = flat < _CUT
+        rank = np.full(len(flat), 1 << 40, np.int64)
+        rank[counted] = np.where(_has_bit(words, bits, flat[counted]), 2, 0)
+        if len(top_keys):
+            spot = np.minimum(np.searchsorted(top_keys, flat), len(top_keys) - 1)
+            rank = np.where(top_keys[spot] == flat, 2 + top_df[spot], rank)
+        who, key, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.cumsum(lens)
+        for i, s in enumerate(lens.tolist()):
+            if s <= light and 100 * s < percent * (light + 1):
+                continue
+            r = rank[ends[i] - s : ends[i]]
+            p = min(s, prefix_size(s, percent) + extra)
+            cold = int((r == 0).sum())
+            if cold >= p:
+                continue  # a prefix of shingles that occur nowhere else
+            first = np.argsort(r, kind="stable")[cold:p]
+            who.append(np.full(len(first), i))
+            key.append(flat[ends[i] - s : ends[i]][first])
+            pos.append(np.arange(cold, p))
+        return np.concatenate(who), np.concatenate(key), np.concatenate(pos)
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = b.column("sh").to_pylist()
-            lens = np.fromiter((len(r) // 6 for r in raws), np.int64, len(raws))
-            flat = unpack(b"".join(raws))
-            rank = np.where(flat < _CUT, np.where(_has_bit(words, bits, flat), 2, 0), 1 << 40)
-            if len(top_keys):
-                spot = np.minimum(np.searchsorted(top_keys, flat), len(top_keys) - 1)
-                rank = np.where(top_keys[spot] == flat, 2 + top_df[spot], rank)
-            who, key, pos = [], [], []
-            ends = np.cumsum(lens)
-            for i, s in enumerate(lens.tolist()):
-                if s <= light and 100 * s < percent * (light + 1):
-                    continue
-                r = rank[ends[i] - s : ends[i]]
-                p = min(s, prefix_size(s, percent) + extra)
-                cold = int((r == 0).sum())
-                if cold >= p:
-                    continue  # a prefix of shingles that occur nowhere else
-                first = np.argsort(r, kind="stable")[cold:p]
-                who.append(np.full(len(first), i))
-                key.append(flat[ends[i] - s : ends[i]][first])
-                pos.append(np.arange(cold, p))
-            if who:
-                rows = pa.array(np.concatenate(who))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(key)), b.column("rid").take(rows), b.column("n").take(rows), pa.array(np.concatenate(pos).astype(np.int32))],
-                    names=["key", "rid", "n", "pos"],
-                )
+            n = b.column("n").to_numpy()
+            parts = np.cumsum(n) // 400_000  # rows of about so many shingles at a time
+            cuts = [*np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0].tolist(), len(n)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(lo, hi - lo)
+                who, key, pos = prefixes_of(part.column("sh").to_pylist())
+                rows = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column("rid").take(rows), part.column("n").take(rows), pa.array(pos.astype(np.int32))], names=["key", "rid", "n", "pos"])
 
     def subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
