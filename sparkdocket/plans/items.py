@@ -33,7 +33,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as parents and their lines as attachments, with string ids O<key> and L<key>-<line>."""
+    """Orders as parents and their lines as attachments, with string ids O<key> and L<key>-<line>-<part>-<supplier>."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     parent = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
     parents = o.select(
@@ -44,7 +44,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     owner = F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))
     children = li.select(
-        F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("item_id"), owner.alias("parent_item_id"),
+        F.concat(F.lit("L"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])).alias("item_id"), owner.alias("parent_item_id"),
         owner.alias("family_id"), F.lit("attachment").alias("role"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("custodian"), F.col("l_returnflag").alias("file_category"),
         F.when(F.col("l_linestatus") == "F", "extracted").otherwise("normalized").alias("status"),
@@ -60,7 +60,7 @@ items AS (
          CASE o_orderstatus WHEN 'P' THEN 'partial' WHEN 'F' THEN 'extracted' ELSE 'error' END AS status,
          CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, CAST(o_orderdate AS TIMESTAMP) AS sent_at, NULL::TIMESTAMP AS received_at FROM orders
   UNION ALL
-  SELECT 'L' || l_orderkey || '-' || l_linenumber, 'O' || l_orderkey, 'O' || l_orderkey, 'attachment', 'part/' || l_partkey, 'S' || l_suppkey,
+  SELECT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'O' || l_orderkey, 'O' || l_orderkey, 'attachment', 'part/' || l_partkey, 'S' || l_suppkey,
          l_returnflag, CASE l_linestatus WHEN 'F' THEN 'extracted' ELSE 'normalized' END, CAST(floor(l_extendedprice) AS BIGINT),
          NULL, CAST(l_shipdate AS TIMESTAMP) FROM lineitem)
 """
