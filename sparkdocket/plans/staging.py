@@ -45,5 +45,6 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> Staged:
     """Write ``df`` as Parquet to the shared folder; later steps read the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    # Small row groups: a writer buffers one per open file.
+    df.write.option("compression", codec).option("parquet.block.size", 32 << 20).parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
