@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdocket.llm.columns import small_batches
 from sparkdocket.operators.graph import connected_components
 from sparkdocket.plans.staging import stage
 
@@ -158,9 +159,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 digests.append(digest)
                 packed.append(raw if len(keys) and digest not in met else None)
                 met.add(digest)
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
-                if len(met) > 500_000:
+                if len(met) > 200_000:
                     met.clear()
             rids = pa.array(np.arange(rid, rid + len(texts)))
             rid += len(texts)
@@ -199,7 +200,7 @@ def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
                 keys = unpack(raw)
                 held.append(keys[: np.searchsorted(keys, _CUT)])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -291,6 +292,12 @@ def jaccard_components(
     ``block_rows`` the block size of clusters, and ``ordered_shingles`` how many of
     the most frequent shingles are ordered among each other (a broadcast table).
     """
+    # All Python work runs in jobs inside; the plan that is returned only joins their results.
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, k, percent, extra, short_list, block_rows, ordered_shingles)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, extra: int, short_list: int, block_rows: int, ordered_shingles: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     staged = stage(_sets(docs, id_col, text_col, k), "jj-sets")
     with_sets = staged.df.where("sh IS NOT NULL")
@@ -335,7 +342,7 @@ def jaccard_components(
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column("n").to_numpy()
-            parts = np.cumsum(n) // 400_000  # rows of about so many shingles at a time
+            parts = np.cumsum(n) // 200_000  # rows of about so many shingles at a time
             cuts = [*np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0].tolist(), len(n)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = b.slice(lo, hi - lo)
