@@ -63,17 +63,15 @@ def collect_features(
     return rows, labels
 
 
-#: Keyed by the identity of the model, which lives as long as the broadcast is held.
-_SCORERS: dict[int, WordSums] = {}
+#: The model last used by this worker, held so that its identity stays its own, and its scorer.
+_LAST: list = []
 
 
 def worker_scorer(model: Broadcast) -> WordSums:
     """This Python worker's word store for a broadcast model, kept from task to task."""
-    key = id(model.value)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = model.value.scorer()
-    return _SCORERS[key]
+    if not _LAST or _LAST[0] is not model.value:
+        _LAST[:] = [model.value, model.value.scorer()]
+    return _LAST[1]
 
 
 def score_texts(
