@@ -9,13 +9,12 @@ from sparkdocket.functions import hashing, norm
 from sparkdocket.operators import dedupe
 from sparkdocket.plans import items as adapt
 
-_NONE = F.lit(None).cast("string")
 
 
 def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapt.document_items(spark, sf_dir)
-    kids = F.array().cast("array<string>")
-    return d.withColumn("logical_hash", hashing.file_hash(F.col("file_category"), _NONE, F.col("custodian"), _NONE, F.col("text"), kids)).drop("text")
+    kids, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    return d.withColumn("logical_hash", hashing.file_hash(F.col("file_category"), none, F.col("custodian"), none, F.col("text"), kids)).drop("text")
 
 
 _BODY = "trim(replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''))"
