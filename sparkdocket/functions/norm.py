@@ -81,9 +81,9 @@ def bytes_label(c: Column) -> Column:
     """B, KB with one decimal, MB and GB with two, at 1024."""
     return (
         F.when(c < 1024, F.format_string("%d B", c.cast("long")))
-        .when(c < 1024**2, F.format_string("%.1f KB", c / 1024.0))
-        .when(c < 1024**3, F.format_string("%.2f MB", c / 1024.0**2))
-        .otherwise(F.format_string("%.2f GB", c / 1024.0**3))
+        .when(c < 1024**2, F.format_string("%.1f KB", F.round(c / 1024.0, 1)))
+        .when(c < 1024**3, F.format_string("%.2f MB", F.round(c / 1024.0**2, 2)))
+        .otherwise(F.format_string("%.2f GB", F.round(c / 1024.0**3, 2)))
     )
 
 

@@ -164,5 +164,5 @@ ORACLE = {
     "citation_verify": r"""WITH q AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(array_to_string(string_split(text, ' ')[3:6], ' '), '\s+', ' ', 'g'))) AS q FROM documents WHERE text IS NOT NULL),
         n AS (SELECT doc_id, CASE WHEN length(q) > 0 THEN CAST((length(t) - length(replace(t, q, ''))) // length(q) AS INT) ELSE 0 END AS n, t, q FROM q) SELECT doc_id, n, n = 1 AS verified FROM n""",
     "dat_encode": "SELECT o_orderkey, 'þ' || o_orderkey || 'þ¶þ' || o_orderstatus || 'þ¶þ' || o_orderpriority || '®' || o_custkey || 'þ¶þþ' AS line FROM orders",
-    "bytes_labels": "WITH b AS (SELECT doc_id, n_chars * 977 AS b FROM documents) SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0) ELSE printf('%.2f GB', b / 1073741824.0) END AS label FROM b",
+    "bytes_labels": "WITH b AS (SELECT doc_id, n_chars * 977 AS b FROM documents) SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0, 1)) WHEN b < 1073741824 THEN printf('%.2f MB', round(b / 1048576.0, 2)) ELSE printf('%.2f GB', round(b / 1073741824.0, 2)) END AS label FROM b",
 }
