@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkdocket.llm import decontaminate, jaccard_join, langid, pieces, pii
 from sparkdocket.llm.training import fold
+from sparkdocket.plans.shipping import shipped
 from sparkdocket.plans.staging import stage
 
 
@@ -52,11 +53,11 @@ def piece_samples(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("benchmark_leaks", benchmark_leaks),
-    ("private_data", private_data),
-    ("piece_samples", piece_samples),
+    ("language", shipped(language)),
+    ("near_duplicates", shipped(near_duplicates)),
+    ("benchmark_leaks", shipped(benchmark_leaks)),
+    ("private_data", shipped(private_data)),
+    ("piece_samples", shipped(piece_samples)),
 ]
 
 #: The trained model of the first stage and the samples of the last have no SQL form.

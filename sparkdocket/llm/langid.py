@@ -48,7 +48,7 @@ def fit_language(
         fine = np.nonzero(accepted >= precision)[0]
         strict = score[order][fine[-1]] if len(fine) else 1.0
         lenient = np.quantile(score[right], most_rejected) if right.any() else 0.0
-        cut = float(min(strict, lenient, 0.9))
+        cut = float(min(strict, lenient, 0.6))
     return LanguageModel(model, cut)
 
 
