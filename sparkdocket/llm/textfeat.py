@@ -75,7 +75,7 @@ class _Numbers(dict):
         return n
 
 
-def blocks_of(texts: list[str | None], chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def blocks_of(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters, or one longer text."""
     start = size = 0
     for k, t in enumerate(texts):
@@ -96,7 +96,7 @@ class WordSums:
     """
 
     def __init__(
-        self, space: FeatureSpace, values: Callable[[list[str]], np.ndarray], width: int, repeat: np.ndarray | None = None, most: int = 400_000
+        self, space: FeatureSpace, values: Callable[[list[str]], np.ndarray], width: int, repeat: np.ndarray | None = None, most: int = 120_000
     ):
         self.space, self.values, self.width, self.repeat, self.most = space, values, width, repeat, most
         self._clear()
@@ -122,7 +122,7 @@ class WordSums:
                 counts[k] = len(words)
             if len(self.numbers) > known:
                 fresh = list(self.numbers)[known:] if known else list(self.numbers)
-                made = [self.values(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000)]
+                made = [self.values(fresh[i : i + 10_000]) for i in range(0, len(fresh), 10_000)]
                 self.table = np.concatenate([self.table, *made])
             owner = np.repeat(np.arange(b - a), counts[a:b])
             idx = np.array(ids, dtype=np.int64)

@@ -87,8 +87,11 @@ def score_texts(
     """Append what ``results(probabilities, texts)`` makes for each batch of texts."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        sums, _ = worker_scorer(model).sums(texts, distinct)
-        return results(model.value.probabilities(sums), texts)
+        column, parts = batch.column(batch.schema.get_field_index(text)), []
+        for at in range(0, batch.num_rows, 500):  # few texts at a time are Python strings
+            texts = column.slice(at, 500).to_pylist()
+            sums, _ = worker_scorer(model).sums(texts, distinct)
+            parts.append(results(model.value.probabilities(sums), texts))
+        return [pa.concat_arrays(arrays) for arrays in zip(*parts, strict=True)]
 
     return add_columns(docs, fields, compute, keep=keep)
