@@ -47,8 +47,16 @@ SYLLABLES = {
     "cyrillic": ["бал", "вер", "гор", "дан", "кал", "лан", "мар", "нор", "пан", "рин", "сол", "тал", "фер", "хар", "чел", "шар"],
 }
 
+# Lengths of bank account numbers by country, to find them written with spaces.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
+_SPACED_IBAN = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![0-9A-Za-z])" for n, codes in IBAN_LENGTHS.items())
 #: Kinds and their patterns, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -57,12 +65,12 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z+.-])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_SPACED_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}(?![0-9A-Za-z]))",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[  ]{_WORD}(?:[  ]{_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
-#: A text without any of these holds no entity; this is cheap to test.
-_HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|(?:{_TITLE})\.?[  ]\p{{Lu}}"
+#: A text without any of these holds no entity; this is cheap to test.  Every match of every pattern holds one.
+_HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?:{_TITLE})\.?[  ]\p{{Lu}}"
 _LOWER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 
 
@@ -98,6 +106,7 @@ def normal_form(entity: Column, kind: Column) -> Column:
     name = F.concat(_gender(entity), F.lit(" "), F.lower(F.regexp_replace(_bare_name(entity), r"[  ]", " ")))
     return (
         F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit(""))))
         .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "name", name).otherwise(F.lower(entity))
     )
@@ -188,11 +197,25 @@ def _octets(digest: Column) -> Column:
 
 def _coded(entity: Column, digest: Column, hexadecimal: bool) -> Column:
     letters = _HEX[10:] if hexadecimal else _LOWER
+    bare = F.replace(entity, F.lit(" "), F.lit(""))
     made = F.transform(
-        F.split(F.lower(entity), ""),
+        F.split(F.lower(bare), ""),
         lambda c, i: F.when(c.rlike("^[0-9]$"), _one_of(_DIGITS, _byte(digest, i))).otherwise(_one_of(letters, _byte(digest, i))),
     )
-    return _like(entity, F.array_join(made, ""))
+    return _spaced(entity, _like(bare, F.array_join(made, "")))
+
+
+def _spaced(original: Column, made: Column) -> Column:
+    """``made``, which has no spaces, with spaces where ``original`` has them."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(
+            F.concat(acc["out"], F.when(c == " ", c).otherwise(F.substring(made, acc["at"], F.lit(1)))).alias("out"),
+            (acc["at"] + (c != " ").cast("int")).alias("at"),
+        )
+
+    return F.when(original.contains(" "), F.aggregate(F.split(original, ""), start, step, lambda acc: acc["out"])).otherwise(made)
 
 
 def _surname(word: Column, digest: Column, script: str, gender: Column) -> Column:
