@@ -16,7 +16,11 @@ keyed digest of the normal form fills the entity's own format:
 
 Distinct entities must get distinct surrogates and no surrogate may be an entity
 of the corpus.  Both are checked over all distinct entities; where a check fails,
-the digest is drawn anew with the next attempt number until none fails.
+the digest is drawn anew with the next attempt number until none fails.  Surnames
+have attempts of their own, over the distinct surnames, and given names within
+their surname, so that a redrawn given name leaves the surname as it is.  Each
+attempt at a name adds a syllable; in other kinds the format is kept for ``DRAWS``
+attempts, and each later one adds a character, for formats with too few values.
 """
 
 from __future__ import annotations
@@ -54,7 +58,12 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 
+#: Draws within an entity's own format before its surrogate gets longer.
+DRAWS = 12
+
 _WORD = r"\p{Lu}[\p{L}'’-]+"
+_BLANK = r"[  ]"
+_CYRILLIC = r"^\p{IsCyrillic}"
 _TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
 _SPACED_IBAN = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![0-9A-Za-z])" for n, codes in IBAN_LENGTHS.items())
 #: Kinds and their patterns, tried in this order at each place.
@@ -123,6 +132,11 @@ def _gender(entity: Column) -> Column:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, not at each place where ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _byte(digest: Column, at: Column) -> Column:
     return F.conv(F.substring(digest, 2 * F.pmod(at, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -218,76 +232,152 @@ def _spaced(original: Column, made: Column) -> Column:
     return F.when(original.contains(" "), F.aggregate(F.split(original, ""), start, step, lambda acc: acc["out"])).otherwise(made)
 
 
-def _surname(word: Column, digest: Column, script: str, gender: Column) -> Column:
-    parts = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-    made = F.concat(*[F.element_at(parts, F.pmod(_byte(digest, F.lit(k)) * 256 + _byte(digest, F.lit(k + 8)), F.size(parts)) + 1) for k in range(4)])
+def _syllables(digest: Column, count: Column, script: str) -> Column:
+    """Up to 32 syllables, each from two bytes of the digest."""
+    parts = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+
+    def pick(k: Column) -> Column:
+        high = F.when(k < 8, k).otherwise(2 * k)
+        low = F.when(k < 8, k + 8).otherwise(2 * k + 1)
+        return F.element_at(parts, F.pmod(_byte(digest, high) * 256 + _byte(digest, low), F.size(parts)) + 1)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.least(count, F.lit(32)) - 1), pick), "")
+
+
+def _part_digest(part: str, word: Column, key: str, attempt: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(part), F.lower(word), attempt.cast("string")), 512)
+
+
+def _stem(word: Column, key: str, attempt: Column, script: str) -> Column:
+    """A made surname in lower case, without an ending."""
+    return _let(_part_digest("surname", word, key, attempt), lambda digest: _syllables(digest, 4 + attempt, script))
+
+
+def _titled(word: Column) -> Column:
+    return _let(word, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+
+
+def _cased(made: Column, word: Column) -> Column:
+    return _let(made, lambda m: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(m)).otherwise(m))
+
+
+def _surname(word: Column, key: str, attempt: Column, script: str, gender: Column) -> Column:
+    made = _stem(word, key, attempt, script)
     if script == "cyrillic":
         made = F.concat(made, F.when(gender == "f", F.lit("ова")).otherwise(F.lit("ов")))
-    titled = F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))
-    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(titled)).otherwise(titled)
+    return _cased(_titled(made), word)
 
 
-def _name(entity: Column, key: str, attempt: Column) -> Column:
-    """The form of address stays; given name by gender and script, surname by script."""
-    bare = _bare_name(entity)
-    prefix = F.substring(entity, F.lit(1), F.length(entity) - F.length(bare))
-    words = F.split(bare, r"[  ]")
-    last = F.element_at(words, -1)
-    gender = _gender(entity)
-    digest = lambda part, w: F.sha2(F.concat_ws("|", F.lit(key), F.lit(part), F.lower(w), attempt.cast("string")), 512)
-
-    def whole(script: str) -> Column:
-        given = F.lit(None).cast("string")
+def _given(word: Column, key: str, attempt: Column, script: str, gender: Column) -> Column:
+    """A given name of the gender; later attempts are double names."""
+
+    def drawn(digest: Column) -> Column:
+        first = F.lit(None).cast("string")
         for g in ("n", "f", "m"):
             names = F.array(*[F.lit(n) for n in GIVEN[script, g]])
-            pick = F.element_at(names, F.pmod(_byte(digest("given", words[0]), F.lit(0)), F.size(names)) + 1)
-            given = F.when(gender == g, pick).otherwise(given)
-        given = F.when((words[0] == F.upper(words[0])) & (F.length(words[0]) > 1), F.upper(given)).otherwise(given)
-        surname = _surname(last, digest("surname", last), script, gender)
+            first = F.when(gender == g, F.element_at(names, F.pmod(_byte(digest, F.lit(0)), F.size(names)) + 1)).otherwise(first)
+        second = _let(F.sha2(digest, 512), lambda d: _titled(_syllables(d, attempt + 1, script)))
+        return F.concat(first, F.when(attempt > 0, F.concat(F.lit("-"), second)).otherwise(F.lit("")))
+
+    return _cased(_let(_part_digest("given", word, key, attempt), drawn), word)
+
+
+def _name(entity: Column, key: str, attempt: Column, surname_attempt: Column) -> Column:
+    """The form of address stays; given name by gender and script, surname by script."""
+
+    def made(bare: Column, words: Column, gender: Column, script: str) -> Column:
+        prefix = F.substring(entity, F.lit(1), F.length(entity) - F.length(bare))
+        given = _given(words[0], key, attempt, script, gender)
+        surname = _surname(F.element_at(words, -1), key, surname_attempt, script, gender)
         return F.concat(prefix, F.when(F.size(words) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname)
 
-    return F.when(bare.rlike(r"^\p{IsCyrillic}"), whole("cyrillic")).otherwise(whole("latin"))
+    def whole(bare: Column) -> Column:
+        each = lambda script: _let(F.split(bare, _BLANK), lambda words: _let(_gender(entity), lambda gender: made(bare, words, gender, script)))
+        return F.when(bare.rlike(_CYRILLIC), each("cyrillic")).otherwise(each("latin"))
 
+    return _let(_bare_name(entity), whole)
 
-def surrogate_of(entity: Column, key: str, attempt: Column) -> Column:
-    """The replacement of one entity under a key; ``attempt`` is 0 unless there was a collision."""
-    kind = kind_of(entity)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, normal_form(entity, kind), attempt.cast("string")), 512)
-    made = [
-        ("email", _address(entity, digest)), ("secret", _coded(entity, digest, True)), ("ipv4", _octets(digest)),
-        ("ssn", _poured(entity, _made_digits(digest, F.lit(9)))), ("card", _card(entity, digest)),
-        ("phone", _phone(entity, digest)), ("iban", F.concat(F.substring(entity, 1, 2), _coded(F.substring(entity, F.lit(3), F.length(entity)), digest, False))),
-    ]
-    return reduce(lambda other, m: F.when(kind == m[0], m[1]).otherwise(other), reversed(made), _name(entity, key, attempt))
 
+def surrogate_of(entity: Column, key: str, attempt: Column, surname_attempt: Column | None = None) -> Column:
+    """The replacement of one entity under a key; attempts are 0 unless there was a collision."""
+    late = attempt - DRAWS
+    more = lambda digest, symbols: F.when(late > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(late, F.lit(1))), lambda i: _one_of(symbols, _byte(digest, 64 - i))), "")).otherwise(F.lit(""))
 
-def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 20) -> DataFrame | None:
-    """Attempt numbers (``kind, norm, attempt``) of entities whose first surrogate collided.
+    def made(kind: Column, digest: Column) -> Column:
+        by_kind = [
+            ("email", F.concat(more(digest, _LOWER), _address(entity, digest))), ("secret", _coded(entity, digest, True)),
+            ("ipv4", F.concat(_octets(digest), F.when(late > 0, F.lit(".")).otherwise(F.lit("")), more(digest, _DIGITS))),
+            ("ssn", F.concat(_poured(entity, _made_digits(digest, F.lit(9))), more(digest, _DIGITS))), ("card", _card(entity, digest)), ("phone", F.concat(_phone(entity, digest), more(digest, _DIGITS))),
+            ("iban", F.concat(F.substring(entity, 1, 2), _coded(F.substring(entity, F.lit(3), F.length(entity)), digest, False))),
+        ]
+        name = _name(entity, key, attempt, F.lit(0) if surname_attempt is None else surname_attempt)
+        return reduce(lambda other, m: F.when(kind == m[0], m[1]).otherwise(other), reversed(by_kind), name)
 
-    ``entities`` has a column ``entity``.  None if no surrogate is shared by two
-    normal forms of a kind or equals an entity of the corpus.
+    seed = lambda kind: F.sha2(F.concat_ws("|", F.lit(key), kind, normal_form(entity, kind), attempt.cast("string")), 512)
+    return _let(kind_of(entity), lambda kind: _let(seed(kind), lambda digest: made(kind, digest)))
+
+
+def _settled(forms: DataFrame, scope: list[str], make, taken, label: str, max_rounds: int) -> tuple[DataFrame, bool]:
+    """``forms`` (``scope``, ``form``, ...) with the ``attempt`` at which no made value is shared within the scope or taken.
+
+    ``make`` gives the made value of a row; ``taken`` the rows of a table with ``made`` whose values must not be used, or is None.
+    Of those that share a value the one of fewest attempts keeps it, so that settled ones stay.
     """
-    kind = kind_of(F.col("entity"))
-    forms = entities.select("entity", kind.alias("kind")).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
-    forms = stage(forms.groupBy("kind", "norm").agg(F.min("entity").alias("entity"), F.lit(0).alias("attempt")), "pii-forms")
-    real = forms.df.select(F.col("kind").alias("k2"), F.col("norm").alias("made_norm")).distinct()
-    state, changed = forms.df, False
+    state, changed = forms.withColumn("attempt", F.lit(0)), False
     for _ in range(max_rounds):
-        made = state.withColumn("made", surrogate_of(F.col("entity"), key, F.col("attempt")))
-        made = stage(made.withColumn("made_norm", normal_form(F.col("made"), F.col("kind"))), "pii-made")
-        shared = made.df.groupBy("kind", "made_norm").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        second = made.df.join(shared, ["kind", "made_norm"]).where("norm <> owner").select("kind", "norm")
-        taken = made.df.join(real, (F.col("kind") == F.col("k2")) & made.df["made_norm"].eqNullSafe(real["made_norm"]), "left_semi").select("kind", "norm")
-        again = stage(second.union(taken).distinct(), "pii-again")
-        if again.df.isEmpty():
-            return state.where("attempt > 0").select("kind", "norm", "attempt") if changed else None
+        made = stage(state.withColumn("made", make), f"pii-made-{label}").df
+        own = F.min(F.struct("attempt", "form"))["form"].alias("owner")
+        shared = made.groupBy(*scope, "made").agg(own, F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = made.join(shared, [*scope, "made"]).where("form <> owner").select(*scope, "form")
+        if taken is not None:
+            again = again.union(taken(made).select(*scope, "form"))
+        again = stage(again.distinct(), f"pii-again-{label}").df
+        if again.isEmpty():
+            return made.drop("made"), changed
         changed = True
-        state = made.df.join(again.df.withColumn("again", F.lit(1)), ["kind", "norm"], "left").select(
-            "kind", "norm", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")
-        )
+        state = made.drop("made").join(again.withColumn("again", F.lit(1)), [*scope, "form"], "left")
+        state = state.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
     raise RuntimeError(f"surrogates still collide after {max_rounds} draws")
 
 
+def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 60) -> DataFrame | None:
+    """Attempt numbers (``kind, norm, attempt, surname_attempt``) of entities whose first surrogate collided.
+
+    ``entities`` has a column ``entity``.  None if no surrogate is shared by two
+    normal forms of a kind or equals an entity of the corpus.
+    """
+    entity, attempt = F.col("entity"), F.col("attempt")
+    forms = entities.select("entity", kind_of(entity).alias("kind")).withColumn("norm", normal_form(entity, F.col("kind")))
+    forms = stage(forms.groupBy("kind", "norm").agg(F.min("entity").alias("entity")), "pii-forms").df
+
+    others = forms.where("kind <> 'name'").withColumnRenamed("norm", "form")
+    real = others.select("kind", F.col("form").alias("made"))
+    values, changed = _settled(others, ["kind"], _let(surrogate_of(entity, key, attempt), lambda e: normal_form(e, F.col("kind"))), lambda made: made.join(real, ["kind", "made"], "left_semi"), "values", max_rounds)
+
+    words = F.split(F.lower(_bare_name(entity)), _BLANK)
+    names = forms.where("kind = 'name'").select("norm", _bare_name(entity).rlike(_CYRILLIC).alias("cyrillic"), _gender(entity).alias("gender"), words.alias("words"))
+    names = names.select("norm", "cyrillic", "gender", F.element_at("words", -1).alias("last"), F.when(F.size("words") > 1, F.col("words")[0]).alias("given"))
+    names = stage(names, "pii-names").df
+    both = lambda make: F.when(F.col("cyrillic"), make("cyrillic")).otherwise(make("latin"))
+    lasts = names.select("cyrillic", F.col("last").alias("form")).distinct()
+
+    def in_use(made: DataFrame) -> DataFrame:
+        stem = F.col("made")
+        whole = F.when(F.col("cyrillic"), F.array(F.concat(stem, F.lit("ов")), F.concat(stem, F.lit("ова")))).otherwise(F.array(stem))
+        return made.withColumn("whole", F.explode(whole)).join(lasts.select(F.col("form").alias("whole")).distinct(), "whole", "left_semi")
+
+    surnames, new_surnames = _settled(lasts, ["cyrillic"], both(lambda script: _stem(F.col("form"), key, attempt, script)), in_use, "surnames", max_rounds)
+    # A made surname belongs to one surname and is none of the corpus: given names need only differ within it.
+    given = names.where("given IS NOT NULL").select("cyrillic", "last", "gender", "norm", F.col("given").alias("form"))
+    firsts, new_firsts = _settled(given, ["cyrillic", "last", "gender"], F.lower(both(lambda script: _given(F.col("form"), key, attempt, script, F.col("gender")))), None, "given", max_rounds)
+    if not (changed or new_surnames or new_firsts):
+        return None
+    tries = names.join(surnames.select("cyrillic", F.col("form").alias("last"), attempt.alias("surname_attempt")), ["cyrillic", "last"])
+    tries = tries.join(firsts.select("norm", "attempt"), "norm", "left").select(F.lit("name").alias("kind"), "norm", F.coalesce("attempt", F.lit(0)).alias("attempt"), "surname_attempt")
+    tries = tries.union(values.select("kind", "form", "attempt", F.lit(0)))
+    return stage(tries.where("attempt > 0 OR surname_attempt > 0"), "pii-attempts").df
+
+
 def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """Replace every entity in ``text_col`` by its surrogate; other columns stay.
 
@@ -300,19 +390,20 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     found = docs.select(F.explode(F.array_distinct(entities_of(text))).alias("entity")).distinct().where(is_entity(F.col("entity")))
     clashes = collision_attempts(found, key)
     if clashes is None:
-        tries = lambda e: F.lit(0)
+        made_of = lambda e: surrogate_of(e, key, F.lit(0))
         base = docs.withColumn("_entities", entities_of(text))
     else:
         # Attempt numbers travel to the documents that hold such entities, by a join on the id.
         spots = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(entities_of(text))).alias("entity"))
         spots = spots.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
         per_doc = (
-            spots.join(clashes, ["kind", "norm"]).select("_id", "entity", "attempt").distinct()
-            .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_tries"))
+            spots.join(clashes, ["kind", "norm"]).select("_id", "entity", F.struct("attempt", "surname_attempt").alias("tries")).distinct()
+            .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tries"))).alias("_tries"))
         )
         base = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("_entities", entities_of(text))
-        tries = lambda e: F.coalesce(F.element_at(F.col("_tries"), e), F.lit(0))
-    made = F.transform("_entities", lambda e: F.when(is_entity(e), surrogate_of(e, key, tries(e))).otherwise(e))
+        tries = lambda e, part: F.coalesce(F.element_at(F.col("_tries"), e)[part], F.lit(0))
+        made_of = lambda e: surrogate_of(e, key, tries(e, "attempt"), tries(e, "surname_attempt"))
+    made = F.transform("_entities", lambda e: F.when(is_entity(e), made_of(e)).otherwise(e))
     gaps = F.split(text, f"(?:{ANY})", -1)
     woven = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_entities")), made, lambda g, m: F.concat(g, m)), ""), F.element_at(gaps, -1))
     new_text = F.when(F.size("_entities") > 0, woven).otherwise(text)

@@ -79,3 +79,22 @@ def test_hint_covers_every_pattern(spark):
     assert made["DE89 3704 0044 0532 0130 00"].replace(" ", "") == made["DE89370400440532013000"]
     assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", made["DE89 3704 0044 0532 0130 00"])
     assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", made["GB29 NWBK 6016 1331 9268 19"])
+
+
+def test_surnames_stay_where_given_names_collide(spark):
+    """More given names than the list has, with one surname; the surname alone is the same."""
+    given = [f"{a}{b}" for a in ("Bo", "Ca", "Du", "Fi", "Go") for b in ("bo", "ca", "du", "fi", "go", "ha")]
+    texts = ["Mr. Smith", *[f"Mr. {g} Smith" for g in given], "г-н Петров", *[f"г-н {a}{b} Петров" for a in ("Ба", "Ва", "Га", "Да") for b in ("ба", "ва", "га")]]
+    out = [r.text for r in replace_pii(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), key="k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    for script, made in (("latin", out[:31]), ("cyrillic", out[31:])):
+        assert len({m.split()[-1] for m in made}) == 1
+        assert all(m.split()[1].split("-")[0] in pii.GIVEN[script, "m"] for m in made[1:])
+
+
+def test_formats_with_too_few_values(spark, monkeypatch):
+    """All 1000 numbers of a form are in use: each still gets one of its own, which is none of them."""
+    monkeypatch.setattr(pii, "DRAWS", 1, raising=False)
+    rows = [(k, f"+1 {k:03d}") for k in range(1000)]
+    out = {r.text for r in replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), key="k").collect()}
+    assert len(out) == 1000 and not out & {t for _, t in rows} and all(re.fullmatch(r"\+1 \d{4,}", t) for t in out)
