@@ -3,26 +3,28 @@
 Rules name a host and a path prefix; the longest that fits decides.  The URLs
 that rules allow and block are the training texts of two variable-order Markov
 models over characters.  Contexts of 0 to ``max_order`` characters are counted
-over all of them by a Spark aggregation; a context longer than one character is
-kept only where it was seen ``min_context`` times, and at most ``max_contexts``
-are kept by count, so what is broadcast is bounded.  A character's probability
-mixes the estimates of its kept contexts from short to long (Witten-Bell
-smoothing).  The score of a URL is the difference of the two log-likelihoods per
-character; the threshold is the one at which the two kinds of training URL are
-told apart with the fewest weighted errors.
+over all of them by a Spark aggregation, all counts are kept in written tables,
+and URLs are scored by joins to them, so that the models grow with the input and
+nothing of them is broadcast.  A character's probability mixes the estimates of
+its contexts from short to long (Witten-Bell smoothing).  The score of a URL is
+the difference of the two log-likelihoods per character; the threshold is the one
+at which all training URLs of the two kinds are told apart with the fewest
+weighted errors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from math import log
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdocket.llm.columns import add_columns
+from sparkdocket.plans.staging import stage
 
 #: (verdict, host, path prefix) of the production list.
 RULES = [
@@ -117,48 +119,95 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     ).agg(F.sum("copies").alias("c"))
 
 
-def fit_url_models(
-    labelled: DataFrame, *, max_order: int = 5, min_context: int = 4, max_contexts: int = 50_000, calibration_rows: int = 4000
-) -> UrlModel:
-    """Fit on rows ``url, kind`` (``allow`` or ``block``), all of which are counted.
+def _training(labelled: DataFrame) -> DataFrame:
+    return labelled.where("url IS NOT NULL AND url <> ''").groupBy("kind", "url").agg(F.count(F.lit(1)).alias("copies"))
 
-    Only the threshold is set on a bounded sample, the ``calibration_rows`` URLs
-    of smallest hash.  A kind without URLs gets the uniform model.
+
+def fit_url_models(labelled: DataFrame, *, max_order: int = 5, min_context: int = 1) -> UrlModel:
+    """Fit on rows ``url, kind`` (``allow`` or ``block``), for a training table whose counts fit in memory.
+
+    All rows are counted and set the threshold.  A kind without URLs gets the uniform model.
     """
-    urls = labelled.where("url IS NOT NULL AND url <> ''").groupBy("kind", "url").agg(F.count(F.lit(1)).alias("copies"))
-    grams = _grams(urls, max_order)
-    ranked = (
-        grams.groupBy("kind", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        .where((F.length("context") <= 1) | (F.col("total") >= min_context))
-        .orderBy(F.length("context") > 1, F.desc("total"), "kind", "context").limit(2 * max_contexts)
-    )
+    urls = _training(labelled)
+    grams = stage(_grams(urls, max_order), "url-grams").df
+    totals = grams.groupBy("kind", "context").agg(F.sum("c").alias("total")).where((F.length("context") <= 1) | (F.col("total") >= min_context))
     models = {k: MarkovModel(max_order, 256) for k in ("allow", "block")}
-    kept = grams.join(F.broadcast(ranked.select("kind", "context")), ["kind", "context"])
-    for r in kept.toLocalIterator():
+    for r in grams.join(totals.select("kind", "context"), ["kind", "context"]).toLocalIterator():
         m = models[r["kind"]]
         m.followers.setdefault(r["context"], {})[r["char"]] = r["c"]
         m.totals[r["context"]] = m.totals.get(r["context"], 0) + r["c"]
     model = UrlModel(models["allow"], models["block"])
-    sample = urls.orderBy(F.xxhash64("url"), "url").limit(calibration_rows).collect()
-    scored = sorted((model.ratio(r["url"]), r["kind"] == "allow") for r in sample)
-    good = sum(a for _, a in scored)
-    bad = len(scored) - good
-    if good and bad:
-        # Errors weighted so that both kinds count the same; blocked are those below the threshold.
-        cost = best = 1.0
-        model.threshold = scored[0][0]
-        for k, (x, is_good) in enumerate(scored):
-            cost += 1 / good if is_good else -1 / bad
-            following = scored[k + 1][0] if k + 1 < len(scored) else x + 1e-9
-            if cost < best - 1e-12 and following > x:
-                best, model.threshold = cost, (x + following) / 2
+    scored = [(model.ratio(r["url"]), r["kind"] == "allow") for r in urls.toLocalIterator()]
+    model.threshold = best_threshold(labelled.sparkSession.createDataFrame(scored, "score double, good boolean"))
     for m in models.values():
         m.memo = {}
     return model
 
 
+def best_threshold(scored: DataFrame) -> float:
+    """The threshold on ``score`` below which the rows not ``good`` lie, with the fewest errors; both kinds count the same.
+
+    Exact: running counts within ranges of scores, after the totals of the ranges below.
+    """
+    per = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    per = stage(per.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "url-ranges").df
+    parts = per.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("score").alias("low")).orderBy("part").collect()
+    good, bad = sum(r["good"] for r in parts), sum(r["bad"] for r in parts)
+    if not (good and bad):
+        return 0.0
+    below, seen_good, seen_bad = [], 0, 0
+    for k, r in enumerate(parts):
+        below.append((r["part"], seen_good, seen_bad, parts[k + 1]["low"] if k + 1 < len(parts) else None))
+        seen_good, seen_bad = seen_good + r["good"], seen_bad + r["bad"]
+    offsets = scored.sparkSession.createDataFrame(below, "part int, good0 long, bad0 long, next_low double")
+    w = Window.partitionBy("part").orderBy("score")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    cost = 1 + (F.col("good0") + F.sum("good").over(run)) / good - (F.col("bad0") + F.sum("bad").over(run)) / bad
+    following = F.coalesce(F.lead("score").over(w), "next_low")
+    costs = per.join(F.broadcast(offsets), "part").select(F.round(cost, 12).alias("cost"), "score", following.alias("following"))
+    best = costs.where("following IS NOT NULL").agg(F.min(F.struct("cost", "score", "following")).alias("b")).first()["b"]
+    return (best["score"] + best["following"]) / 2 if best is not None and best["cost"] < 1 else parts[0]["low"]
+
+
+def _scored_urls(pages: DataFrame, max_order: int, min_context: int) -> DataFrame:
+    """``url, kind, score`` of each distinct URL of rows ``url, kind`` (null where no rule decides)."""
+    grams = _grams(_training(pages.where("kind IS NOT NULL")), max_order)
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c_{k}")
+    grams = stage(grams.groupBy("context", "char").agg(of("allow"), of("block")), "url-grams").df
+    sums = [x for k in ("allow", "block") for x in (F.sum(f"c_{k}").alias(f"t_{k}"), F.count_if(F.col(f"c_{k}") > 0).alias(f"u_{k}"))]
+    totals = grams.groupBy("context").agg(*sums)
+
+    urls = pages.where("url IS NOT NULL AND url <> ''").select("url", "kind").distinct()
+    urls = stage(urls.withColumn("id", F.monotonically_increasing_id()), "url-texts").df
+    padded = F.concat(F.lit(_START), F.col("url"), F.lit(_END))
+    at = F.col("at")
+    spots = urls.select("id", padded.alias("padded"), F.explode(F.sequence(F.lit(2), F.length(padded))).alias("at"))
+    before = F.least(F.lit(max_order), at - 1)
+    spots = spots.select("id", F.substring("padded", at - before, before).alias("context"), F.substring("padded", at, F.lit(1)).alias("char"))
+    # Distinct pairs of all orders: a context has as many as there are characters at most, so no key is hot.
+    pairs = spots.select("context", "char").distinct().select("char", F.col("context").alias("whole"), F.explode(F.sequence(F.lit(0), F.length("context"))).alias("n"))
+    pairs = pairs.select("n", F.substring("whole", F.length("whole") - F.col("n") + 1, F.col("n")).alias("context"), "char").distinct()
+    pairs = stage(pairs.join(totals, "context", "left").join(grams, ["context", "char"], "left"), "url-pairs").df
+
+    def mixed(k: str, shorter: Column) -> Column:
+        t, u, c = F.col(f"t_{k}"), F.col(f"u_{k}"), F.coalesce(f"c_{k}", F.lit(0))
+        known = (t > 0) & ((F.col("n") <= 1) | (t >= min_context))
+        return F.when(known, (c + u * shorter) / (t + u)).otherwise(shorter).alias(f"p_{k}")
+
+    levels = [stage(pairs.where("n = 0").select("context", "char", *[mixed(k, F.lit(1.0 / 256)) for k in ("allow", "block")]), "url-level").df]
+    for n in range(1, max_order + 1):
+        shorter = levels[-1].select(F.col("context").alias("suffix"), "char", F.col("p_allow").alias("s_allow"), F.col("p_block").alias("s_block"))
+        longer = pairs.where(F.col("n") == n).withColumn("suffix", F.substring("context", 2, max_order))
+        longer = longer.join(shorter, ["suffix", "char"]).select("context", "char", *[mixed(k, F.col(f"s_{k}")) for k in ("allow", "block")])
+        levels.append(stage(longer, "url-level").df)
+    ratios = reduce(DataFrame.unionByName, levels).select("context", "char", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+    scores = spots.join(ratios, ["context", "char"]).groupBy("id").agg(F.sum("ratio").alias("total"))
+    return stage(urls.join(scores, "id").select("url", "kind", (F.col("total") / (F.length("url") + 1)).alias("score")), "url-scores").df
+
+
 def judge_urls(
-    pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, model: UrlModel | None = None, **fit_options
+    pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, model: UrlModel | None = None,
+    max_order: int = 5, min_context: int = 1,
 ) -> DataFrame:
     """Add ``host, path, rule, verdict string, lm_score double`` to every row.
 
@@ -172,7 +221,11 @@ def judge_urls(
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "verdict": verdict})
     if model is None:
-        model = fit_url_models(ruled.where("verdict IS NOT NULL").select(url.alias("url"), F.col("verdict").alias("kind")), **fit_options)
+        scores = _scored_urls(ruled.select(url.alias("url"), F.col("verdict").alias("kind")), max_order, min_context)
+        threshold = best_threshold(scores.where("kind IS NOT NULL").select("score", (F.col("kind") == "allow").alias("good")))
+        scores = scores.select(F.col("url").alias("_url"), F.col("score").alias("lm_score"))
+        scored = ruled.drop("lm_score").join(scores, url == F.col("_url"), "left").drop("_url").withColumn("lm_score", F.coalesce("lm_score", F.lit(0.0)))
+        return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("lm_score") >= threshold, "allow").otherwise("block")))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

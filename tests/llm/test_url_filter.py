@@ -35,3 +35,16 @@ def test_model_is_a_distribution_and_tells_apart(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+def test_all_contexts_count_in_joins_as_in_memory(spark):
+    """Contexts seen once count; scores by joins and the threshold are those of the model in memory."""
+    rows = [(k, f"http://{'a.org' if k % 2 else 'b.com/de'}/{k * 7919 % 1000:03d}/x") for k in range(200)] + [(k, f"http://é{k}.net/{k * 31}") for k in range(200, 230)] + [(300, None), (301, ""), (302, "http://a.org/7/x")]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    out = judge_urls(df).collect()
+    labelled = [(r.url, r.verdict) for r in out if r.rule is not None]
+    model = fit_url_models(spark.createDataFrame(labelled, "url string, kind string"))
+    assert len(out) == len(rows) and all(abs(r.lm_score - model.ratio(r.url)) < 1e-9 for r in out)
+    assert all(r.verdict == ("allow" if model.ratio(r.url) >= model.threshold else "block") for r in out if r.rule is None)
+    assert model.allow.totals["919/x"] == 1
+    assert len(fit_url_models(spark.createDataFrame([(u, k) for u, k in labelled], "url string, kind string"), max_order=3).allow.totals) < len(model.allow.totals)
