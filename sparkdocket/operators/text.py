@@ -85,13 +85,14 @@ def classify_file(path: Column, mime: Column, head: Column, message_class: Colum
     return F.struct(category.alias("category"), method.alias("method"))
 
 
-def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 120, most: int = 48) -> DataFrame:
-    """Overlapping chunks by characters: ``id, ordinal, start, end, chunk, dropped`` (chunks beyond ``most``)."""
+def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 120, most: int | None = None) -> DataFrame:
+    """Overlapping chunks by characters: ``id, ordinal, start, end, chunk, dropped`` (chunks beyond ``most``; None: no limit)."""
     n, step = F.length(text_col), size - overlap
     count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / step))).cast("int")
     base = df.where(F.col(text_col).isNotNull() & (n > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), count.alias("chunks"))
-    rows = base.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("chunks"), F.lit(most)) - 1)).alias("ordinal")).withColumn("start", F.col("ordinal") * step)
-    return rows.select("id", "ordinal", "start", F.least(F.col("start") + size, F.length("t")).alias("end"), F.substring("t", F.col("start") + 1, F.lit(size)).alias("chunk"), F.greatest(F.col("chunks") - most, F.lit(0)).alias("dropped"))
+    kept = F.col("chunks") if most is None else F.least(F.col("chunks"), F.lit(most))
+    rows = base.select("*", F.explode(F.sequence(F.lit(0), kept - 1)).alias("ordinal")).withColumn("start", F.col("ordinal") * step)
+    return rows.select("id", "ordinal", "start", F.least(F.col("start") + size, F.length("t")).alias("end"), F.substring("t", F.col("start") + 1, F.lit(size)).alias("chunk"), (F.col("chunks") - kept).alias("dropped"))
 
 
 def tokens(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:

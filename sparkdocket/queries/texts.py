@@ -38,10 +38,16 @@ def html_strip(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    c = t.chunk_text(_d(spark, sf_dir), "doc_id", "text")
+    """The reference's limit of 48 chunks a document, as the query's SQL has it; ``chunk_documents_whole`` has none."""
+    c = t.chunk_text(_d(spark, sf_dir), "doc_id", "text", most=48)
     return c.select(F.col("id").alias("doc_id"), "ordinal", "start", "end", F.md5("chunk").alias("chunk_md5"), "dropped")
 
 
+def chunk_documents_whole(spark, sf_dir):
+    c = t.chunk_text(_d(spark, sf_dir), "doc_id", "text")
+    return c.select(F.col("id").alias("doc_id"), "ordinal", "start", "end", F.md5("chunk").alias("chunk_md5"))
+
+
 def tfidf_by_source(spark, sf_dir):
     """Term weights with each source as one document."""
     return t.tf_idf(t.tokens(_d(spark, sf_dir), ["source"], "text"), "source").select("source", "term", F.round("weight", 6).alias("weight"))
@@ -127,7 +133,7 @@ _MERGED = """x AS (SELECT DISTINCT l_orderkey AS key, l_linenumber * 20 + CAST(l
   z AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM y),
   m AS (SELECT key, min(s) AS s, max(e) AS e FROM z GROUP BY key, island)"""
 QUERIES = {
-    "entity_hits": entity_hits, "entity_counts": entity_counts, "entity_flags": entity_flags, "classify_pages": classify_pages, "html_strip": html_strip, "chunk_documents": chunk_documents,
+    "entity_hits": entity_hits, "entity_counts": entity_counts, "entity_flags": entity_flags, "classify_pages": classify_pages, "html_strip": html_strip, "chunk_documents": chunk_documents, "chunk_documents_whole": chunk_documents_whole,
     "tfidf_by_source": tfidf_by_source, "cluster_labels": cluster_labels, "bm25_search": bm25_search, "semantic_scores": semantic_scores, "semantic_prefiltered": semantic_prefiltered,
     "sentiment_aggregate": sentiment_aggregate, "redact_merge": redact_merge, "redact_text": redact_text, "citation_verify": citation_verify, "dat_encode": dat_encode, "bytes_labels": bytes_labels, "near_dup_minhash": near_dup_minhash,
 }
@@ -142,6 +148,9 @@ ORACLE = {
     "chunk_documents": """WITH b AS (SELECT doc_id, text, CAST(greatest(1, ceil((length(text) - 120) / 680.0)) AS INT) AS chunks FROM documents WHERE length(text) > 0),
         r AS (SELECT *, unnest(range(0, least(chunks, 48))) AS ordinal FROM b)
         SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(ordinal * 680 AS INT) AS start, CAST(least(ordinal * 680 + 800, length(text)) AS INT) AS end, md5(substr(text, ordinal * 680 + 1, 800)) AS chunk_md5, greatest(chunks - 48, 0) AS dropped FROM r""",
+    "chunk_documents_whole": """WITH b AS (SELECT doc_id, text, CAST(greatest(1, ceil((length(text) - 120) / 680.0)) AS INT) AS chunks FROM documents WHERE length(text) > 0),
+        r AS (SELECT *, unnest(range(0, chunks)) AS ordinal FROM b)
+        SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(ordinal * 680 AS INT) AS start, CAST(least(ordinal * 680 + 800, length(text)) AS INT) AS end, md5(substr(text, ordinal * 680 + 1, 800)) AS chunk_md5 FROM r""",
     "tfidf_by_source": f"""WITH t AS (SELECT source, unnest({_TOK}) AS term FROM documents), f AS (SELECT source, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(DISTINCT source) AS n FROM t),
         d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), w AS (SELECT source, term, (1 + ln(tf)) * ln(1 + n / (1 + df)) AS w FROM f JOIN d USING (term), n WHERE df >= 2 AND df <= greatest(1, floor(0.9 * n))),
         s AS (SELECT source, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT source, term, round(w / norm, 6) AS weight FROM w JOIN s USING (source)""",

@@ -99,3 +99,12 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id long, k string")
     assert gap.match_cascade(none, none, ["k"]).count() == 0
     assert text.merge_ranges(spark.createDataFrame([(1, 5, 5), (1, 3, 4), (1, 4, 6), (1, 8, 9)], "key int, start int, end int"), "key").count() == 2
+
+
+def test_chunks_reach_the_end_of_a_long_text(spark):
+    from sparkdocket.operators.text import chunk_text
+
+    df = spark.createDataFrame([(1, "ab" * 50_000)], "id int, text string")
+    got = chunk_text(df, "id", "text").orderBy("ordinal").collect()
+    assert len(got) == 147 and got[-1].end == 100_000 and {r.dropped for r in got} == {0}
+    assert {r.dropped for r in chunk_text(df, "id", "text", most=48).collect()} == {99}
