@@ -2,28 +2,36 @@
 
 The alphabet is words, not characters.  Every benchmark item gives windows of
 ``window`` consecutive words; an item with fewer words is one window.  Windows
-of one length share a table: a block of two words maps to the distance by which
-the search may move on (``shift``); a block at distance 0 leads to the bucket of
-windows that end in it, and the words themselves are then compared.
+of one length share two tables.  The shift table has, for the hash of a block of
+two words, the least distance by which the search may move on (colliding blocks
+share the smaller).  A block at distance 0 leads to the bucket of windows with
+that hash at their end, and the words themselves are then compared.
 
-The window table is broadcast in blocks of at most ``block_words`` words, so its
-size is bounded whatever the benchmark's; each further block is one more narrow
-pass over the documents.  No pass shuffles.
+The tables are numpy arrays, made for at most ``block_words`` benchmark words at a
+time and checked against ``table_bytes`` before they are broadcast.  The benchmark
+passes through the driver one block at a time.  One block is a narrow pass over
+the documents; of more blocks each is a pass of its own, whose broadcast is freed
+before the next, and their few hits meet in a grouping by row number.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdocket.llm.columns import add_columns, texts_as_bytes
+from sparkdocket.plans.staging import stage
 
 #: Words of lower-cased UTF-8: any byte that is not ASCII punctuation, space or control.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -31,64 +39,115 @@ def words_of(text: bytes | None) -> list[bytes]:
     return _WORD.findall(text.lower()) if text else []
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for words met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _block_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the blocks of ``size`` (1 or 2) words that end at each word but the first size - 1."""
+    with np.errstate(over="ignore"):
+        out = h if size == 1 else h[1:] + h[:-1] * _MIX
+        out = (out ^ (out >> np.uint64(31))) * _MIX
+        return out ^ (out >> np.uint64(29))
+
+
+class _Windows:
+    """Shift table and suffix buckets of the windows of one length."""
+
+    def __init__(self, n: int, starts: np.ndarray, owners: np.ndarray, hashes: np.ndarray):
+        self.n, self.block = n, min(2, n)
+        self.bits = max(10, min(22, int(np.ceil(np.log2(8 * len(starts) * (n - self.block + 1))))))
+        self.shift = np.full(1 << self.bits, n - self.block + 1, np.uint8 if n < 250 else np.int32)
+        blocks = _block_hashes(hashes, self.block) if len(hashes) >= self.block else np.zeros(0, np.uint64)
+        for back in range(n - self.block, -1, -1):  # the last writes are the smallest
+            self.shift[self.slots(blocks[starts + n - self.block - back])] = back
+        last = blocks[starts + n - self.block]
+        order = np.argsort(last, kind="stable")
+        self.ends, self.starts, self.owners = last[order], starts[order].astype(np.int32), owners[order].astype(np.int32)
+
+    def slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.shift, self.ends, self.starts, self.owners))
+
+
 class WindowTable:
-    """Shift tables and suffix buckets for the windows of some items."""
+    """The windows of some items, to be searched for in documents."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, words in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                by_length.setdefault(n, {}).setdefault(tuple(ids[at : at + n]), set()).add(item)
-        base = self.base = len(self.vocab) + 1
-        self.classes = []
-        for n, windows in sorted(by_length.items()):
-            block = min(2, n)
-            shift: dict[int, int] = {}
-            buckets: dict[int, list[tuple[list[int], tuple[str, ...]]]] = {}
-            for win, owners in windows.items():
-                for end in range(block, n + 1):
-                    key = win[end - 1] + (base * win[end - 2] if block == 2 else 0)
-                    shift[key] = min(shift.get(key, n), n - end)
-                buckets.setdefault(key, []).append((list(win), tuple(sorted(owners))))
-            self.classes.append((n, block, shift, buckets))
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        self.items = [i for i, _ in items]
+        every = [w for _, words in items for w in words]
+        self.text = b" ".join(every)
+        sizes = np.fromiter(map(len, every), np.int64, len(every))
+        self.at = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in every), np.uint64, len(every))
+        counts = np.array([len(words) for _, words in items], np.int64)
+        begins = np.cumsum(counts) - counts
+        by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, (begin, count) in enumerate(zip(begins.tolist(), counts.tolist(), strict=True)):
+            if count:
+                n = min(window, count)
+                starts = np.arange(begin, begin + count - n + 1)
+                by_length.setdefault(n, []).append((starts, np.full(len(starts), k)))
+        self.classes = [_Windows(n, np.concatenate([s for s, _ in got]), np.concatenate([o for _, o in got]), hashes) for n, got in sorted(by_length.items())]
+
+    def nbytes(self) -> int:
+        return len(self.text) + self.at.nbytes + sum(c.nbytes() for c in self.classes)
+
+    def search(self, words: list[bytes], known: dict | None = None) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word ranges [start, end) that lie in occurrences, and the items that occur."""
-        get = self.vocab.get
-        ids = [get(w, 0) for w in words]
-        found: set[str] = set()
+        found: set[int] = set()
         ranges: list[tuple[int, int]] = []
-        size, base = len(ids), self.base
-        for n, block, shift, buckets in self.classes:
-            far, last = n - block + 1, n - 1
-            move = shift.get
+        known = WordHashes() if known is None else known
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for c in self.classes:
+            n, last, size = c.n, c.n - 1, len(words)
+            if size < n:
+                continue
+            blocks = _block_hashes(hashes, c.block)
+            shifts, lag = c.shift[c.slots(blocks)].tolist(), c.block - 1
             while last < size:
-                key = ids[last] + (base * ids[last - 1] if block == 2 else 0)
-                step = move(key, far)
+                step = shifts[last - lag]
                 if step:
                     last += step
                     continue
+                end = blocks[last - lag]
                 first = last - n + 1
-                for win, owners in buckets[key]:
-                    if ids[first] == win[0] and ids[first : last + 1] == win:
-                        found.update(owners)
+                here = None
+                for w in range(int(np.searchsorted(c.ends, end)), len(c.ends)):
+                    if c.ends[w] != end:
+                        break
+                    here = b" ".join(words[first : last + 1]) if here is None else here
+                    begin = self.at[c.starts[w]]
+                    if self.text[begin : self.at[c.starts[w] + n] - 1] == here:
+                        found.add(int(c.owners[w]))
                         ranges.append((first, last + 1))
                 last += 1
-        ranges.sort()
-        merged: list[tuple[int, int]] = []
-        for a, b in ranges:
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, found
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """Items in blocks of bounded size, streamed to the driver one partition at a time."""
+        return _merge(ranges), {self.items[k] for k in found}
+
+
+def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in blocks of bounded size, streamed to the driver one partition at a time.
+
+    An item of more words than a block holds is a block of its own.
+    """
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     block: list[tuple[str, list[bytes]]] = []
     size = 0
@@ -104,6 +163,35 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
         yield block
 
 
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_FIELDS = [
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(_SPAN)),
+]
+
+
+def _searcher(table, text_col: str):
+    """What a pass computes for a batch of texts."""
+    arrow_span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        known = WordHashes()
+        n_words, n_hit, items, spans = [], [], [], []
+        for text in texts_as_bytes(batch, text_col):
+            words = words_of(text)
+            ranges, found = table.value.search(words, known) if words else ([], set())
+            n_words.append(len(words))
+            n_hit.append(sum(b - a for a, b in ranges))
+            items.append(sorted(found))
+            spans.append([{"start": a, "end": b} for a, b in ranges])
+        return [
+            pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+            pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(arrow_span)),
+        ]
+
+    return compute
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -112,7 +200,8 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_words: int = 1_000_000,
+    block_words: int = 500_000,
+    table_bytes: int = 64 << 20,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``n_words long, n_hit long, item_ids array<string>, spans array<struct<start,end>>``.
@@ -122,61 +211,75 @@ def find_contamination(
     id are ignored; rows that repeat an item id pool their windows.  Repeated
     documents are judged each for itself; a clashing input column is replaced.
     ``keep`` names the input columns to return (all where None).
+
+    A block whose tables exceed ``table_bytes`` is halved until they do not; a
+    single item that exceeds them alone is refused.
     """
     spark: SparkSession = docs.sparkSession
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(span)),
-    ]
-    arrow_span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-
-    def compute_with(table, first: bool):
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            before = None if first else (batch.column("item_ids").to_pylist(), batch.column("spans").to_pylist())
-            n_words, n_hit, items, spans = [], [], [], []
-            for k, text in enumerate(texts_as_bytes(batch, text_col)):
-                words = words_of(text)
-                ranges, found = table.value.search(words) if words else ([], set())
-                if before is not None:
-                    found |= set(before[0][k])
-                    ranges = _merge(ranges + [(s["start"], s["end"]) for s in before[1][k]])
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in ranges))
-                items.append(sorted(found))
-                spans.append([{"start": a, "end": b} for a, b in ranges])
-            return [
-                pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(arrow_span)),
-            ]
-
-        return compute
-
-    out, first = docs, True
-    last_keep = None if keep is None else [*keep, text_col]
-    for block in [*_blocks(benchmark, item_col, item_text_col, block_words)] or [[]]:
-        table = spark.sparkContext.broadcast(WindowTable(block, window))
-        out = add_columns(out, fields, compute_with(table, first), keep=last_keep)
-        first = False
-    return out if keep is None else out.select(*[c for c in keep if c not in {f.name for f in fields}], *[f.name for f in fields])
+    new = {f.name for f in _FIELDS}
+    through = [c for c in docs.columns if c.lower() not in new and (keep is None or c in keep)]
 
+    def tables() -> Iterator[WindowTable]:
+        for block in _blocks(benchmark, item_col, item_text_col, block_words):
+            waiting = [block]
+            while waiting:
+                part = waiting.pop(0)
+                table = WindowTable(part, window)
+                if table.nbytes() <= table_bytes:
+                    yield table
+                elif len(part) == 1:
+                    raise ValueError(f"benchmark item {part[0][0]!r} needs {table.nbytes()} bytes of tables; raise table_bytes")
+                else:
+                    waiting = [part[: len(part) // 2], part[len(part) // 2 :], *waiting]
 
-def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+    made = tables()
+    first, second = next(made, None) or WindowTable([], window), next(made, None)
+    if second is None:
+        only = spark.sparkContext.broadcast(first)
+        return add_columns(docs, _FIELDS, _searcher(only, text_col), keep=through)
+    slim = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(through)], F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    numbered = stage(slim, "leak-docs").df
+    passes: list[DataFrame] = []
+    words = None
+    while first is not None:
+        shared = spark.sparkContext.broadcast(first)
+        hits = add_columns(numbered.select("_row", "_text"), _FIELDS, _searcher(shared, "_text"), keep=["_row"])
+        if words is None:  # the first pass counts the words of all rows
+            words = stage(hits, "leak-pass").df
+            passes.append(words.where("n_hit > 0"))
         else:
-            out.append((a, b))
-    return out
+            passes.append(stage(hits.where("n_hit > 0"), "leak-pass").df)
+        shared.unpersist()
+        first, second = second, next(made, None)
+    rest = passes[0].select("_row", "item_ids", "spans")
+    for p in passes[1:]:
+        rest = rest.union(p.select("_row", "item_ids", "spans"))
+    # As many rows per document as there are blocks, at most.
+    flat = rest.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    start = F.array().cast("array<struct<start:int,end:int>>")
+
+    def joined(done, x):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        overlap = (F.size(done) > 0) & (x["start"] <= F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)))
+        return F.when(overlap, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    merged = flat.select("_row", "item_ids", F.aggregate("all", start, joined).alias("spans"))
+    merged = merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"])))
+    none = F.array().cast("array<string>")
+    out = numbered.join(words.select("_row", "n_words"), "_row").join(merged, "_row", "left")
+    own = [F.col(f"own_{k}").alias(c) for k, c in enumerate(through)]
+    return out.select(*own, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", start).alias("spans"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents in which no benchmark window occurs, with their own columns only."""
-    judged = find_contamination(docs.withColumn("_own", F.struct(*docs.columns)), benchmark, keep=["_own"], **options)
-    return judged.where("n_hit = 0").select("_own.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """Documents in which no benchmark window occurs, with their own columns only.
+
+    The text goes to Python once and comes back with the document's other columns.
+    """
+    own = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)]
+    judged = find_contamination(docs.select(*own), benchmark, text_col=f"_{docs.columns.index(text_col)}", **options)
+    return judged.where("n_hit = 0").select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

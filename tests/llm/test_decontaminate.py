@@ -1,7 +1,9 @@
 import random
 import re
 
-from sparkdocket.llm.decontaminate import drop_contaminated, find_contamination
+import pytest
+
+from sparkdocket.llm.decontaminate import WindowTable, drop_contaminated, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -32,10 +34,10 @@ def test_against_brute_force(spark):
     items = [(k, text(rng.choice([1, 2, 3, 9, 10, 11, 25]))) for k in range(12)] + [(None, "alpha alpha"), (40, None), (41, ""), (0, text(14))]
     docs = [(k, text(rng.choice([0, 1, 5, 40, 400]))) for k in range(60)] + [(60, None), (61, ""), (61, "..."), (62, items[6][1] * 30), (62, items[6][1] * 30)]
     # n_words is a clashing column: it is replaced.
-    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id int, text string, n_words string")
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id int, text string, n_words string, _row int")
     b = spark.createDataFrame(items, "item_id int, text string")
     for block_words in (1_000_000, 20):  # one block, and many passes
-        got = find_contamination(d, b, block_words=block_words, keep=["doc_id"]).collect()
+        got = find_contamination(d, b, block_words=block_words, keep=["doc_id", "_row"]).collect()
         want = sorted((i, *brute(t, items)) for i, t in docs)
         assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got) == want
         assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in got)
@@ -49,3 +51,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id int, text string")
     assert [(r.n_words, r.n_hit, list(r.item_ids)) for r in find_contamination(d, none).collect()] == [(3, 0, [])]
     assert find_contamination(d.limit(0), none).count() == 0
+
+
+def test_tables_are_small_and_checked(spark):
+    """Random words, the worst case: some 30 bytes a word, and no broadcast above the limit."""
+    rng = random.Random(1)
+    words = [b"%x" % rng.getrandbits(40) for _ in range(100_000)]
+    table = WindowTable([("a", words)], 10)
+    assert table.nbytes() < 12 << 20
+    assert table.search(words[500:515]) == ([(0, 15)], {"a"}) and table.search(words[500:509]) == ([], set())
+    d = spark.createDataFrame([(1, " ".join(str(k) for k in range(40))), (2, "x")], "doc_id int, text string")
+    items = [(k, " ".join(str(x) for x in range(3 * k, 3 * k + 12))) for k in range(8)]
+    got = find_contamination(d, spark.createDataFrame(items, "item_id int, text string"), table_bytes=3000, keep=["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got) == [(1, *brute(" ".join(str(k) for k in range(40)), items)), (2, 1, 0, [])]
+    with pytest.raises(ValueError):
+        find_contamination(d, spark.createDataFrame(items, "item_id int, text string"), table_bytes=500)
