@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdocket.plans.staging import stage
+from sparkdocket.plans.staging import Scratch, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,12 +38,15 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scratch: Scratch | None = None) -> DataFrame:
     """Label each vertex that has an edge with the smallest vertex it reaches.
 
     Null ends and self loops are ignored; repeated edges count once.  Returns
-    ``vertex, component``; an empty edge list gives an empty table.
+    ``vertex, component``; an empty edge list gives an empty table.  Rounds go on
+    until nothing changes (a logarithm of the number of edges).  The table that the
+    result reads belongs to ``scratch``, where given.
     """
+    scratch = Scratch() if scratch is None else scratch
     kind = edges.schema[src].dataType
     current = stage(
         edges.select(F.col(src).cast(kind).alias("u"), F.col(dst).cast(kind).alias("v"))
@@ -52,17 +55,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "cc",
     )
     before = _mark(current.df)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         following = stage(_small_star(_large_star(current.df)), "cc")
         current.drop()
         current, after = following, _mark(following.df)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    scratch.tables.append(current)
     stars = current.df
     roots = stars.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)

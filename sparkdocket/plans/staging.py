@@ -1,7 +1,8 @@
 """Written tables that cut lineage, kept where every executor can read them.
 
-The folder is the cluster's ``spark.checkpoint.dir``.  Only where that is unset
-(unit tests on one machine) a temporary folder stands in for it.
+The folder is the cluster's ``spark.checkpoint.dir``.  On one machine (a local
+master) a temporary folder stands in for it where it is unset; on a cluster that
+would be a folder of the driver alone, so there it must be set.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sparkdocket-")
@@ -48,3 +52,19 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> Staged:
     # Small row groups: a writer buffers one per open file.
     df.write.option("compression", codec).option("parquet.block.size", 32 << 20).parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
+
+
+class Scratch:
+    """Tables that a computation stages on its way; ``clear`` deletes them once its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[Staged] = []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(stage(df, label))
+        return self.tables[-1].df
+
+    def clear(self) -> None:
+        for table in self.tables:
+            table.drop()
+        self.tables = []
