@@ -34,14 +34,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdocket.llm.columns import small_batches
 from sparkdocket.operators.graph import connected_components
-from sparkdocket.plans.staging import stage
+from sparkdocket.plans.staging import Scratch
+from sparkdocket.plans.staging import stage as staged
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,15 +132,15 @@ COUNTED = 0.35
 _CUT = int(_SPACE * COUNTED)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows ``rid, id, n, digest, sh``: a row number, the set's size, its digest and packed hashes.
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """Rows ``rid, id, mark, n, digest, sh`` of rows ``rid, id, mark, text``: the set's size, its digest and packed hashes.
 
     ``sh`` is null where the task has met the set before.
     """
-    kind = docs.schema[id_col].dataType
+    kind = docs.schema["id"].dataType
     schema = T.StructType(
         [
-            T.StructField("rid", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()),
+            T.StructField("rid", T.LongType()), T.StructField("id", kind), T.StructField("mark", T.BinaryType()), T.StructField("n", T.LongType()),
             T.StructField("digest", T.BinaryType()), T.StructField("sh", T.BinaryType()),
         ]
     )
@@ -147,7 +148,6 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = _WordHashes()
         met: set[bytes] = set()
-        rid = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             sizes, digests, packed = [], [], []
@@ -163,11 +163,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     known.clear()
                 if len(met) > 200_000:
                     met.clear()
-            rids = pa.array(np.arange(rid, rid + len(texts)))
-            rid += len(texts)
-            yield pa.RecordBatch.from_arrays([rids, b.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
@@ -253,9 +251,10 @@ def _has_bit(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def _bodies(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bodies(sets: DataFrame, wanted: DataFrame, sent: list[Broadcast]) -> DataFrame:
     """``rid, sh`` of the wanted ``rid`` values; a bit filter keeps most others out of the shuffle."""
     table = sets.sparkSession.sparkContext.broadcast(_bit_filter(wanted, "rid"))
+    sent.append(table)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = table.value
@@ -292,23 +291,36 @@ def jaccard_components(
     ``block_rows`` the block size of clusters, and ``ordered_shingles`` how many of
     the most frequent shingles are ordered among each other (a broadcast table).
     """
-    # All Python work runs in jobs inside; the plan that is returned only joins their results.
+    parts = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("mark")), k, percent, extra, short_list, block_rows, ordered_shingles)
+    return parts.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, k: int, percent: int, extra: int = 4, short_list: int = 24, block_rows: int = 400, ordered_shingles: int = 1 << 18) -> DataFrame:
+    """``id, mark, n, root, component_id`` of rows ``id, text, mark``; the root is a number of the component.
+
+    All Python work runs in jobs inside; the plan that is returned only reads their result.
+    """
+    scratch, sent = Scratch(), []
     with small_batches(docs.sparkSession):
-        return _components(docs, id_col, text_col, k, percent, extra, short_list, block_rows, ordered_shingles)
+        out = _labelled(docs, k, percent, extra, short_list, block_rows, ordered_shingles, scratch, sent)
+    for table in sent:
+        table.unpersist()
+    scratch.clear()
+    return out
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, extra: int, short_list: int, block_rows: int, ordered_shingles: int) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    staged = stage(_sets(docs, id_col, text_col, k), "jj-sets")
-    with_sets = staged.df.where("sh IS NOT NULL")
+def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int, block_rows: int, ordered_shingles: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
+    spark, stage = docs.sparkSession, scratch.stage
+    sets = stage(_sets(docs.select(F.monotonically_increasing_id().alias("rid"), "id", "mark", "text"), k), "jj-sets")
+    with_sets = sets.where("sh IS NOT NULL")
     totals = with_sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
     frequent = stage(_frequencies(with_sets, totals["t"]), "jj-frequent")
-    top = frequent.df.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
+    top = frequent.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
     by_key = np.argsort(top["key"].to_numpy())
     table = spark.sparkContext.broadcast(
-        (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(frequent.df, "key"))
+        (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(frequent, "key"))
     )
-    frequent.drop()
+    sent.append(table)
     sizes = {r["n"]: r["c"] for r in with_sets.where("n <= 32").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary_by_cost(sizes, percent)
 
@@ -364,8 +376,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int32()), b.column("rid").take(rows), b.column("n").take(rows)], names=["key", "c", "rid", "n"])
 
     # One row stands for each distinct set.
-    same = stage(staged.df.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
-    one_each = same.df.select("rid")
+    same = stage(sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
+    one_each = same.select("rid")
 
     # Light sets: a star around the smallest set of each subset group.
     subsets = with_sets.where(F.col("n") <= light).select("rid", "n", "sh").mapInArrow(subset_rows, "key binary, c int, rid long, n long").join(one_each, "rid", "left_semi")
@@ -373,28 +385,27 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         subsets.groupBy("key", "c").agg(F.min(F.struct("n", "rid")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "c", F.col("m.n").alias("mn"), F.col("m.rid").alias("mrid")), "jj-smallest"
     )
     light_links = (
-        subsets.join(smallest.df, ["key", "c"]).where(F.col("rid") != F.col("mrid"))
+        subsets.join(smallest, ["key", "c"]).where(F.col("rid") != F.col("mrid"))
         .where((F.col("n") + F.col("mn")) * percent <= F.col("c") * (100 + percent))
         .select(F.col("rid").alias("x"), F.col("mrid").alias("y")).distinct()
     )
 
     # Heavy sets: inverted lists that hold more than one set.
     listed = stage(with_sets.select("rid", "n", "sh").mapInArrow(index_rows, "key long, rid long, n long, pos int").join(one_each, "rid", "left_semi"), "jj-listed")
-    lengths = stage(listed.df.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
-    lists = stage(listed.df.join(lengths.df, "key"), "jj-lists")
-    pairs = stage(_short_pairs(lists.df.where(F.col("len") <= short_list), percent, extra), "jj-pairs")
-    clusters = _clusters(lists.df.where(F.col("len") > short_list))
-    checked = stage(_verified(pairs.df, with_sets, percent).union(_cluster_links(clusters, with_sets, percent, block_rows)).union(light_links), "jj-links")
-    parts = connected_components(checked.df, "x", "y")
+    table.unpersist()
+    lengths = stage(listed.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
+    lists = stage(listed.join(lengths, "key"), "jj-lists")
+    pairs = stage(_short_pairs(lists.where(F.col("len") <= short_list), percent, extra), "jj-pairs")
+    clusters = _clusters(lists.where(F.col("len") > short_list), scratch)
+    links = _verified(pairs, with_sets, percent, scratch, sent).union(_cluster_links(clusters, with_sets, percent, block_rows, scratch, sent)).union(light_links)
+    parts = connected_components(stage(links, "jj-links"), "x", "y", scratch=scratch)
 
     # From rows to the smallest document of each component.
-    rooted = same.df.join(parts.withColumnRenamed("vertex", "rid"), "rid", "left").select("digest", "low", F.coalesce("component", "rid").alias("root"))
+    rooted = same.join(parts.withColumnRenamed("vertex", "rid"), "rid", "left").select("digest", "low", F.coalesce("component", "rid").alias("root"))
     lowest = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "jj-lowest")
-    named = stage(rooted.join(lowest.df, "root").select("digest", "component_id"), "jj-named")
-    out = staged.df.select("id", "n", "digest").join(named.df, "digest", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    named = stage(rooted.join(lowest, "root").select("digest", "root", "component_id"), "jj-named")
+    out = sets.select("id", "mark", "n", "digest").join(named, "digest", "left").select("id", "mark", "n", "root", "component_id")
+    return staged(out, "jj-components").df
 
 
 def _short_pairs(lists: DataFrame, percent: int, extra: int) -> DataFrame:
@@ -411,10 +422,10 @@ def _short_pairs(lists: DataFrame, percent: int, extra: int) -> DataFrame:
     return joined.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("both").alias("both")).where(F.col("shared") >= F.least(F.lit(1 + extra), need)).select("x", "y")
 
 
-def _clusters(long_lists: DataFrame) -> DataFrame:
+def _clusters(long_lists: DataFrame, scratch: Scratch) -> DataFrame:
     """``rid, cluster``: sets of one long list are in one cluster."""
-    heads = stage(long_lists.groupBy("key").agg(F.min("rid").alias("head")), "jj-heads")
-    parts = connected_components(long_lists.join(heads.df, "key").select("rid", "head"), "rid", "head")
+    heads = scratch.stage(long_lists.groupBy("key").agg(F.min("rid").alias("head")), "jj-heads")
+    parts = connected_components(long_lists.join(heads, "key").select("rid", "head"), "rid", "head", scratch=scratch)
     return parts.select(F.col("vertex").alias("rid"), F.col("component").alias("cluster"))
 
 
@@ -439,12 +450,12 @@ def _linked_rows(packed: list[bytes], percent: int) -> np.ndarray:
     return common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
     """Links inside clusters as a spanning forest per pair of blocks."""
-    members = stage(clusters, "jj-clusters").df
-    blocks = stage(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "jj-blocks").df
+    members = scratch.stage(clusters, "jj-clusters")
+    blocks = scratch.stage(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "jj-blocks")
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    whole = placed.join(_bodies(sets, members.select("rid")), "rid")
+    whole = placed.join(_bodies(sets, members.select("rid"), sent), "rid")
     dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rid", "sh"
     )
@@ -467,10 +478,10 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
     return dealt.groupBy("cluster", "bi", "bj").applyInPandas(compare, "x long, y long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
     """Those of the pairs (x, y) that link, by their exact sets."""
-    wanted = stage(pairs.select(F.col("x").alias("rid")).union(pairs.select(F.col("y").alias("rid"))).distinct(), "jj-wanted").df
-    own = stage(_bodies(sets, wanted), "jj-bodies").df
+    wanted = scratch.stage(pairs.select(F.col("x").alias("rid")).union(pairs.select(F.col("y").alias("rid"))).distinct(), "jj-wanted")
+    own = scratch.stage(_bodies(sets, wanted, sent), "jj-bodies")
     full = pairs.join(own.select(F.col("rid").alias("x"), F.col("sh").alias("sx")), "x").join(own.select(F.col("rid").alias("y"), F.col("sh").alias("sy")), "y")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,14 +496,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("x", "y", "sx", "sy").mapInArrow(linked, "x long, y long")
 
 
-def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's smallest, with their own columns.
+def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, with its own columns: that of the smallest id.
 
-    Documents with a null id stay.  Rows that repeat a kept id all stay.
+    The decision is made by row.  Ids may repeat: rows with one id and different
+    texts are documents of their own, each in its own component; of rows with the
+    same id and text one stays.  A document with a null id stays only if its
+    component has no other id.  Null and wordless texts all stay, and an empty
+    table stays empty.  Columns of any names pass through.
     """
-    parts = jaccard_components(docs, id_col=id_col, **options)
-    gone = parts.where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    mark = F.unhex(F.md5(F.col(text_col)))
+    parts = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mark.alias("mark")), k, percent).where("n > 0")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    rows = parts.groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "root").select("id", "mark", "rows", (order == F.col("best")).alias("first"))
+    judged = staged(judged.where("NOT first OR rows > 1"), "jj-judged").df
+    own = [F.col(f"`{c}`").alias(f"own_{n}") for n, c in enumerate(docs.columns)]
+    names = [F.col(f"own_{n}").alias(c) for n, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, F.col(id_col).alias("_id"), mark.alias("_mark"))
+    met = keyed.join(judged, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_anti")
+    repeated = judged.where("first")
+    if not repeated.isEmpty():
+        again = keyed.join(repeated, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
+        met = met.union(again.dropDuplicates(["_id", "_mark"]))
+    return met.select(*names)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

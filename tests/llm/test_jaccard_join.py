@@ -81,3 +81,16 @@ def test_bounds():
 
     keys = np.array([0, 1, 2**40, 2**48 - 1])
     assert (unpack(pack(keys)) == keys).all()
+
+
+def test_one_of_each_group_by_row(spark):
+    """An id may repeat: what goes is a row, never another document of the same id."""
+    x, y, z = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30)), " ".join(f"z{k}" for k in range(12))
+    rows = [(1, x), (5, x + " end"), (5, y), (6, y), (7, z), (7, z), (7, x), (None, z), (None, "only null"), (None, "only null"), (8, None), (8, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(*r, "own", 3) for r in rows], "doc_id int, text string, id string, _mark int").repartition(3)
+    kept = keep_one_per_component(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), str(r.text), r.id, r._mark) for r in kept.collect())
+    want = [(1, x), (5, y), (7, z), (None, "only null"), (8, None), (8, None), (9, ""), (9, "")]
+    assert got == sorted((str(d), str(t), "own", 3) for d, t in want)
+    assert keep_one_per_component(df.limit(0)).count() == 0
