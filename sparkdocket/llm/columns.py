@@ -13,14 +13,18 @@ from pyspark.sql import types as T
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],
-    compute: Callable[[pa.RecordBatch], list[pa.Array]],
+    compute: Callable[[pa.RecordBatch], list[pa.Array]] | None = None,
     keep: list[str] | None = None,
+    *,
+    per_task: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]] | None = None,
 ) -> DataFrame:
     """Append ``fields`` to ``df`` batch by batch, with no shuffle.
 
     ``compute`` gets each Arrow batch and returns one array per field.  Columns
     of ``df`` whose names clash with a new field are replaced by it (names
     compare without case, as Spark does).  ``keep`` limits what passes through.
+    ``per_task`` makes ``compute`` anew for each task, so that what it holds goes
+    with the task.
     """
     new = {f.name.lower() for f in fields}
     through = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
@@ -29,9 +33,10 @@ def add_columns(
     new_names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_batch = compute if per_task is None else per_task()
         for batch in batches:
             if batch.num_rows:
-                made = compute(batch)
+                made = of_batch(batch)
                 cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, *made], names=[*names, *new_names])
 

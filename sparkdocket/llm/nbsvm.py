@@ -43,10 +43,9 @@ def train_ratio_model(
     sizes = np.array([len(i) for i, _ in rows])
     owner = np.repeat(np.arange(len(rows)), sizes)
     idx = np.concatenate([i for i, _ in rows])
-    present = np.concatenate([np.minimum(c, 3.0) for _, c in rows])
     counts = np.concatenate([c for _, c in rows])
-    up = alpha + np.bincount(idx, weights=np.minimum(present, 1) * y[owner], minlength=space.buckets)
-    down = alpha + np.bincount(idx, weights=np.minimum(present, 1) * (1 - y[owner]), minlength=space.buckets)
+    up = alpha + np.bincount(idx, weights=np.minimum(counts, 1) * y[owner], minlength=space.buckets)
+    down = alpha + np.bincount(idx, weights=np.minimum(counts, 1) * (1 - y[owner]), minlength=space.buckets)
     ratio = np.log(up / up.sum()) - np.log(down / down.sum())
     x = ratio[idx] * counts
     w, bias = np.zeros(space.buckets), float(np.log(y.mean() / (1 - y.mean())))

@@ -1,6 +1,6 @@
 """Supervised subword embeddings: averaged hashed vectors with a softmax on top.
 
-Each feature (word or character n-gram) has a learned vector; a text is the mean
+Each feature (word, pair of words or character n-gram) has a learned vector; a text is the mean
 of its features' vectors and a linear softmax gives the classes.  Training is
 plain stochastic gradient descent in numpy on a bounded sample.  For scoring,
 vectors and output layer fold into one table of logits per feature.
@@ -32,7 +32,7 @@ class SubwordModel:
 
     def scorer(self) -> WordSums:
         repeat = np.append(self.logits[0], 1.0) if self.space.repeats else None
-        return WordSums(self.space, linear_values(self.space, self.logits), self.logits.shape[1] + 1, repeat)
+        return WordSums(self.space, linear_values(self.space, self.logits), self.logits.shape[1] + 1, repeat, self.logits if self.space.bigrams else None)
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         """Class probabilities from a text's sums; without features, the bias alone speaks."""
@@ -54,11 +54,12 @@ def train_subword(
     rate: float = 0.5,
     seed: int = 11,
     balance: float = 0.5,
+    held: np.ndarray | None = None,
 ) -> SubwordModel:
     """Stochastic gradient descent, one text at a time, with a linearly falling rate.
 
-    ``balance`` weighs classes by (their share) ** -balance.  A fifth of the
-    sample is held back to fit the softmax temperature.  Without labels the model
+    ``balance`` weighs classes by (their share) ** -balance.  The rows ``held`` back
+    (a fifth where not given) fit the softmax temperature.  Without labels the model
     has one class ``None`` and says nothing.
     """
     classes = sorted(set(labels), key=str)
@@ -71,8 +72,9 @@ def train_subword(
     weight /= (weight * share).sum()
     vectors = rng.uniform(-1 / dim, 1 / dim, (space.buckets, dim))
     out, bias = np.zeros((dim, len(classes))), np.zeros(len(classes))
-    held = np.arange(len(rows)) % 5 == 4
-    train = np.nonzero(~held)[0] if len(rows) >= 50 else np.arange(len(rows))
+    held = np.arange(len(rows)) % 5 == 4 if held is None else held
+    enough = len(rows) >= 50 and held.any()
+    train = np.nonzero(~held)[0] if enough else np.arange(len(rows))
     total, done = epochs * len(train), 0
     for _ in range(epochs):
         for k in rng.permutation(train):
@@ -92,7 +94,7 @@ def train_subword(
             # The mean spreads the gradient over very many features; scale it back by their spread.
             vectors[idx] -= (lr / np.sqrt((share_of**2).sum())) * np.outer(share_of, back)
     model = SubwordModel(space, classes, vectors @ out, bias)
-    check = np.nonzero(held)[0] if len(rows) >= 50 else train
+    check = np.nonzero(held)[0] if enough else train
     p = np.log(np.maximum(model.of_rows([rows[k] for k in check]), 1e-12))
     losses = {t: -np.log(np.maximum(softmax(p / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     model.temperature = min(losses, key=losses.get)

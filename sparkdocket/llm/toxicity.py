@@ -18,7 +18,7 @@ SPACE = FeatureSpace(buckets=1 << 18, low=3, high=5, lower=True, whole_word=Fals
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 1200) -> RatioModel:
     """Fit on at most ``per_class`` labelled documents of each label."""
     sample = labelled_sample(docs, labels, per_class, id_col=id_col, label_col=label_col)
-    rows, y = collect_features(sample, SPACE, per_class, key=id_col, label=label_col, distinct=True)
+    rows, y, _, _ = collect_features(sample, SPACE, per_class, key=id_col, label=label_col, distinct=True)
     return train_ratio_model(rows, y, SPACE)
 
 
@@ -26,11 +26,13 @@ def score_toxicity(docs: DataFrame, model: RatioModel, *, threshold: float = 0.3
     """Add ``score double`` (probability of label 1) and ``predicted int``.
 
     Null and empty texts get the probability that the bias alone gives.  Rows are
-    independent of each other.
+    independent of each other, so that repeated rows score alike; very long texts
+    are scored whole, an empty table stays empty, and clashing input columns are
+    replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def results(p, texts):
+    def results(p, counts, texts):
         return [pa.array(p, pa.float64()), pa.array((p >= threshold).astype("int32"), pa.int32())]
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdocket.llm.columns import add_columns
-from sparkdocket.llm.textfeat import FeatureSpace, WordSums, sparse_rows
+from sparkdocket.llm.textfeat import FeatureSpace, sparse_rows
 
 _PARTS = 1_000_003
 
@@ -34,64 +34,82 @@ def sample_by_hash(rows: DataFrame, per_class: int, *, key: str, label: str) ->
 
 
 def collect_features(
-    sample: DataFrame, space: FeatureSpace, per_class: int, *, key: str, label: str, text: str = "text", distinct: bool = False
-) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
-    """Sparse rows (made on the executors) and labels, at most ``per_class`` of each label."""
+    sample: DataFrame, space: FeatureSpace, per_class: int, *, key: str, label: str, text: str = "text", distinct: bool = False, snippets: tuple[int, ...] = ()
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], list, np.ndarray, dict[int, tuple[list, list]]]:
+    """Sparse rows (made on the executors), labels, and which rows are held back (a fifth, by hash).
+
+    At most ``per_class`` rows of each label.  Of each text held back there are also
+    ``snippets``: for each number of words the features of three stretches of the
+    text that long, as rows and labels by that number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sparse_rows(space, b.column("text").to_pylist(), distinct)
+            texts, hashes = b.column("text").to_pylist(), b.column("h").to_pylist()
+            rows, sizes, at = sparse_rows(space, texts, distinct), [0] * len(texts), [*range(len(texts))]
+            for k, (t, h) in enumerate(zip(texts, hashes, strict=True)):
+                words = (t or "").split() if h % 5 == 4 else []
+                for n in snippets:
+                    for turn in range(3 if len(words) >= n else 0):
+                        begin = (h // 5 + turn * 7919) % (len(words) - n + 1)
+                        rows += sparse_rows(space, [" ".join(words[begin : begin + n])], distinct)
+                        sizes.append(n)
+                        at.append(k)
+            take = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("label"), b.column("h"),
+                    b.column("label").take(take), b.column("h").take(take), pa.array(sizes, pa.int32()),
                     pa.array([i.astype(np.uint32).tobytes() for i, _ in rows], pa.binary()),
                     pa.array([c.astype(np.float32).tobytes() for _, c in rows], pa.binary()),
                 ],
-                names=["label", "h", "idx", "cnt"],
+                names=["label", "h", "size", "idx", "cnt"],
             )
 
     kind = sample.schema[label].dataType.simpleString()
     slim = sample.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(key, F.lit(5)).alias("h"), F.col(text).alias("text"))
-    got = slim.mapInArrow(run, f"label {kind}, h long, idx binary, cnt binary").collect()
-    got.sort(key=lambda r: (r["h"], str(r["label"]), bytes(r["idx"])))
-    rows, labels, left = [], [], {}
+    got = slim.mapInArrow(run, f"label {kind}, h long, size int, idx binary, cnt binary").collect()
+    got.sort(key=lambda r: (r["size"], r["h"], str(r["label"]), bytes(r["idx"])))
+    rows, labels, held, short, left = [], [], [], {n: ([], []) for n in snippets}, {}
     for r in got:
+        row = (np.frombuffer(bytes(r["idx"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["cnt"]), np.float32).astype(np.float64))
+        if r["size"]:
+            short[r["size"]][0].append(row)
+            short[r["size"]][1].append(r["label"])
+            continue
         left[r["label"]] = left.get(r["label"], per_class) - 1
         if left[r["label"]] >= 0:
-            rows.append((np.frombuffer(bytes(r["idx"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["cnt"]), np.float32).astype(np.float64)))
+            rows.append(row)
             labels.append(r["label"])
-    return rows, labels
-
-
-#: The model last used by this worker, held so that its identity stays its own, and its scorer.
-_LAST: list = []
-
-
-def worker_scorer(model: Broadcast) -> WordSums:
-    """This Python worker's word store for a broadcast model, kept from task to task."""
-    if not _LAST or _LAST[0] is not model.value:
-        _LAST[:] = [model.value, model.value.scorer()]
-    return _LAST[1]
+            held.append(r["h"] % 5 == 4)
+    return rows, labels, np.array(held, bool), short
 
 
 def score_texts(
     docs: DataFrame,
     model: Broadcast,
     fields: list[T.StructField],
-    results: Callable[[np.ndarray, list[str | None]], list[pa.Array]],
+    results: Callable[[np.ndarray, np.ndarray, list[str | None]], list[pa.Array]],
     *,
     text: str = "text",
     keep: list[str] | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """Append what ``results(probabilities, texts)`` makes for each batch of texts."""
+    """Append what ``results(probabilities, numbers of words, texts)`` makes for each batch of texts.
+
+    The words met are kept for the time of a task.
+    """
+
+    def per_task() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        scorer = model.value.scorer()
+
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            column, parts = batch.column(batch.schema.get_field_index(text)), []
+            for at in range(0, batch.num_rows, 500):  # few texts at a time are Python strings
+                texts = column.slice(at, 500).to_pylist()
+                sums, counts = scorer.sums(texts, distinct)
+                parts.append(results(model.value.probabilities(sums), counts, texts))
+            return [pa.concat_arrays(arrays) for arrays in zip(*parts, strict=True)]
 
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        column, parts = batch.column(batch.schema.get_field_index(text)), []
-        for at in range(0, batch.num_rows, 500):  # few texts at a time are Python strings
-            texts = column.slice(at, 500).to_pylist()
-            sums, _ = worker_scorer(model).sums(texts, distinct)
-            parts.append(results(model.value.probabilities(sums), texts))
-        return [pa.concat_arrays(arrays) for arrays in zip(*parts, strict=True)]
+        return compute
 
-    return add_columns(docs, fields, compute, keep=keep)
+    return add_columns(docs, fields, keep=keep, per_task=per_task)

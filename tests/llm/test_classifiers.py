@@ -60,10 +60,10 @@ def test_language_of_odd_texts(spark):
 
 
 def test_word_sums_are_the_sums_of_features():
-    space = FeatureSpace(buckets=512, repeats=True)
+    space = FeatureSpace(buckets=512, repeats=True, bigrams=True)
     w = np.random.default_rng(0).normal(size=(512, 2))
     texts = ["aa aa bb the", "", None, "x", "the  the\nthe é" * 50]
-    sums, counts = WordSums(space, linear_values(space, w), 3, np.append(w[0], 1.0), most=2).sums(texts)
+    sums, counts = WordSums(space, linear_values(space, w), 3, np.append(w[0], 1.0), w, most=2).sums(texts)
     for s, (idx, cnt) in zip(sums, sparse_rows(space, texts), strict=True):
         assert np.allclose(s[:2], (w[idx] * cnt[:, None]).sum(0)) and s[2] == cnt.sum()
     assert counts.tolist() == [4, 0, 0, 1, len(texts[4].split())]
@@ -79,3 +79,77 @@ def test_training_is_reproducible_and_learns():
     r = train_ratio_model(sparse_rows(space, texts, True), y, space)
     p = r.probabilities(r.scorer().sums(texts, True)[0])
     assert ((p >= 0.5) == np.array(y)).all()
+
+
+def slow_features(space, text, distinct=False):
+    """The features of a text one by one, as a list of numbers."""
+    words = (text.lower() if space.lower else text or "").split() if text else []
+    out = []
+    for w in dict.fromkeys(words) if distinct else words:
+        marked = "\x02" + w + "\x03"
+        for n in range(space.low, space.high + 1):
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                out.append(slow_bucket(space, (h + n) % 2**64))
+        if space.whole_word:
+            out.append(slow_bucket(space, slow_number(w)))
+    for a, b in zip(words, words[1:], strict=False):
+        if space.repeats and a == b:
+            out.append(0)
+        if space.bigrams:
+            out.append(slow_bucket(space, (slow_number(a) * 0x9E3779B97F4A7C15 + (slow_number(b) ^ 0xBF58476D1CE4E5B9)) % 2**64))
+    return out
+
+
+def slow_bucket(space, h):
+    h = ((h ^ h >> 31) * 0xBF58476D1CE4E5B9) % 2**64
+    return (h ^ h >> 29) % space.buckets
+
+
+def slow_number(w):
+    total = 0
+    for i, c in enumerate("\x02" + w + "\x03"):
+        x = (ord(c) + 0xBF58476D1CE4E5B9) * ((i * 0x9E3779B97F4A7C15 + 1) | 1) % 2**64
+        total += x ^ x >> 29
+    return total * 0x9E3779B97F4A7C15 % 2**64
+
+
+def softmax(z):
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_against_a_slow_scorer(spark):
+    """Scores of whole queries from the trained weights, a feature at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 9 = 0").collect()}
+    quality, toxic, language = fit_quality(docs, labels), fit_toxicity(docs, labels), fit_language(docs)
+    got = {r.doc_id: r for r in score_quality(docs, quality).collect()}
+    bad = {r.doc_id: r for r in score_toxicity(docs, toxic).collect()}
+    named = {r.doc_id: r for r in identify_language(docs, language).collect()}
+    for i, t in texts.items():
+        for model, want in ((quality, lambda p, i=i: got[i].score == pytest.approx(p[quality.classes.index(1)], abs=1e-9)), (language.model, lambda p, i=i: named[i].score in (0.0, pytest.approx(p.max(), abs=1e-9)))):
+            f = slow_features(model.space, t)
+            z = sum((model.logits[k] for k in f), np.zeros(len(model.classes))) / max(len(f), 1)
+            p = softmax((z + model.bias) / model.temperature)
+            assert want(p)
+        z = sum(toxic.weights[k] for k in slow_features(toxic.space, t, True)) + toxic.bias
+        assert bad[i].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_rejection_is_calibrated_by_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_language(docs)
+    assert len(model.reject_below) == 6 and model.reject_below[0] <= model.reject_below[-1]
+    assert (model.thresholds(np.array([0, 1, 3, 40])) == np.array(model.reject_below)[[0, 0, 1, 5]]).all()
+    from pyspark.sql import functions as F
+
+    for n in (8, 16, 1000):  # stretches of texts it has not been calibrated on
+        part = docs.where("lang IS NOT NULL").withColumn("text", F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 3, n)))
+        out = identify_language(part, model).toPandas()
+        assert out["accepted"].mean() >= 0.97
+        assert (out["lang_pred"] == out["lang"])[out["accepted"]].mean() >= 0.97
