@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pieces, pii, quality, toxicity, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pieces, pii, pipeline, quality, toxicity, url_filter, warc
 
 _MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter]
 
 
 def queries() -> dict:
     out = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
-    out["pipeline"] = corpus_pipeline.run
+    out["pipeline"] = pipeline.run
     return out
 
 
 def oracle_sql() -> dict:
     out = {k: s for m in _MODULES for k, s in m.ORACLE.items() if s}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
     return out
