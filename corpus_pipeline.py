@@ -1,73 +1,12 @@
 """Corpus preparation in five stages, each written as Parquet and read again.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
-it kept.
+The stages are in ``sparkdocket.llm.pipeline``: language ID, n-gram Jaccard join,
+benchmark decontamination, PII, SentencePiece samples.  Each takes ``(spark, docs,
+sf_dir)`` and works on all that the stage before it kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from sparkdocket.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from sparkdocket.llm import decontaminate, jaccard_join, langid, pieces, pii
-from sparkdocket.llm.training import fold
-from sparkdocket.plans.shipping import shipped
-from sparkdocket.plans.staging import stage
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that the model rejects go.
-
-    It learns as the registered query does, from the language column of the
-    documents whose id's crc32 modulo 4 is not 2.
-    """
-    model = langid.fit_language(docs.where(fold(F.col("doc_id"), 4) != 2))
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_own"))
-    return langid.identify_language(own, model, keep=["_own"]).where("accepted").select("_own.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five-word shingles at 0.8: the smallest id of each component stays."""
-    return jaccard_join.keep_one_per_component(docs, k=5, percent=80)
-
-
-def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Decontamination: documents in which a ten-word benchmark window occurs go."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: entities are replaced by surrogates; the character count follows the text."""
-    replaced = pii.replace_pii(docs, key=pii.DEMO_KEY, count_col=None)
-    if "n_chars" not in docs.columns:
-        return replaced
-    kind = docs.schema["n_chars"].dataType
-    changed = docs.columns
-    return replaced.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*changed)
-
-
-def piece_samples(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: two sampled segmentations of each document, which decode to its text."""
-    columns = ["sample", "pieces", "n_pieces", "log_prob", "log_inclusion", "decodes"]
-    return pieces.encode_samples(docs, keep=["doc_id", "lang", "source"], columns=columns)
-
-
-STAGES = [
-    ("language", shipped(language)),
-    ("near_duplicates", shipped(near_duplicates)),
-    ("benchmark_leaks", shipped(benchmark_leaks)),
-    ("private_data", shipped(private_data)),
-    ("piece_samples", shipped(piece_samples)),
-]
-
-#: The trained model of the first stage and the samples of the last have no SQL form.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, work) in enumerate(STAGES):
-        docs = work(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}").df
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
