@@ -1,4 +1,9 @@
-"""Sends this package to the executors, so that tasks can import it anywhere."""
+"""What a session needs before this package's queries run on a cluster.
+
+The package's sources go to the executors, so that tasks can import it anywhere.
+Arrow batches are kept small where the session does not set their size: texts are
+long, and an executor holds several batches outside its heap at once.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from functools import wraps
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,6 +42,9 @@ def shipped(query: Callable) -> Callable:
     @wraps(query)
     def run(spark: SparkSession, *args):
         ship(spark)
+        for name, value in _BATCHES.items():
+            if spark.conf.get(name, None) is None:
+                spark.conf.set(name, value)
         return query(spark, *args)
 
     return run
