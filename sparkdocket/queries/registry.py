@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["reduction", "review", "filters", "rollups", "texts", "keywords"]
+_MODULES = ["reduction", "review", "filters", "rollups", "texts", "keywords", "production"]
 
 
 def _parts():
