@@ -21,6 +21,9 @@ have attempts of their own, over the distinct surnames, and given names within
 their surname, so that a redrawn given name leaves the surname as it is.  Each
 attempt at a name adds a syllable; in other kinds the format is kept for ``DRAWS``
 attempts, and each later one adds a character, for formats with too few values.
+
+The patterns run once over each text, which is written as its parts: what stands
+between entities and the entities by turns.  All later steps read the parts.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdocket.plans.staging import stage
+from sparkdocket.plans.staging import Scratch
+from sparkdocket.plans.staging import stage as staged
 
 # Forms of address by gender.
 MALE = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господин", "г-н"]
@@ -92,6 +96,18 @@ def entities_of(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(none)
 
 
+#: Stands between the parts of a text while they are found; a noncharacter.
+_CUT = "\ufdd0"
+
+
+def parts_of(text: Column) -> Column:
+    """A text's parts, gaps and matches by turns, first and last a gap; null for a null text."""
+    marked = F.split(F.regexp_replace(text, f"({ANY})", f"{_CUT}$1{_CUT}"), _CUT, -1)
+    gaps, found = F.split(text, f"(?:{ANY})", -1), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
+    by_turns = F.concat(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.array(g, m))), F.array(F.element_at(gaps, -1)))
+    return F.when(~text.rlike(_HINT), F.array(text)).when(text.contains(_CUT), by_turns).when(text.isNotNull(), marked)
+
+
 def kind_of(entity: Column) -> Column:
     """The kind whose whole pattern an entity matches, in the order of PATTERNS."""
     out = F.lit("name")
@@ -317,47 +333,60 @@ def surrogate_of(entity: Column, key: str, attempt: Column, surname_attempt: Col
     return _let(kind_of(entity), lambda kind: _let(seed(kind), lambda digest: made(kind, digest)))
 
 
-def _settled(forms: DataFrame, scope: list[str], make, taken, label: str, max_rounds: int) -> tuple[DataFrame, bool]:
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all tasks: making a surrogate takes long and the tables are small files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _settled(forms: DataFrame, scope: list[str], make, taken, label: str, scratch: Scratch) -> tuple[DataFrame, bool]:
     """``forms`` (``scope``, ``form``, ...) with the ``attempt`` at which no made value is shared within the scope or taken.
 
     ``make`` gives the made value of a row; ``taken`` the rows of a table with ``made`` whose values must not be used, or is None.
-    Of those that share a value the one of fewest attempts keeps it, so that settled ones stay.
+    Of those that share a value the one of fewest attempts keeps it, so that settled ones stay.  Made values get longer with
+    further attempts, so that there always are enough.
     """
-    state, changed = forms.withColumn("attempt", F.lit(0)), False
-    for _ in range(max_rounds):
-        made = stage(state.withColumn("made", make), f"pii-made-{label}").df
+    state, changed, stage = forms.withColumn("attempt", F.lit(0)), False, scratch.stage
+    while True:
+        made = stage(_spread(state, *scope, "form").withColumn("made", make), f"pii-made-{label}")
         own = F.min(F.struct("attempt", "form"))["form"].alias("owner")
         shared = made.groupBy(*scope, "made").agg(own, F.count(F.lit(1)).alias("n")).where("n > 1")
         again = made.join(shared, [*scope, "made"]).where("form <> owner").select(*scope, "form")
         if taken is not None:
             again = again.union(taken(made).select(*scope, "form"))
-        again = stage(again.distinct(), f"pii-again-{label}").df
+        again = stage(again.distinct(), f"pii-again-{label}")
         if again.isEmpty():
             return made.drop("made"), changed
         changed = True
         state = made.drop("made").join(again.withColumn("again", F.lit(1)), [*scope, "form"], "left")
         state = state.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
-    raise RuntimeError(f"surrogates still collide after {max_rounds} draws")
 
 
-def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 60) -> DataFrame | None:
+def collision_attempts(entities: DataFrame, key: str) -> DataFrame | None:
     """Attempt numbers (``kind, norm, attempt, surname_attempt``) of entities whose first surrogate collided.
 
     ``entities`` has a column ``entity``.  None if no surrogate is shared by two
     normal forms of a kind or equals an entity of the corpus.
     """
+    scratch = Scratch()
+    out = _attempts(entities, key, scratch)
+    scratch.clear()
+    return out
+
+
+def _attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame | None:
+    stage = scratch.stage
     entity, attempt = F.col("entity"), F.col("attempt")
-    forms = entities.select("entity", kind_of(entity).alias("kind")).withColumn("norm", normal_form(entity, F.col("kind")))
-    forms = stage(forms.groupBy("kind", "norm").agg(F.min("entity").alias("entity")), "pii-forms").df
+    forms = _spread(entities, "entity").select("entity", kind_of(entity).alias("kind")).withColumn("norm", normal_form(entity, F.col("kind")))
+    forms = stage(forms.groupBy("kind", "norm").agg(F.min("entity").alias("entity")), "pii-forms")
 
     others = forms.where("kind <> 'name'").withColumnRenamed("norm", "form")
     real = others.select("kind", F.col("form").alias("made"))
-    values, changed = _settled(others, ["kind"], _let(surrogate_of(entity, key, attempt), lambda e: normal_form(e, F.col("kind"))), lambda made: made.join(real, ["kind", "made"], "left_semi"), "values", max_rounds)
+    values, changed = _settled(others, ["kind"], _let(surrogate_of(entity, key, attempt), lambda e: normal_form(e, F.col("kind"))), lambda made: made.join(real, ["kind", "made"], "left_semi"), "values", scratch)
 
     words = F.split(F.lower(_bare_name(entity)), _BLANK)
     names = forms.where("kind = 'name'").select("norm", _bare_name(entity).rlike(_CYRILLIC).alias("cyrillic"), _gender(entity).alias("gender"), words.alias("words"))
     names = names.select("norm", "cyrillic", "gender", F.element_at("words", -1).alias("last"), F.when(F.size("words") > 1, F.col("words")[0]).alias("given"))
-    names = stage(names, "pii-names").df
+    names = stage(names, "pii-names")
     both = lambda make: F.when(F.col("cyrillic"), make("cyrillic")).otherwise(make("latin"))
     lasts = names.select("cyrillic", F.col("last").alias("form")).distinct()
 
@@ -366,51 +395,53 @@ def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 60) -> D
         whole = F.when(F.col("cyrillic"), F.array(F.concat(stem, F.lit("ов")), F.concat(stem, F.lit("ова")))).otherwise(F.array(stem))
         return made.withColumn("whole", F.explode(whole)).join(lasts.select(F.col("form").alias("whole")).distinct(), "whole", "left_semi")
 
-    surnames, new_surnames = _settled(lasts, ["cyrillic"], both(lambda script: _stem(F.col("form"), key, attempt, script)), in_use, "surnames", max_rounds)
+    surnames, new_surnames = _settled(lasts, ["cyrillic"], both(lambda script: _stem(F.col("form"), key, attempt, script)), in_use, "surnames", scratch)
     # A made surname belongs to one surname and is none of the corpus: given names need only differ within it.
     given = names.where("given IS NOT NULL").select("cyrillic", "last", "gender", "norm", F.col("given").alias("form"))
-    firsts, new_firsts = _settled(given, ["cyrillic", "last", "gender"], F.lower(both(lambda script: _given(F.col("form"), key, attempt, script, F.col("gender")))), None, "given", max_rounds)
+    firsts, new_firsts = _settled(given, ["cyrillic", "last", "gender"], F.lower(both(lambda script: _given(F.col("form"), key, attempt, script, F.col("gender")))), None, "given", scratch)
     if not (changed or new_surnames or new_firsts):
         return None
     tries = names.join(surnames.select("cyrillic", F.col("form").alias("last"), attempt.alias("surname_attempt")), ["cyrillic", "last"])
     tries = tries.join(firsts.select("norm", "attempt"), "norm", "left").select(F.lit("name").alias("kind"), "norm", F.coalesce("attempt", F.lit(0)).alias("attempt"), "surname_attempt")
     tries = tries.union(values.select("kind", "form", "attempt", F.lit(0)))
-    return stage(tries.where("attempt > 0 OR surname_attempt > 0"), "pii-attempts").df
+    return staged(tries.where("attempt > 0 OR surname_attempt > 0"), "pii-attempts").df
 
 
 def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
-    """Replace every entity in ``text_col`` by its surrogate; other columns stay.
+    """Replace every entity in ``text_col`` by its surrogate; other columns stay, whatever their names.
 
     ``count_col`` (int, replaces a clashing column; left out where None) counts the
-    entities.  A null text stays null with count 0.  Rows are independent but for
-    the collision check, repeated rows get equal results, and an empty table stays
+    entities.  A null text stays null with count 0, an empty one empty.  Rows are
+    independent but for the collision check, whatever their ids; repeated rows get
+    equal results, very long texts are replaced whole, and an empty table stays
     empty.
     """
-    text = F.col(text_col)
-    found = docs.select(F.explode(F.array_distinct(entities_of(text))).alias("entity")).distinct().where(is_entity(F.col("entity")))
-    clashes = collision_attempts(found, key)
+    kept = [(n, c) for n, c in enumerate(docs.columns) if c != text_col and (count_col is None or c.lower() != count_col.lower())]
+    own = [F.col(f"`{c}`").alias(f"own_{n}") for n, c in kept]
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), *own, parts_of(F.col(text_col)).alias("parts")), "pii-parts").df
+    matches = F.filter("parts", lambda x, i: i % 2 == 1)
+    found = rows.where(F.size("parts") > 1).select("row", F.explode(F.array_distinct(matches)).alias("entity"))
+    clashes = collision_attempts(found.select("entity").distinct().where(is_entity(F.col("entity"))), key)
     if clashes is None:
         made_of = lambda e: surrogate_of(e, key, F.lit(0))
-        base = docs.withColumn("_entities", entities_of(text))
+        base = rows
     else:
-        # Attempt numbers travel to the documents that hold such entities, by a join on the id.
-        spots = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(entities_of(text))).alias("entity"))
-        spots = spots.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
-        per_doc = (
-            spots.join(clashes, ["kind", "norm"]).select("_id", "entity", F.struct("attempt", "surname_attempt").alias("tries")).distinct()
-            .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tries"))).alias("_tries"))
-        )
-        base = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("_entities", entities_of(text))
-        tries = lambda e, part: F.coalesce(F.element_at(F.col("_tries"), e)[part], F.lit(0))
+        # Attempt numbers travel to the rows that hold such entities.
+        spots = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
+        per_row = (
+            spots.join(clashes, ["kind", "norm"]).select("row", "entity", F.struct("attempt", "surname_attempt").alias("try"))
+            .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "try"))).alias("tries"))
+        )
+        base = rows.join(per_row, "row", "left")
+        tries = lambda e, part: F.coalesce(F.element_at(F.col("tries"), e)[part], F.lit(0))
         made_of = lambda e: surrogate_of(e, key, tries(e, "attempt"), tries(e, "surname_attempt"))
-    made = F.transform("_entities", lambda e: F.when(is_entity(e), made_of(e)).otherwise(e))
-    gaps = F.split(text, f"(?:{ANY})", -1)
-    woven = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_entities")), made, lambda g, m: F.concat(g, m)), ""), F.element_at(gaps, -1))
-    new_text = F.when(F.size("_entities") > 0, woven).otherwise(text)
-    out = base.withColumn(text_col, new_text)
+    woven = F.array_join(F.transform("parts", lambda x, i: F.when((i % 2 == 1) & is_entity(x), made_of(x)).otherwise(x)), "")
+    new_text = F.when(F.size("parts") > 1, woven).otherwise(F.col("parts")[0])
+    names = {c: F.col(f"own_{n}") for n, c in kept} | {text_col: new_text}
+    out = [names[c].alias(c) for c in docs.columns if c in names]
     if count_col is not None:
-        out = out.withColumn(count_col, F.size(F.filter("_entities", is_entity)))
-    return out.drop("_entities", "_tries")
+        out.append(F.coalesce(F.size(F.filter(matches, is_entity)), F.lit(0)).alias(count_col))
+    return base.select(*out)
 
 
 #: Production key of the registered query and of the pipeline.  A deployment sets its own.
