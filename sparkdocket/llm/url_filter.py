@@ -240,8 +240,39 @@ def judge_urls(
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "lm_score")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", F.round("lm_score", 6).alias("lm_score"))
+
+
+def _sql(order: int = 5) -> str:
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in by_length) + " END"
+    kind = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{k}'" for k, h, p in by_length) + " END"
+    mixed = lambda k, shorter: f"CASE WHEN coalesce(t_{k}, 0) > 0 THEN (coalesce(c_{k}, 0) + u_{k} * {shorter}) / (t_{k} + u_{k}) ELSE {shorter} END AS p_{k}"
+    levels = [f"l0 AS (SELECT context, char, {mixed('allow', '(1.0::DOUBLE / 256)')}, {mixed('block', '(1.0::DOUBLE / 256)')} FROM pc WHERE n = 0)"]
+    for n in range(1, order + 1):
+        levels.append(f"l{n} AS (SELECT pc.context, pc.char, {mixed('allow', 's.p_allow')}, {mixed('block', 's.p_block')} FROM pc JOIN l{n - 1} s ON s.context = substring(pc.context, 2) AND s.char = pc.char WHERE n = {n})")
+    counts = ", ".join(f"CAST(sum(CASE WHEN kind = '{k}' THEN copies ELSE 0 END) AS DOUBLE) AS c_{k}" for k in ("allow", "block"))
+    totals = ", ".join(f"sum(c_{k}) AS t_{k}, count(*) FILTER (c_{k} > 0) AS u_{k}" for k in ("allow", "block"))
+    return f"""
+WITH h AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, {rule} AS rule, {kind} AS kind FROM h),
+u AS (SELECT url, kind, chr(2) || url || chr(3) AS padded, count(*) AS copies FROM r WHERE url <> '' GROUP BY url, kind),
+places AS (SELECT *, unnest(range(2, length(padded) + 1)) AS i FROM u), sp AS (SELECT *, unnest(range(0, least({order}, i - 1) + 1)) AS n FROM places),
+x AS (SELECT url, kind, copies, i, n, substring(padded, i - n, n) AS context, substring(padded, i, 1) AS char FROM sp),
+g AS (SELECT context, char, {counts} FROM x WHERE kind IS NOT NULL GROUP BY context, char), t AS (SELECT context, {totals} FROM g GROUP BY context),
+pc AS (SELECT q.n, q.context, q.char, g.c_allow, g.c_block, t.t_allow, t.u_allow, t.t_block, t.u_block FROM (SELECT DISTINCT n, context, char FROM x) q LEFT JOIN t ON t.context = q.context LEFT JOIN g ON g.context = q.context AND g.char = q.char),
+{", ".join(levels)}, l AS ({" UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(order + 1))}),
+sc AS (SELECT x.url, any_value(x.kind) AS kind, sum(ln(p_allow) - ln(p_block)) / (length(x.url) + 1) AS score FROM x JOIN l ON l.context = x.context AND l.char = x.char WHERE n = least({order}, i - 1) GROUP BY x.url),
+per AS (SELECT score, count(*) FILTER (kind = 'allow') AS good, count(*) FILTER (kind = 'block') AS bad FROM sc WHERE kind IS NOT NULL GROUP BY score),
+run AS (SELECT score, sum(good) OVER w AS cg, sum(bad) OVER w AS cb, lead(score) OVER (ORDER BY score) AS following, sum(good) OVER () AS g, sum(bad) OVER () AS b FROM per WINDOW w AS (ORDER BY score ROWS UNBOUNDED PRECEDING)),
+cost AS (SELECT round(1 + cg / g - cb / b, 12) AS cost, score, following FROM run WHERE g > 0 AND b > 0 AND following IS NOT NULL ORDER BY 1, 2 LIMIT 1),
+th AS (SELECT CASE WHEN coalesce((SELECT sum(good) FROM per), 0) = 0 OR coalesce((SELECT sum(bad) FROM per), 0) = 0 THEN 0.0 WHEN (SELECT cost FROM cost) < 1 THEN (SELECT (score + following) / 2 FROM cost) ELSE (SELECT min(score) FROM per) END AS cut)
+SELECT page_id, host, path, rule, coalesce(r.kind, CASE WHEN coalesce(score, 0.0) >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(coalesce(score, 0.0), 6) AS lm_score
+FROM r LEFT JOIN sc ON sc.url = r.url, th
+"""
 
 
 QUERIES = {"op10_url_filter": op10_url_filter}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_url_filter": _sql()}

@@ -1,6 +1,9 @@
 from math import log
 
-from sparkdocket.llm.url_filter import MarkovModel, fit_url_models, judge_urls
+import duckdb
+import pytest
+
+from sparkdocket.llm.url_filter import ORACLE, MarkovModel, fit_url_models, judge_urls, op10_url_filter
 
 
 def test_rules_and_nulls(spark):
@@ -48,3 +51,15 @@ def test_all_contexts_count_in_joins_as_in_memory(spark):
     assert all(r.verdict == ("allow" if model.ratio(r.url) >= model.threshold else "block") for r in out if r.rule is None)
     assert model.allow.totals["919/x"] == 1
     assert len(fit_url_models(spark.createDataFrame([(u, k) for u, k in labelled], "url string, kind string"), max_order=3).allow.totals) < len(model.allow.totals)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_matches_sql(spark, sf):
+    """Rules, models, threshold and verdicts of the whole table against SQL."""
+    data = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(ORACLE["op10_url_filter"]).fetchall()}
+    got = op10_url_filter(spark, data).collect()
+    assert len(got) == len(want)
+    assert all((r.host, r.path, r.rule, r.verdict) == want[r.page_id][:4] and abs(r.lm_score - want[r.page_id][4]) < 2e-6 for r in got)
