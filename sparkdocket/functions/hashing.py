@@ -24,12 +24,13 @@ def scan_hash(subject: Column, filetime: Column, sender: Column, body: Column, a
     """Second-tier digest of a scanned message.
 
     ``attachments`` is an array of structs with name and size.  The body keeps the
-    first 4096 characters after white space other than the space is dropped.
+    first 4096 bytes of its UTF-8 after white space other than the space is dropped.
     """
-    text = F.substring(F.lower(F.regexp_replace(F.coalesce(body, F.lit("")), r"[\t\n\x0B\f\r]", "")), 1, 4096)
+    text = F.substring(F.lower(F.regexp_replace(F.coalesce(body, F.lit("")), r"[\t\n\x0B\f\r]", "")).cast("binary"), 1, 4096)
     files = F.array_join(F.array_sort(F.transform(attachments, lambda a: F.concat(F.lower(a["name"]), F.lit(":"), a["size"].cast("string"), F.lit(";")))), "")
-    fields = [norm.scan_subject(subject), filetime.cast("string"), F.lower(F.trim(sender)), text, files]
-    return F.sha2(F.concat_ws("|", *[F.coalesce(f, F.lit("")) for f in fields]), 256)
+    raw = lambda c: F.coalesce(c.cast("string"), F.lit("")).cast("binary")
+    bar = F.lit("|").cast("binary")
+    return F.sha2(F.concat(raw(norm.scan_subject(subject)), bar, raw(filetime), bar, raw(F.lower(F.trim(sender))), bar, text, bar, raw(files)), 256)
 
 
 def email_hash(mid: Column, subject: Column, sender: Column, to: Column, cc: Column, bcc: Column, sent: Column, received: Column, body: Column, attachments: Column) -> Column:

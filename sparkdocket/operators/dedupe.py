@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkdocket.functions import norm
+from sparkdocket.operators.graph import connected_components
 from sparkdocket.plans.numbering import first_by
 from sparkdocket.plans.staging import stage
 
+#: Rounds of a replay before groups of open rows are replayed in tasks, and the rows of such a group at most.
+ROUNDS, LOCAL_ROWS = 6, 200_000
+
 
 def dedupe_items(items: DataFrame, order: tuple[str, ...] = ("path", "item_id"), seeds: DataFrame | None = None) -> DataFrame:
     """Roles of top-level items: ``item_id, dedup_role, dedup_tier, group_id, hash_conflict``.
@@ -27,7 +35,9 @@ def dedupe_items(items: DataFrame, order: tuple[str, ...] = ("path", "item_id"),
     heads = first_by(now.where("mid IS NOT NULL"), ["mid"], ranks, "item_id", "mid_first").join(
         first_by(now.where("mid IS NOT NULL"), ["mid"], ranks, "logical_hash", "first_hash"), "mid"
     )
-    seen = now.join(heads, "mid", "left")
+    # Items without a message id go past the join: as one null key they would all meet.
+    bare = now.where("mid IS NULL").select("mid", *[c for c in now.columns if c != "mid"], *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("mid_first", "first_hash")])
+    seen = now.where("mid IS NOT NULL").join(heads, "mid", "left").unionByName(bare)
     canon = first_by(seen.where("logical_hash IS NOT NULL AND (mid IS NULL OR item_id = mid_first)"), ["logical_hash"], ranks, "item_id", "hash_first")
     out = seen.join(canon, "logical_hash", "left").where("_run = 1")
     by_mid = F.col("mid").isNotNull()
@@ -66,13 +76,26 @@ def replay_scan(rows: DataFrame, key1: str, key2: str, order: str) -> DataFrame:
     row that comes first among the open rows of both its keys is unique, and the
     other rows with one of its keys are closed.  ``order`` must be unique; null
     keys match nothing.
+
+    Rows that are linked as a chain settle one a round.  After ``ROUNDS`` rounds the
+    open rows are split into groups linked by keys; each group of at most
+    ``LOCAL_ROWS`` is replayed in a task, and rounds go on for larger ones.
     """
     base = rows.select(F.col(order).alias("pos"), F.col(key1).alias("k1"), F.col(key2).alias("k2"))
     # Of rows with equal keys only the first can be unique.
     open_rows = stage(base.groupBy("k1", "k2").agg(F.min("pos").alias("pos")), "scan-open")
     found: list[DataFrame] = []
+    rounds = 0
     while not open_rows.df.isEmpty():
         now = open_rows.df
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            solved, rest = _replay_groups(now)
+            found = [stage(reduce(DataFrame.union, [*found, solved]), "scan-unique").df]
+            following = stage(rest, "scan-open")
+            open_rows.drop()
+            open_rows = following
+            continue
         m1 = now.where("k1 IS NOT NULL").groupBy("k1").agg(F.min("pos").alias("m1"))
         m2 = now.where("k2 IS NOT NULL").groupBy("k2").agg(F.min("pos").alias("m2"))
         ranked = now.join(m1, "k1", "left").join(m2, "k2", "left")
@@ -97,6 +120,32 @@ def replay_scan(rows: DataFrame, key1: str, key2: str, order: str) -> DataFrame:
     )
 
 
+def _replay_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unique rows of the small groups linked by keys, and the rows of the large ones."""
+    one, two = F.concat(F.lit("1:"), F.col("k1").cast("string")), F.concat(F.lit("2:"), F.col("k2").cast("string"))
+    parts = connected_components(rows.select(one.alias("src"), two.alias("dst")))
+    own = F.coalesce(one, two, F.concat(F.lit("0:"), F.col("pos").cast("string")))
+    placed = rows.withColumn("vertex", own).join(parts, "vertex", "left").withColumn("part", F.coalesce("component", "vertex")).select("pos", "k1", "k2", "part")
+    placed = stage(placed, "scan-groups").df
+    sizes = placed.groupBy("part").agg((F.count(F.lit(1)) <= LOCAL_ROWS).alias("small"))
+    sized = placed.join(sizes, "part")
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        used1, used2, keep = set(), set(), []
+        for a, b in zip(pdf["k1"], pdf["k2"], strict=True):
+            free = not (pd.notna(a) and a in used1) and not (pd.notna(b) and b in used2)
+            keep.append(free)
+            if free:
+                used1.add(a)
+                used2.add(b)
+        return pdf.loc[keep, ["pos", "k1", "k2"]]
+
+    schema = T.StructType([rows.schema[c] for c in ("pos", "k1", "k2")])
+    solved = sized.where("small").groupBy("part").applyInPandas(replay, schema)
+    return solved, sized.where("NOT small").select("pos", "k1", "k2")
+
+
 def keep_set(members: DataFrame, policy: str = "first_seen", pattern: str | None = None) -> DataFrame:
     """Winner of each group: intact before degraded or orphaned, then the policy, then path and id.
 

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from sparkdocket.plans.staging import stage
 
 _CJK = r"぀-ヿ㐀-䶿一-鿿가-힯"
 _RUN = re.compile(rf"[{_CJK}]+|[^\W{_CJK}]+")
+#: Buckets of more classes are compared block by block.
+SHORT = 24
 _ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍﻿"))
 
 
@@ -56,7 +59,8 @@ def shingles(text: str, k: int = 5) -> tuple[set[str], int]:
 
 def signature(items: set[str], slots: int = 128, seed: int = 1) -> np.ndarray:
     """Unsigned minima over a SplitMix64 stream per shingle."""
-    base = np.array([int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "big") ^ seed for s in items], np.uint64)
+    digests = b"".join([hashlib.sha256(s.encode()).digest()[:8] for s in items])
+    base = np.frombuffer(digests, ">u8").astype(np.uint64) ^ np.uint64(seed)
     low = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         step = np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +89,31 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 80, slo
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens int, sig array<long>")
 
 
+def _large_buckets(sized: DataFrame, sig: DataFrame, threshold: float, slots: int, block_rows: int = 300) -> DataFrame:
+    """Links inside buckets of many classes: compared block by block, a spanning forest per pair of blocks."""
+    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    placed = sized.select("cls", "band", "h", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(sig, "cls")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "h", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cls", "sig")
+    kind = sig.schema["cls"].dataType.simpleString()
+    least = int(np.ceil(threshold * slots - 1e-9))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls")
+        m = np.stack(pdf["sig"].to_numpy())
+        label = np.arange(len(m))
+        hit = np.stack([(m == row).sum(axis=1) >= least for row in m])
+        while True:
+            low = np.minimum(label, np.where(hit, label[None, :], len(m)).min(axis=1))
+            low = np.minimum(low, low[low])
+            if (low == label).all():
+                break
+            label = low
+        cls, own = pdf["cls"].to_numpy(), label != np.arange(len(m))
+        return pd.DataFrame({"x": cls[label[own]], "y": cls[own]})
+
+    return dealt.groupBy("band", "h", "bi", "bj").applyInPandas(compare, f"x {kind}, y {kind}")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, slots: int = 128) -> DataFrame:
     """``id, role, group_id, similarity``: pivot, member, unique or skipped.
 
@@ -97,11 +126,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = slots // bands
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("sig", k * rows + 1, rows)).alias("h")) for k in range(bands)])
     banded = classes.df.select("cls", F.explode(keys).alias("k")).select("cls", "k.band", "k.h")
-    pairs = banded.alias("a").join(banded.alias("b"), ["band", "h"]).where(F.col("a.cls") < F.col("b.cls")).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
+    banded = stage(banded, "nd-banded").df
+    sizes = stage(banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nd-sizes").df
+    sized = banded.join(sizes, ["band", "h"])
+    few = sized.where(F.col("size") <= SHORT)
+    pairs = few.alias("a").join(few.alias("b"), ["band", "h"]).where(F.col("a.cls") < F.col("b.cls")).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
     sig = classes.df.select("cls", "sig")
     equal = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(slots))
     both = pairs.join(sig.select(F.col("cls").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("cls").alias("y"), F.col("sig").alias("sy")), "y")
-    edges = stage(both.where(equal(F.col("sx"), F.col("sy")) >= threshold).select("x", "y"), "nd-edges")
+    many = _large_buckets(sized.where(F.col("size") > SHORT), sig, threshold, slots)
+    edges = stage(both.where(equal(F.col("sx"), F.col("sy")) >= threshold).select("x", "y").union(many), "nd-edges")
     parts = connected_components(edges.df, "x", "y").withColumnRenamed("vertex", "cls")
     grouped = seen.join(classes.df.select("sig", "cls"), "sig").join(parts, "cls", "left").withColumn("part", F.coalesce("component", "cls"))
     pivots = grouped.groupBy("part").agg(F.min(F.struct((-F.col("tokens")).alias("t"), "id"))["id"].alias("pivot"))

@@ -83,13 +83,17 @@ def conversations(messages: DataFrame, hits: DataFrame | None = None) -> DataFra
 
 
 def around(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
-    """Messages around anchors (``conv_id, anchor``) by place in their conversation.
+    """Messages around anchors (``conv_id, anchor``) by their distance in position.
 
-    Places are found per anchor by counting, so a very long conversation is never
-    sorted in one task: a message's distance is bounded by the range join on position.
+    Positions fall into stretches as wide as a window, of which a window meets two at
+    most: the join is on conversation and stretch, so that neither a long conversation
+    nor many anchors in one meet as a whole.
     """
-    m = messages.select("conv_id", "position", "item_id")
-    near = m.join(anchors, "conv_id").withColumn("gap", F.col("position") - F.col("anchor")).where(F.col("gap").between(-before, after))
+    width = before + after + 1
+    stretch = lambda c: F.floor(c / width)
+    m = messages.select("conv_id", "position", "item_id", stretch(F.col("position")).alias("stretch"))
+    wide = anchors.select("conv_id", "anchor", F.explode(F.sequence(stretch(F.col("anchor") - before), stretch(F.col("anchor") + after))).alias("stretch"))
+    near = m.join(wide, ["conv_id", "stretch"]).withColumn("gap", F.col("position") - F.col("anchor")).where(F.col("gap").between(-before, after))
     return near.select("conv_id", "anchor", "item_id", "gap")
 
 

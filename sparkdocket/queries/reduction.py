@@ -113,8 +113,8 @@ ORACLE = {
         CAST(coalesce(sum(size_bytes) FILTER (item_id <> group_id), 0) AS BIGINT) AS saved_bytes, count(*) FILTER (hash_conflict) AS n_conflicts FROM roles GROUP BY 1""",
     "duplicate_listing": f"""WITH {ROLES_SQL} SELECT r.item_id, a.source AS path, a.n_chars AS size_bytes, r.group_id AS original_id, b.source AS original_path, b.n_chars AS original_size
         FROM roles r JOIN documents a ON a.doc_id = r.item_id JOIN documents b ON b.doc_id = r.group_id WHERE r.item_id <> r.group_id""",
-    "content_hash": r"""SELECT doc_id, sha256(lower(lang) || '|' || doc_id || '|' || lower(trim(source)) || '|' || substr(lower(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r]', '', 'g')), 1, 4096)
-        || '|' || lower(source) || ':' || n_chars || ';') AS content_hash, md5(lower(source)) AS mih FROM documents""",
+    "content_hash": r"""SELECT doc_id, sha256(encode(lower(lang) || '|' || doc_id || '|' || lower(trim(source)) || '|') || unhex(left(hex(encode(lower(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r]', '', 'g')))), 8192))
+        || encode('|' || lower(source) || ':' || n_chars || ';')) AS content_hash, md5(lower(source)) AS mih FROM documents""",
     "scan_replay": """WITH RECURSIVE k AS (SELECT event_id, user_id || '/' || event_type AS k1, CAST(floor(value) AS BIGINT) || '/' || strftime(ts, '%Y-%m-%d') AS k2 FROM events),
         o AS (SELECT min(event_id) AS pos, k1, k2 FROM k GROUP BY k1, k2),
         n AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM o),

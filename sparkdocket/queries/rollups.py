@@ -83,22 +83,23 @@ def conversation_around(spark, sf_dir):
 
 def _coverage(bucket):
     def run(spark, sf_dir):
-        e = adapt.table(spark, sf_dir, "events").select(F.col("ts").alias("at"))
-        rare = e.where(F.dayofmonth("at") <= 27)
-        return r.date_coverage(rare, "2023-12-15", "2024-12-31", bucket)
+        return r.date_coverage(adapt.table(spark, sf_dir, "events").select(F.col("ts").alias("at")), "2023-12-15", "2024-12-31", bucket)
 
     return run
 
 
 def date_coverage_weekday_holes(spark, sf_dir):
-    """Order dates of one clerk-like slice by priority; weeks without any between weeks with some."""
-    o = adapt.table(spark, sf_dir, "orders").where("o_totalprice > 540000").select(F.col("o_orderdate").alias("at"))
-    return r.date_coverage(o, "1992-01-01", "1998-12-31", "week")
+    """Order dates spread out seventeen times, so that weeks stay empty between others."""
+    days = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")) * 17
+    o = adapt.table(spark, sf_dir, "orders").select(F.date_add(F.lit("1900-01-01").cast("date"), days.cast("int")).cast("timestamp").alias("at"))
+    return r.date_coverage(o, "1900-01-01", "2075-12-31", "week")
 
 
 def gap_roster(spark, sf_dir):
-    expected = adapt.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name")).union(spark.createDataFrame([("99",)], "name string"))
-    c = adapt.table(spark, sf_dir, "customer").where("c_nationkey <> 7").groupBy(F.when(F.col("c_nationkey") == 3, " 3x ").otherwise(F.col("c_nationkey").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    """Nations as expected custodians, two of them by other names than customers have them."""
+    name = F.when(F.col("n_nationkey") == 7, "99").otherwise(F.col("n_nationkey").cast("string"))
+    expected = adapt.table(spark, sf_dir, "nation").select(name.alias("name"))
+    c = adapt.table(spark, sf_dir, "customer").groupBy(F.when(F.col("c_nationkey") == 3, " 3x ").otherwise(F.col("c_nationkey").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return gap.roster(expected, c)
 
 
@@ -156,6 +157,17 @@ def privilege_family_consistency(spark, sf_dir):
     return qc.family_consistency(i, i.where("file_category = 'A'").select("item_id"))
 
 
+def audit_events(spark, sf_dir):
+    """Each event of the chain with whether its link and its digest hold; digests cover the whole event."""
+    e = adapt.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type")
+    own = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "event_type"), 256)
+    before = e.select((F.col("seq") + 1).alias("seq"), own.alias("before"))
+    linked = e.join(before, "seq", "left").withColumn("prev_hash", F.when(F.col("event_type") == "error", F.lit("broken")).otherwise(F.col("before")))
+    good = audit.entry_hash(F.col("prev_hash"), F.col("user_id"))
+    rows = linked.select("seq", "user_id", "prev_hash", F.when(F.col("event_type") == "purchase", F.lit("forged")).otherwise(good).alias("entry_hash"))
+    return audit.verify_chain(rows, ["user_id"])
+
+
 def audit_chain_verify(spark, sf_dir):
     """Events as audit rows.  Each names a digest of its predecessor's own row; every refund breaks its link."""
     e = adapt.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -199,7 +211,7 @@ QUERIES = {
     "conversation_list": conversation_list, "conversation_all": conversation_all, "conversation_around": conversation_around,
     "date_coverage_week": _coverage("week"), "date_coverage_month": _coverage("month"), "date_coverage_holes": date_coverage_weekday_holes,
     "gap_roster": gap_roster, "gap_match_cascade": gap_match_cascade, "gap_unexpected": gap_unexpected, "qc_findings": qc_findings, "qc_rollup": qc_rollup, "qc_gate": qc_gate,
-    "privilege_family_consistency": privilege_family_consistency, "audit_chain_verify": audit_chain_verify,
+    "privilege_family_consistency": privilege_family_consistency, "audit_chain_verify": audit_chain_verify, "audit_events": audit_events,
 }
 ORACLE = {
     "overview_totals": f"WITH {adapt.ORDER_ITEMS_SQL} SELECT count(*) AS items, count(*) FILTER (role <> 'attachment') AS top_level, CAST(sum(size_bytes) FILTER (role <> 'attachment') AS BIGINT) AS top_level_bytes, count(*) FILTER (role = 'parent') AS families FROM items",
@@ -219,15 +231,18 @@ ORACLE = {
     "conversation_all": "SELECT conv_id, count(*) AS n_messages, 0::BIGINT AS n_hits, min(turn) AS first_at, max(turn) AS last_at FROM conversations GROUP BY 1",
     "conversation_around": """WITH a AS (SELECT conv_id, max(turn) AS anchor FROM conversations WHERE role = 'user' GROUP BY 1)
         SELECT conv_id, anchor, conv_id || '-' || turn AS item_id, turn - anchor AS gap FROM conversations JOIN a USING (conv_id) WHERE turn - anchor BETWEEN -2 AND 1""",
-    "date_coverage_week": _COVER("SELECT ts AS seen FROM events WHERE day(ts) <= 27", "2023-12-15", "2024-12-31", "week", "7 DAY"), "date_coverage_month": _COVER("SELECT ts AS seen FROM events WHERE day(ts) <= 27", "2023-12-15", "2024-12-31", "month", "1 MONTH"),
-    "date_coverage_holes": _COVER("SELECT o_orderdate AS seen FROM orders WHERE o_totalprice > 540000", "1992-01-01", "1998-12-31", "week", "7 DAY"),
-    "gap_roster": """WITH w AS (SELECT CAST(n_nationkey AS VARCHAR) AS name FROM nation UNION SELECT '99'), h AS (SELECT CASE WHEN c_nationkey = 3 THEN '3x' ELSE CAST(c_nationkey AS VARCHAR) END AS name, count(*) AS n FROM customer WHERE c_nationkey <> 7 GROUP BY 1)
+    "date_coverage_week": _COVER("SELECT ts AS seen FROM events", "2023-12-15", "2024-12-31", "week", "7 DAY"), "date_coverage_month": _COVER("SELECT ts AS seen FROM events", "2023-12-15", "2024-12-31", "month", "1 MONTH"),
+    "date_coverage_holes": _COVER("SELECT DATE '1900-01-01' + CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 17 AS INT) AS seen FROM orders", "1900-01-01", "2075-12-31", "week", "7 DAY"),
+    "gap_roster": """WITH w AS (SELECT CASE WHEN n_nationkey = 7 THEN '99' ELSE CAST(n_nationkey AS VARCHAR) END AS name FROM nation), h AS (SELECT CASE WHEN c_nationkey = 3 THEN '3x' ELSE CAST(c_nationkey AS VARCHAR) END AS name, count(*) AS n FROM customer GROUP BY 1)
         SELECT coalesce(w.name, h.name) AS name, CASE WHEN w.name IS NULL THEN 'unexpected' ELSE 'missing' END AS finding, coalesce(n, 0) AS n FROM w FULL JOIN h ON w.name = h.name WHERE w.name IS NULL OR h.name IS NULL""",
     "gap_match_cascade": f"{_GAP} SELECT id, matched_by, present_id FROM m",
     "gap_unexpected": f"{_GAP} SELECT id FROM p WHERE id NOT IN (SELECT present_id FROM m WHERE present_id IS NOT NULL)",
     "qc_findings": f"{_QC} SELECT * FROM found", "qc_rollup": f"{_QC} SELECT rule, severity, count(*) AS n FROM found GROUP BY 1, 2",
     "qc_gate": f"{_QC}, g AS (SELECT rule, CASE WHEN rule = 'zero_size' THEN 'error' ELSE severity END AS severity FROM found WHERE rule <> 'text_missing') SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed FROM g",
     "privilege_family_consistency": f"WITH {adapt.ORDER_ITEMS_SQL} SELECT family_id, count(*) AS members, count(*) FILTER (file_category = 'A') AS privileged FROM items GROUP BY 1 HAVING privileged > 0 AND privileged < members",
+    "audit_events": """WITH e AS (SELECT event_id AS seq, user_id, event_type, sha256(event_id || '|' || event_type) AS own FROM events), l AS (SELECT e.*, CASE WHEN e.event_type = 'error' THEN 'broken' ELSE b.own END AS prev_hash FROM e LEFT JOIN e b ON b.seq + 1 = e.seq),
+        h AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'forged' ELSE sha256(coalesce(prev_hash, '') || chr(10) || user_id) END AS entry_hash FROM l)
+        SELECT h.seq, h.prev_hash IS NOT DISTINCT FROM p.entry_hash AS link_ok, h.entry_hash = sha256(coalesce(h.prev_hash, '') || chr(10) || h.user_id) AS hash_ok FROM h LEFT JOIN h p ON p.seq + 1 = h.seq""",
     "audit_chain_verify": """WITH m AS (SELECT event_id AS seq, event_type, sha256(event_id || '|' || event_type) AS own FROM events), j AS (SELECT m.*, b.own AS prev FROM m LEFT JOIN m b ON b.seq + 1 = m.seq)
         SELECT (CASE WHEN event_type = 'purchase' THEN 'broken' ELSE prev END) IS NOT DISTINCT FROM prev AS link_ok, count(*) AS n, 0::BIGINT AS n_hash_ok FROM j GROUP BY 1""",
 }

@@ -77,6 +77,18 @@ def semantic_prefiltered(spark, sf_dir):
     return t.semantic_search(e, _query_vector(spark, sf_dir), "vec_id", "embedding", e.where("label = 3"), 0.05)
 
 
+def semantic_top(spark, sf_dir):
+    """Every vector whose id is divisible by 100 against all: the 50 best of each, a top-k report."""
+    e = adapt.table(spark, sf_dir, "embeddings")
+    return t.search_vectors(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
+def semantic_all_scores(spark, sf_dir):
+    """All scores of at least 0.05 inside one label, for each of those queries."""
+    e = adapt.table(spark, sf_dir, "embeddings")
+    return t.search_vectors(e.where("label = 3"), e.where("vec_id % 100 = 0"), "vec_id", "embedding", best=None, min_score=0.05)
+
+
 def sentiment_aggregate(spark, sf_dir):
     """Event values, scaled to [-1, 1], as unit scores of users."""
     e = adapt.table(spark, sf_dir, "events")
@@ -134,10 +146,14 @@ _MERGED = """x AS (SELECT DISTINCT l_orderkey AS key, l_linenumber * 20 + CAST(l
   m AS (SELECT key, min(s) AS s, max(e) AS e FROM z GROUP BY key, island)"""
 QUERIES = {
     "entity_hits": entity_hits, "entity_counts": entity_counts, "entity_flags": entity_flags, "classify_pages": classify_pages, "html_strip": html_strip, "chunk_documents": chunk_documents, "chunk_documents_whole": chunk_documents_whole,
-    "tfidf_by_source": tfidf_by_source, "cluster_labels": cluster_labels, "bm25_search": bm25_search, "semantic_scores": semantic_scores, "semantic_prefiltered": semantic_prefiltered,
+    "tfidf_by_source": tfidf_by_source, "cluster_labels": cluster_labels, "bm25_search": bm25_search, "semantic_scores": semantic_scores, "semantic_prefiltered": semantic_prefiltered, "semantic_top": semantic_top, "semantic_all_scores": semantic_all_scores,
     "sentiment_aggregate": sentiment_aggregate, "redact_merge": redact_merge, "redact_text": redact_text, "citation_verify": citation_verify, "dat_encode": dat_encode, "bytes_labels": bytes_labels, "near_dup_minhash": near_dup_minhash,
 }
+_PAIRS = """p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
 ORACLE = {
+    "semantic_top": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50",
+    "semantic_all_scores": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE label = 3 AND score >= 0.05",
     "entity_hits": f"{_HITS} SELECT doc_id, entity_type, masked, match_hash FROM h",
     "entity_counts": f"{_HITS} SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT match_hash) AS n_values FROM h GROUP BY 1",
     "entity_flags": f"{_HITS} SELECT doc_id, CAST(bit_or(CASE entity_type WHEN 'email' THEN 1 WHEN 'phone' THEN 2 WHEN 'ssn' THEN 4 WHEN 'card' THEN 8 ELSE 16 END) AS BIGINT) AS flags, count(*) AS n_hits FROM h GROUP BY 1",
