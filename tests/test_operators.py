@@ -108,3 +108,126 @@ def test_chunks_reach_the_end_of_a_long_text(spark):
     got = chunk_text(df, "id", "text").orderBy("ordinal").collect()
     assert len(got) == 147 and got[-1].end == 100_000 and {r.dropped for r in got} == {0}
     assert {r.dropped for r in chunk_text(df, "id", "text", most=48).collect()} == {99}
+
+
+def test_replay_of_chains(spark, monkeypatch):
+    """Rows linked in a chain, one unique row a round, settle in a bounded number of rounds; large groups go on in rounds."""
+    import random
+
+    from sparkdocket.operators import dedupe
+
+    rng = random.Random(4)
+    rows = [(k, f"a{k // 2}", f"b{(k + 1) // 2}") for k in range(60)] + [(100 + k, f"c{rng.randrange(9)}", None if rng.random() < 0.2 else f"d{rng.randrange(9)}") for k in range(60)] + [(500, None, None), (501, None, "b3"), (502, None, None)]
+    used1, used2, want = {}, {}, {}
+    for pos, a, b in sorted(rows):
+        if a in used1:
+            want[pos] = ("key1", used1[a])
+        elif b in used2:
+            want[pos] = ("key2", used2[b])
+        else:
+            want[pos] = ("none", pos)
+            used1 |= {a: pos} if a is not None else {}
+            used2 |= {b: pos} if b is not None else {}
+    df = spark.createDataFrame(rows, "pos long, k1 string, k2 string")
+    for rounds, most in ((2, 200_000), (3, 50)):
+        monkeypatch.setattr(dedupe, "ROUNDS", rounds)
+        monkeypatch.setattr(dedupe, "LOCAL_ROWS", most)
+        got = {r.pos: (r.tier, r.original) for r in dedupe.replay_scan(df, "k1", "k2", "pos").collect() if r.pos not in (500, 502)}
+        assert got == {k: v for k, v in want.items() if k not in (500, 502)}
+
+
+def test_near_duplicate_groups(spark, monkeypatch):
+    """Groups against pairwise comparison of the same signatures, with small and with large buckets."""
+    import random
+
+    import numpy as np
+
+    from sparkdocket.operators import neardup
+
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for b in base:
+        for _ in range(12):
+            w = list(b)
+            w[rng.randrange(60)] = "edit"
+            texts.append(" ".join(w))
+    texts += [texts[0], "short", None, "", " ".join(f"z{k}" for k in range(40))]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sigs = {}
+    for k, t in enumerate(texts):
+        p = neardup.prepared(t)
+        found, n = neardup.shingles(p) if len(p) >= 80 else (set(), 0)
+        if found:
+            sigs[k] = (neardup.signature(found), n)
+    root = {k: k for k in sigs}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sigs:
+        for b in sigs:
+            x, y = sigs[a][0], sigs[b][0]
+            banded = any((x[i : i + 8] == y[i : i + 8]).all() for i in range(0, 128, 8))
+            if a < b and banded and (x == y).mean() >= 0.8:
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    want = {}
+    for k in range(len(texts)):
+        if k not in sigs:
+            want[k] = ("skipped", None)
+            continue
+        group = [m for m in sigs if find(m) == find(k)]
+        pivot = min(group, key=lambda m: (-sigs[m][1], m))
+        near = [m for m in group if (sigs[m][0] == sigs[pivot][0]).mean() >= 0.8]
+        want[k] = ("unique", None) if k not in near or len(near) < 2 else ("pivot" if k == pivot else "member", pivot)
+    for short in (24, 2):
+        monkeypatch.setattr(neardup, "SHORT", short)
+        got = {r.doc_id: (r.role, r.group_id) for r in neardup.near_duplicates(df).collect()}
+        assert got == want
+    assert any(v[0] == "member" for v in want.values()) and np.uint64(1)
+
+
+def test_messages_around_many_anchors(spark):
+    rows = [(c, p, f"{c}-{p}") for c in (1, 2) for p in range(50)]
+    anchors = [(1, a) for a in range(0, 50, 3)] + [(2, 49), (3, 1)]
+    got = {(r.conv_id, r.anchor, r.item_id, r.gap) for r in rollups.around(spark.createDataFrame(rows, "conv_id int, position int, item_id string"), spark.createDataFrame(anchors, "conv_id int, anchor int"), 4, 2).collect()}
+    assert got == {(c, a, i, p - a) for c, p, i in rows for d, a in anchors if c == d and -4 <= p - a <= 2}
+
+
+def test_marks_refuse_and_keyword_queries_check(spark):
+    from sparkdocket.operators import keyword as kw
+    from sparkdocket.operators import marks as mk
+
+    codes = spark.createDataFrame([(1, "a"), (2, "b")], "item_id int, code string")
+    ids = codes.select("item_id")
+    with pytest.raises(ValueError):
+        mk.apply_codes(codes, ids, ["a"], ["a"])
+    with pytest.raises(ValueError):
+        mk.apply_codes(codes, ids, ["a", "b"], [], {"g": ["a", "b"]})
+    assert {tuple(r) for r in mk.apply_codes(codes, ids.where("item_id = 1"), ["b"], [], {"g": ["a", "b"]}).collect()} == {(1, "b"), (2, "b")}
+    posts = kw.postings(spark.createDataFrame([(1, "Jo@Mail.example, the cat"), (2, "東京都 cat"), (3, None)], "item_id int, t string"), "item_id", {"body": F.col("t")})
+    assert {(r.item_id, r.pos, r.term) for r in posts.collect()} == {(1, 0, "jo@mail.example"), (1, 1, "the"), (1, 2, "cat"), (2, 0, "東京"), (2, 1, "京都"), (2, 2, "cat")}
+    for bad in ({}, {"none": ["x"]}, {"all": ["?"]}, {"all": ["x"], "or": ["y"]}, {"all": [{"text": "x", "fields": "y"}]}):
+        with pytest.raises(ValueError):
+            kw.matching(posts, "item_id", bad)
+    assert [r.item_id for r in kw.matching(posts, "item_id", {"all": ["東京都"]}).collect()] == [2]
+    assert [r.item_id for r in kw.search(posts, "item_id", {"all": [{"text": "the cat", "phrase": True}]}).collect()] == [1]
+
+
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    from sparkdocket.operators import text as tx
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 6))
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)] + [(900, None), (901, [0.0] * 6), (902, [1.0, 2.0]), (903, [None] * 6)], "vec_id long, e array<double>").repartition(5)
+    q = df.where("vec_id % 10 = 0")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, int(b)) for a in range(0, 120, 10) for b in sorted(range(120), key=lambda b: (-round(float(unit[a] @ unit[b]), 6), b))[:7]}
+    got = tx.search_vectors(df, q, "vec_id", "e", best=7, block=5).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == want
+    assert tx.search_vectors(df.limit(0), q, "vec_id", "e").count() == 0 and tx.search_vectors(df, q.limit(0), "vec_id", "e").count() == 0
