@@ -171,11 +171,14 @@ _FIELDS = [
 
 
 def _searcher(table, text_col: str):
-    """What a pass computes for a batch of texts."""
+    """What a task of a pass computes for each batch of texts."""
     arrow_span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+    def per_task():
         known = WordHashes()
+        return lambda batch: compute(batch, known)
+
+    def compute(batch: pa.RecordBatch, known: WordHashes) -> list[pa.Array]:
         n_words, n_hit, items, spans = [], [], [], []
         for text in texts_as_bytes(batch, text_col):
             words = words_of(text)
@@ -189,7 +192,7 @@ def _searcher(table, text_col: str):
             pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(arrow_span)),
         ]
 
-    return compute
+    return per_task
 
 
 def find_contamination(
@@ -236,14 +239,14 @@ def find_contamination(
     first, second = next(made, None) or WindowTable([], window), next(made, None)
     if second is None:
         only = spark.sparkContext.broadcast(first)
-        return add_columns(docs, _FIELDS, _searcher(only, text_col), keep=through)
+        return add_columns(docs, _FIELDS, keep=through, per_task=_searcher(only, text_col))
     slim = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(through)], F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     numbered = stage(slim, "leak-docs").df
     passes: list[DataFrame] = []
     words = None
     while first is not None:
         shared = spark.sparkContext.broadcast(first)
-        hits = add_columns(numbered.select("_row", "_text"), _FIELDS, _searcher(shared, "_text"), keep=["_row"])
+        hits = add_columns(numbered.select("_row", "_text"), _FIELDS, keep=["_row"], per_task=_searcher(shared, "_text"))
         if words is None:  # the first pass counts the words of all rows
             words = stage(hits, "leak-pass").df
             passes.append(words.where("n_hit > 0"))
