@@ -10,6 +10,32 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def decode_zip_name(raw: bytes | None, utf8: bool | None) -> str | None:
+    """An entry's name: UTF-8 where flagged or valid, else code page 437 if a byte of 0x80 to 0x9F occurs, else Windows-1252."""
+    if raw is None:
+        return None
+    if utf8:
+        return raw.decode("utf-8", "replace")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("cp437" if any(0x80 <= b <= 0x9F for b in raw) else "cp1252", "replace")
+
+
+def decode_zip_names(df: DataFrame, raw_col: str, flag_col: str, out_col: str = "name") -> DataFrame:
+    """Add the decoded names of raw entry names, batch by batch."""
+    fields = [*df.schema.fields, T.StructField(out_col, T.StringType())]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [decode_zip_name(r, f) for r, f in zip(b.column(raw_col).to_pylist(), b.column(flag_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=names)
+
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def expand_zip(files: DataFrame, max_depth: int = 8, max_entries: int = 500_000, max_entry_bytes: int = 1 << 31) -> DataFrame:
@@ -17,22 +43,24 @@ def expand_zip(files: DataFrame, max_depth: int = 8, max_entries: int = 500_000,
 
     ``files`` has ``path`` and ``content``, as the binaryFile reader gives.  Entries
     are read one at a time; what cannot be read, is encrypted or breaks a limit
-    gives a row with its problem and no content.
+    gives a row with its problem and no content.  ``max_entries`` counts the leaves
+    of an archive together with those of all archives inside it.
     """
 
-    def walk(prefix: str, raw: bytes, depth: int):
+    def walk(prefix: str, raw: bytes, depth: int, seen: list[int]):
         try:
             z = zipfile.ZipFile(io.BytesIO(raw))
         except zipfile.BadZipFile:
             yield prefix, None, "bad archive"
             return
-        for n, info in enumerate(sorted(z.infolist(), key=lambda i: i.filename)):
+        for info in sorted(z.infolist(), key=lambda i: i.filename):
             name = f"{prefix}/{info.filename}" if prefix else info.filename
             if info.is_dir():
                 continue
-            if n >= max_entries:
+            if seen[0] >= max_entries:
                 yield name, None, "too many entries"
                 return
+            seen[0] += 1
             if info.filename.startswith("/") or ".." in info.filename.split("/"):
                 yield name, None, "unsafe path"
             elif info.file_size > max_entry_bytes or info.file_size > 100 * max(1, info.compress_size) and info.file_size > 1 << 20:
@@ -44,14 +72,15 @@ def expand_zip(files: DataFrame, max_depth: int = 8, max_entries: int = 500_000,
                     yield name, None, str(e)[:100]
                     continue
                 if info.filename.lower().endswith(".zip") and depth < max_depth:
-                    yield from walk(name, data, depth + 1)
+                    seen[0] -= 1
+                    yield from walk(name, data, depth + 1, seen)
                 else:
                     yield name, data, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for name, data, problem in walk("", raw, 1):
+                for name, data, problem in walk("", raw, 1, [0]):
                     size = None if data is None else len(data)
                     yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([size], pa.int64()), pa.array([data], pa.binary()), pa.array([problem], pa.string())], names=["archive", "path", "size", "content", "problem"])
 

@@ -29,6 +29,55 @@ def parse_chat_json(df: DataFrame, json_col: str, key: str) -> DataFrame:
     return out.where("body IS NOT NULL OR message_id IS NOT NULL").withColumn("sent_at", norm.parsed_time(F.col("sent_raw")))
 
 
+MOST_MESSAGES = 50_000
+
+
+def parse_chat_html(df: DataFrame, html_col: str, key: str) -> DataFrame:
+    """One row per message of an exported conversation page, or one row with its ``problem``.
+
+    The page's root has class ``chat-conversation`` with ``data-team``,
+    ``data-channel`` and ``data-type``; a message is a block of class
+    ``chat-message`` with ``data-id``, ``data-from``, ``data-sent`` and
+    ``data-thread``, a part of class ``body``, and lists of class ``reactions`` and
+    ``attachments``, whose entries are lines after the text.  Tags go.  A page
+    without root or messages, or with more than ``MOST_MESSAGES``, is a problem.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    pieces = F.split(html, r'<div class="chat-message"', -1)
+    root = F.regexp_extract(F.col("pieces")[0], r'<div class="chat-conversation"([^>]*)>', 1)
+    attribute = lambda c, n: F.nullif(norm.strip_html(F.regexp_extract(c, rf'data-{n}="([^"]*)"', 1)), F.lit(""))
+    entries = lambda c, n: F.transform(F.regexp_extract_all(F.regexp_extract(c, rf'(?s)<ul class="{n}">(.*?)</ul>', 1), F.lit("(?s)<li>(.*?)</li>"), F.lit(1)), norm.strip_html)
+    base = df.select(key, html.contains('class="chat-conversation"').alias("rooted"), pieces.alias("pieces")).withColumn("n", F.size("pieces") - 1)
+    problem = F.when(~F.col("rooted"), "no conversation").when(F.col("n") == 0, "no messages").when(F.col("n") > MOST_MESSAGES, "too many messages")
+    base = base.withColumns({"problem": problem, "team": attribute(root, "team"), "channel": attribute(root, "channel"), "chat_type": attribute(root, "type")})
+    m = F.col("m")
+    body = norm.strip_html(F.regexp_extract(m, r'(?s)<div class="body">(.*?)</div>', 1))
+    rows = base.where("problem IS NULL").select(key, "team", "channel", "chat_type", F.posexplode(F.slice("pieces", F.lit(2), F.col("n"))).alias("pos", "m"))
+    good = rows.select(
+        key, "pos", attribute(m, "id").alias("message_id"), attribute(m, "from").alias("author"), attribute(m, "sent").alias("sent_raw"), attribute(m, "thread").alias("thread_key"), "team", "channel", "chat_type",
+        F.array_join(F.concat(F.array(body), entries(m, "reactions"), entries(m, "attachments")), "\n").alias("body"), F.lit(None).cast("string").alias("problem"),
+    )
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema.fields if f.name not in (key, "problem")]
+    bad = base.where("problem IS NOT NULL").select(key, *empty, "problem")
+    return good.unionByName(bad)
+
+
+def chat_fields(message_class: Column, folder: Column, subject: Column, text: Column, team: Column, channel: Column) -> Column:
+    """Struct ``is_chat, team, channel, text`` of a mailbox message.
+
+    A message is chat by its class or its folder; team and channel are the given
+    hints, else the folders after one whose name has "team chat"; text falls back to
+    the subject.
+    """
+    steps = F.split(F.coalesce(folder, F.lit("")), "/")
+    at = F.array_position(F.transform(steps, lambda s: F.lower(s).contains("team chat")), True)
+    named = lambda n: F.when(at > 0, F.nullif(F.trim(F.try_element_at(steps, (at + n).cast("int"))), F.lit("")))
+    is_chat = F.lower(F.coalesce(message_class, F.lit(""))).rlike("skypeteams|\\.chat") | (at > 0)
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    pick = lambda c: F.when(is_chat, c)
+    return F.struct(is_chat.alias("is_chat"), pick(F.coalesce(blank(team), named(1))).alias("team"), pick(F.coalesce(blank(channel), named(2))).alias("channel"), F.coalesce(blank(text), pick(blank(subject))).alias("text"))
+
+
 def day_bucket(t: Column) -> Column:
     return F.coalesce(F.date_format(t, "yyyy-MM-dd"), F.lit("unknown"))
 
