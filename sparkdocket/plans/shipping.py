@@ -16,7 +16,7 @@ from functools import wraps
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def ship(spark: SparkSession) -> None:

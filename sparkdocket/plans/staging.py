@@ -45,11 +45,11 @@ class Staged:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> Staged:
+def stage(df: DataFrame, label: str, codec: str = "lz4_raw") -> Staged:
     """Write ``df`` as Parquet to the shared folder; later steps read the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    # Small row groups: a writer buffers one per open file.
+    # Small row groups: a writer buffers one per open file.  The codec needs no memory outside the heap to speak of.
     df.write.option("compression", codec).option("parquet.block.size", 32 << 20).parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
