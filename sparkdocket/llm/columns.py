@@ -49,7 +49,7 @@ def texts_as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20):
     """Small Arrow batches for the jobs that run inside; the session's settings return after."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {k: spark.conf.get(k, None) for k in wanted}
