@@ -43,6 +43,8 @@ def write_archive(
     id_col: str = "page_id",
     uri_col: str = "url",
     payload_col: str = "html",
+    date_col: str | None = None,
+    date: str = "1970-01-01T00:00:00Z",
     min_revisit_bytes: int = 0,
 ) -> Archive:
     """Write one WARC record per row of ``pages``.
@@ -52,11 +54,14 @@ def write_archive(
     ``revisit`` records of it; rows that repeat that smallest id are all
     responses, and a null id is never the smallest unless all are null (then all
     are responses).  Shorter payloads are always responses.  A null payload is
-    empty, a null uri gives a record without a target.
+    empty, a null uri gives a record without a target.  The time of capture is that
+    of ``date_col`` (a timestamp), or ``date`` where there is none.  Other columns
+    are left out, and an empty table gives an empty archive.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    base = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload")).select(
-        "id", "uri", "payload",
+    captured = F.lit(None).cast("string") if date_col is None else F.date_format(F.to_utc_timestamp(date_col, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    base = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.coalesce(captured, F.lit(date)).alias("date"), payload.alias("payload")).select(
+        "id", "uri", "date", "payload",
         F.sha2("payload", 256).alias("sha256"),
         base32_of_hex(F.sha1("payload")).alias("sha1"),
         F.octet_length("payload").cast("long").alias("bytes"),
@@ -75,6 +80,7 @@ def write_archive(
         F.lit("WARC/1.1" + _EOL),
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", name(F.col("id"))),
+        line("WARC-Date", F.col("date")),
         F.when(F.col("uri").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", uri)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(
@@ -103,7 +109,8 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """Reconstruct each record: its parsed fields, full payload and raw bytes.
 
     Revisits get the payload of the record they refer to.  ``intact`` is false
-    where the stored bytes no longer have their digest.
+    where the stored bytes no longer have their digest, ``complete`` where the raw
+    record is not as long as its header says.
     """
     payloads = spark.read.parquet(archive.payloads).select(
         F.col("sha256").alias("address"), "payload",
@@ -117,11 +124,13 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     joined = spark.read.parquet(archive.records).join(payloads, F.col("sha256") == F.col("address"), "left")
     kind = field("WARC-Type")
     body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
+    raw = F.concat(F.col("header_block").cast("binary"), body, F.lit(b"\r\n\r\n"))
+    head = F.octet_length(F.substring_index("header_block", _EOL + _EOL, 1)) + 4
     return joined.select(
         "record_key", "header_block", kind.alias("record_type"), plain.alias("uri"), "payload", "payload_bytes",
         F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
         key(field("WARC-Refers-To")).alias("refers_to"),
-        F.concat(F.col("header_block").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("raw_record"),
+        raw.alias("raw_record"), F.coalesce(F.octet_length(raw) == head + field("Content-Length").cast("long") + 4, F.lit(False)).alias("complete"),
         (F.coalesce("strong_ok", F.lit(False)) & F.col("found_sha1").eqNullSafe(F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1))).alias("intact"),
     )
 
@@ -130,7 +139,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archive = write_archive(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     kind = pages.schema["page_id"].dataType
-    return read_archive(spark, archive).where(F.assert_true("intact", F.lit("a payload lost its digest")).isNull()).select(
+    return read_archive(spark, archive).where(F.assert_true(F.col("intact") & F.col("complete"), F.lit("a record is not as it was written")).isNull()).select(
         F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )

@@ -9,7 +9,8 @@ def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "kept out") for r in rows], "page_id long, url string, html string, payload string")
     archive = write_archive(pages, f"file://{tmp_path}/a")
     got = read_archive(spark, archive).collect()
-    assert len(got) == len(rows) and all(r.intact for r in got)
+    assert len(got) == len(rows) and all(r.intact and r.complete for r in got)
+    assert all("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in r.header_block for r in got)
     by = {}
     for r in got:
         by.setdefault(r.record_key, []).append(r)
@@ -30,6 +31,14 @@ def test_round_trip(spark, tmp_path):
     assert stored.count() == stored.select("sha256").distinct().count() == 4
 
 
+def test_capture_times(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "v", "cd")], "page_id long, url string, html string").withColumn("at", F.when(F.col("page_id") == 1, F.to_timestamp(F.lit("2024-02-03 04:05:06"))))
+    got = {r.record_key: r.header_block for r in read_archive(spark, write_archive(pages, f"file://{tmp_path}/d", date_col="at")).collect()}
+    assert "WARC-Date: 2024-02-03T04:05:06Z\r\n" in got[1] and "WARC-Date: 1970-01-01T00:00:00Z\r\n" in got[2]
+
+
 def test_short_payloads_are_responses_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     kinds = [r.record_type for r in read_archive(spark, write_archive(pages, f"file://{tmp_path}/b", min_revisit_bytes=3)).collect()]
