@@ -50,7 +50,7 @@ def path_of(url: Column) -> Column:
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The rule (host + path) that decides and its verdict; nulls where none fits.
 
-    The longest rule wins; of equally long ones the first in the list.
+    The longest rule wins; of equally long ones the last in the list.
     """
     name = verdict = F.lit(None).cast("string")
     for kind, rule_host, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):
@@ -120,7 +120,12 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
 
 
 def _training(labelled: DataFrame) -> DataFrame:
-    return labelled.where("url IS NOT NULL AND url <> ''").groupBy("kind", "url").agg(F.count(F.lit(1)).alias("copies"))
+    return _dealt(labelled.where("url IS NOT NULL AND url <> ''").groupBy("kind", "url").agg(F.count(F.lit(1)).alias("copies")))
+
+
+def _dealt(urls: DataFrame) -> DataFrame:
+    """URLs over all tasks: a small table becomes hundreds of times as many rows, one per character and context."""
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
 
 
 def fit_url_models(labelled: DataFrame, *, max_order: int = 5, min_context: int = 1) -> UrlModel:
@@ -178,7 +183,7 @@ def _scored_urls(pages: DataFrame, max_order: int, min_context: int) -> DataFram
     totals = grams.groupBy("context").agg(*sums)
 
     urls = pages.where("url IS NOT NULL AND url <> ''").select("url", "kind").distinct()
-    urls = stage(urls.withColumn("id", F.monotonically_increasing_id()), "url-texts").df
+    urls = stage(_dealt(urls).withColumn("id", F.monotonically_increasing_id()), "url-texts").df
     padded = F.concat(F.lit(_START), F.col("url"), F.lit(_END))
     at = F.col("at")
     spots = urls.select("id", padded.alias("padded"), F.explode(F.sequence(F.lit(2), F.length(padded))).alias("at"))
