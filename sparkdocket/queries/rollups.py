@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkdocket.operators import audit, gap, qc
 from sparkdocket.operators import rollups as r
 from sparkdocket.plans import items as adapt
+from sparkdocket.plans.staging import stage
 
 
 def _t(name):
@@ -127,11 +128,12 @@ def gap_unexpected(spark, sf_dir):
 
 def _qc_items(spark, sf_dir):
     i = adapt.order_items(spark, sf_dir)
-    return i.select(
+    slim = i.select(
         "item_id", "parent_item_id", "family_id", F.when(F.col("file_category") == "1-urgent", "email").when(F.col("file_category") == "N", "pdf").otherwise("other").alias("file_category"), "status",
         F.when(F.col("size_bytes") < 2000, 0).otherwise(F.col("size_bytes")).alias("size_bytes"), (F.col("size_bytes") > 320_000).alias("withheld"), (F.col("size_bytes") > 5000).alias("has_native"),
         (F.col("status") != "partial").alias("has_text"), (F.col("file_category") == "A").alias("needs_ocr"), F.when(F.col("size_bytes") < 3000, 1).alias("redaction_count"), F.lit(False).alias("redacted_ok"),
     )
+    return stage(slim, "qc-items").df  # each rule reads it
 
 
 def _selected(items):

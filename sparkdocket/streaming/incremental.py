@@ -13,15 +13,15 @@ _SEED = ["item_id", "role", "status", "path", "message_id", "logical_hash"]
 def dedupe_stream(items: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
     """A writer that appends ``items`` with roles to ``store`` (Parquet), batch by batch.
 
-    Earlier items seed the comparison, so a first-seen item stays unique for good.
-    A batch that runs again after a failure replaces its own partition.
+    Earlier unique items, the first of their keys, seed the comparison (the filter
+    reaches the files), so a first-seen item stays unique for good.  A batch that runs again after a failure replaces its own partition.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark: SparkSession = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(store)
         fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        seeds = spark.read.parquet(store).where(f"batch < {number}").select(*_SEED) if fs.exists(jpath) else None
+        seeds = spark.read.parquet(store).where(f"batch < {number} AND dedup_role = 'unique'").select(*_SEED) if fs.exists(jpath) else None
         roles = dedupe_items(df, seeds=seeds)
         df.select(*_SEED).join(roles, "item_id", "left").write.mode("overwrite").parquet(f"{store}/batch={number}")
 
