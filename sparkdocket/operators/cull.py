@@ -162,3 +162,10 @@ def number_production(items: DataFrame, prefix: str = "DOC", width: int = 7) ->
     kept = items.where(~F.coalesce(F.col("withheld"), F.lit(False))).select("item_id", "review_order")
     numbered = number_rows(kept, [F.col("review_order").asc_nulls_last(), F.col("item_id")], "seq")
     return numbered.select("item_id", "seq", norm.control_number(prefix, F.col("seq"), width).alias("control_number"))
+
+
+def sweep_withheld(numbered: DataFrame, withheld: DataFrame) -> DataFrame:
+    """Produced items (``item_id, control_number``) after some were withheld late: their output goes, their number stays spent."""
+    late = withheld.select("item_id", F.lit(True).alias("_late")).distinct()
+    out = numbered.join(late, "item_id", "left")
+    return out.select("item_id", "control_number", F.when(F.col("_late"), "withdrawn").otherwise("produced").alias("status"))

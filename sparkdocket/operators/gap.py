@@ -23,6 +23,27 @@ def match_cascade(expected: DataFrame, present: DataFrame, keys: list[str]) -> D
     return expected.select("id").join(best, "id", "left").select("id", F.col("b.matched_by").alias("matched_by"), F.col("b.present_id").alias("present_id"))
 
 
+def match_items(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """The cascade over items: message id, for mail item id and logical hash, native digest, for others item id and logical hash, control number.
+
+    Both sides have ``id, message_id, item_id, logical_hash, native_sha256,
+    control_number``; the expected side also ``is_mail``.
+    """
+    mail = F.coalesce("is_mail", F.lit(False))
+    steps = [
+        ("message_id", "message_id", None), ("mail_item_id", "item_id", mail), ("mail_logical_hash", "logical_hash", mail), ("native_sha256", "native_sha256", None),
+        ("file_item_id", "item_id", ~mail), ("file_logical_hash", "logical_hash", ~mail), ("control_number", "control_number", None),
+    ]
+    want = expected.select("id", *[(F.col(c) if cond is None else F.when(cond, F.col(c))).alias(n) for n, c, cond in steps])
+    have = present.select("id", *[F.col(c).alias(n) for n, c, _ in steps])
+    return match_cascade(want, have, [n for n, _, _ in steps])
+
+
+def custodian_inventory(items: DataFrame) -> DataFrame:
+    """``custodian, n``: items by trimmed custodian, blank for none."""
+    return items.groupBy(F.trim(F.coalesce("custodian", F.lit(""))).alias("custodian")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def unexpected(present: DataFrame, matches: DataFrame) -> DataFrame:
     """Present rows that no expected row found."""
     return present.select("id").join(matches.where("present_id IS NOT NULL").select(F.col("present_id").alias("id")).distinct(), "id", "left_anti")

@@ -67,6 +67,13 @@ def production_volumes(spark, sf_dir):
     return n.select("item_id", "control_number", produce.volume_of(F.col("seq") - 1, 1000).alias("volume"))
 
 
+def production_sweep(spark, sf_dir):
+    """Orders numbered for production of which the low-priority ones were withheld afterwards."""
+    o = adapt.table(spark, sf_dir, "orders")
+    items = o.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("review_order"), (F.col("o_orderpriority") == "1-URGENT").alias("withheld"))
+    return cull.sweep_withheld(cull.number_production(items, "S", 4).select("item_id", "control_number"), o.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("item_id")))
+
+
 def _produced(spark, sf_dir):
     """Documents as produced items: some are mail, some have redactions, some no file of their own."""
     d, lab = adapt.table(spark, sf_dir, "documents"), adapt.table(spark, sf_dir, "labels")
@@ -142,7 +149,7 @@ def _lines_sql(profile):
 
 QUERIES = {
     "integrity_best_effort": _classes(False), "integrity_strict": _classes(True), "integrity_sidecar": integrity_sidecar, "integrity_reasons": integrity_reasons, "scan_preflight": scan_preflight, "error_codes": error_codes,
-    "dedup_report": dedup_report, "production_volumes": production_volumes, "production_resolve": production_resolve, "production_lines": _lines("plain"), "production_lines_us": _lines("us_dates"), "production_family": production_family,
+    "dedup_report": dedup_report, "production_volumes": production_volumes, "production_sweep": production_sweep, "production_resolve": production_resolve, "production_lines": _lines("plain"), "production_lines_us": _lines("us_dates"), "production_family": production_family,
 }
 ORACLE = {
     "integrity_best_effort": _CLASS_SQL("false"), "integrity_strict": _CLASS_SQL("true"),
@@ -155,6 +162,8 @@ ORACLE = {
         FROM roles r JOIN h USING (item_id) LEFT JOIN h k ON k.item_id = r.group_id""",
     "production_volumes": """WITH n AS (SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_custkey END NULLS LAST, o_orderkey) AS seq FROM orders WHERE o_orderpriority <> '1-URGENT')
         SELECT item_id, 'PRD' || CASE WHEN seq < 1000000 THEN lpad(CAST(seq AS VARCHAR), 6, '0') ELSE CAST(seq AS VARCHAR) END AS control_number, 'VOL' || lpad(CAST((seq - 1) // 1000 + 1 AS VARCHAR), 3, '0') AS volume FROM n""",
+    "production_sweep": """WITH n AS (SELECT o_orderkey AS item_id, o_orderpriority AS p, row_number() OVER (ORDER BY o_custkey NULLS LAST, o_orderkey) AS seq FROM orders WHERE o_orderpriority <> '1-URGENT')
+        SELECT item_id, 'S' || CASE WHEN seq < 10000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS control_number, CASE WHEN p = '5-LOW' THEN 'withdrawn' ELSE 'produced' END AS status FROM n""",
     "production_resolve": """WITH r AS (SELECT doc_id AS item_id, lang, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id))
         SELECT item_id, CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END AS ext, CASE WHEN own THEN 'file' WHEN mail THEN 'mail' END AS native,
           CASE WHEN red THEN CASE WHEN made THEN 'redacted' END WHEN txt THEN 'text' END AS text_source, CASE WHEN NOT coalesce(own, false) AND NOT coalesce(mail, false) THEN 'missing_native' WHEN red AND NOT made THEN 'redacted_text_missing' END AS fault FROM r""",

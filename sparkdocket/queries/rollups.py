@@ -121,6 +121,22 @@ def gap_match_cascade(spark, sf_dir):
     return gap.match_cascade(*_gap_sides(spark, sf_dir), ["native", "head", "control"])
 
 
+def gap_match_items(spark, sf_dir):
+    """Labelled documents sought among all; English ones count as mail."""
+    d = adapt.table(spark, sf_dir, "documents")
+    sides = d.select(
+        F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", F.concat_ws("-", "source", F.col("n_chars").cast("string"))).alias("message_id"), F.when(F.col("lang") != "es", F.col("doc_id")).alias("item_id"),
+        F.md5("text").alias("logical_hash"), F.when(F.col("n_chars") > 2000, F.md5("text")).alias("native_sha256"), F.col("source").alias("control_number"), (F.col("lang") == "en").alias("is_mail"),
+    )
+    want = sides.join(adapt.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id")
+    want = want.withColumn("message_id", F.when(F.col("quality") == 1, F.col("message_id"))).withColumn("item_id", F.when(F.col("quality") == 0, F.col("item_id") + 1_000_000).otherwise(F.col("item_id")))
+    return gap.match_items(want, sides)
+
+
+def custodian_inventory(spark, sf_dir):
+    return gap.custodian_inventory(adapt.order_items(spark, sf_dir).withColumn("custodian", F.when(F.col("status") != "error", F.concat(F.lit(" "), "custodian", F.lit("  ")))))
+
+
 def gap_unexpected(spark, sf_dir):
     e, p = _gap_sides(spark, sf_dir)
     return gap.unexpected(p, gap.match_cascade(e, p, ["native", "head", "control"]))
@@ -212,7 +228,7 @@ QUERIES = {
     "people_nodes": people_nodes, "people_edges": people_edges, "people_timeline": people_timeline, "domain_rollup": domain_rollup, "participant_slots": participant_slots,
     "conversation_list": conversation_list, "conversation_all": conversation_all, "conversation_around": conversation_around,
     "date_coverage_week": _coverage("week"), "date_coverage_month": _coverage("month"), "date_coverage_holes": date_coverage_weekday_holes,
-    "gap_roster": gap_roster, "gap_match_cascade": gap_match_cascade, "gap_unexpected": gap_unexpected, "qc_findings": qc_findings, "qc_rollup": qc_rollup, "qc_gate": qc_gate,
+    "gap_roster": gap_roster, "gap_match_cascade": gap_match_cascade, "gap_unexpected": gap_unexpected, "gap_match_items": gap_match_items, "custodian_inventory": custodian_inventory, "qc_findings": qc_findings, "qc_rollup": qc_rollup, "qc_gate": qc_gate,
     "privilege_family_consistency": privilege_family_consistency, "audit_chain_verify": audit_chain_verify, "audit_events": audit_events,
 }
 ORACLE = {
@@ -238,6 +254,13 @@ ORACLE = {
     "gap_roster": """WITH w AS (SELECT CASE WHEN n_nationkey = 7 THEN '99' ELSE CAST(n_nationkey AS VARCHAR) END AS name FROM nation), h AS (SELECT CASE WHEN c_nationkey = 3 THEN '3x' ELSE CAST(c_nationkey AS VARCHAR) END AS name, count(*) AS n FROM customer GROUP BY 1)
         SELECT coalesce(w.name, h.name) AS name, CASE WHEN w.name IS NULL THEN 'unexpected' ELSE 'missing' END AS finding, coalesce(n, 0) AS n FROM w FULL JOIN h ON w.name = h.name WHERE w.name IS NULL OR h.name IS NULL""",
     "gap_match_cascade": f"{_GAP} SELECT id, matched_by, present_id FROM m",
+    "gap_match_items": """WITH p AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN source || '-' || n_chars END AS mid, CASE WHEN lang <> 'es' THEN doc_id END AS item, md5(text) AS lh, CASE WHEN n_chars > 2000 THEN md5(text) END AS nat, source AS ctl, coalesce(lang = 'en', false) AS mail FROM documents),
+        e AS (SELECT p.id, CASE WHEN quality = 1 THEN mid END AS mid, CASE WHEN quality = 0 THEN item + 1000000 ELSE item END AS item, lh, nat, ctl, mail FROM p JOIN labels ON doc_id = id),
+        m AS (SELECT e.id, 1 AS r, 'message_id' AS k, p.id AS pid FROM e JOIN p ON p.mid = e.mid UNION ALL SELECT e.id, 2, 'mail_item_id', p.id FROM e JOIN p ON p.item = e.item WHERE e.mail UNION ALL SELECT e.id, 3, 'mail_logical_hash', p.id FROM e JOIN p ON p.lh = e.lh WHERE e.mail
+          UNION ALL SELECT e.id, 4, 'native_sha256', p.id FROM e JOIN p ON p.nat = e.nat UNION ALL SELECT e.id, 5, 'file_item_id', p.id FROM e JOIN p ON p.item = e.item WHERE NOT e.mail UNION ALL SELECT e.id, 6, 'file_logical_hash', p.id FROM e JOIN p ON p.lh = e.lh WHERE NOT e.mail
+          UNION ALL SELECT e.id, 7, 'control_number', p.id FROM e JOIN p ON p.ctl = e.ctl), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, pid) AS i FROM m)
+        SELECT e.id, b.k AS matched_by, b.pid AS present_id FROM e LEFT JOIN b ON b.id = e.id AND i = 1""",
+    "custodian_inventory": f"WITH {adapt.ORDER_ITEMS_SQL} SELECT CASE WHEN status <> 'error' THEN custodian ELSE '' END AS custodian, count(*) AS n FROM items GROUP BY 1",
     "gap_unexpected": f"{_GAP} SELECT id FROM p WHERE id NOT IN (SELECT present_id FROM m WHERE present_id IS NOT NULL)",
     "qc_findings": f"{_QC} SELECT * FROM found", "qc_rollup": f"{_QC} SELECT rule, severity, count(*) AS n FROM found GROUP BY 1, 2",
     "qc_gate": f"{_QC}, g AS (SELECT rule, CASE WHEN rule = 'zero_size' THEN 'error' ELSE severity END AS severity FROM found WHERE rule <> 'text_missing') SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed FROM g",

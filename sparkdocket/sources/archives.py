@@ -119,3 +119,21 @@ def office_text(raw: bytes) -> str:
                 cells.append(shared[int(value)] if c.get("t") == "s" and value.isdigit() and int(value) < len(shared) else value)
             lines.append("\t".join(cells))
     return "\n".join(lines)
+
+
+def office_texts(files: DataFrame) -> DataFrame:
+    """``path, text, problem`` of Office files (``path, content``, as the binaryFile reader gives); no text is a problem."""
+
+    def read(raw: bytes | None) -> tuple[str | None, str | None]:
+        try:
+            text = office_text(raw or b"")
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, RuntimeError) as e:
+            return None, f"{type(e).__name__}: {e}"[:200]
+        return (text, None) if text.strip() else (None, "no text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [read(raw) for raw in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([t for t, _ in made], pa.string()), pa.array([p for _, p in made], pa.string())], names=["path", "text", "problem"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, problem string")

@@ -32,6 +32,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip().lstrip("﻿")) for c in df.columns])
 
 
+def read_load_file(spark: SparkSession, path: str) -> DataFrame:
+    """A Concordance file where the first line has its field marks, else a CSV."""
+    first = spark.read.text(path).first()
+    return read_dat(spark, path) if first is not None and "þ" in first["value"][:4096] else read_csv(spark, path)
+
+
 def expected_docs(loaded: DataFrame) -> DataFrame:
     """Columns renamed by the header map; at least one join key must be there."""
     have = {c.strip().lower(): c for c in loaded.columns}

@@ -11,8 +11,10 @@ def test_load_files(spark, tmp_path):
     (tmp_path / "a.dat").write_text("﻿þControl Numberþ¶þSHA256þ¶þCustodianþ\nþD1þ¶þabþ¶þx®yþ\nþD2þ¶þþ¶þzþ\n", encoding="utf-8")
     df = loadfiles.read_dat(spark, f"file://{tmp_path}/a.dat")
     assert sorted(map(tuple, loadfiles.expected_docs(df).collect())) == [("D1", "ab", "x\ny"), ("D2", None, "z")]
+    assert loadfiles.read_load_file(spark, f"file://{tmp_path}/a.dat").columns == df.columns
     (tmp_path / "b.csv").write_text('custodian,notes\nAnn,"a ""b"""\n ann ,\n')
     assert [tuple(r) for r in loadfiles.read_roster(spark, f"file://{tmp_path}/b.csv").collect()] == [("Ann", 'a "b"')]
+    assert loadfiles.read_load_file(spark, f"file://{tmp_path}/b.csv").columns == ["custodian", "notes"]
     with pytest.raises(ValueError):
         loadfiles.expected_docs(loadfiles.read_csv(spark, f"file://{tmp_path}/b.csv").drop("custodian"))
     (tmp_path / "h.txt").write_text("# list\n" + "A" * 64 + " name\nzz\n")
@@ -54,3 +56,17 @@ def test_stream(spark, tmp_path):
         dedupe_stream(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
     got = {r.item_id: (r.dedup_role, r.group_id) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {1: ("unique", 1), 2: ("duplicate", 1), 3: ("duplicate", 1)}
+
+
+def test_office_texts_and_entry_names(spark):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", '<w:d xmlns:w="w"><w:p><w:t>a</w:t></w:p></w:d>')
+    empty = io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as z:
+        z.writestr("word/document.xml", '<w:d xmlns:w="w"/>')
+    df = spark.createDataFrame([("a", raw.getvalue()), ("b", b"no zip"), ("c", empty.getvalue()), ("d", None)], "path string, content binary")
+    got = {r.path: (r.text, r.problem) for r in archives.office_texts(df).collect()}
+    assert got["a"] == ("a", None) and got["c"] == (None, "no text") and all(got[k][0] is None and got[k][1].startswith("BadZipFile") for k in "bd")
+    name = archives.decode_zip_name
+    assert [name(None, True), name("é".encode(), False), name(b"\x82", False), name(b"\xe9", False), name(b"\xff", True)] == [None, "é", "é", "é", "\ufffd"]
