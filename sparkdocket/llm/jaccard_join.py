@@ -159,9 +159,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 digests.append(digest)
                 packed.append(raw if len(keys) and digest not in met else None)
                 met.add(digest)
-                if len(known) > 200_000:
+                if len(known) > 60_000:
                     known.clear()
-                if len(met) > 200_000:
+                if len(met) > 60_000:
                     met.clear()
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=schema.names)
 
@@ -198,7 +198,7 @@ def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
                 keys = unpack(raw)
                 held.append(keys[: np.searchsorted(keys, _CUT)])
                 size += len(held[-1])
-                if size > 1_500_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
