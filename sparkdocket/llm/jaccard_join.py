@@ -300,9 +300,13 @@ def _components(docs: DataFrame, k: int, percent: int, extra: int = 4, short_lis
 
     All Python work runs in jobs inside; the plan that is returned only reads their result.
     """
-    scratch, sent = Scratch(), []
-    with small_batches(docs.sparkSession):
-        out = _labelled(docs, k, percent, extra, short_list, block_rows, ordered_shingles, scratch, sent)
+    scratch, sent, conf = Scratch(), [], docs.sparkSession.conf
+    partitions = conf.get("spark.sql.shuffle.partitions")
+    try:
+        with small_batches(docs.sparkSession):
+            out = _labelled(docs, k, percent, extra, short_list, block_rows, ordered_shingles, scratch, sent)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", partitions)
     for table in sent:
         table.unpersist()
     scratch.clear()
@@ -314,6 +318,9 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
     sets = stage(_sets(docs.select(F.monotonically_increasing_id().alias("rid"), "id", "mark", "text"), k), "jj-sets")
     with_sets = sets.where("sh IS NOT NULL")
     totals = with_sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    # Six bytes a shingle travel, some twice: partitions of about 8 MB, so that sorts and fetches stay small.
+    partitions = min(20_000, totals["t"] * 12 // (8 << 20))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     frequent = stage(_frequencies(with_sets, totals["t"]), "jj-frequent")
     top = frequent.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
     by_key = np.argsort(top["key"].to_numpy())
