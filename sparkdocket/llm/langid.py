@@ -39,7 +39,7 @@ class LanguageModel:
 
 
 def fit_language(
-    docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", per_class: int = 500, precision: float = 0.995, most_rejected: float = 0.002
+    docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", per_class: int = 500, precision: float = 0.995, most_rejected: float = 0.0005
 ) -> LanguageModel:
     """Fit on at most ``per_class`` documents of each language.
 

@@ -39,7 +39,7 @@ def collect_features(
     """Sparse rows (made on the executors), labels, and which rows are held back (a fifth, by hash).
 
     At most ``per_class`` rows of each label.  Of each text held back there are also
-    ``snippets``: for each number of words the features of three stretches of the
+    ``snippets``: for each number of words the features of six stretches of the
     text that long, as rows and labels by that number.
     """
 
@@ -50,7 +50,7 @@ def collect_features(
             for k, (t, h) in enumerate(zip(texts, hashes, strict=True)):
                 words = (t or "").split() if h % 5 == 4 else []
                 for n in snippets:
-                    for turn in range(3 if len(words) >= n else 0):
+                    for turn in range(6 if len(words) >= n else 0):
                         begin = (h // 5 + turn * 7919) % (len(words) - n + 1)
                         rows += sparse_rows(space, [" ".join(words[begin : begin + n])], distinct)
                         sizes.append(n)
