@@ -5,7 +5,9 @@ The alphabet is words, not characters.  Every benchmark item gives windows of
 of one length share two tables.  The shift table has, for the hash of a block of
 two words, the least distance by which the search may move on (colliding blocks
 share the smaller).  A block at distance 0 leads to the bucket of windows with
-that hash at their end, and the words themselves are then compared.
+that hash at their end and that of their first block at their beginning (the
+prefix table tells at once whether there are any), and the words themselves are
+then compared.
 
 The tables are numpy arrays, made for at most ``block_words`` benchmark words at a
 time and checked against ``table_bytes`` before they are broadcast.  The benchmark
@@ -57,6 +59,13 @@ def _block_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
+def _both(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One hash of a window's first and last blocks."""
+    with np.errstate(over="ignore"):
+        out = (first ^ (last * _MIX)) * _MIX
+        return out ^ (out >> np.uint64(32))
+
+
 class _Windows:
     """Shift table and suffix buckets of the windows of one length."""
 
@@ -67,15 +76,17 @@ class _Windows:
         blocks = _block_hashes(hashes, self.block) if len(hashes) >= self.block else np.zeros(0, np.uint64)
         for back in range(n - self.block, -1, -1):  # the last writes are the smallest
             self.shift[self.slots(blocks[starts + n - self.block - back])] = back
-        last = blocks[starts + n - self.block]
-        order = np.argsort(last, kind="stable")
-        self.ends, self.starts, self.owners = last[order], starts[order].astype(np.int32), owners[order].astype(np.int32)
+        keys = _both(blocks[starts], blocks[starts + n - self.block])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.owners = keys[order], starts[order].astype(np.int32), owners[order].astype(np.int32)
+        self.prefix = np.zeros(1 << self.bits, np.uint8)
+        self.prefix[self.slots(keys)] = 1
 
     def slots(self, blocks: np.ndarray) -> np.ndarray:
         return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.shift, self.ends, self.starts, self.owners))
+        return sum(x.nbytes for x in (self.shift, self.prefix, self.keys, self.starts, self.owners))
 
 
 class WindowTable:
@@ -112,23 +123,24 @@ class WindowTable:
             if size < n:
                 continue
             blocks = _block_hashes(hashes, c.block)
-            shifts, lag = c.shift[c.slots(blocks)].tolist(), c.block - 1
+            keys = _both(blocks[: size - n + 1], blocks[n - c.block :])
+            shifts, some, lag = c.shift[c.slots(blocks)], c.prefix[c.slots(keys)].tobytes(), c.block - 1
+            shifts = shifts.tobytes() if shifts.dtype == np.uint8 else shifts.tolist()
             while last < size:
                 step = shifts[last - lag]
                 if step:
                     last += step
                     continue
-                end = blocks[last - lag]
                 first = last - n + 1
-                here = None
-                for w in range(int(np.searchsorted(c.ends, end)), len(c.ends)):
-                    if c.ends[w] != end:
-                        break
-                    here = b" ".join(words[first : last + 1]) if here is None else here
-                    begin = self.at[c.starts[w]]
-                    if self.text[begin : self.at[c.starts[w] + n] - 1] == here:
-                        found.add(int(c.owners[w]))
-                        ranges.append((first, last + 1))
+                if some[first]:
+                    w, key = int(np.searchsorted(c.keys, keys[first])), keys[first]
+                    here = b" ".join(words[first : last + 1])
+                    while w < len(c.keys) and c.keys[w] == key:
+                        begin = self.at[c.starts[w]]
+                        if self.text[begin : self.at[c.starts[w] + n] - 1] == here:
+                            found.add(int(c.owners[w]))
+                            ranges.append((first, last + 1))
+                        w += 1
                 last += 1
         return _merge(ranges), {self.items[k] for k in found}
 
