@@ -9,6 +9,7 @@ back."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,12 @@ def _threshold(model: SubwordModel, rows: list, labels: list, precision: float,
     accepted = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     fine = np.nonzero(accepted >= precision)[0]
     strict = score[order][fine[-1]] if len(fine) else 1.0
-    lenient = np.quantile(score[right], most_rejected) if right.any() else 0.0
-    return float(min(strict, lenient))
+    if not right.any():
+        return 0.0
+    # The sample is small for so small a share: the tail is also estimated from mean and spread of the log-odds.
+    odds = np.log(np.clip(score[right], 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(score[right], 1e-9, 1 - 1e-9))
+    tail = 1 / (1 + np.exp(-(odds.mean() - NormalDist().inv_cdf(1 - most_rejected) * odds.std())))
+    return float(min(strict, np.quantile(score[right], most_rejected), tail))
 
 
 def identify_language(docs: DataFrame, language: LanguageModel, *, keep: list[str] | None = None) -> DataFrame:

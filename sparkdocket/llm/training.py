@@ -39,7 +39,7 @@ def collect_features(
     """Sparse rows (made on the executors), labels, and which rows are held back (a fifth, by hash).
 
     At most ``per_class`` rows of each label.  Of each text held back there are also
-    ``snippets``: for each number of words the features of six stretches of the
+    ``snippets``: for each number of words the features of two stretches of the
     text that long, as rows and labels by that number.
     """
 
@@ -50,7 +50,7 @@ def collect_features(
             for k, (t, h) in enumerate(zip(texts, hashes, strict=True)):
                 words = (t or "").split() if h % 5 == 4 else []
                 for n in snippets:
-                    for turn in range(6 if len(words) >= n else 0):
+                    for turn in range(2 if len(words) >= n else 0):
                         begin = (h // 5 + turn * 7919) % (len(words) - n + 1)
                         rows += sparse_rows(space, [" ".join(words[begin : begin + n])], distinct)
                         sizes.append(n)
@@ -67,20 +67,23 @@ def collect_features(
 
     kind = sample.schema[label].dataType.simpleString()
     slim = sample.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(key, F.lit(5)).alias("h"), F.col(text).alias("text"))
-    got = slim.mapInArrow(run, f"label {kind}, h long, size int, idx binary, cnt binary").collect()
-    got.sort(key=lambda r: (r["size"], r["h"], str(r["label"]), bytes(r["idx"])))
+    got = slim.mapInArrow(run, f"label {kind}, h long, size int, idx binary, cnt binary").toArrow().combine_chunks()
+    sizes, hashes, named = (got.column(c).to_pylist() for c in ("size", "h", "label"))
+    features, counts = (got.column(c).combine_chunks() for c in ("idx", "cnt"))
+    order = sorted(range(got.num_rows), key=lambda k: (sizes[k], hashes[k], str(named[k]), features[k].as_py()))
     rows, labels, held, short, left = [], [], [], {n: ([], []) for n in snippets}, {}
-    for r in got:
-        row = (np.frombuffer(bytes(r["idx"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["cnt"]), np.float32).astype(np.float64))
-        if r["size"]:
-            short[r["size"]][0].append(row)
-            short[r["size"]][1].append(r["label"])
+    for k in order:
+        # Views of the table's own bytes.
+        row = (np.frombuffer(features[k].as_buffer(), np.uint32), np.frombuffer(counts[k].as_buffer(), np.float32))
+        if sizes[k]:
+            short[sizes[k]][0].append(row)
+            short[sizes[k]][1].append(named[k])
             continue
-        left[r["label"]] = left.get(r["label"], per_class) - 1
-        if left[r["label"]] >= 0:
-            rows.append(row)
-            labels.append(r["label"])
-            held.append(r["h"] % 5 == 4)
+        left[named[k]] = left.get(named[k], per_class) - 1
+        if left[named[k]] >= 0:
+            rows.append((row[0].astype(np.int64), row[1].astype(np.float64)))
+            labels.append(named[k])
+            held.append(hashes[k] % 5 == 4)
     return rows, labels, np.array(held, bool), short
 
 
