@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, jaccard_join, langid, pieces, pii, pipeline, quality, toxicity, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, exact_dedup, jaccard_join, langid, pieces, pii, pipeline, quality, toxicity, url_filter, warc
 
-_MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter]
+_MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter, exact_dedup]
 
 
 def queries() -> dict:
