@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkdocket.llm import decontaminate, embed_dedup, exact_dedup, jaccard_join, langid, pieces, pii, pipeline, quality, spelling, toxicity, url_filter, warc
+from sparkdocket.llm import decontaminate, embed_dedup, exact_dedup, jaccard_join, langid, lexical, pieces, pii, pipeline, quality, spelling, toxicity, url_filter, warc
 
-_MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter, spelling, exact_dedup]
+_MODULES = [quality, toxicity, decontaminate, pieces, warc, langid, jaccard_join, embed_dedup, pii, url_filter, lexical, spelling, exact_dedup]
 
 
 def queries() -> dict:
