@@ -8,11 +8,16 @@ keyed digest of the normal form fills the entity's own format:
 
 * digits become digits, letters letters of the same case, punctuation stays;
 * card numbers keep their first digit and pass the check-digit test (digit runs
-  that fail it are no entities); e-mail addresses keep their top-level domain; international phone numbers
+  that fail it are no entities); bank account numbers keep their country and pass theirs; e-mail addresses keep their top-level domain; international phone numbers
   keep their country code; octets stay in range;
-* names keep their form of address, get given names of the same gender and
+* names keep their forms of address and particles, get given names of the same gender and
   script, and surnames of the same script; a surname alone and with a given name
-  maps to the same surrogate surname.
+  maps to the same surrogate surname.  "Dr. John Smith" is "Mr. John Smith" if the
+  corpus has just one of him and her.
+
+Not found, since nothing but digits tells them from other numbers: social security
+and phone numbers without separators, national phone numbers such as 030 12345678;
+nor IPv6 addresses.
 
 Distinct entities must get distinct surrogates and no surrogate may be an entity
 of the corpus.  Both are checked over all distinct entities; where a check fails,
@@ -40,6 +45,8 @@ from sparkdocket.plans.staging import stage as staged
 MALE = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "г-жа"]
 NEUTRAL = ["Dr", "Prof"]
+# Words that stand before a surname and stay.
+PARTICLES = ["von", "vom", "van", "zu", "zum", "zur", "der", "den", "de", "del", "della", "des", "di", "da", "do", "dos", "du", "la", "las", "le", "los", "ter", "ten", "bin", "ibn", "al", "el"]
 # Given names by script and gender.
 GIVEN = {
     ("latin", "f"): ["Anna", "Clara", "Elena", "Emma", "Helen", "Julia", "Karin", "Laura", "Maria", "Nina", "Olivia", "Paula", "Rosa", "Sara", "Sofia", "Vera"],
@@ -69,21 +76,24 @@ _WORD = r"\p{Lu}[\p{L}'’-]+"
 _BLANK = r"[  ]"
 _CYRILLIC = r"^\p{IsCyrillic}"
 _TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
+#: Up to four forms of address, one after the other.
+_TITLES = rf"(?:(?:{_TITLE})\.?{_BLANK}){{1,4}}"
+_PARTICLES = "|".join(PARTICLES)
 _SPACED_IBAN = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![0-9A-Za-z])" for n, codes in IBAN_LENGTHS.items())
 #: Kinds and their patterns, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z+.-])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_SPACED_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}(?![0-9A-Za-z]))",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[  ]{_WORD}(?:[  ]{_WORD})?",
+    "name": rf"(?<![\p{{L}}]){_TITLES}(?:{_WORD}{_BLANK}){{0,2}}(?:(?:{_PARTICLES}){_BLANK}){{0,3}}{_WORD}",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds no entity; this is cheap to test.  Every match of every pattern holds one.
-_HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?:{_TITLE})\.?[  ]\p{{Lu}}"
+_HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?:{_TITLE})\.?{_BLANK}(?:\p{{Lu}}|(?:{_PARTICLES}){_BLANK})"
 _LOWER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 
 
@@ -122,7 +132,7 @@ def is_entity(entity: Column) -> Column:
 
 
 def _bare_name(entity: Column) -> Column:
-    return F.regexp_replace(entity, rf"^(?:{_TITLE})\.?[  ]", "")
+    return F.regexp_replace(entity, rf"^{_TITLES}", "")
 
 
 def normal_form(entity: Column, kind: Column) -> Column:
@@ -138,12 +148,12 @@ def normal_form(entity: Column, kind: Column) -> Column:
 
 
 def _gender(entity: Column) -> Column:
-    """m, f or n, by the form of address, else by a known given name."""
-    title = F.regexp_extract(entity, rf"^({_TITLE})\.?[  ]", 1)
+    """m, f or n, by the first form of address that tells, else by a known given name."""
+    titled = lambda titles: entity.rlike(rf"^(?:(?:{'|'.join(NEUTRAL)})\.?{_BLANK}){{0,3}}(?:{'|'.join(titles)})\.?{_BLANK}")
     given = F.regexp_extract(_bare_name(entity), rf"^({_WORD})[  ]", 1)
     known = lambda g: [n for (_, gender), names in GIVEN.items() if gender == g for n in names]
     return (
-        F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f")
+        F.when(titled(MALE), "m").when(titled(FEMALE), "f")
         .when(given.isin(known("m")), "m").when(given.isin(known("f")), "f").otherwise("n")
     )
 
@@ -235,6 +245,21 @@ def _coded(entity: Column, digest: Column, hexadecimal: bool) -> Column:
     return _spaced(entity, _like(bare, F.array_join(made, "")))
 
 
+def _mod97(code: Column) -> Column:
+    """A code of digits and letters (A is 10, Z is 35) modulo 97."""
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.split(code, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
+
+
+def _iban(entity: Column, digest: Column) -> Column:
+    """Country and format stay, and the check digits fit."""
+    country, rest = F.substring(entity, 1, 2), F.substring(entity, F.lit(3), F.length(entity))
+    made = F.replace(_coded(rest, digest, False), F.lit(" "), F.lit(""))
+    account = F.substring(made, F.lit(3), F.length(made))
+    check = lambda a: F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, _let(account, lambda a: _spaced(rest, F.concat(check(a), a))))
+
+
 def _spaced(original: Column, made: Column) -> Column:
     """``made``, which has no spaces, with spaces where ``original`` has them."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -298,24 +323,34 @@ def _given(word: Column, key: str, attempt: Column, script: str, gender: Column)
     return _cased(_let(_part_digest("given", word, key, attempt), drawn), word)
 
 
-def _name(entity: Column, key: str, attempt: Column, surname_attempt: Column) -> Column:
-    """The form of address stays; given name by gender and script, surname by script."""
+def _given_words(bare: Column) -> Column:
+    """The given names of a name without form of address, an array: all words before the last but particles."""
+    words = F.split(bare, _BLANK)
+    return F.filter(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: ~w.rlike(r"^\p{Ll}"))
+
+
+def _name(entity: Column, key: str, attempt: Column, surname_attempt: Column, as_gender: Column | None = None) -> Column:
+    """Forms of address and particles stay; given names by gender and script, surname by script."""
 
     def made(bare: Column, words: Column, gender: Column, script: str) -> Column:
         prefix = F.substring(entity, F.lit(1), F.length(entity) - F.length(bare))
-        given = _given(words[0], key, attempt, script, gender)
+        before = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.concat(F.when(w.rlike(r"^\p{Ll}"), w).otherwise(_given(w, key, attempt, script, gender)), F.lit(" ")))
         surname = _surname(F.element_at(words, -1), key, surname_attempt, script, gender)
-        return F.concat(prefix, F.when(F.size(words) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname)
+        return F.concat(prefix, F.array_join(before, ""), surname)
 
     def whole(bare: Column) -> Column:
-        each = lambda script: _let(F.split(bare, _BLANK), lambda words: _let(_gender(entity), lambda gender: made(bare, words, gender, script)))
+        known = _gender(entity) if as_gender is None else F.coalesce(as_gender, _gender(entity))
+        each = lambda script: _let(F.split(bare, _BLANK), lambda words: _let(known, lambda gender: made(bare, words, gender, script)))
         return F.when(bare.rlike(_CYRILLIC), each("cyrillic")).otherwise(each("latin"))
 
     return _let(_bare_name(entity), whole)
 
 
-def surrogate_of(entity: Column, key: str, attempt: Column, surname_attempt: Column | None = None) -> Column:
-    """The replacement of one entity under a key; attempts are 0 unless there was a collision."""
+def surrogate_of(entity: Column, key: str, attempt: Column, surname_attempt: Column | None = None, as_gender: Column | None = None) -> Column:
+    """The replacement of one entity under a key; attempts are 0 unless there was a collision.
+
+    ``as_gender`` is the gender of a name whose form of address does not tell it.
+    """
     late = attempt - DRAWS
     more = lambda digest, symbols: F.when(late > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(late, F.lit(1))), lambda i: _one_of(symbols, _byte(digest, 64 - i))), "")).otherwise(F.lit(""))
 
@@ -324,9 +359,9 @@ def surrogate_of(entity: Column, key: str, attempt: Column, surname_attempt: Col
             ("email", F.concat(more(digest, _LOWER), _address(entity, digest))), ("secret", _coded(entity, digest, True)),
             ("ipv4", F.concat(_octets(digest), F.when(late > 0, F.lit(".")).otherwise(F.lit("")), more(digest, _DIGITS))),
             ("ssn", F.concat(_poured(entity, _made_digits(digest, F.lit(9))), more(digest, _DIGITS))), ("card", _card(entity, digest)), ("phone", F.concat(_phone(entity, digest), more(digest, _DIGITS))),
-            ("iban", F.concat(F.substring(entity, 1, 2), _coded(F.substring(entity, F.lit(3), F.length(entity)), digest, False))),
+            ("iban", _iban(entity, digest)),
         ]
-        name = _name(entity, key, attempt, F.lit(0) if surname_attempt is None else surname_attempt)
+        name = _name(entity, key, attempt, F.lit(0) if surname_attempt is None else surname_attempt, as_gender)
         return reduce(lambda other, m: F.when(kind == m[0], m[1]).otherwise(other), reversed(by_kind), name)
 
     seed = lambda kind: F.sha2(F.concat_ws("|", F.lit(key), kind, normal_form(entity, kind), attempt.cast("string")), 512)
@@ -362,7 +397,8 @@ def _settled(forms: DataFrame, scope: list[str], make, taken, label: str, scratc
 
 
 def collision_attempts(entities: DataFrame, key: str) -> DataFrame | None:
-    """Attempt numbers (``kind, norm, attempt, surname_attempt``) of entities whose first surrogate collided.
+    """Attempt numbers (``kind, norm, attempt, surname_attempt, as_gender``) of entities whose first surrogate collided,
+    and of names whose gender another form of address tells.
 
     ``entities`` has a column ``entity``.  None if no surrogate is shared by two
     normal forms of a kind or equals an entity of the corpus.
@@ -383,10 +419,15 @@ def _attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame | No
     real = others.select("kind", F.col("form").alias("made"))
     values, changed = _settled(others, ["kind"], _let(surrogate_of(entity, key, attempt), lambda e: normal_form(e, F.col("kind"))), lambda made: made.join(real, ["kind", "made"], "left_semi"), "values", scratch)
 
-    words = F.split(F.lower(_bare_name(entity)), _BLANK)
-    names = forms.where("kind = 'name'").select("norm", _bare_name(entity).rlike(_CYRILLIC).alias("cyrillic"), _gender(entity).alias("gender"), words.alias("words"))
-    names = names.select("norm", "cyrillic", "gender", F.element_at("words", -1).alias("last"), F.when(F.size("words") > 1, F.col("words")[0]).alias("given"))
-    names = stage(names, "pii-names")
+    bare = _bare_name(entity)
+    names = forms.where("kind = 'name'").select(
+        "norm", bare.rlike(_CYRILLIC).alias("cyrillic"), _gender(entity).alias("gender"), F.substring("norm", F.lit(3), F.length("norm")).alias("bare"),
+        F.lower(F.element_at(F.split(bare, _BLANK), -1)).alias("last"), F.when(F.size(_given_words(bare)) > 0, F.lower(F.array_join(_given_words(bare), " "))).alias("given"),
+    )
+    # A name whose gender is not told is the one name of a told gender that is the same otherwise, if there is exactly one.
+    told = names.where("gender <> 'n'").groupBy("bare").agg(F.min("gender").alias("as_gender"), F.max("gender").alias("other")).where("as_gender = other").drop("other")
+    names = names.join(told, "bare", "left").withColumn("as_gender", F.when((F.col("gender") == "n") & F.col("given").isNotNull(), F.col("as_gender")))
+    names = stage(names.withColumn("as_norm", F.when(F.col("as_gender").isNotNull(), F.concat("as_gender", F.lit(" "), "bare")).otherwise(F.col("norm"))), "pii-names")
     both = lambda make: F.when(F.col("cyrillic"), make("cyrillic")).otherwise(make("latin"))
     lasts = names.select("cyrillic", F.col("last").alias("form")).distinct()
 
@@ -397,14 +438,15 @@ def _attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame | No
 
     surnames, new_surnames = _settled(lasts, ["cyrillic"], both(lambda script: _stem(F.col("form"), key, attempt, script)), in_use, "surnames", scratch)
     # A made surname belongs to one surname and is none of the corpus: given names need only differ within it.
-    given = names.where("given IS NOT NULL").select("cyrillic", "last", "gender", "norm", F.col("given").alias("form"))
-    firsts, new_firsts = _settled(given, ["cyrillic", "last", "gender"], F.lower(both(lambda script: _given(F.col("form"), key, attempt, script, F.col("gender")))), None, "given", scratch)
-    if not (changed or new_surnames or new_firsts):
+    given = names.where("given IS NOT NULL AND as_gender IS NULL").select("cyrillic", "last", "gender", "norm", F.col("given").alias("form"))
+    each_given = lambda script: F.array_join(F.transform(F.split("form", " "), lambda w: _given(w, key, attempt, script, F.col("gender"))), " ")
+    firsts, new_firsts = _settled(given, ["cyrillic", "last", "gender"], F.lower(both(each_given)), None, "given", scratch)
+    if not (changed or new_surnames or new_firsts) and names.where("as_gender IS NOT NULL").isEmpty():
         return None
     tries = names.join(surnames.select("cyrillic", F.col("form").alias("last"), attempt.alias("surname_attempt")), ["cyrillic", "last"])
-    tries = tries.join(firsts.select("norm", "attempt"), "norm", "left").select(F.lit("name").alias("kind"), "norm", F.coalesce("attempt", F.lit(0)).alias("attempt"), "surname_attempt")
-    tries = tries.union(values.select("kind", "form", "attempt", F.lit(0)))
-    return staged(tries.where("attempt > 0 OR surname_attempt > 0"), "pii-attempts").df
+    tries = tries.join(firsts.select(F.col("norm").alias("as_norm"), "attempt"), "as_norm", "left").select(F.lit("name").alias("kind"), "norm", F.coalesce("attempt", F.lit(0)).alias("attempt"), "surname_attempt", "as_gender")
+    tries = tries.union(values.select("kind", "form", "attempt", F.lit(0), F.lit(None).cast("string")))
+    return staged(tries.where("attempt > 0 OR surname_attempt > 0 OR as_gender IS NOT NULL"), "pii-attempts").df
 
 
 def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
@@ -429,12 +471,12 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
         # Attempt numbers travel to the rows that hold such entities.
         spots = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
         per_row = (
-            spots.join(clashes, ["kind", "norm"]).select("row", "entity", F.struct("attempt", "surname_attempt").alias("try"))
+            spots.join(clashes, ["kind", "norm"]).select("row", "entity", F.struct("attempt", "surname_attempt", "as_gender").alias("try"))
             .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "try"))).alias("tries"))
         )
         base = rows.join(per_row, "row", "left")
         tries = lambda e, part: F.coalesce(F.element_at(F.col("tries"), e)[part], F.lit(0))
-        made_of = lambda e: surrogate_of(e, key, tries(e, "attempt"), tries(e, "surname_attempt"))
+        made_of = lambda e: surrogate_of(e, key, tries(e, "attempt"), tries(e, "surname_attempt"), F.element_at(F.col("tries"), e)["as_gender"])
     woven = F.array_join(F.transform("parts", lambda x, i: F.when((i % 2 == 1) & is_entity(x), made_of(x)).otherwise(x)), "")
     new_text = F.when(F.size("parts") > 1, woven).otherwise(F.col("parts")[0])
     names = {c: F.col(f"own_{n}") for n, c in kept} | {text_col: new_text}
