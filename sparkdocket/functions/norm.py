@@ -21,12 +21,12 @@ def collapse(c: Column) -> Column:
 
 def scan_subject(c: Column) -> Column:
     """Subject for the scan hash: reply prefixes without space before the colon are dropped, again and again."""
-    return F.trim(F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^((re|fwd|fw):\s*)+", "")))
+    return F.trim(F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^(?:(?:re|fwd|fw):\s*+)++", "")))
 
 
 def thread_subject(c: Column) -> Column:
     """Subject for threading: prefixes may have space before the colon."""
-    return F.lower(F.trim(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), r"(?i)^((re|fwd|fw)\s*:\s*)+", "")))
+    return F.lower(F.trim(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), r"(?i)^(?:(?:re|fwd|fw)\s*+:\s*+)++", "")))
 
 
 def strip_html(c: Column) -> Column:
@@ -107,7 +107,7 @@ def safe_path(c: Column) -> Column:
 
 def scrub_paths(c: Column) -> Column:
     """Error text without directory names."""
-    return F.regexp_replace(c, r"([A-Za-z]:)?([/\\][^\s/\\:]+)+[/\\]", "…/")
+    return F.regexp_replace(c, r"([A-Za-z]:)?(?:[/\\][^\s/\\:]++(?=[/\\]))++[/\\]", "…/")
 
 
 def conversation_id(team: Column, channel: Column, day: Column, thread: Column) -> Column:
