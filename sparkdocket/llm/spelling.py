@@ -137,8 +137,20 @@ def signature(word: str, rank: dict[str, int], cost: list[int]) -> tuple[list[tu
     return prefix, pivots_of(early, cost)
 
 
+def _halves(word: str, size: int) -> int:
+    """Hashes (16 bits each) of the first half of ``size`` letters and of as many last letters as the other half has.
+
+    Of two words within one edit, the shorter one of ``size`` letters, one of both is equal.
+    """
+    k = size // 2
+    return zlib.crc32(word[:k].encode()) & 0xFFFF | (zlib.crc32(word[len(word) - (size - k) :].encode()) & 0xFFFF) << 16
+
+
 def _signatures(words: DataFrame) -> DataFrame:
-    """A row per gram of a prefix (``pivot`` false) and per place where a pivot may stand in a near word (true)."""
+    """A row per gram of a prefix (``pivot`` false) and per place where a pivot may stand in a near word (true).
+
+    ``halves`` has the hashes for words of at least the same length, and above them, for prefixes, those for shorter words.
+    """
     counts = _bigram_counts(words)
     order = sorted(counts, key=lambda g: (counts[g], g))
     rank, cost = {g: k for k, g in enumerate(order)}, [counts[g] for g in order]
@@ -149,15 +161,16 @@ def _signatures(words: DataFrame) -> DataFrame:
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 prefix, pivots = signature(word, rank, cost)
                 size, last = len(word), max(r for _, r in prefix)
-                rows += [(word, n, last, False, r, p, size) for p, r in prefix]
+                same, less = _halves(word, size), _halves(word, size - 1)
+                rows += [(word, n, last, False, r, p, size, less << 32 | same) for p, r in prefix]
                 for p, r in pivots:
                     places = [(p, size), (p, size + 1), (p + 1, size + 1), (p, size - 1), (p - 1, size - 1)]
-                    rows += [(word, n, last, True, r, at, long) for at, long in places if at >= 0]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-            names = ["word", "n", "last", "pivot", "gram", "place", "size"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+                    rows += [(word, n, last, True, r, at, long, same if long >= size else less) for at, long in places if at >= 0]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.uint64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].view(pa.int64())], names=["word", "n", "last", "pivot", "gram", "place", "size", "halves"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, last int, pivot boolean, gram int, place int, size int")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, last int, pivot boolean, gram int, place int, size int, halves long")
 
 
 def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -174,9 +187,12 @@ def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     hot = pivots.groupBy(*key).count().where(F.col("count") > part).select(*key, F.ceil(F.col("count") / part).cast("int").alias("parts"))
     hot = F.broadcast(scratch.stage(hot, "spell-hot"))
     parts = F.coalesce("parts", F.lit(1))
-    left = pivots.join(hot, key, "left").select(*key, F.pmod(F.xxhash64("word"), parts).cast("int").alias("part"), F.col("word").alias("s"), F.col("n").alias("n_s"), F.col("last").alias("last_s"))
-    right = prefixes.join(hot, key, "left").select(*key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("word").alias("r"), F.col("n").alias("n_r"), F.col("last").alias("last_r"))
-    near = (F.col("last_s") <= F.col("last_r")) & (F.col("s") != F.col("r")) & (F.levenshtein("s", "r", 1) == 1)
+    left = pivots.join(hot, key, "left").select(*key, F.pmod(F.xxhash64("word"), parts).cast("int").alias("part"), F.col("word").alias("s"), F.col("n").alias("n_s"), F.col("last").alias("last_s"), F.col("halves").alias("halves_s"), (F.length("word") < F.col("size")).alias("shorter"))
+    right = prefixes.join(hot, key, "left").select(*key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("word").alias("r"), F.col("n").alias("n_r"), F.col("last").alias("last_r"), F.col("halves").alias("halves_r"))
+    # Cheap tests first: one half of the words agrees.
+    apart = F.col("halves_s").bitwiseXOR(F.when(F.col("shorter"), F.shiftrightunsigned("halves_r", 32)).otherwise(F.col("halves_r")))
+    half = (apart.bitwiseAND(F.lit(0xFFFF)) == 0) | (apart.bitwiseAND(F.lit(0xFFFF0000)) == 0)
+    near = (F.col("last_s") <= F.col("last_r")) & half & (F.levenshtein("s", "r", 1) == 1)
     on = [left[c] == right[c] for c in (*key, "part")]
     found = left.join(right, [*on, near])
     swapped = F.col("s") < F.col("r")
