@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 LONGEST = 40
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힯"
-#: Mail addresses, Latin words, CJK runs; portable between engines.
-TOKEN = f"([0-9a-z._%+-]*[0-9a-z]@[0-9a-z][0-9a-z.-]*[0-9a-z]|[0-9a-zß-öø-ÿ]+|[{_CJK}]+)"
+#: Mail addresses (at most 64 characters before the @), Latin words, CJK runs; portable between engines.
+TOKEN = f"([0-9a-z._%+-]{{0,63}}[0-9a-z]@[0-9a-z][0-9a-z.-]*[0-9a-z]|[0-9a-zß-öø-ÿ]+|[{_CJK}]+)"
 
 
 def tokens_of(text: Column) -> Column:

@@ -2,42 +2,89 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import keyword as kw
 from sparkdocket.operators.filterspec import apply_filter
+from sparkdocket.operators.kwindex import KeywordIndex
 from sparkdocket.plans import items as adapt
+from sparkdocket.plans.staging import shared_dir
 from sparkdocket.queries.filters import _DOCS_SQL, _docs
 
 # Letters that stand for CJK characters where a query needs such texts.
 _LATIN, _CHARACTERS = "etaoinsrhdl", "的一是不了人我在有他这"
 
 
-def _posts(spark, sf_dir, cjk=False):
-    d = adapt.table(spark, sf_dir, "documents")
+#: Paths of the indexes that this application has built, by application and tables.
+_BUILT: dict[tuple, str] = {}
+
+
+def _fields(cjk=False):
+    """Subject (the first four words stand for one), whole text and path."""
     body = F.translate(F.lower("text"), _LATIN, _CHARACTERS) if cjk else F.col("text")
-    return kw.postings(d, "doc_id", {"subject": F.concat_ws(" ", F.substring_index("text", " ", 4), "lang"), "body": body, "path": F.concat(F.lit("in/"), "source")})
+    return {"subject": F.concat_ws(" ", F.substring_index("text", " ", 4), "lang"), "body": body, "path": F.concat(F.lit("in/"), "source")}
+
+
+def _index(spark, sf_dir, cjk=False):
+    """The index of all documents; built once, then opened."""
+    name = (spark.sparkContext.applicationId, sf_dir, cjk)
+    if name not in _BUILT:
+        path = f"{shared_dir(spark)}/keyword-index-{uuid.uuid4().hex}"
+        KeywordIndex.create(spark, path, "doc_id", buckets=16, spread=2).upsert(adapt.table(spark, sf_dir, "documents"), _fields(cjk))
+        _BUILT[name] = path
+    return KeywordIndex.open(spark, _BUILT[name])
 
 
 def _search(query, cjk=False):
-    return lambda spark, sf_dir: kw.search(_posts(spark, sf_dir, cjk), "doc_id", query)
+    return lambda spark, sf_dir: _index(spark, sf_dir, cjk).search(query)
 
 
 def kw_top(spark, sf_dir):
     """The 50 best: a top-k report."""
-    return kw.top(kw.search(_posts(spark, sf_dir), "doc_id", {"all": ["of"], "any": ["that", "with"]}), "doc_id", 50)
+    return kw.top(_index(spark, sf_dir).search({"all": ["of"], "any": ["that", "with"]}), "doc_id", 50)
 
 
 def kw_with_filter(spark, sf_dir):
     """Hits that a filter selects too, with their review order; relevance plays no part."""
-    hits = kw.matching(_posts(spark, sf_dir), "doc_id", {"any": ["der", "the"]}).withColumnRenamed("doc_id", "item_id")
+    hits = _index(spark, sf_dir).matching({"any": ["der", "the"]}).withColumnRenamed("doc_id", "item_id")
     spec = {"version": 1, "scope": "review_corpus", "conditions": [{"field": "size_bytes", "op": "gte", "value": 1000}]}
     return apply_filter(_docs(spark, sf_dir), spec).join(hits, "item_id", "left_semi").select("item_id", "review_order")
 
 
 def index_postings(spark, sf_dir):
-    """The postings table by field and term."""
-    return _posts(spark, sf_dir).groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("items"), F.max("pos").alias("last_pos"))
+    """What the index holds, by field and term."""
+    return _by_term(_index(spark, sf_dir))
+
+
+def _by_term(index):
+    return index.postings().groupBy("field", "term").agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("items"), F.max(F.array_max("positions")).alias("last_pos"))
+
+
+def _kept_up(spark, sf_dir):
+    """An index that began with other documents and texts and was brought up to date: additions, changes, orphans, a deletion."""
+    d = adapt.table(spark, sf_dir, "documents")
+    index = KeywordIndex.create(spark, f"{shared_dir(spark)}/keyword-index-{uuid.uuid4().hex}", "doc_id", buckets=16, spread=2)
+    then = d.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" superseded"))).otherwise(F.col("text")))
+    strange = d.where("doc_id % 5 = 0").withColumns({"doc_id": -1 - F.col("doc_id"), "text": F.lit("an orphan of the index")})
+    index = index.upsert(then.unionByName(strange), _fields()).upsert(d, _fields())
+    return index.delete(d.where("doc_id % 11 = 0").select("doc_id"))
+
+
+def index_kept_up(spark, sf_dir):
+    """Equals an index of the present documents without the deleted ones."""
+    return _by_term(_kept_up(spark, sf_dir))
+
+
+def index_merged(spark, sf_dir):
+    """The same from one merged segment."""
+    return _by_term(_kept_up(spark, sf_dir).merge())
+
+
+def kw_after_changes(spark, sf_dir):
+    """A search over segments and tombstones."""
+    return _kept_up(spark, sf_dir).search("(der OR the) -of")
 
 
 def index_changes(spark, sf_dir):
@@ -74,9 +121,21 @@ def _sql_search(positive, where, cjk=False, extra=""):
     SELECT doc_id, score FROM sc WHERE {where}"""
 
 
+def _sql_all(positive, where):
+    """The same with the items that satisfy the condition without any of the terms that score."""
+    scored = _sql_search(positive, where) if positive else f"WITH {_sql_posts()} SELECT doc_id, 0.0 AS score FROM documents WHERE false"
+    return f"SELECT doc_id, coalesce(score, 0.0) AS score FROM (WITH {_sql_posts()} SELECT doc_id FROM documents WHERE {where}) LEFT JOIN ({scored}) USING (doc_id)"
+
+
 _HAS = lambda t, f=None: f"doc_id IN (SELECT doc_id FROM post WHERE term = '{t}'" + (f" AND field = '{f}')" if f else ")")
 
 
+def _sql_loose(terms, slop, field=None):
+    """The words in order with at most ``slop`` other places between them in all."""
+    joins = " ".join(f"JOIN post p{n} ON p{n}.doc_id = p0.doc_id AND p{n}.field = p0.field AND p{n}.pos > p{n - 1}.pos AND p{n}.pos <= p0.pos + {n + slop} AND p{n}.term = '{t}'" for n, t in enumerate(terms) if n)
+    return f"doc_id IN (SELECT p0.doc_id FROM post p0 {joins} WHERE p0.term = '{terms[0]}'" + (f" AND p0.field = '{field}')" if field else ")")
+
+
 def _sql_phrase(terms):
     joins = " ".join(f"JOIN post p{n} ON p{n}.doc_id = p0.doc_id AND p{n}.field = p0.field AND p{n}.pos = p0.pos + {n} AND p{n}.term = '{t}'" for n, t in enumerate(terms) if n)
     return f"doc_id IN (SELECT p0.doc_id FROM post p0 {joins} WHERE p0.term = '{terms[0]}')"
@@ -85,7 +144,9 @@ def _sql_phrase(terms):
 QUERIES = {
     "kw_all": _search({"all": ["the and that"]}), "kw_any": _search({"any": ["sich", "qui", "los"]}), "kw_none": _search({"all": ["of"], "none": ["was", {"text": "was on", "phrase": True}]}),
     "kw_phrase": _search({"all": [{"text": "of the", "phrase": True}]}), "kw_field": _search({"all": [{"text": "src1", "field": "path"}], "any": [{"text": "de", "field": "subject"}, {"text": "the", "field": "body"}]}),
-    "kw_cjk": _search({"all": ["一有的"]}, True), "kw_top": kw_top, "kw_with_filter": kw_with_filter,
+    "kw_nested": _search('(the OR der) (is OR ("of the" AND NOT was)) -que'), "kw_not_in_or": _search("sich OR NOT (the AND of)"), "kw_loose_phrase": _search('"the and that"~6 OR body:"of is"~2'),
+    "kw_groups": _search('path:(src1 OR src2) +subject:(en OR de) NOT (body:"in the" OR (body:was AND NOT body:by))'), "kw_none_of": _search("NOT the NOT der"),
+    "kw_cjk": _search({"all": ["一有的"]}, True), "kw_after_changes": kw_after_changes, "index_kept_up": index_kept_up, "index_merged": index_merged, "kw_top": kw_top, "kw_with_filter": kw_with_filter,
     "index_postings": index_postings, "index_changes": index_changes, "language_tags": language_tags,
 }
 _VOTE_SQL = ", ".join(f"len(list_filter(ws, lambda w: list_contains({ws!r}, w))) AS {k}" for k, ws in _VOTES.items())
@@ -96,9 +157,17 @@ ORACLE = {
     "kw_phrase": _sql_search([("", "of"), ("", "the")], _sql_phrase(["of", "the"])),
     "kw_field": _sql_search([("path", "src1"), ("subject", "de"), ("body", "the")], f"{_HAS('src1', 'path')} AND ({_HAS('de', 'subject')} OR {_HAS('the', 'body')})"),
     "kw_cjk": _sql_search([("", "一有"), ("", "有的")], _sql_phrase(["一有", "有的"]), True),
+    "kw_nested": _sql_search([("", t) for t in ("the", "der", "is", "of")], f"({_HAS('the')} OR {_HAS('der')}) AND ({_HAS('is')} OR ({_sql_phrase(['of', 'the'])} AND NOT {_HAS('was')})) AND NOT {_HAS('que')}"),
+    "kw_not_in_or": _sql_all([("", "sich")], f"({_HAS('sich')} OR NOT ({_HAS('the')} AND {_HAS('of')}))"),
+    "kw_loose_phrase": _sql_search([("", "the"), ("", "and"), ("", "that"), ("body", "of"), ("body", "is")], f"({_sql_loose(['the', 'and', 'that'], 6)} OR {_sql_loose(['of', 'is'], 2, 'body')})"),
+    "kw_groups": _sql_search([("path", "src1"), ("path", "src2"), ("subject", "en"), ("subject", "de"), ("body", "by")],
+        f"({_HAS('src1', 'path')} OR {_HAS('src2', 'path')}) AND ({_HAS('en', 'subject')} OR {_HAS('de', 'subject')}) AND NOT ({_sql_loose(['in', 'the'], 0, 'body')} OR ({_HAS('was', 'body')} AND NOT {_HAS('by', 'body')}))"),
+    "kw_none_of": _sql_all([], f"NOT {_HAS('the')} AND NOT {_HAS('der')}"),
+    "kw_after_changes": _sql_search([("", "der"), ("", "the")], f"({_HAS('der')} OR {_HAS('the')}) AND NOT {_HAS('of')}").replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 11 <> 0)"),
     "kw_top": _sql_search([("", t) for t in ("of", "that", "with")], f"{_HAS('of')} AND ({_HAS('that')} OR {_HAS('with')})") + " ORDER BY score DESC, doc_id LIMIT 50",
     "kw_with_filter": f"WITH {_DOCS_SQL}, {_sql_posts()} SELECT item_id, review_order FROM corpus WHERE size_bytes >= 1000 AND item_id IN (SELECT doc_id FROM post WHERE term IN ('der', 'the'))",
     "index_postings": f"WITH {_sql_posts()} SELECT field, term, count(*) AS n, count(DISTINCT doc_id) AS items, CAST(max(pos) AS INT) AS last_pos FROM post GROUP BY 1, 2",
+    **{name: f"WITH {_sql_posts()} SELECT field, term, count(*) AS n, count(DISTINCT doc_id) AS items, CAST(max(pos) AS INT) AS last_pos FROM post WHERE doc_id % 11 <> 0 GROUP BY 1, 2" for name in ("index_kept_up", "index_merged")},
     "index_changes": """WITH n AS (SELECT doc_id, md5(text) || source AS f FROM documents WHERE lang <> 'fr'), o AS (SELECT doc_id, md5(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) || source AS f FROM documents JOIN labels USING (doc_id)),
         b AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'add' WHEN n.doc_id IS NULL THEN 'remove' WHEN n.f IS DISTINCT FROM o.f THEN 'update' END AS change FROM n FULL JOIN o ON n.doc_id = o.doc_id)
         SELECT doc_id, change FROM b WHERE change IS NOT NULL""",
