@@ -1,17 +1,13 @@
 """A written keyword index: immutable segments, tombstones, merges.
 
-Folders below the index's path::
+Tables of the store (see ``plans.segments``)::
 
     postings/seg=N/bucket=B   item, field, term, tf, len, positions; a bucket has the terms of one hash
     docs/seg=N                item, fingerprint, lens (tokens of each field that has any)
-    dead/seg=N                items whose entries in earlier segments no longer count
-    manifests/version=N       which segments count, statistics, the tokenizer's fingerprint
-
-A change writes one segment and then a new manifest, so readers see all of it or
-nothing, and a task or driver that is lost leaves only files that no manifest
-names.  There is one writer at a time.  A query reads the buckets of its terms;
-inside a bucket files are sorted by term, so that most of their row groups are
-skipped.  ``len`` stands in each posting and the statistics in the manifest: to
+
+The manifest has statistics and the tokenizer's fingerprint.  A query reads the
+buckets of its terms; inside a bucket files are sorted by term, so that most of
+their row groups are skipped.  ``len`` stands in each posting and the statistics in the manifest: to
 score, nothing else is read.  A frequent term's postings are dealt over ``spread``
 files by item.
 """
@@ -19,19 +15,18 @@ files by item.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import kwquery
 from sparkdocket.operators.keyword import LONGEST, TOKEN, changed, fingerprints, tokens_of
+from sparkdocket.plans.segments import SegmentStore, StaleStore
 from sparkdocket.plans.staging import Scratch
 
 #: What an index must have been tokenized with to be searched.
@@ -40,14 +35,6 @@ TOKENIZER = hashlib.sha256(f"{TOKEN}|{LONGEST}".encode()).hexdigest()[:16]
 _BITS = 60
 
 
-class IndexMissing(LookupError):
-    """There is no index at the path, or it holds no items."""
-
-
-class StaleIndex(LookupError):
-    """The index was tokenized in another way and must be built anew."""
-
-
 def _entries(rows: DataFrame, key: str) -> DataFrame:
     """``key, field, term, tf, len, positions`` of ``key, field, terms``: one row per term of a field."""
 
@@ -72,64 +59,40 @@ def _entries(rows: DataFrame, key: str) -> DataFrame:
 
 
 @dataclass
-class KeywordIndex:
+class KeywordIndex(SegmentStore):
     """An index of items with unique ids in ``key``."""
 
-    spark: SparkSession
-    path: str
-    key: str
     buckets: int = 64
     spread: int = 4
-    version: int = 0
-    segments: list[int] = field(default_factory=list)
-    killers: list[int] = field(default_factory=list)
     stats: dict[str, list[int]] = field(default_factory=dict)
-    items: int = 0
-    tokenizer: str = TOKENIZER
+    tokenizer: str = ""
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, key: str, buckets: int = 64, spread: int = 4) -> KeywordIndex:
         """An empty index, which its first change writes."""
-        return cls(spark, path.rstrip("/"), key, buckets, spread)
+        return cls(spark, path.rstrip("/"), key, buckets=buckets, spread=spread, tokenizer=TOKENIZER)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
         """The index at a path as its latest manifest says."""
-        path = path.rstrip("/")
-        try:
-            last = spark.read.schema("manifest string, version int").json(f"{path}/manifests").orderBy(F.desc("version")).first()
-        except AnalysisException as e:
-            raise IndexMissing(f"no index at {path}") from e
-        if last is None:
-            raise IndexMissing(f"no index at {path}")
-        found = cls(spark, path, **json.loads(last.manifest))
+        found = cls._opened(spark, path)
         if found.tokenizer != TOKENIZER:
-            raise StaleIndex(f"{path} was tokenized in another way; build it anew")
+            raise StaleStore(f"{path} was tokenized in another way; build it anew")
         return found
 
     # Reading
 
-    def _read(self, name: str, segments: list[int]) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("seg").isin(segments))
-
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        """Without rows of items that a later segment has removed or replaced."""
-        if not self.killers:
-            return rows
-        dead = self._read("dead", self.killers).select(F.col(self.key).alias("_dead"), F.col("seg").alias("_by"))
-        return rows.join(dead, (F.col(self.key) == F.col("_dead")) & (F.col("seg") < F.col("_by")), "left_anti")
-
     def documents(self) -> DataFrame:
         """``key, fingerprint, lens, seg`` of the items in the index."""
-        return self._alive(self._read("docs", self.segments))
+        return self.alive(self.rows("docs"))
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """``key, field, term, tf, len, positions, seg``: all, or those of some terms, whose buckets alone are read."""
-        rows = self._read("postings", self.segments)
+        rows = self.rows("postings")
         if terms is not None:
             buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket()).distinct().collect()]
             rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        return self._alive(rows).drop("bucket")
+        return self.alive(rows).drop("bucket")
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
@@ -171,27 +134,21 @@ class KeywordIndex:
         return self._commit(docs, rows, None, instead=True)
 
     def _commit(self, docs: DataFrame | None, rows: DataFrame | None, gone: DataFrame | None, instead: bool = False) -> KeywordIndex:
-        n = self.version + 1
-        segments, killers = ([] if instead else list(self.segments)), ([] if instead else list(self.killers))
+        new = replace(self)
         if docs is not None:
-            docs.write.mode("overwrite").parquet(f"{self.path}/docs/seg={n}")
+            new.write("docs", docs)
             # Postings of a term are dealt by item over a few files of its bucket.
             part = F.pmod(F.xxhash64(self.key), F.lit(self.spread))
             dealt = rows.withColumn("bucket", self._bucket()).repartition(self.buckets * self.spread, "bucket", part).sortWithinPartitions("bucket", "term", self.key)
-            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/seg={n}")
-            segments.append(n)
-        if gone is not None:
-            gone.write.mode("overwrite").parquet(f"{self.path}/dead/seg={n}")
-            if not self.spark.read.parquet(f"{self.path}/dead/seg={n}").isEmpty():
-                killers.append(n)
-        new = KeywordIndex(self.spark, self.path, self.key, self.buckets, self.spread, n, segments, killers)
-        alive = new.documents()
-        sizes = alive.select(F.explode("lens").alias("l")).groupBy("l.field").agg(F.count(F.lit(1)).alias("n"), F.sum("l.len").alias("total")).collect()
-        new.stats, new.items = {r.field: [r.n, r.total] for r in sizes}, alive.count()
-        said = {k: v for k, v in vars(new).items() if k not in ("spark", "path")}
-        self.spark.createDataFrame([(json.dumps(said),)], "manifest string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifests/version={n}")
+            new.write("postings", dealt, "bucket")
+        new.publish(added=docs is not None, gone=gone, instead=instead)
         return new
 
+    def measure(self) -> None:
+        docs = self.documents()
+        sizes = docs.select(F.explode("lens").alias("l")).groupBy("l.field").agg(F.count(F.lit(1)).alias("n"), F.sum("l.len").alias("total")).collect()
+        self.stats, self.items = {r.field: [r.n, r.total] for r in sizes}, docs.count()
+
     # Searching
 
     def _phrase_hits(self, slim: DataFrame, node: tuple) -> DataFrame:
@@ -210,7 +167,7 @@ class KeywordIndex:
 
     def matching(self, query) -> DataFrame:
         """The distinct items that satisfy the query (a text, clauses or a tree)."""
-        self._usable()
+        self.usable()
         tree = kwquery.tree_of(query)
         parts = kwquery.leaves(tree)
         slim = self.postings(sorted({t for p in parts for t in ([p[2]] if p[0] == "term" else p[2])}))
@@ -240,7 +197,7 @@ class KeywordIndex:
 
         An item that satisfies it without any such term has score 0.
         """
-        self._usable()
+        self.usable()
         tree = kwquery.tree_of(query)
         wanted = sorted(kwquery.scoring_terms(tree))
         hits = self.matching(tree)
@@ -254,7 +211,3 @@ class KeywordIndex:
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
         scored = tf.join(df, ["field", "term"]).join(stats, "field").groupBy(self.key).agg(F.round(F.sum(part), 6).alias("score"))
         return hits.join(scored, self.key, "left").select(self.key, F.coalesce("score", F.lit(0.0)).alias("score"))
-
-    def _usable(self) -> None:
-        if not self.items:
-            raise IndexMissing(f"the index at {self.path} holds no items")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import kwindex, kwquery
-from sparkdocket.operators.kwindex import IndexMissing, KeywordIndex, StaleIndex
+from sparkdocket.operators.kwindex import KeywordIndex
 from sparkdocket.operators.kwquery import InvalidQuery, holds, parse
+from sparkdocket.plans.segments import StaleStore, StoreMissing
 from sparkdocket.plans.staging import shared_dir
 
 def fields():
@@ -124,17 +125,17 @@ def test_a_lost_writer_leaves_the_last_version(spark):
 
 
 def test_guards(spark, monkeypatch):
-    with pytest.raises(IndexMissing):
+    with pytest.raises(StoreMissing):
         KeywordIndex.open(spark, f"{shared_dir(spark)}/no-such-index")
-    with pytest.raises(IndexMissing):
+    with pytest.raises(StoreMissing):
         fresh(spark).search("a")
     index = fresh(spark).upsert(items(spark, [(1, "a", "b")]), fields())
     emptied = index.delete(spark.createDataFrame([(1,)], "id int"))
-    with pytest.raises(IndexMissing):
+    with pytest.raises(StoreMissing):
         emptied.search("a")
     assert emptied.merge().items == 0
     monkeypatch.setattr(kwindex, "TOKENIZER", "another")
-    with pytest.raises(StaleIndex):
+    with pytest.raises(StaleStore):
         KeywordIndex.open(spark, index.path)
 
 
