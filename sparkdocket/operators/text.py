@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,76 +149,6 @@ def semantic_search(chunks: DataFrame, query_vector: list[float], item: str, vec
     return base.select(item, cosine(F.col(vector), q).alias("s")).groupBy(item).agg(F.round(F.max("s"), 6).alias("score")).where(F.col("score") >= min_score)
 
 
-def search_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, *, best: int | None = 50, min_score: float = -1.0, block: int = 1000) -> DataFrame:
-    """``query_id, key, score``: for each query vector the best rows by cosine, six digits, ties by key.
-
-    Queries pass the driver ``block`` at a time and are broadcast so; every row meets
-    every query, a matrix product per batch.  Within a batch only the ``best`` rows of
-    a query go on (None: all at or above ``min_score``), of which the best are taken.
-    Vectors of another length, null, zero or not finite ones match nothing.
-    """
-    spark = vectors.sparkSession
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def units(rows: list) -> dict[int, list[int]]:
-        """Places of usable vectors by their length."""
-        by: dict[int, list[int]] = {}
-        for k, r in enumerate(rows):
-            if r is not None and len(r) and None not in r:
-                by.setdefault(len(r), []).append(k)
-        return by
-
-    def scored(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, wanted = shared.value
-            for b in batches:
-                rows, keys = b.column("v").to_pylist(), b.column("k").to_pylist()
-                q_out, k_out, s_out = [], [], []
-                for n, at in units(rows).items():
-                    if n not in wanted:
-                        continue
-                    v = np.array([rows[k] for k in at], np.float64)
-                    with np.errstate(all="ignore"):
-                        score = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ wanted[n][1].T, 6)
-                    for c, q in enumerate(wanted[n][0]):
-                        hit = np.nonzero(score[:, c] >= min_score)[0].tolist()
-                        if best is not None and len(hit) > best:
-                            hit = sorted(hit, key=lambda r, c=c, score=score, at=at, keys=keys: (-score[r, c], keys[at[r]]))[:best]
-                        q_out += [ids[q]] * len(hit)
-                        k_out += [keys[at[r]] for r in hit]
-                        s_out += score[hit, c].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q_out, b.schema.field("k").type), pa.array(k_out, b.schema.field("k").type), pa.array(s_out, pa.float64())], names=["query_id", key, "score"])
-
-        return run
-
-    slim = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    parts: list[DataFrame] = []
-    waiting: list = []
-
-    def send() -> None:
-        by = {n: ([k for k in at], np.array([waiting[k][1] for k in at], np.float64)) for n, at in units([w[1] for w in waiting]).items()}
-        usable = {}
-        for n, (at, m) in by.items():
-            size = np.linalg.norm(m, axis=1)
-            fine = np.isfinite(size) & (size > 0)
-            usable[n] = ([a for a, f in zip(at, fine, strict=True) if f], m[fine] / size[fine, None])
-        shared = spark.sparkContext.broadcast(([w[0] for w in waiting], usable))
-        parts.append(slim.mapInArrow(scored(shared), f"query_id {kind}, {key} {kind}, score double"))
-        waiting.clear()
-
-    for r in queries.select(key, vector).orderBy(key).toLocalIterator():
-        waiting.append((r[0], r[1]))
-        if len(waiting) == block:
-            send()
-    if waiting or not parts:
-        send()
-    out = reduce(DataFrame.union, parts)
-    if best is None:
-        return out
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= best).drop("_n")
-
-
 def tone_of_units(units: DataFrame, key: str, score: str, position: str, strong: float = 0.05) -> DataFrame:
     """Item tone from unit scores: the unit of largest absolute score (the first of equals), extremes, polarity."""
     best = F.max(F.struct(F.abs(score).alias("a"), (-F.col(position)).alias("p"), F.col(score).alias("s")))["s"]

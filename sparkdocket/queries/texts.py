@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import norm
 from sparkdocket.operators import neardup
 from sparkdocket.operators import text as t
+from sparkdocket.operators.vectorstore import VectorStore
 from sparkdocket.plans import items as adapt
+from sparkdocket.plans.staging import shared_dir
 
 
 def _d(spark, sf_dir):
@@ -62,31 +66,80 @@ def bm25_search(spark, sf_dir):
     return t.bm25(t.tokens(_d(spark, sf_dir), ["doc_id"], "text"), "doc_id", ["the", "and", "er"])
 
 
-def _query_vector(spark, sf_dir):
-    return adapt.table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+#: Paths of the stores that this application has built, by application and tables.
+_STORES: dict[tuple, str] = {}
+
+
+def _vectors(spark, sf_dir):
+    return adapt.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+
+
+def _chunk_vectors(vectors):
+    """Four vectors that follow each other as the chunks of one item."""
+    return vectors.select((F.col("vec_id") - F.col("vec_id") % 4).alias("vec_id"), (F.col("vec_id") % 4).cast("int").alias("ordinal"), "vector")
+
+
+def _new_store(spark):
+    return VectorStore.create(spark, f"{shared_dir(spark)}/vector-store-{uuid.uuid4().hex}", "vec_id", "embeddings", cells=32)
+
+
+def _store(spark, sf_dir):
+    """The store of all embeddings; built once, then opened."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _STORES:
+        _STORES[name] = _new_store(spark).upsert(_vectors(spark, sf_dir)).path
+    return VectorStore.open(spark, _STORES[name], "embeddings")
+
+
+def _asked(spark, sf_dir):
+    """Every vector whose id is divisible by 100."""
+    return _vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
 
 
 def semantic_scores(spark, sf_dir):
-    e = adapt.table(spark, sf_dir, "embeddings")
-    return t.semantic_search(e, _query_vector(spark, sf_dir), "vec_id", "embedding")
+    """All scores of at least 0.4, for each query."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), best=None, min_score=0.4).drop("ordinal")
 
 
 def semantic_prefiltered(spark, sf_dir):
-    """Scores inside one label, at least 0.05, per vector."""
-    e = adapt.table(spark, sf_dir, "embeddings")
-    return t.semantic_search(e, _query_vector(spark, sf_dir), "vec_id", "embedding", e.where("label = 3"), 0.05)
+    """The 20 best of each query inside one label, at least 0.05: items are cut down before they are scored."""
+    few = _vectors(spark, sf_dir).where("label = 3")
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), best=20, min_score=0.05, eligible=few).drop("ordinal")
 
 
 def semantic_top(spark, sf_dir):
-    """Every vector whose id is divisible by 100 against all: the 50 best of each, a top-k report."""
-    e = adapt.table(spark, sf_dir, "embeddings")
-    return t.search_vectors(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    """The 50 best of each query: a top-k report."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir)).drop("ordinal")
 
 
 def semantic_all_scores(spark, sf_dir):
-    """All scores of at least 0.05 inside one label, for each of those queries."""
-    e = adapt.table(spark, sf_dir, "embeddings")
-    return t.search_vectors(e.where("label = 3"), e.where("vec_id % 100 = 0"), "vec_id", "embedding", best=None, min_score=0.05)
+    """All scores of at least 0.05 inside one label, for each query."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), best=None, min_score=0.05, eligible=_vectors(spark, sf_dir).where("label = 3")).drop("ordinal")
+
+
+def semantic_chunks(spark, sf_dir):
+    """The ten best items of each query, each by the best of its chunks."""
+    store = _new_store(spark).upsert(_chunk_vectors(_vectors(spark, sf_dir)), ordinal="ordinal")
+    return store.search(_asked(spark, sf_dir), best=10)
+
+
+def _vectors_kept_up(spark, sf_dir):
+    """A store that began with other vectors and was brought up to date: additions, changes, orphans, a deletion."""
+    v = _vectors(spark, sf_dir)
+    then = v.where("vec_id % 3 <> 0").withColumn("vector", F.when(F.col("vec_id") % 7 == 0, F.reverse("vector")).otherwise(F.col("vector")))
+    strange = v.where("vec_id % 5 = 0").withColumn("vec_id", -1 - F.col("vec_id"))
+    store = _new_store(spark).upsert(then.unionByName(strange)).upsert(v)
+    return store.delete(v.where("vec_id % 11 = 1").select("vec_id"))
+
+
+def vectors_kept_up(spark, sf_dir):
+    """A search over segments and tombstones."""
+    return _vectors_kept_up(spark, sf_dir).search(_asked(spark, sf_dir), best=15).drop("ordinal")
+
+
+def vectors_merged(spark, sf_dir):
+    """The same over one merged segment."""
+    return _vectors_kept_up(spark, sf_dir).merge().search(_asked(spark, sf_dir), best=15).drop("ordinal")
 
 
 def sentiment_aggregate(spark, sf_dir):
@@ -138,8 +191,6 @@ _HITS = f"""WITH r AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type
   h AS (SELECT doc_id, entity_type, v, CASE WHEN entity_type = 'email' THEN v[1] || '***@' || split_part(v, '@', -1) WHEN entity_type = 'currency' THEN '$***' ELSE '***' || right(regexp_replace(v, '[^0-9]', '', 'g'), 4) END AS masked,
     sha256(CASE WHEN entity_type = 'email' THEN lower(v) ELSE regexp_replace(v, '[^0-9.]', '', 'g') END) AS match_hash FROM r
     WHERE CASE entity_type WHEN 'card' THEN regexp_matches(v, '^[2-6]') AND {_LUHN} WHEN 'ssn' THEN NOT regexp_matches(v, '^(000|666|9..)-|-00-|-0000$') ELSE true END)"""
-_COS = "list_inner_product(CAST(e.embedding AS DOUBLE[]), q.v) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(q.v, q.v)))"
-_Q = "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1)"
 _MERGED = """x AS (SELECT DISTINCT l_orderkey AS key, l_linenumber * 20 + CAST(l_quantity AS INT) AS s, l_linenumber * 20 + CAST(l_quantity AS INT) + CAST(l_quantity AS INT) % 9 AS e FROM lineitem),
   y AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x WHERE e > s),
   z AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM y),
@@ -147,6 +198,7 @@ _MERGED = """x AS (SELECT DISTINCT l_orderkey AS key, l_linenumber * 20 + CAST(l
 QUERIES = {
     "entity_hits": entity_hits, "entity_counts": entity_counts, "entity_flags": entity_flags, "classify_pages": classify_pages, "html_strip": html_strip, "chunk_documents": chunk_documents, "chunk_documents_whole": chunk_documents_whole,
     "tfidf_by_source": tfidf_by_source, "cluster_labels": cluster_labels, "bm25_search": bm25_search, "semantic_scores": semantic_scores, "semantic_prefiltered": semantic_prefiltered, "semantic_top": semantic_top, "semantic_all_scores": semantic_all_scores,
+    "semantic_chunks": semantic_chunks, "vectors_kept_up": vectors_kept_up, "vectors_merged": vectors_merged,
     "sentiment_aggregate": sentiment_aggregate, "redact_merge": redact_merge, "redact_text": redact_text, "citation_verify": citation_verify, "dat_encode": dat_encode, "bytes_labels": bytes_labels, "near_dup_minhash": near_dup_minhash,
 }
 _PAIRS = """p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score
@@ -176,8 +228,12 @@ ORACLE = {
     "bm25_search": f"""WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
         f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('the', 'and', 'er') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
         SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM f JOIN d USING (term) JOIN l USING (doc_id), g GROUP BY 1 HAVING count(*) = 3""",
-    "semantic_scores": f"{_Q} SELECT vec_id, round({_COS}, 6) AS score FROM embeddings e, q",
-    "semantic_prefiltered": f"{_Q}, s AS (SELECT vec_id, round({_COS}, 6) AS score FROM embeddings e, q WHERE e.label = 3) SELECT * FROM s WHERE score >= 0.05",
+    "semantic_scores": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE score >= 0.4",
+    "semantic_prefiltered": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE label = 3 AND score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20",
+    "semantic_chunks": f"""WITH {_PAIRS}, c AS (SELECT query_id, vec_id - vec_id % 4 AS vec_id, CAST(vec_id % 4 AS INT) AS ordinal, score FROM p),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY score DESC, ordinal) = 1)
+        SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    **{n: f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE vec_id % 11 <> 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 15" for n in ("vectors_kept_up", "vectors_merged")},
     "sentiment_aggregate": """WITH u AS (SELECT user_id, event_id, round(greatest(-1, least(1, value / 100.0 - 0.5)), 3) AS s FROM events),
         a AS (SELECT user_id, arg_max(s, struct_pack(a := abs(s), p := -event_id)) AS compound, min(s) AS low, max(s) AS high FROM u GROUP BY 1)
         SELECT *, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS polarity FROM a""",

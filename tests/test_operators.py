@@ -215,19 +215,3 @@ def test_marks_refuse_and_keyword_queries_check(spark):
             kw.matching(posts, "item_id", bad)
     assert [r.item_id for r in kw.matching(posts, "item_id", {"all": ["東京都"]}).collect()] == [2]
     assert [r.item_id for r in kw.search(posts, "item_id", {"all": [{"text": "the cat", "phrase": True}]}).collect()] == [1]
-
-
-def test_vector_search_in_blocks(spark):
-    import numpy as np
-
-    from sparkdocket.operators import text as tx
-
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(120, 6))
-    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)] + [(900, None), (901, [0.0] * 6), (902, [1.0, 2.0]), (903, [None] * 6)], "vec_id long, e array<double>").repartition(5)
-    q = df.where("vec_id % 10 = 0")
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    want = {(a, int(b)) for a in range(0, 120, 10) for b in sorted(range(120), key=lambda b: (-round(float(unit[a] @ unit[b]), 6), b))[:7]}
-    got = tx.search_vectors(df, q, "vec_id", "e", best=7, block=5).collect()
-    assert {(r.query_id, r.vec_id) for r in got} == want
-    assert tx.search_vectors(df.limit(0), q, "vec_id", "e").count() == 0 and tx.search_vectors(df, q.limit(0), "vec_id", "e").count() == 0
