@@ -58,6 +58,46 @@ def test_stream(spark, tmp_path):
     assert got == {1: ("unique", 1), 2: ("duplicate", 1), 3: ("duplicate", 1)}
 
 
+def test_stream_equals_batches(spark, tmp_path):
+    """Many batches of random items, a batch that fails in its midst and runs again, late items: the roles of batch after batch."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkdocket.operators.dedupe import dedupe_items
+    from sparkdocket.streaming.incremental import dedupe_roles
+
+    rng = random.Random(9)
+    schema = "item_id long, role string, status string, path string, message_id string, logical_hash string"
+    pick = lambda n: None if rng.random() < 0.3 else f"{rng.randrange(n)}"
+    batches = [[(b * 100 + k, rng.choice(["parent", "parent", None, "attachment"]), rng.choice(["extracted", "extracted", "error"]), rng.choice("abc"), pick(25), pick(25)) for k in range(30)] for b in range(4)]
+    # Late: earlier ids and paths arrive last and stay duplicates.
+    batches.append([(k - 500, "parent", "extracted", "A", f"{k}", f"{k}") for k in range(25)])
+    want, seen = {}, None
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        got = dedupe_items(df, seeds=seen).collect()
+        want |= {r.item_id: (r.dedup_role, r.dedup_tier, r.group_id, r.hash_conflict) for r in got}
+        unique = df.where(F.col("item_id").isin([r.item_id for r in got if r.dedup_role == "unique"]))
+        seen = unique if seen is None else seen.union(unique)
+    broken = {"left": 1}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        roles = dedupe_roles(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+        if n == 2:
+            # After state and rows are made, some rows fail the batch.
+            torn = roles.withColumn("item_id", F.when(F.col("item_id") % 7 == 0, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("item_id")))
+            q = torn.writeStream.format("parquet").outputMode("append").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+            try:
+                q.awaitTermination(120)
+            except Exception as e:  # noqa: BLE001
+                broken["left"] -= "lost" in str(e)
+        dedupe_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert broken["left"] == 0
+    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert len(rows) == len(want) and {r.item_id: (r.dedup_role, r.dedup_tier, r.group_id, r.hash_conflict) for r in rows} == want
+
+
 def test_office_texts_and_entry_names(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
