@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import hashing, norm
 from sparkdocket.operators import dedupe
 from sparkdocket.plans import items as adapt
-
+from sparkdocket.plans.staging import shared_dir
+from sparkdocket.streaming.incremental import dedupe_stream
 
 
 def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +42,17 @@ def dedupe_exact(spark, sf_dir):
     return dedupe.dedupe_items(hashed_documents(spark, sf_dir))
 
 
+def dedupe_streamed(spark, sf_dir):
+    """Documents that arrive in three deliveries, by id modulo 3, as a stream: what an earlier delivery had comes first."""
+    folder = f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}"
+    items = hashed_documents(spark, sf_dir).select("item_id", "role", "status", "path", "message_id", "logical_hash")
+    for number in range(3):
+        items.where(F.pmod("item_id", F.lit(3)) == number).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(items.schema).parquet(f"{folder}/in")
+        dedupe_stream(arriving, f"{folder}/roles", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/roles").select("item_id", "dedup_role", "dedup_tier", "group_id", "hash_conflict")
+
+
 def dedupe_summary(spark, sf_dir):
     """Counts and saved bytes by tier, from the roles."""
     d = hashed_documents(spark, sf_dir)
@@ -104,11 +118,16 @@ SELECT lang || '/' || (n_chars % 50) AS group_id,
 
 
 QUERIES = {
-    "dedupe_exact": dedupe_exact, "dedupe_summary": dedupe_summary, "duplicate_listing": duplicate_listing, "content_hash": content_hash, "scan_replay": scan_replay,
+    "dedupe_exact": dedupe_exact, "dedupe_streamed": dedupe_streamed, "dedupe_summary": dedupe_summary, "duplicate_listing": duplicate_listing, "content_hash": content_hash, "scan_replay": scan_replay,
     "keep_set_first": keep_set_first, "keep_set_largest": keep_set_largest, "keep_set_prefer_path": keep_set_prefer_path, "keep_set_materialized": keep_set_materialized,
 }
 ORACLE = {
     "dedupe_exact": f"WITH {ROLES_SQL} SELECT item_id, CASE WHEN item_id = group_id THEN 'unique' ELSE 'duplicate' END AS dedup_role, dedup_tier, group_id, hash_conflict FROM roles",
+    "dedupe_streamed": f"""WITH {HASHED_SQL}, o AS (SELECT *, struct_pack(d := item_id % 3, p := path, i := item_id) AS o FROM h),
+        m AS (SELECT *, first_value(item_id) OVER (PARTITION BY mid ORDER BY o) AS mf, first_value(lh) OVER (PARTITION BY mid ORDER BY o) AS fh FROM o WHERE mid IS NOT NULL UNION ALL SELECT *, NULL, NULL FROM o WHERE mid IS NULL),
+        c AS (SELECT lh, arg_min(item_id, o) AS hf FROM m WHERE mid IS NULL OR item_id = mf GROUP BY lh),
+        r AS (SELECT item_id, CASE WHEN mid IS NOT NULL THEN mf ELSE hf END AS group_id, CASE WHEN mid IS NOT NULL THEN 'message_id' ELSE 'logical_hash' END AS dedup_tier, mid IS NOT NULL AND item_id <> mf AND lh <> fh AS hash_conflict FROM m LEFT JOIN c USING (lh))
+        SELECT item_id, CASE WHEN item_id = group_id THEN 'unique' ELSE 'duplicate' END AS dedup_role, dedup_tier, group_id, hash_conflict FROM r""",
     "dedupe_summary": f"""WITH {ROLES_SQL} SELECT dedup_tier, count(*) FILTER (item_id = group_id) AS n_unique, count(*) FILTER (item_id <> group_id) AS n_duplicate,
         CAST(coalesce(sum(size_bytes) FILTER (item_id <> group_id), 0) AS BIGINT) AS saved_bytes, count(*) FILTER (hash_conflict) AS n_conflicts FROM roles GROUP BY 1""",
     "duplicate_listing": f"""WITH {ROLES_SQL} SELECT r.item_id, a.source AS path, a.n_chars AS size_bytes, r.group_id AS original_id, b.source AS original_path, b.n_chars AS original_size
