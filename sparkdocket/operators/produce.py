@@ -20,7 +20,12 @@ PROFILES = {
     "aliases": {"dates": "yyyy-MM-dd'T'HH:mm:ss'Z'", "zone": "UTC", "headers": {"BEGBATES": "Bates Beg", "ENDBATES": "Bates End", "CONTROL_NUMBER": "Control Number", "FAMILY_ID": "Group Identifier", "NATIVE_PATH": "Native File", "TEXT_PATH": "Extracted Text"}},
 }
 # Extensions of MIME types that have one.
-_EXTENSION = {"message/rfc822": "eml", "application/pdf": "pdf", "text/plain": "txt", "text/html": "html", "image/png": "png", "image/jpeg": "jpg", "text/calendar": "ics"}
+_OFFICE = "application/vnd.openxmlformats-officedocument."
+_EXTENSION = {
+    "message/rfc822": "eml", "application/pdf": "pdf", "text/plain": "txt", "text/html": "html", "image/png": "png", "image/jpeg": "jpg", "image/jpg": "jpg",
+    "application/vnd.ms-outlook": "msg", "application/msi.outlook": "msg", "text/calendar": "ics", "application/ics": "ics",
+    f"{_OFFICE}wordprocessingml.document": "docx", f"{_OFFICE}spreadsheetml.sheet": "xlsx", f"{_OFFICE}presentationml.presentation": "pptx",
+}
 
 
 def volume_of(index: Column, per_volume: int) -> Column:
@@ -62,17 +67,22 @@ def load_date(at: Column, profile: str) -> Column:
     return F.coalesce(F.date_format(F.from_utc_timestamp(at, p["zone"]), p["dates"]), F.lit(""))
 
 
+def _encoded(values: list[Column]) -> tuple[Column, Column]:
+    """A line of the load file and of its CSV twin."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return dat_line(values), F.concat_ws(",", *[quoted(v) for v in values])
+
+
 def load_lines(rows: DataFrame, columns: dict[str, Column], profile: str = "plain", order: str = "seq") -> DataFrame:
     """``seq, line, csv``: line 0 has the headers and the byte order mark, then a line per row; ``csv`` is the twin.
 
     ``columns`` gives the value of each of FIELDS; those without are empty.
     """
     names = [PROFILES[profile]["headers"].get(f, f) for f in FIELDS]
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    values = [columns.get(f, F.lit("")) for f in FIELDS]
-    body = rows.select(F.col(order).cast("long").alias("seq"), dat_line(values).alias("line"), F.concat_ws(",", *[quoted(v) for v in values]).alias("csv"))
-    heads = [F.lit(n) for n in names]
-    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("seq"), F.concat(F.lit("﻿"), dat_line(heads)).alias("line"), F.concat_ws(",", *[quoted(h) for h in heads]).alias("csv"))
+    line, csv = _encoded([columns.get(f, F.lit("")) for f in FIELDS])
+    body = rows.select(F.col(order).cast("long").alias("seq"), line.alias("line"), csv.alias("csv"))
+    line, csv = _encoded([F.lit(n) for n in names])
+    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("seq"), F.concat(F.lit("﻿"), line).alias("line"), csv.alias("csv"))
     return head.union(body)
 
 
@@ -84,3 +94,52 @@ def expand_for_production(items: DataFrame, base: DataFrame) -> DataFrame:
     kids = items.join(b.select(F.col("item_id").alias("parent_item_id")), "parent_item_id", "left_semi").select("item_id")
     ids = b.select("item_id").union(parents).union(family).union(kids).distinct()
     return items.join(ids, "item_id", "left_semi").select("item_id")
+
+
+def made_mail(sender: Column, subject: Column, body: Column) -> Column:
+    """A message of an item's fields, for mail that has no file of its own."""
+    told = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")
+    return F.concat(F.lit("From: "), told(sender), F.lit("\r\nSubject: "), told(subject), F.lit("\r\n\r\n"), F.coalesce(body, F.lit(""))).cast("binary")
+
+
+def volume_rows(items: DataFrame, per_volume: int = 1000, profile: str = "plain") -> DataFrame:
+    """What ``write_volumes`` writes of numbered items; items that have nothing to produce are left out (see ``volume_faults``).
+
+    ``items`` has ``resolve``'s columns, ``seq`` (from 1), ``control_number``, ``subject``, and the contents:
+    ``native_bytes``, ``text``, ``redacted_text``.  With redactions, only the redacted
+    text is produced, in the message made of an item's fields too.
+    """
+    found = resolve(items).where(F.coalesce(F.col("fault") != "redacted_text_missing", F.lit(True)) & (F.col("native").isNotNull() | F.col("text_source").isNotNull()))
+    body = F.when(F.col("text_source") == "redacted", F.col("redacted_text")).when(F.col("text_source") == "text", F.col("text"))
+    native = F.when(F.col("native") == "file", F.col("native_bytes")).when(F.col("native") == "mail", made_mail(F.col("from_addr"), F.col("subject"), body))
+    ext = F.when(F.col("native") == "mail", "eml").otherwise(extension(F.col("path"), F.col("mime_type")))
+    v = found.select("*", volume_of(F.col("seq") - 1, per_volume).alias("volume"), native.alias("_native"), body.alias("_text"), ext.alias("_ext"))
+    relative = lambda folder, has, e: F.when(has.isNotNull(), F.concat(F.col("volume"), F.lit(f"/{folder}/"), F.col("control_number"), F.lit("."), e)).otherwise("")
+    status = F.when(F.col("_native").isNotNull() & F.col("_text").isNotNull(), "NATIVE_AND_TEXT").when(F.col("_native").isNotNull(), "NATIVE").otherwise("TEXT_ONLY")
+    own = {
+        "BEGBATES": F.col("control_number"), "ENDBATES": F.col("control_number"), "CONTROL_NUMBER": F.col("control_number"), "ITEM_ID": F.col("item_id"), "FILE_NAME": F.regexp_extract("path", r"([^/\\]*)$", 1),
+        "FILE_EXT": F.when(F.col("_native").isNotNull(), F.col("_ext")), "FILE_CATEGORY": F.col("file_category"), "MIME_TYPE": F.col("mime_type"), "FILE_SIZE": F.octet_length("_native"), "SHA256": F.sha2("_native", 256),
+        "FROM": F.col("from_addr"), "SUBJECT": F.col("subject"), "NATIVE_PATH": relative("NATIVES", F.col("_native"), F.col("_ext")), "TEXT_PATH": relative("TEXT", F.col("_text"), F.lit("txt")),
+        "HAS_REDACTED_TEXT": F.when(F.col("text_source") == "redacted", "Y").otherwise("N"), "WITHHELD": F.lit("N"), "PROD_STATUS": status,
+    }
+    columns = {f: own.get(f, F.col(f.lower()) if f.lower() in items.columns else F.lit("")) for f in FIELDS}
+    for date in ("SENT", "RECEIVED", "CREATED"):
+        if f"{date.lower()}_at" in items.columns:
+            columns[f"DATE_{date}"] = load_date(F.col(f"{date.lower()}_at"), profile)
+    line, csv = _encoded(list(columns.values()))
+    return v.select("volume", F.col("seq").cast("long").alias("seq"), F.col("control_number").alias("control"), F.col("_ext").alias("ext"), F.col("_native").alias("native"), F.col("_text").alias("text"), line.alias("line"), csv.alias("csv"))
+
+
+def volume_faults(items: DataFrame) -> DataFrame:
+    """``item_id, fault`` of numbered items that are not produced, or not wholly: with ``nothing_to_produce`` for those without any content."""
+    r = resolve(items)
+    fault = F.when(F.coalesce(F.col("fault") != "redacted_text_missing", F.lit(True)) & F.col("native").isNull() & F.col("text_source").isNull(), "nothing_to_produce").otherwise(F.col("fault"))
+    return r.select("item_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def produce_volumes(items: DataFrame, path: str, *, per_volume: int = 1000, profile: str = "plain", readme: str = "", overwrite: bool = False) -> None:
+    """Write the volumes of numbered items (see ``volume_rows``)."""
+    from sparkdocket.sources.volume import write_volumes
+
+    heads = load_lines(items.limit(0), {}, profile).where("seq = 0").first()
+    write_volumes(volume_rows(items, per_volume, profile), path, line=heads.line, csv=heads.csv, readme=readme, overwrite=overwrite)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import cull, dedupe, integrity, produce
 from sparkdocket.plans import items as adapt
+from sparkdocket.plans.staging import shared_dir
 from sparkdocket.queries.reduction import ROLES_SQL, hashed_documents
+from sparkdocket.sources.volume import read_volumes
 
 
 def _scan(spark, sf_dir, strict):
@@ -85,6 +89,21 @@ def _produced(spark, sf_dir):
     )
 
 
+def production_written(spark, sf_dir):
+    """Volumes of a hundred documents each, written as files and read back."""
+    d = adapt.table(spark, sf_dir, "documents")
+    n = cull.number_production(d.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("review_order"), F.lit(False).alias("withheld")), "PRD", 8)
+    held = d.select(F.col("doc_id").alias("item_id"), "text", F.concat("text", F.lit("r")).alias("redacted_text"), F.encode("text", "UTF-8").alias("native_bytes"), F.col("lang").alias("subject"))
+    items = _produced(spark, sf_dir).join(held, "item_id").join(n.select("item_id", "seq", "control_number"), "item_id")
+    path = f"{shared_dir(spark)}/production-{uuid.uuid4().hex}"
+    produce.produce_volumes(items, path, per_volume=100)
+    back = read_volumes(spark, path)
+    return back.select(
+        F.col("ITEM_ID").cast("long").alias("item_id"), F.col("CONTROL_NUMBER").alias("control_number"), "volume", F.col("NATIVE_PATH").alias("native_path"), F.col("TEXT_PATH").alias("text_path"),
+        F.col("FILE_SIZE").cast("long").alias("file_size"), F.col("SHA256").alias("native_sha256"), F.col("PROD_STATUS").alias("prod_status"), F.sha2("native", 256).alias("native_read_sha256"), F.sha2("text", 256).alias("text_read_sha256"),
+    )
+
+
 def production_resolve(spark, sf_dir):
     return produce.resolve(_produced(spark, sf_dir)).select("item_id", produce.extension(F.col("path"), F.col("mime_type")).alias("ext"), "native", "text_source", "fault")
 
@@ -149,7 +168,7 @@ def _lines_sql(profile):
 
 QUERIES = {
     "integrity_best_effort": _classes(False), "integrity_strict": _classes(True), "integrity_sidecar": integrity_sidecar, "integrity_reasons": integrity_reasons, "scan_preflight": scan_preflight, "error_codes": error_codes,
-    "dedup_report": dedup_report, "production_volumes": production_volumes, "production_sweep": production_sweep, "production_resolve": production_resolve, "production_lines": _lines("plain"), "production_lines_us": _lines("us_dates"), "production_family": production_family,
+    "dedup_report": dedup_report, "production_volumes": production_volumes, "production_sweep": production_sweep, "production_resolve": production_resolve, "production_written": production_written, "production_lines": _lines("plain"), "production_lines_us": _lines("us_dates"), "production_family": production_family,
 }
 ORACLE = {
     "integrity_best_effort": _CLASS_SQL("false"), "integrity_strict": _CLASS_SQL("true"),
@@ -167,6 +186,12 @@ ORACLE = {
     "production_resolve": """WITH r AS (SELECT doc_id AS item_id, lang, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id))
         SELECT item_id, CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END AS ext, CASE WHEN own THEN 'file' WHEN mail THEN 'mail' END AS native,
           CASE WHEN red THEN CASE WHEN made THEN 'redacted' END WHEN txt THEN 'text' END AS text_source, CASE WHEN NOT coalesce(own, false) AND NOT coalesce(mail, false) THEN 'missing_native' WHEN red AND NOT made THEN 'redacted_text_missing' END AS fault FROM r""",
+    "production_written": """WITH r AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS seq, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id)),
+        b AS (SELECT *, CASE WHEN red THEN CASE WHEN made THEN text || 'r' END WHEN txt THEN text END AS body FROM r),
+        n AS (SELECT *, CASE WHEN own THEN text WHEN mail THEN 'From: ' || chr(13) || chr(10) || 'Subject: en' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(body, '') END AS nat, 'PRD' || lpad(CAST(seq AS VARCHAR), 8, '0') AS c, 'VOL' || lpad(CAST((seq - 1) // 100 + 1 AS VARCHAR), 3, '0') AS v,
+          CASE WHEN NOT own AND mail THEN 'eml' ELSE CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END END AS e FROM b WHERE NOT (red AND NOT made))
+        SELECT doc_id AS item_id, c AS control_number, v AS volume, CASE WHEN nat IS NOT NULL THEN v || '/NATIVES/' || c || '.' || e END AS native_path, CASE WHEN body IS NOT NULL THEN v || '/TEXT/' || c || '.txt' END AS text_path, strlen(nat) AS file_size, sha256(nat) AS native_sha256,
+          CASE WHEN nat IS NOT NULL AND body IS NOT NULL THEN 'NATIVE_AND_TEXT' WHEN nat IS NOT NULL THEN 'NATIVE' ELSE 'TEXT_ONLY' END AS prod_status, sha256(nat) AS native_read_sha256, sha256(body) AS text_read_sha256 FROM n WHERE nat IS NOT NULL OR body IS NOT NULL""",
     "production_lines": _lines_sql("plain"), "production_lines_us": _lines_sql("us_dates"),
     "production_family": f"""WITH {adapt.ORDER_ITEMS_SQL}, b AS (SELECT * FROM items WHERE file_category = 'R' AND size_bytes > 70000)
         SELECT item_id FROM items WHERE item_id IN (SELECT item_id FROM b UNION ALL SELECT parent_item_id FROM b WHERE parent_item_id IS NOT NULL) OR family_id IN (SELECT family_id FROM b) OR parent_item_id IN (SELECT item_id FROM b)""",

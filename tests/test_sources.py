@@ -110,3 +110,37 @@ def test_office_texts_and_entry_names(spark):
     assert got["a"] == ("a", None) and got["c"] == (None, "no text") and all(got[k][0] is None and got[k][1].startswith("BadZipFile") for k in "bd")
     name = archives.decode_zip_name
     assert [name(None, True), name("é".encode(), False), name(b"\x82", False), name(b"\xe9", False), name(b"\xff", True)] == [None, "é", "é", "é", "\ufffd"]
+
+
+def test_volumes_are_written_once(spark, tmp_path):
+    """A task that fails and runs again, a second job, a job that fails: no file twice, no volume of a lost job."""
+    from pyspark.sql import functions as F
+
+    from sparkdocket.sources.volume import ROW, read_volumes, write_volumes
+
+    names = ["ITEM_ID", "NATIVE_PATH", "TEXT_PATH"]
+    dat = lambda vs: "¶".join(f"þ{v}þ" for v in vs)
+    rows = []
+    for k in range(25):
+        v, c = f"VOL{k // 10 + 1:03d}", f"C{k:04d}"
+        native, text = (bytes([k]) * k if k % 3 else None), (f"text {k}" if k % 2 else None)
+        rows.append((v, k, c, "bin", native, text, dat([k, f"{v}/NATIVES/{c}.bin" if native is not None else "", f"{v}/TEXT/{c}.txt" if text else ""]), f"{k}"))
+    df = spark.createDataFrame(rows, ROW).repartition(4)
+    path = f"file://{tmp_path}/out"
+    write_volumes(df, path, line="\ufeff" + dat(names), csv="ITEM_ID", readme="how to load")
+    back = {int(r.ITEM_ID): (r.volume, bytes(r.native) if r.native is not None else None, bytes(r.text).decode() if r.text is not None else None) for r in read_volumes(spark, path).collect()}
+    assert back == {r[1]: (r[0] if r[4] is not None or r[5] else None, r[4], r[5]) for r in rows}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["VOL001", "VOL002", "VOL003", "summary.json"]
+    lines = (tmp_path / "out/VOL002/DATA/load.dat").read_text(encoding="utf-8-sig").splitlines()
+    assert lines == [dat(names), *[r[6] for r in rows[10:20]]] and (tmp_path / "out/VOL002/DATA/load.csv").read_text().split() == ["ITEM_ID", *map(str, range(10, 20))]
+    # The same again is refused unless it may overwrite, and then replaces.
+    with pytest.raises(Exception, match="there already"):
+        write_volumes(df, path, line="", csv="")
+    write_volumes(df.where("seq < 5"), path, line=dat(names), csv="ITEM_ID", overwrite=True)
+    assert len(list((tmp_path / "out/VOL001/TEXT").iterdir())) == 2
+    # A job that fails leaves neither volumes nor attempts.
+    torn = df.withColumn("line", F.when(F.col("seq") == 13, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        write_volumes(torn, f"file://{tmp_path}/torn", line="", csv="")
+    left = list((tmp_path / "torn").iterdir()) if (tmp_path / "torn").exists() else []
+    assert left == []
