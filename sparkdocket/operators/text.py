@@ -13,7 +13,7 @@ from sparkdocket.functions import norm
 ENTITY_BITS = {"email": 1, "phone": 2, "ssn": 4, "card": 8, "currency": 16}
 # Portable patterns: no look-around, so that they mean the same in every engine.
 ENTITY_PATTERNS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){0,126}[.][A-Za-z]{2,24}",
+    "email": "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){0,126}[.][A-Za-z]{2,24}",
     "phone": "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}|[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9]{13,19}",
