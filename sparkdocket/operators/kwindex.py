@@ -211,3 +211,25 @@ class KeywordIndex(SegmentStore):
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
         scored = tf.join(df, ["field", "term"]).join(stats, "field").groupBy(self.key).agg(F.round(F.sum(part), 6).alias("score"))
         return hits.join(scored, self.key, "left").select(self.key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def windows(self, query, field: str) -> DataFrame:
+        """``key, start, end`` of the hits that hold all of the query's terms in a field: the shortest stretch of places with each of them.
+
+        Of equally short ones the first.  ``end`` is the last place.  Terms under NOT do not count.
+        """
+        terms = sorted({t for f, t in kwquery.scoring_terms(kwquery.tree_of(query)) if f in ("", field)})
+        rows = self.postings(terms).where(F.col("field") == field).join(self.matching(query), self.key, "left_semi").select(self.key, "term", F.explode("positions").alias("pos"))
+        # Where each term stood last, up to here: one sort of the item's places serves all terms.
+        here = Window.partitionBy(self.key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(here) for t in terms]
+        start = F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in last]), last[0] if len(last) == 1 else F.least(*last))
+        spans = rows.withColumn("start", start).where("start IS NOT NULL")
+        best = F.min(F.struct((F.col("pos") - F.col("start")).alias("long"), "start", F.col("pos").alias("end"))).alias("w")
+        return spans.groupBy(self.key).agg(best).select(self.key, "w.start", "w.end")
+
+
+def snippets(items: DataFrame, windows: DataFrame, key: str, text: Column, around: int = 3) -> DataFrame:
+    """``key, snippet``: the terms of each window and ``around`` of them on both sides."""
+    terms = tokens_of(text)
+    first = F.greatest(F.col("start") - around, F.lit(0))
+    return items.join(windows, key).select(key, F.array_join(F.slice(terms, first + 1, F.col("end") + around + 1 - first), " ").alias("snippet"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import norm
+from sparkdocket.plans.numbering import number_rows
+from sparkdocket.plans.staging import stage
 
 
 def family_units(items: DataFrame, targets: DataFrame) -> DataFrame:
@@ -109,13 +111,14 @@ def resolve_suggestions(suggestions: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def privilege_log(items: DataFrame, privilege: DataFrame) -> DataFrame:
-    """Rows of the privilege log in order (``seq``): sender, recipients, subject and date of the parent where an item's own are blank."""
+    """Rows of the privilege log in order (``seq``, by date, path and id): sender, recipients, subject and date of the parent where an item's own are blank."""
     fields = ["from_addr", "recipients", "subject"]
     on_log = privilege.where(F.col("include_on_log") & F.col("status").isin("asserted", "under_review", "partial_redaction"))
     parent = items.select(F.col("item_id").alias("parent_item_id"), *[F.col(c).alias(f"p_{c}") for c in fields], F.col("sent_at").alias("p_sent_at"))
     filled = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.nullif(F.trim(F.col(f"p_{c}")), F.lit(""))).alias(c)
     rows = items.join(on_log.select("item_id", F.col("status").alias("privilege_status"), "withhold", "description"), "item_id").join(parent, "parent_item_id", "left")
-    return rows.select("item_id", "path", "privilege_status", "withhold", "description", *[filled(c) for c in fields], F.coalesce("sent_at", "p_sent_at").alias("sent_at"))
+    rows = rows.select("item_id", "path", "privilege_status", "withhold", "description", *[filled(c) for c in fields], F.coalesce("sent_at", "p_sent_at").alias("sent_at"))
+    return number_rows(rows, [F.col("sent_at").asc_nulls_last(), F.col("path"), F.col("item_id")], "seq")
 
 
 def sample_coded(coded: DataFrame, seed: str, *, n: int | None = None, percent: float | None = None) -> DataFrame:
@@ -149,9 +152,18 @@ def conversation_page(conversations: DataFrame, after: tuple | None, limit: int)
 def stream_pages(messages: DataFrame, anchors: DataFrame, count: int, forward: bool) -> DataFrame:
     """For each anchor (``conv_id, anchor``) the next or previous ``count`` messages by position, numbered from 1.
 
-    A conversation's positions are dense, so a range of positions is a range of rows.
+    Positions may have gaps, and an anchor need not be a message's.  Messages and
+    anchors are numbered together in one global order, so that a page is a range of
+    numbers and no conversation is gathered.  Positions of a conversation are distinct.
     """
+    points = messages.select("conv_id", "position", "item_id", F.lit(1).alias("is_message")).unionByName(
+        anchors.select("conv_id", F.col("anchor").alias("position")).distinct().withColumns({"item_id": F.lit(None).cast(messages.schema["item_id"].dataType), "is_message": F.lit(0)})
+    )
+    # Forwards, a message at the anchor is behind it; backwards, before it.
+    first = F.col("is_message").desc() if forward else F.col("is_message").asc()
+    numbered = stage(number_rows(points, [F.col("conv_id"), F.col("position"), first], "number", F.col("is_message")), "pages").df
     step = F.explode(F.sequence(F.lit(1), F.lit(count))).alias("nth")
-    wanted = anchors.select("conv_id", "anchor", step).withColumn("position", F.col("anchor") + (F.col("nth") if forward else -F.col("nth")))
-    return messages.join(wanted, ["conv_id", "position"]).select("conv_id", "anchor", "nth", "item_id")
+    wanted = numbered.where("is_message = 0").select("conv_id", F.col("position").alias("anchor"), "number", step)
+    wanted = wanted.withColumn("number", F.col("number") + F.col("nth") if forward else F.col("number") - F.col("nth") + 1)
+    return numbered.where("is_message = 1").join(wanted, ["conv_id", "number"]).select("conv_id", "anchor", "nth", "item_id")
 

@@ -66,6 +66,18 @@ def gate(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings")).withColumn("passed", F.col("errors") == 0)
 
 
+def gate_selection(runs: DataFrame, selection: DataFrame, pack: str) -> DataFrame:
+    """One row ``run_id, passed, reason`` for a selection (``items, root`` of ``selection_fingerprint``).
+
+    Of the runs (``run_id, finished_at, root, pack, errors``) the latest counts.  It must be of
+    this selection and this pack and have found no errors.
+    """
+    last = runs.agg(F.max(F.struct("finished_at", "run_id", "root", "pack", "errors")).alias("r")).select("r.*").withColumnRenamed("root", "run_root")
+    both = selection.join(last, F.lit(True), "left")  # one row each
+    reason = F.when(F.col("items") == 0, "empty_selection").when(F.col("run_id").isNull(), "no_run").when(F.col("run_root") != F.col("root"), "selection_changed").when(F.col("pack") != pack, "other_pack").when(F.col("errors") > 0, "errors")
+    return both.select("run_id", reason.isNull().alias("passed"), reason.alias("reason"))
+
+
 def family_consistency(items: DataFrame, privileged: DataFrame) -> DataFrame:
     """Families with both privileged and other members (``family_id, members, privileged``)."""
     marked = items.join(privileged.select("item_id", F.lit(1).alias("p")).distinct(), "item_id", "left")

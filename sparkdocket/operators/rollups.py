@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkdocket.functions import norm
+
 
 def overview(items: DataFrame) -> DataFrame:
     """One row: items, top-level items and their bytes, families."""
@@ -82,6 +84,15 @@ def conversations(messages: DataFrame, hits: DataFrame | None = None) -> DataFra
     return out.where("n_hits > 0") if hits is not None else out
 
 
+def reply_snippets(replies: DataFrame, parents: DataFrame, most: int = 100) -> DataFrame:
+    """``item_id, snippet`` of what each reply (``item_id, parent_item_id``) answers: the parent's text, else its subject, white space collapsed and cut to ``most`` characters; ``[unavailable]`` without either."""
+    told = lambda c: F.nullif(norm.collapse(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    words = F.coalesce(told("text"), told("subject"))
+    short = F.when(F.length(words) > most, F.concat(F.substring(words, 1, most), F.lit("…"))).otherwise(words)
+    before = parents.select(F.col("item_id").alias("parent_item_id"), short.alias("snippet"))
+    return replies.select("item_id", "parent_item_id").join(before, "parent_item_id", "left").select("item_id", F.coalesce("snippet", F.lit("[unavailable]")).alias("snippet"))
+
+
 def around(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
     """Messages around anchors (``conv_id, anchor``) by their distance in position.
 

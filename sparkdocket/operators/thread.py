@@ -14,6 +14,47 @@ def references(c):
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("<[^<>]+>"), F.lit(0)), norm.message_id))
 
 
+def unfold(c):
+    """A header's value on one line: a line end before white space is none."""
+    return F.regexp_replace(c, r"\r?\n[ \t]+", " ")
+
+
+def header(block, name: str):
+    """The first value of a header in a block of folded headers; null without one."""
+    value = F.regexp_extract(F.concat(F.lit("\n"), unfold(block)), rf"(?i)\n{name}:[ \t]*([^\r\n]*)", 1)
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def parse_references(c):
+    """Message ids between angle brackets of a folded References header in order, normalized, each once; blank ones are dropped."""
+    found = F.transform(F.regexp_extract_all(unfold(F.coalesce(c, F.lit(""))), F.lit("<([^>]*)>"), F.lit(1)), norm.message_id)
+    return F.array_distinct(F.array_compact(found))
+
+
+def parse_in_reply_to(c):
+    """The first id between angle brackets of an In-Reply-To header, else its whole value; blank is null."""
+    return F.coalesce(F.get(parse_references(c), F.lit(0)), norm.message_id(F.trim(unfold(c))))
+
+
+def conversation_index(c):
+    """Lower-case hexadecimal of a Thread-Index header (base64, white space ignored); null if it is none."""
+    code = F.regexp_replace(c, r"\s+", "")
+    good = code.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(code) % 4 == 0)
+    return F.when(good, F.lower(F.hex(F.unbase64(code))))
+
+
+def index_parent(hexadecimal):
+    """The conversation index of the message replied to: that without its last block of five bytes; null for the first 22 bytes alone."""
+    return F.when(F.length(hexadecimal) > 44, F.substring(hexadecimal, F.lit(1), F.greatest(F.lit(44), F.length(hexadecimal) - 10)))
+
+
+def thread_headers(messages: DataFrame, key: str, block: str) -> DataFrame:
+    """``key, mid, in_reply_to, refs, conv_index, index_parent`` from blocks of raw headers, as ``thread_items`` takes them."""
+    b = F.col(block)
+    index = conversation_index(header(b, "thread-index"))
+    return messages.select(key, norm.message_id(header(b, "message-id")).alias("mid"), parse_in_reply_to(header(b, "in-reply-to")).alias("in_reply_to"), parse_references(header(b, "references")).alias("refs"), index.alias("conv_index"), index_parent(index).alias("index_parent"))
+
+
 def thread_items(messages: DataFrame) -> DataFrame:
     """Thread of each top-level message: ``item_id, thread_id, thread_method``.
 

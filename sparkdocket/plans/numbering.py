@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from sparkdocket.plans.staging import stage
 
 
-def number_rows(df: DataFrame, order: list[Column], out: str = "number") -> DataFrame:
-    """Add 1..N in ``order`` (which should end in a unique key).
+def number_rows(df: DataFrame, order: list[Column], out: str = "number", weight: Column | None = None) -> DataFrame:
+    """Add 1..N in ``order`` (which should end in a unique key); with ``weight``, the sum of weights up to each row.
 
     Rows are dealt by range and written with their range's number; the counts of
     the ranges, as many as there are partitions, give each range its offset.
     """
-    ranged = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
-    counts = ranged.df.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1) if weight is None else weight
+    ranged = stage(df.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), "_weight": one}), "ranged")
+    counts = ranged.df.groupBy("_range").agg(F.sum("_weight").alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    here = Window.partitionBy("_range").orderBy(*order)
+    inside = F.row_number().over(here) if weight is None else F.sum("_weight").over(here.rowsBetween(Window.unboundedPreceding, 0))
     numbered = ranged.df.withColumn("_at", inside).join(F.broadcast(offsets), "_range")
-    return numbered.withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_before")
+    return numbered.withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_before", "_weight")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], picked: str, out: str) -> DataFrame:

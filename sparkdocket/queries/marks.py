@@ -130,6 +130,12 @@ def _stream(forward):
     return run
 
 
+def stream_gaps(spark, sf_dir):
+    """The next three messages after each user's, where a third of all messages are missing."""
+    c = adapt.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), "role")
+    return mk.stream_pages(c.where("position % 3 <> 1").drop("role"), c.where("role = 'user'").select("conv_id", F.col("position").alias("anchor")), 3, True)
+
+
 _ID = "conv_id || '-' || turn"
 _NOW = "CASE WHEN source IN ('src1', 'src12') THEN 'New start. ' || text WHEN source = 'src2' THEN text || ' ' || text WHEN source = 'src3' THEN replace(text, ' ', chr(10) || ' ') ELSE text END AS now"
 _SQUASH = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
@@ -139,7 +145,7 @@ _PRIV = "p AS (SELECT doc_id AS item_id, CASE WHEN quality = 1 THEN 'under_revie
 QUERIES = {
     "codes_applied": codes_applied, "codes_to_families": codes_to_families, "privilege_synced": privilege_synced, "privilege_upserted": privilege_upserted, "notes_counted": notes_counted, "redactions_state": redactions_state,
     "anchors_resolved": anchors_resolved, "suggestions_resolved": suggestions_resolved, "privilege_log": privilege_log, "qc_sample": qc_sample, "qc_sample_report": qc_sample_report,
-    "conversation_page": conversation_page, "stream_forward": _stream(True), "stream_before": _stream(False),
+    "conversation_page": conversation_page, "stream_gaps": stream_gaps, "stream_forward": _stream(True), "stream_before": _stream(False),
 }
 _SAMPLE = lambda seed, size: f"(SELECT item_id, coder FROM (SELECT item_id, arg_max(coder, coded_at) AS coder FROM k GROUP BY 1) ORDER BY md5('{seed}' || item_id), item_id LIMIT ({size}))"
 _K = "k AS (SELECT CAST(floor(value) AS BIGINT) AS item_id, user_id AS coder, event_id AS coded_at FROM events)"
@@ -165,11 +171,14 @@ ORACLE = {
         j AS (SELECT s.*, max(suggestion_id) OVER (PARTITION BY item_id, code) AS latest, lower({_SQUASH("coalesce(now, '')")}) AS t, lower({_SQUASH('quote')}) AS q FROM s JOIN d ON doc_id = item_id)
         SELECT suggestion_id, item_id, code, CASE WHEN suggestion_id < latest THEN 'superseded' WHEN length(q) > 0 AND (length(t) - length(replace(t, q, ''))) // length(q) = 1 THEN 'accepted' ELSE 'unverified' END AS outcome FROM j""",
     "privilege_log": f"""WITH {adapt.ORDER_ITEMS_SQL}, x AS (SELECT *, CASE WHEN role = 'parent' THEN custodian END AS f, CASE WHEN file_category = 'A' THEN 'list' END AS rc, CASE WHEN role = 'parent' THEN file_category END AS su FROM items)
-        SELECT x.item_id, x.path, CASE WHEN x.role = 'parent' THEN 'asserted' ELSE 'under_review' END AS privilege_status, x.size_bytes > 90000 AS withhold, 'advice' AS description, coalesce(x.f, p.f) AS from_addr, coalesce(x.rc, p.rc) AS recipients, coalesce(x.su, p.su) AS subject, coalesce(x.sent_at, p.sent_at) AS sent_at
+        SELECT x.item_id, x.path, CASE WHEN x.role = 'parent' THEN 'asserted' ELSE 'under_review' END AS privilege_status, x.size_bytes > 90000 AS withhold, 'advice' AS description, coalesce(x.f, p.f) AS from_addr, coalesce(x.rc, p.rc) AS recipients, coalesce(x.su, p.su) AS subject, coalesce(x.sent_at, p.sent_at) AS sent_at, row_number() OVER (ORDER BY coalesce(x.sent_at, p.sent_at) NULLS LAST, x.path NULLS FIRST, x.item_id) AS seq
         FROM x LEFT JOIN x p ON p.item_id = x.parent_item_id WHERE x.size_bytes > 60000 AND x.status <> 'partial' AND x.file_category <> 'N'""",
     "qc_sample": f"WITH {_K} SELECT * FROM {_SAMPLE('seed-1', 'SELECT greatest(1, CAST(ceil(count(DISTINCT item_id) * 0.1) AS BIGINT)) FROM k')}",
     "qc_sample_report": f"WITH {_K}, s AS {_SAMPLE('seed-2', '40')} SELECT coder, CASE WHEN o_orderstatus = 'F' THEN 'agree' WHEN o_orderstatus = 'O' THEN 'disagree' END AS outcome, count(*) AS n FROM s LEFT JOIN orders ON o_orderkey = item_id GROUP BY 1, 2",
     "conversation_page": """WITH c AS (SELECT conv_id, count(*) AS n_messages, CASE WHEN count(*) > 2 THEN max(turn) END AS last_at FROM conversations GROUP BY 1)
         SELECT conv_id, n_messages, last_at FROM c WHERE last_at IS NULL OR last_at < 3 OR (last_at = 3 AND conv_id > 2) ORDER BY last_at DESC NULLS LAST, conv_id LIMIT 20""",
+    "stream_gaps": """WITH m AS (SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1), a AS (SELECT conv_id, turn AS anchor FROM conversations WHERE role = 'user'),
+        n AS (SELECT a.conv_id, anchor, m.turn, CAST(row_number() OVER (PARTITION BY a.conv_id, anchor ORDER BY m.turn) AS INT) AS nth FROM a JOIN m ON m.conv_id = a.conv_id AND m.turn > anchor)
+        SELECT conv_id, anchor, nth, conv_id || '-' || turn AS item_id FROM n WHERE nth <= 3""",
     "stream_forward": _STREAM("1 * "), "stream_before": _STREAM("-1 * "),
 }
