@@ -20,8 +20,10 @@ shingles whose hash falls below a global cut, enough of each set to fill a prefi
 first those that occur once (they need no list at all), then the others by
 frequency, last the uncounted.  Short lists give pairs, which are checked on the
 exact sets.  Sets of long lists form clusters (two sets of one long list are always
-in the same cluster); a cluster is compared block by block, and a task returns a
-spanning forest of the links it finds, never the pairs.  Nothing is capped.
+in the same cluster).  A cluster is compared block by block, first with some of its
+sets, which joins groups of near copies at linear cost, then between the parts that
+are still apart; a task returns a spanning forest of the links it finds, never the
+pairs.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -457,18 +459,15 @@ def _linked_rows(packed: list[bytes], percent: int) -> np.ndarray:
     return common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
-    """Links inside clusters as a spanning forest per pair of blocks."""
-    members = scratch.stage(clusters, "jj-clusters")
-    blocks = scratch.stage(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "jj-blocks")
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    whole = placed.join(_bodies(sets, members.select("rid"), sent), "rid")
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rid", "sh"
-    )
+#: Sets of a cluster that all others are compared with first, about, and how often such ones are chosen.
+LEADERS, LEAD_ROUNDS = 24, 2
+
+
+def _forest(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """A spanning forest (``x, y``) of the links in each group of rows ``rid, sh``."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
+        pdf = pdf.drop_duplicates("rid").sort_values("rid")
         hit = _linked_rows(pdf["sh"].tolist(), percent)
         label = np.arange(len(pdf))
         while True:
@@ -482,7 +481,58 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
         own = label != np.arange(len(label))
         return pd.DataFrame({"x": rid[own], "y": rid[label[own]]})
 
-    return dealt.groupBy("cluster", "bi", "bj").applyInPandas(compare, "x long, y long")
+    return dealt.groupBy(*keys).applyInPandas(compare, "x long, y long")
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
+    """Links inside clusters that connect what all links connect.
+
+    A cluster of one block is compared at once.  Of larger ones each block is
+    compared with itself and with some sets of the cluster, its leaders, which takes
+    work in proportion to the cluster and joins a group of near copies to one part.
+    Only sets of different parts are then left to compare: two blocks of one part
+    never meet, and the blocks of the largest part meet those of the others alone.
+    """
+    stage = scratch.stage
+    members = stage(clusters, "jj-clusters")
+    bodies = stage(_bodies(sets, members.select("rid"), sent).join(members, "rid"), "jj-members")
+    open_rows, links, parts = members, None, None
+    for number in range(LEAD_ROUNDS):
+        sizes = open_rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+        sizes = stage(sizes.select("cluster", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("rows") / LEADERS).alias("every")), "jj-blocks")
+        if number == 0:
+            large = stage(sizes.where("blocks > 1").select("cluster"), "jj-large")
+            rows = bodies
+        else:
+            rows = bodies.join(open_rows.select("rid"), "rid", "left_semi")
+        placed = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rid", F.lit(number)), F.col("blocks")).cast("int"))
+        led = placed.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("rid", F.lit(number), F.lit(7)), F.col("every")) == 0))
+        led = led.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.select("cluster", "block", "rid", "sh").union(led.select("cluster", "block", "rid", "sh"))
+        found = stage(_forest(dealt, ["cluster", "block"], percent), "jj-led")
+        links = found if links is None else stage(links.union(found), "jj-led")
+        if large.isEmpty():
+            return links
+        connected = connected_components(links, "x", "y", scratch=scratch).select(F.col("vertex").alias("rid"), "component")
+        parts = members.join(large, "cluster", "left_semi").join(connected, "rid", "left").select("rid", "cluster", F.coalesce("component", "rid").alias("part"))
+        parts = stage(parts, "jj-parts")
+        counts = stage(parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows")), "jj-counts")
+        open_rows = stage(parts.join(counts.where(F.col("rows") < block_rows), ["cluster", "part"], "left_semi").select("rid", "cluster"), "jj-open")
+    # Blocks: of a large part alone, or of small parts together.
+    small = F.col("rows") < block_rows
+    shape = counts.groupBy("cluster").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.ceil(F.sum(F.when(small, F.col("rows")).otherwise(0)) / block_rows).cast("int").alias("mixed"), F.count(F.lit(1)).alias("parts"))
+    placed = parts.join(counts, ["cluster", "part"]).join(shape.where("parts > 1"), "cluster")
+    pure = F.when(~small, F.col("part"))
+    block = F.when(small, F.pmod(F.xxhash64("part"), F.col("mixed"))).otherwise(F.pmod(F.xxhash64("rid"), F.ceil(F.col("rows") / block_rows)))
+    placed = stage(placed.select("rid", "cluster", F.struct(pure.alias("pure"), block.alias("number")).alias("block"), pure.eqNullSafe(F.col("main")).alias("in_main")), "jj-placed")
+    blocks = stage(placed.select("cluster", "block", "in_main").distinct(), "jj-meeting")
+    a, b = blocks.where("NOT in_main").alias("a"), blocks.alias("b")
+    apart = F.col("a.block.pure").isNull() | ~F.col("a.block.pure").eqNullSafe(F.col("b.block.pure"))
+    once = F.col("b.in_main") | (F.col("a.block") <= F.col("b.block"))
+    meet = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & apart & once).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("bi"), F.col("b.block").alias("bj"))
+    sides = meet.select("cluster", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"), "bi", "bj")
+    dealt = placed.select("rid", "cluster", "block").join(sides, ["cluster", "block"]).join(bodies.select("rid", "sh"), "rid").select("cluster", "bi", "bj", "rid", "sh")
+    return links.union(_forest(dealt, ["cluster", "bi", "bj"], percent))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:

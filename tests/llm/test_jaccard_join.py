@@ -61,6 +61,34 @@ def test_against_brute_force(spark, k, percent, options):
     assert got == sorted(brute(rows, k, percent), key=key)
 
 
+def test_clusters_of_several_parts(spark, monkeypatch):
+    """Texts of shared passages, all in one cluster: groups of near copies of many sizes, chains, and sets that link with few or none."""
+    from sparkdocket.llm import jaccard_join
+
+    rng = random.Random(12)
+    passages = [[f"{c}{k}" for k in range(12)] for c in "abcdefghi"]
+    rows = []
+    for group in range(14):
+        chosen = [w for p in rng.sample(passages, 5) for w in p]
+        for _ in range(rng.choice([1, 1, 2, 5, 40, 90])):
+            w = list(chosen)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "z"]) + str(group)
+            rows.append(" ".join(w))
+    chain = [w for p in passages for w in p]
+    for k in range(80):  # each links with its neighbours alone
+        rows.append(" ".join([*chain[: 108 - k], *[f"n{i}" for i in range(k)]]))
+    rng.shuffle(rows)
+    rows = [*enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(brute(rows, 4, 85))
+    assert 10 < len({c for _, _, c in want}) < len(rows)
+    for leaders in (1, 24):
+        monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, k=4, percent=85, short_list=3, block_rows=8).collect())
+        assert got == want
+
+
 def test_keep_one_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, source string")
     kept = keep_one_per_component(df)
