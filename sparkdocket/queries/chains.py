@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import audit, kwindex, qc, rollups, thread
 from sparkdocket.plans import items as adapt
-from sparkdocket.plans.staging import stage
+from sparkdocket.plans.staging import shared_dir, stage
 from sparkdocket.queries import keywords
+from sparkdocket.sources import loadfiles
 
 
 def mail_headers(spark, sf_dir):
@@ -77,13 +80,22 @@ def reply_snippets(spark, sf_dir):
     return rollups.reply_snippets(replies, parents)
 
 
-QUERIES = {"mail_headers": mail_headers, "audit_appended": audit_appended, "selection_roots": selection_roots, "selection_gate": selection_gate, "kw_windows": kw_windows, "reply_snippets": reply_snippets}
+def csv_read_back(spark, sf_dir):
+    """Documents written as CSV, with line ends and quotes in their texts, and read in byte ranges."""
+    d = adapt.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('say "'), F.regexp_replace("text", r"\s+$", ""), F.lit('",\n')).alias("text"), F.lit("x").alias("last"))
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    d.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return loadfiles.read_csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "last")
+
+
+QUERIES = {"csv_read_back": csv_read_back, "mail_headers": mail_headers, "audit_appended": audit_appended, "selection_roots": selection_roots, "selection_gate": selection_gate, "kw_windows": kw_windows, "reply_snippets": reply_snippets}
 
 _TREE = lambda name, rows, pack: f"""SELECT '{name}' AS selection, coalesce(CAST(sum(n) AS BIGINT), 0) AS items, sha256(coalesce(string_agg(node || ':' || digest, chr(10) ORDER BY node || ':' || digest), '') || {pack}) AS root FROM (
   SELECT node, sha256(string_agg(leaf || ':' || digest, chr(10) ORDER BY leaf || ':' || digest)) AS digest, sum(n) AS n FROM (
     SELECT left(leaf, 2) AS node, leaf, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest, count(*) AS n FROM (SELECT CAST(doc_id AS VARCHAR) AS id, left(sha256(CAST(doc_id AS VARCHAR)), 4) AS leaf FROM documents WHERE {rows}) GROUP BY leaf) GROUP BY node)"""
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '" + keywords.kw.TOKEN + "', 1)"
 ORACLE = {
+    "csv_read_back": r"""SELECT doc_id, md5(trim('say "' || regexp_replace(text, '\s+$', '') || '",' || chr(10), ' ')) AS text_md5, 'x' AS last FROM documents""",
     "mail_headers": """WITH c AS (SELECT conv_id, turn, role, list_transform(range(0, turn), lambda i: 'c' || conv_id || '-' || i || '@mail.example') AS b, lpad(lower(to_hex(conv_id)), 44, '0') AS h, list_transform(range(0, turn + 1), lambda i: lpad(lower(to_hex(i)), 10, '0')) AS k FROM conversations)
         SELECT conv_id, turn, 'c' || conv_id || '-' || turn || '@mail.example' AS mid, CASE WHEN role <> 'user' THEN 'bare-' || turn || '@x' WHEN turn > 0 THEN b[1] ELSE 'see' END AS in_reply_to, array_to_string(b, ';') AS refs,
           h || array_to_string(k, '') AS conv_index, h || array_to_string(k[1:turn], '') AS index_parent FROM c""",

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkdocket.plans.staging import stage
+
 #: Header aliases of a load file's fields.
 HEADERS = {
     "control_number": ["control_number", "control number", "begdoc", "bates", "docid"], "sha256": ["sha256", "sha-256", "hash"], "item_id": ["item_id", "item id"],
@@ -26,10 +31,57 @@ def read_dat(spark: SparkSession, path: str) -> DataFrame:
     return body.select(*[F.nullif(F.get("f", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)])
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header; all fields are text, trimmed, blank is null."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip().lstrip("﻿")) for c in df.columns])
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record, text`` of CSV files: records numbered from 1 in each file, line ends inside quotes kept.
+
+    Files are read in byte ranges, as Spark splits them.  A line begins a record if an
+    even number of quotes stands before it in the file: a first pass counts quotes and
+    lines of each range, from which every range knows how it begins, so that a large
+    file with line ends in its fields needs no single task.  A quote that is not
+    doubled inside a quoted field is one more, as anywhere in CSV.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    here = Window.partitionBy("file", "start").orderBy("line")
+    before = F.coalesce(F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Records that begin in a range, if it begins outside quotes and if inside.
+    marked = stage(lines.withColumn("even", before % 2 == 0), "csv-lines").df
+    ranges = marked.groupBy("file", "start").agg(F.sum("quotes").alias("quotes"), F.count_if("even").alias("out"), F.count_if(~F.col("even")).alias("in"))
+    # A row per range: a file of 1 TB has some ten thousand.
+    prior = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("inside", F.coalesce(F.sum("quotes").over(prior), F.lit(0)) % 2 == 1)
+    begun = F.when(F.col("inside"), F.col("in")).otherwise(F.col("out"))
+    ranges = ranges.select("file", "start", "inside", F.coalesce(F.sum(begun).over(prior), F.lit(0)).alias("records"))
+    known = marked.join(ranges, ["file", "start"]).withColumn("begins", F.col("even") != F.col("inside"))
+    number = F.col("records") + F.sum(F.col("begins").cast("long")).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    placed = known.select("file", number.alias("record"), F.struct("start", "line", "value").alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["value"]), "\n")
+    return placed.groupBy("file", "record").agg(F.regexp_replace(text, "\r$", "").alias("text"))
+
+
+def read_csv(spark: SparkSession, path: str, *, max_bytes: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """A CSV with header; all fields are text, trimmed, blank is null; blank lines are none.
+
+    Records may be short; what they have beyond the header is dropped.  ``max_bytes`` and ``max_rows`` refuse larger files (None: any size).
+    """
+    if max_bytes is not None:
+        size = spark.read.text(path).select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
+        if size > max_bytes:
+            raise ValueError(f"the load file has {size} bytes, more than {max_bytes}")
+    records = csv_records(spark, path).where(F.trim("text") != "")
+    first = records.orderBy("file", "record").first()
+    if first is None:
+        raise ValueError("the load file is empty")
+    names = [h.strip() for h in next(csv.reader(io.StringIO(first.text.lstrip("\ufeff"))))]
+    schema = ", ".join(f"f{n} string" for n in range(len(names)))
+    heads = records.groupBy("file").agg(F.min("record").alias("record"))
+    body = records.join(F.broadcast(heads), ["file", "record"], "left_anti")  # a row per file
+    options = {"multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": "-1"}
+    if max_rows is not None and (n := body.count()) > max_rows:
+        raise ValueError(f"the load file has {n} rows, more than {max_rows}")
+    rows = body.select(F.from_csv("text", schema, options).alias("f"))
+    return rows.select(*[F.nullif(F.trim(F.col(f"f.f{n}")), F.lit("")).alias(name) for n, name in enumerate(names)])
 
 
 def read_load_file(spark: SparkSession, path: str) -> DataFrame:

@@ -144,3 +144,35 @@ def test_volumes_are_written_once(spark, tmp_path):
         write_volumes(torn, f"file://{tmp_path}/torn", line="", csv="")
     left = list((tmp_path / "torn").iterdir()) if (tmp_path / "torn").exists() else []
     assert left == []
+
+
+def test_csv_in_any_split(spark, tmp_path):
+    """Records with line ends, quotes and blanks inside: the same rows whatever the byte ranges."""
+    import csv
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["a", "é", ",", '"', "\n", "\r\n", " ", "7", ""]) for _ in range(rng.randrange(12)))
+    rows = [[str(k), word(), word()] for k in range(150)]
+    for name, part in (("a.csv", rows[:100]), ("b.csv", rows[100:])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f)
+            out.writerow(["\ufeffid" if name == "a.csv" else "id", "first", "second"])
+            out.writerows(part)
+            f.write("\r\n150,short\r\n" if name == "b.csv" else "")
+    clean = lambda v: v.strip(" ") or None
+    want = {r[0]: (clean(r[1]), clean(r[2])) for r in rows} | {"150": ("short", None)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "200", "37"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = {r.id: (r.first, r.second) for r in loadfiles.read_csv(spark, f"file://{tmp_path}/*.csv").collect()}
+            assert got == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for option in ({"max_rows": 100}, {"max_bytes": 100}):
+        with pytest.raises(ValueError, match="more than"):
+            loadfiles.read_csv(spark, f"file://{tmp_path}/*.csv", **option)
+    assert loadfiles.read_csv(spark, f"file://{tmp_path}/*.csv", max_rows=151, max_bytes=10**6).count() == 151
