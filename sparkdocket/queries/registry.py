@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["reduction", "review", "filters", "rollups", "texts", "keywords", "production", "marks", "concepts", "sourced", "places", "chains"]
+_MODULES = ["reduction", "review", "filters", "rollups", "texts", "keywords", "production", "marks", "concepts", "sourced", "places", "chains", "work"]
 
 
 def _parts():
