@@ -160,3 +160,15 @@ def keep_set(members: DataFrame, policy: str = "first_seen", pattern: str | None
     able = members.where("materialize_ok") if "materialize_ok" in members.columns else members
     key = F.struct(F.col("degraded").cast("int").alias("bad"), rank.alias("rank"), F.col("path"), F.col("item_id"))
     return able.groupBy("group_id").agg(F.min(key)["item_id"].alias("winner"), F.count(F.lit(1)).alias("members"), F.sum("size_bytes").alias("group_bytes"))
+
+
+def keep_decisions(members: DataFrame, policy: str = "first_seen", pattern: str | None = None) -> DataFrame:
+    """``group_id, item_id, role, winner`` for each member: ``unique`` for the winner, ``duplicate`` for others of its group, ``materialize_failed`` where it could not be written.
+
+    A member that failed never wins; its group's next best does, and has none if all failed.
+    """
+    won = keep_set(members, policy, pattern).select("group_id", "winner")
+    able = F.col("materialize_ok") if "materialize_ok" in members.columns else F.lit(True)
+    role = F.when(~able, "materialize_failed").when(F.col("item_id") == F.col("winner"), "unique").otherwise("duplicate")
+    # Rows of one group only look up its winner: Spark may split them over tasks.
+    return members.join(won, "group_id", "left").select("group_id", "item_id", role.alias("role"), "winner")

@@ -105,6 +105,11 @@ def keep_set_prefer_path(spark, sf_dir):
     return dedupe.keep_set(_members(spark, sf_dir), "prefer_path", "SRC1")
 
 
+def keep_set_decisions(spark, sf_dir):
+    """A row for each member: the winner by size, others, and long ones that could not be written."""
+    return dedupe.keep_decisions(_members(spark, sf_dir).withColumn("materialize_ok", F.col("size_bytes") < 5000), "keep_largest")
+
+
 def keep_set_materialized(spark, sf_dir):
     """The best member that could be written; long ones could not."""
     return dedupe.keep_set(_members(spark, sf_dir).withColumn("materialize_ok", F.col("size_bytes") < 5000))
@@ -119,7 +124,7 @@ SELECT lang || '/' || (n_chars % 50) AS group_id,
 
 QUERIES = {
     "dedupe_exact": dedupe_exact, "dedupe_streamed": dedupe_streamed, "dedupe_summary": dedupe_summary, "duplicate_listing": duplicate_listing, "content_hash": content_hash, "scan_replay": scan_replay,
-    "keep_set_first": keep_set_first, "keep_set_largest": keep_set_largest, "keep_set_prefer_path": keep_set_prefer_path, "keep_set_materialized": keep_set_materialized,
+    "keep_set_first": keep_set_first, "keep_set_largest": keep_set_largest, "keep_set_prefer_path": keep_set_prefer_path, "keep_set_materialized": keep_set_materialized, "keep_set_decisions": keep_set_decisions,
 }
 ORACLE = {
     "dedupe_exact": f"WITH {ROLES_SQL} SELECT item_id, CASE WHEN item_id = group_id THEN 'unique' ELSE 'duplicate' END AS dedup_role, dedup_tier, group_id, hash_conflict FROM roles",
@@ -144,6 +149,9 @@ ORACLE = {
         SELECT event_id, CASE WHEN u1 < event_id OR u2 < event_id THEN 'duplicate' ELSE 'unique' END AS role,
           CASE WHEN u1 < event_id THEN 'key1' WHEN u2 < event_id THEN 'key2' ELSE 'none' END AS tier,
           CASE WHEN u1 < event_id THEN u1 WHEN u2 < event_id THEN u2 ELSE event_id END AS original FROM j""",
+    "keep_set_decisions": """WITH m AS (SELECT lang || '/' || n_chars % 50 AS group_id, doc_id AS item_id, source, n_chars, n_chars < 5000 AS ok FROM documents),
+        w AS (SELECT group_id, arg_min(item_id, struct_pack(b := CASE WHEN source = 'src5' THEN 1 ELSE 0 END, r := -n_chars, p := source, i := item_id)) AS winner FROM m WHERE ok GROUP BY 1)
+        SELECT m.group_id, item_id, CASE WHEN NOT ok THEN 'materialize_failed' WHEN item_id = winner THEN 'unique' ELSE 'duplicate' END AS role, winner FROM m LEFT JOIN w ON w.group_id = m.group_id""",
     "keep_set_first": _keep_sql("doc_id"),
     "keep_set_largest": _keep_sql("-n_chars"),
     "keep_set_prefer_path": _keep_sql("CASE WHEN contains(lower(source), 'src1') THEN 0 ELSE 1 END"),
