@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ def vocabulary(toks: DataFrame, key: str, most: int = 20_000, min_df: int = 2) -
     return chosen.withColumn("number", F.row_number().over(Window.orderBy("term")) - 1)  # at most ``most`` rows
 
 
+#: Largest table of centres that goes to the tasks, in numbers (32 MB).
+MOST_CENTRES = 4_000_000
+
+
 def kmeans(weights: DataFrame, key: str, k: int, iterations: int = 20, seed: str = "0") -> DataFrame:
     """``key, cluster, similarity`` by spherical k-means over sparse unit rows (``key, term, weight``).
 
@@ -42,29 +49,61 @@ def kmeans(weights: DataFrame, key: str, k: int, iterations: int = 20, seed: str
     goes to the centre of the largest product (rounded to nine digits), ties to the
     lowest number; centres are normalized sums.  It stops when nothing moves.  Empty
     clusters go and the others are numbered anew by their old order.
+
+    Rows are packed once, a document each.  Centres are a matrix that goes to the
+    tasks, so there may be at most MOST_CENTRES numbers in it (``vocabulary`` bounds the terms); a task places
+    its rows and returns one sum for each cluster and term, and no term's rows meet.
     """
-    rows = stage(weights.select(key, "term", "weight"), "km-rows").df
-    first = rows.select(key).distinct().orderBy(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string"))), key).limit(k)
-    numbered = first.withColumn("cluster", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string"))), key)) - 1)
-    centres = stage(rows.join(F.broadcast(numbered), key).select("cluster", "term", F.col("weight").alias("c")), "km-centres")  # k rows of documents
+    spark = weights.sparkSession
+    numbers = stage(weights.select("term").distinct(), "km-terms").df
+    width = numbers.count()
+    if width * k > MOST_CENTRES:
+        raise ValueError(f"{k} clusters of {width} terms are too many to send to the tasks; bound the terms with vocabulary()")
+    terms = sorted(r.term for r in numbers.collect())  # at most MOST_CENTRES / k
+    column = spark.sparkContext.broadcast({t: n for n, t in enumerate(terms)})
+    packed = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("t")).select(key, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    packed = stage(packed, "km-rows").df
+    first = packed.orderBy(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string"))), key).limit(k).toArrow()  # k documents
+    centres = np.zeros((max(len(first), 1), max(width, 1)))
+    for n, (names, values) in enumerate(zip(first["terms"].to_pylist(), first["weights"].to_pylist(), strict=True)):
+        centres[n, [column.value[t] for t in names]] = values
+    kind = packed.schema[key].dataType.simpleString()
     before = None
     for _ in range(max(1, iterations)):
-        # A row meets the centres that share a term with it; one that shares none with any goes to the first.
-        dots = rows.join(centres.df, "term").groupBy(key, "cluster").agg(F.round(F.sum(F.col("weight") * F.col("c")), 9).alias("dot"))
-        best = dots.groupBy(key).agg(F.max(F.struct("dot", (-F.col("cluster")).alias("low"))).alias("b"))
-        near = rows.select(key).distinct().join(best, key, "left").select(key, F.coalesce(-F.col("b.low"), F.lit(0)).alias("cluster"), F.coalesce("b.dot", F.lit(0.0)).alias("similarity"))
-        placed = stage(near, "km-placed")
-        moved = before is None or not placed.df.join(before.df.select(key, F.col("cluster").alias("old")), key).where("cluster <> old").isEmpty()
+        shared = spark.sparkContext.broadcast(centres)
+
+        def place(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """Rows with their cluster, then the sums of all of them."""
+            centres, number = shared.value, column.value
+            sums = np.zeros_like(centres)
+            for b in batches:
+                cluster, near = [], []
+                for names, values in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    at, w = [number[t] for t in names], np.array(values)
+                    dots = np.round(centres[:, at] @ w, 9)
+                    cluster.append(int(dots.argmax()))
+                    near.append(float(dots[cluster[-1]]))
+                    sums[cluster[-1], at] += w
+                nothing = pa.nulls(len(cluster), pa.int32()), pa.nulls(len(cluster), pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cluster, pa.int32()), pa.array(near, pa.float64()), *nothing], names=[key, "cluster", "similarity", "term", "sum"])
+            row, col = np.nonzero(sums)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), b.schema.field(0).type), pa.array(row, pa.int32()), pa.nulls(len(row), pa.float64()), pa.array(col, pa.int32()), pa.array(sums[row, col])], names=[key, "cluster", "similarity", "term", "sum"])
+
+        out = stage(packed.mapInArrow(place, f"`{key}` {kind}, cluster int, similarity double, term int, sum double"), "km-placed").df
+        placed = out.where("term IS NULL").select(key, "cluster", "similarity")
+        moved = before is None or not placed.join(before.select(key, F.col("cluster").alias("old")), key).where("cluster <> old").isEmpty()
         before = placed
+        shared.unpersist()
         if not moved:
             break
-        sums = rows.join(placed.df, key).groupBy("cluster", "term").agg(F.sum("weight").alias("s"))
-        size = sums.groupBy("cluster").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-        following = stage(sums.join(size, "cluster").select("cluster", "term", F.round(F.col("s") / F.col("norm"), 9).alias("c")), "km-centres")
-        centres.drop()
-        centres = following
-    dense = before.df.select("cluster").distinct().withColumn("n", F.row_number().over(Window.orderBy("cluster")) - 1)  # at most k rows
-    return before.df.join(F.broadcast(dense), "cluster").select(key, F.col("n").alias("cluster"), "similarity")
+        total = out.where("term IS NOT NULL").groupBy("cluster", "term").agg(F.sum("sum").alias("s")).toArrow()  # at most MOST_CENTRES rows
+        centres = np.zeros_like(centres)
+        centres[total["cluster"].to_numpy(), total["term"].to_numpy()] = total["s"].to_numpy()
+        size = np.linalg.norm(centres, axis=1, keepdims=True)
+        centres = np.round(np.divide(centres, size, out=centres, where=size > 0), 9)
+    dense = before.select("cluster").distinct().withColumn("n", F.row_number().over(Window.orderBy("cluster")) - 1)  # at most k rows
+    return before.join(F.broadcast(dense), "cluster").select(key, F.col("n").alias("cluster"), "similarity")
 
 
 def sentence_units(text: Column, most: int | None = 200) -> Column:
