@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 from sparkdocket.plans.staging import stage
 
 STOP_WORDS = ["the", "and", "for", "that", "with", "was", "are", "der", "die", "und", "das", "les", "des", "que", "los", "las"]
-#: Lines that are no prose: header fields, forward marks, disclaimers.
-_NOISE = r"(?i)^\s*((from|to|cc|bcc|subject|sent|date)\s*:|-{2,}\s*(original|forwarded)\b|.*\b(confidential|privileged and)\b)"
+# How lines begin that are header fields, marks of forwarded messages, phrases of disclaimers, words of headers.
+HEADER_PREFIXES = ["from:", "to:", "cc:", "bcc:", "sent:", "date:", "subject:", "reply-to:", "importance:", "attachments:"]
+FORWARD_MARKS = ["-----original message-----", "----- original message -----", "begin forwarded message", "---------- forwarded message ----------"]
+DISCLAIMERS = [
+    "privileged and confidential", "attorney-client privileged", "attorney client privileged", "intended recipient", "intended solely for", "unauthorized disclosure", "confidentiality notice",
+    "if you are not the intended", "please delete this email", "this email and any attachments", "may contain confidential", "strictly confidential", "do not distribute",
+]
+STRUCTURAL = ["from", "sent", "subject", "mailto", "cc", "bcc"]
 
 
 def prose_lines(text: Column) -> Column:
-    """The text without header-looking, forward and disclaimer lines."""
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: ~line.rlike(_NOISE)), "\n")
+    """The text's lines, trimmed, without blank ones, header fields, forward marks and disclaimers."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.trim(line))
+    low = lambda line: F.lower(line)
+    noise = lambda line: reduce(lambda a, b: a | b, [*[low(line).startswith(p) for p in HEADER_PREFIXES], *[low(line).contains(p) for p in FORWARD_MARKS + DISCLAIMERS]])
+    return F.array_join(F.filter(lines, lambda line: (line != "") & ~noise(line)), "\n")
 
 
 def cluster_tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``key, term``: words of two and more characters, not only digits, no stop words."""
+    """``key, term``: words of two and more characters, not only digits, no stop words nor words of headers."""
     found = F.regexp_extract_all(F.lower(prose_lines(F.col(text_col))), F.lit("([a-z0-9ß-ÿ]{2,})"), F.lit(1))
-    return df.select(key, F.explode(F.filter(found, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS))).alias("term"))
+    return df.select(key, F.explode(F.filter(found, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS + STRUCTURAL))).alias("term"))
 
 
 def vocabulary(toks: DataFrame, key: str, most: int = 20_000, min_df: int = 2) -> DataFrame:

@@ -110,6 +110,25 @@ def resolve_suggestions(suggestions: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("suggestion_id", "item_id", "code", outcome.alias("outcome"))
 
 
+def accept_suggestions(suggestions: DataFrame, texts: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolved suggestions with the places of their quotations, and the codes after the accepted ones.
+
+    ``suggestions`` has ``suggestion_id, item_id, code, quote, start, end`` (bytes, or null).  Of
+    those for one item and code the latest counts.  It is accepted if its quotation is
+    matched in the item's text as it stands now; the place is that where it was found.
+    """
+    from sparkdocket.operators.spans import verify_citation
+
+    latest = suggestions.groupBy("item_id", "code").agg(F.max("suggestion_id").alias("latest"))
+    joined = suggestions.join(latest, ["item_id", "code"]).join(texts.select("item_id", "text"), "item_id", "left")
+    checked = joined.withColumn("found", verify_citation(F.col("text"), F.col("quote"), F.col("start"), F.col("end")))
+    matched = F.col("found.status") == "matched"
+    outcome = F.when(F.col("suggestion_id") < F.col("latest"), "superseded").when(matched, "accepted").otherwise("unverified")
+    place = lambda side: F.when(outcome == "accepted", F.col(f"found.{side}")).alias(side)
+    resolved = stage(checked.select("suggestion_id", "item_id", "code", outcome.alias("outcome"), place("start"), place("end")), "suggestions").df
+    return resolved, codes.select("item_id", "code").union(resolved.where("outcome = 'accepted'").select("item_id", "code")).distinct()
+
+
 def privilege_log(items: DataFrame, privilege: DataFrame) -> DataFrame:
     """Rows of the privilege log in order (``seq``, by date, path and id): sender, recipients, subject and date of the parent where an item's own are blank."""
     fields = ["from_addr", "recipients", "subject"]

@@ -191,8 +191,9 @@ def cull_presets(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in c.STOP_WORDS) + ")"
-_PROSE = lambda col: rf"array_to_string(list_filter(regexp_split_to_array(coalesce({col}, ''), '\r?\n'), lambda l: NOT regexp_matches(l, '^\s*((from|to|cc|bcc|subject|sent|date)\s*:|-{{2,}}\s*(original|forwarded)\b|.*\b(confidential|privileged and)\b)', 'i')), chr(10))"
+_STOP = "(" + ", ".join(f"'{w}'" for w in c.STOP_WORDS + c.STRUCTURAL) + ")"
+_LINE = " AND ".join(["l <> ''", *[f"NOT starts_with(lower(l), '{p}')" for p in c.HEADER_PREFIXES], *[f"NOT contains(lower(l), '{p}')" for p in c.FORWARD_MARKS + c.DISCLAIMERS]])
+_PROSE = lambda col: rf"array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce({col}, ''), '\r?\n'), lambda l: trim(l)), lambda l: {_LINE}), chr(10))"
 _TOK = lambda src, key: f"tok AS (SELECT {key}, unnest(list_filter(regexp_extract_all(lower({_PROSE('text')}), '[a-z0-9ß-ÿ]{{2,}}'), lambda w: NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {_STOP})) AS term FROM {src})"
 
 

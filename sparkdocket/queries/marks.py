@@ -88,6 +88,27 @@ def suggestions_resolved(spark, sf_dir):
     return mk.resolve_suggestions(one.union(two), d.select(F.col("doc_id").alias("item_id"), F.col("now").alias("text")))
 
 
+def _suggested(spark, sf_dir):
+    d = _texts_now(spark, sf_dir)
+    quote = F.substring("text", 1, 40)
+    one = d.select((F.col("doc_id") * 2).alias("suggestion_id"), F.col("doc_id").alias("item_id"), F.lit("hot").alias("code"), quote.alias("quote"), F.lit(0).alias("start"), F.octet_length(quote).alias("end"))
+    two = d.select((F.col("doc_id") * 2 + 1).alias("suggestion_id"), F.col("doc_id").alias("item_id"), F.when(F.col("lang") == "fr", "hot").otherwise("key").alias("code"), F.concat(quote, F.when(F.col("lang") == "es", "?").otherwise("")).alias("quote"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    return mk.accept_suggestions(one.union(two), d.select(F.col("doc_id").alias("item_id"), F.col("now").alias("text")), adapt.codes(spark, sf_dir))
+
+
+def suggestions_accepted(spark, sf_dir):
+    """Whether the place of each accepted suggestion holds its quotation, white space aside."""
+    resolved = _suggested(spark, sf_dir)[0].where("outcome = 'accepted'")
+    d = _texts_now(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "text", "now")
+    cut = F.substring(F.col("now").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return resolved.join(d, "item_id").select("suggestion_id", "item_id", "code", (flat(cut) == flat(F.substring("text", 1, 40))).alias("holds"))
+
+
+def codes_after_suggestions(spark, sf_dir):
+    return _suggested(spark, sf_dir)[1]
+
+
 def privilege_log(spark, sf_dir):
     """Lines have no sender or date of their own: their order's serve."""
     i = adapt.order_items(spark, sf_dir)
@@ -144,13 +165,20 @@ _CODED = f"""{adapt.CODES_SQL}, b AS (SELECT * FROM codes UNION ALL SELECT doc_i
 _PRIV = "p AS (SELECT doc_id AS item_id, CASE WHEN quality = 1 THEN 'under_review' ELSE 'asserted' END AS status, coalesce(quality = 0, false) AS withhold, true AS include_on_log, 'advice' AS description FROM labels WHERE toxic = 1)"
 QUERIES = {
     "codes_applied": codes_applied, "codes_to_families": codes_to_families, "privilege_synced": privilege_synced, "privilege_upserted": privilege_upserted, "notes_counted": notes_counted, "redactions_state": redactions_state,
-    "anchors_resolved": anchors_resolved, "suggestions_resolved": suggestions_resolved, "privilege_log": privilege_log, "qc_sample": qc_sample, "qc_sample_report": qc_sample_report,
+    "anchors_resolved": anchors_resolved, "suggestions_resolved": suggestions_resolved, "suggestions_accepted": suggestions_accepted, "codes_after_suggestions": codes_after_suggestions, "privilege_log": privilege_log, "qc_sample": qc_sample, "qc_sample_report": qc_sample_report,
     "conversation_page": conversation_page, "stream_gaps": stream_gaps, "stream_forward": _stream(True), "stream_before": _stream(False),
 }
 _SAMPLE = lambda seed, size: f"(SELECT item_id, coder FROM (SELECT item_id, arg_max(coder, coded_at) AS coder FROM k GROUP BY 1) ORDER BY md5('{seed}' || item_id), item_id LIMIT ({size}))"
 _K = "k AS (SELECT CAST(floor(value) AS BIGINT) AS item_id, user_id AS coder, event_id AS coded_at FROM events)"
 _STREAM = lambda sign: f"WITH a AS (SELECT conv_id, turn AS anchor FROM conversations WHERE role = 'user') SELECT c.conv_id, anchor, CAST({sign}(turn - anchor) AS INT) AS nth, c.conv_id || '-' || turn AS item_id FROM conversations c JOIN a ON a.conv_id = c.conv_id AND {sign}(turn - anchor) BETWEEN 1 AND 2"
+#: Suggestions as in ``suggestions_resolved``; a quotation is unique if it stands once, overlaps counted.
+_ACCEPTED = f"""d AS (SELECT *, {_NOW} FROM documents), s AS (SELECT doc_id * 2 AS suggestion_id, doc_id AS item_id, 'hot' AS code, substring(text, 1, 40) AS quote FROM d
+          UNION ALL SELECT doc_id * 2 + 1, doc_id, CASE WHEN lang = 'fr' THEN 'hot' ELSE 'key' END, substring(text, 1, 40) || CASE WHEN lang = 'es' THEN '?' ELSE '' END FROM d),
+        j AS (SELECT s.*, max(suggestion_id) OVER (PARTITION BY item_id, code) AS latest, lower({_SQUASH("coalesce(now, '')")}) AS t, lower({_SQUASH('quote')}) AS q FROM s JOIN d ON doc_id = item_id),
+        a AS (SELECT suggestion_id, item_id, code FROM j WHERE suggestion_id = latest AND length(q) > 0 AND instr(t, q) > 0 AND instr(substr(t, instr(t, q) + 1), q) = 0)"""
 ORACLE = {
+    "suggestions_accepted": f"WITH {_ACCEPTED} SELECT suggestion_id, item_id, code, true AS holds FROM a",
+    "codes_after_suggestions": f"WITH {adapt.CODES_SQL}, {_ACCEPTED} SELECT item_id, code FROM codes UNION SELECT item_id, code FROM a",
     "codes_applied": f"WITH {_CODED} SELECT item_id, code FROM coded",
     "codes_to_families": f"""WITH {adapt.ORDER_ITEMS_SQL}, h AS (SELECT coalesce(parent_item_id, item_id) AS top FROM items WHERE file_category = 'R' AND size_bytes > 70000) SELECT item_id, 'key' AS code FROM items WHERE coalesce(parent_item_id, item_id) IN (SELECT top FROM h)""",
     "privilege_synced": f"""WITH {_CODED}, {_PRIV}, k AS (SELECT item_id FROM coded WHERE code = 'privileged' UNION SELECT doc_id FROM documents WHERE lang = 'es')

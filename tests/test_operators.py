@@ -215,3 +215,11 @@ def test_marks_refuse_and_keyword_queries_check(spark):
             kw.matching(posts, "item_id", bad)
     assert [r.item_id for r in kw.matching(posts, "item_id", {"all": ["東京都"]}).collect()] == [2]
     assert [r.item_id for r in kw.search(posts, "item_id", {"all": [{"text": "the cat", "phrase": True}]}).collect()] == [1]
+
+
+def test_prose_lines_drop_phrases_not_words(spark):
+    from sparkdocket.operators.concepts import prose_lines
+
+    text = "From: a@b\n  The report is confidential to some.  \r\n\nThis e-mail is STRICTLY CONFIDENTIAL.\n-----Original Message-----\nTo whom\nto: x\nAttachments: y\nbegin forwarded message:"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(prose_lines(F.col("t")).alias("p")).collect()
+    assert [r.p for r in got] == ["The report is confidential to some.\nTo whom", ""]
