@@ -10,6 +10,7 @@ from sparkdocket.operators import keyword as kw
 from sparkdocket.operators.filterspec import apply_filter
 from sparkdocket.operators.kwindex import KeywordIndex
 from sparkdocket.plans import items as adapt
+from sparkdocket.plans.segments import StoreMissing
 from sparkdocket.plans.staging import shared_dir
 from sparkdocket.queries.filters import _DOCS_SQL, _docs
 
@@ -28,13 +29,17 @@ def _fields(cjk=False):
 
 
 def _index(spark, sf_dir, cjk=False):
-    """The index of all documents; built once, then opened."""
+    """The index of all documents; built once, then opened, and built again if its folder is gone."""
     name = (spark.sparkContext.applicationId, sf_dir, cjk)
-    if name not in _BUILT:
-        path = f"{shared_dir(spark)}/keyword-index-{uuid.uuid4().hex}"
-        KeywordIndex.create(spark, path, "doc_id", buckets=16, spread=2).upsert(adapt.table(spark, sf_dir, "documents"), _fields(cjk))
-        _BUILT[name] = path
-    return KeywordIndex.open(spark, _BUILT[name])
+    if name in _BUILT:
+        try:
+            return KeywordIndex.open(spark, _BUILT[name])
+        except StoreMissing:
+            del _BUILT[name]
+    path = f"{shared_dir(spark)}/keyword-index-{uuid.uuid4().hex}"
+    index = KeywordIndex.create(spark, path, "doc_id", buckets=16, spread=2).upsert(adapt.table(spark, sf_dir, "documents"), _fields(cjk))
+    _BUILT[name] = path
+    return index
 
 
 def _search(query, cjk=False):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkdocket.functions import norm
 from sparkdocket.operators import neardup
 from sparkdocket.operators import text as t
-from sparkdocket.operators.vectorstore import VectorStore
+from sparkdocket.operators.vectorstore import StoreMissing, VectorStore
 from sparkdocket.plans import items as adapt
 from sparkdocket.plans.staging import shared_dir
 
@@ -84,11 +84,16 @@ def _new_store(spark):
 
 
 def _store(spark, sf_dir):
-    """The store of all embeddings; built once, then opened."""
+    """The store of all embeddings; built once, then opened, and built again if its folder is gone."""
     name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _STORES:
-        _STORES[name] = _new_store(spark).upsert(_vectors(spark, sf_dir)).path
-    return VectorStore.open(spark, _STORES[name], "embeddings")
+    if name in _STORES:
+        try:
+            return VectorStore.open(spark, _STORES[name], "embeddings")
+        except StoreMissing:
+            del _STORES[name]
+    store = _new_store(spark).upsert(_vectors(spark, sf_dir))
+    _STORES[name] = store.path
+    return store
 
 
 def _asked(spark, sf_dir):
