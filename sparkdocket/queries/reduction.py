@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdocket.functions import hashing, norm
+from sparkdocket.functions import hashing
 from sparkdocket.operators import dedupe
 from sparkdocket.plans import items as adapt
 from sparkdocket.plans.staging import shared_dir

@@ -102,8 +102,8 @@ def _asked(spark, sf_dir):
 
 
 def semantic_scores(spark, sf_dir):
-    """All scores of at least 0.4, for each query."""
-    return _store(spark, sf_dir).search(_asked(spark, sf_dir), best=None, min_score=0.4).drop("ordinal")
+    """All scores of at least 0.15, for each query."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), best=None, min_score=0.15).drop("ordinal")
 
 
 def semantic_prefiltered(spark, sf_dir):
@@ -233,7 +233,7 @@ ORACLE = {
     "bm25_search": f"""WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
         f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('the', 'and', 'er') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
         SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM f JOIN d USING (term) JOIN l USING (doc_id), g GROUP BY 1 HAVING count(*) = 3""",
-    "semantic_scores": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE score >= 0.4",
+    "semantic_scores": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE score >= 0.15",
     "semantic_prefiltered": f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM p WHERE label = 3 AND score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20",
     "semantic_chunks": f"""WITH {_PAIRS}, c AS (SELECT query_id, vec_id - vec_id % 4 AS vec_id, CAST(vec_id % 4 AS INT) AS ordinal, score FROM p),
         b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY score DESC, ordinal) = 1)
