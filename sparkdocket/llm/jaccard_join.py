@@ -459,8 +459,8 @@ def _linked_rows(packed: list[bytes], percent: int) -> np.ndarray:
     return common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
 
 
-#: Sets of a cluster that all others are compared with first, about, and how often such ones are chosen.
-LEADERS, LEAD_ROUNDS = 24, 2
+#: Sets of a cluster that all others are compared with first, about, and how often such ones are chosen; clusters up to so many blocks do without.
+LEADERS, LEAD_ROUNDS, FEW_BLOCKS = 24, 2, 8
 
 
 def _forest(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -487,7 +487,7 @@ def _forest(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_rows: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
     """Links inside clusters that connect what all links connect.
 
-    A cluster of one block is compared at once.  Of larger ones each block is
+    In a cluster of few blocks all pairs of blocks are compared.  Of larger ones each block is
     compared with itself and with some sets of the cluster, its leaders, which takes
     work in proportion to the cluster and joins a group of near copies to one part.
     Only sets of different parts are then left to compare: two blocks of one part
@@ -496,23 +496,25 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
     stage = scratch.stage
     members = stage(clusters, "jj-clusters")
     bodies = stage(_bodies(sets, members.select("rid"), sent).join(members, "rid"), "jj-members")
-    open_rows, links, parts = members, None, None
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    sizes = stage(sizes, "jj-blocks")
+    few = bodies.join(sizes.where(F.col("blocks") <= FEW_BLOCKS), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    few = few.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    links = stage(_forest(few.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rid", "sh"), ["cluster", "bi", "bj"], percent), "jj-few")
+    large = stage(sizes.where(F.col("blocks") > FEW_BLOCKS).select("cluster"), "jj-large")
+    if large.isEmpty():
+        return links
+    open_rows = members.join(large, "cluster", "left_semi")
     for number in range(LEAD_ROUNDS):
         sizes = open_rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
         sizes = stage(sizes.select("cluster", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("rows") / LEADERS).alias("every")), "jj-blocks")
-        if number == 0:
-            large = stage(sizes.where("blocks > 1").select("cluster"), "jj-large")
-            rows = bodies
-        else:
-            rows = bodies.join(open_rows.select("rid"), "rid", "left_semi")
+        rows = bodies.join(open_rows.select("rid"), "rid", "left_semi")
         placed = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rid", F.lit(number)), F.col("blocks")).cast("int"))
         led = placed.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("rid", F.lit(number), F.lit(7)), F.col("every")) == 0))
         led = led.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = placed.select("cluster", "block", "rid", "sh").union(led.select("cluster", "block", "rid", "sh"))
         found = stage(_forest(dealt, ["cluster", "block"], percent), "jj-led")
-        links = found if links is None else stage(links.union(found), "jj-led")
-        if large.isEmpty():
-            return links
+        links = stage(links.union(found), "jj-led")
         connected = connected_components(links, "x", "y", scratch=scratch).select(F.col("vertex").alias("rid"), "component")
         parts = members.join(large, "cluster", "left_semi").join(connected, "rid", "left").select("rid", "cluster", F.coalesce("component", "rid").alias("part"))
         parts = stage(parts, "jj-parts")
