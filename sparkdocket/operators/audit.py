@@ -43,7 +43,8 @@ def append_events(events: DataFrame, heads: DataFrame | None, chain: str, order:
     else:
         # Heads are few beside events; a hot chain's events stay where they are if Spark broadcasts or splits.
         rows = rows.join(heads.select(chain, F.col("seq").cast("long").alias("_seq"), F.col("entry_hash").alias("_head")), chain, "left").withColumn("_seq", F.coalesce("_seq", F.lit(0).cast("long")))
-    sorted_rows = rows.repartition(chain).sortWithinPartitions(chain, order)
+    # By a hash, not by the chain itself: Spark leaves out a repartition that the join's own would meet, and may then broadcast the heads instead.
+    sorted_rows = rows.repartition(F.xxhash64(chain)).sortWithinPartitions(chain, order)
     out = T.StructType([*events.schema.fields, T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
     own = events.columns
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocket.operators import audit, jobs, marks, qc, thread
-from sparkdocket.plans.staging import shared_dir
+from sparkdocket.plans.staging import shared_dir, stage
 
 
 def test_headers(spark):
@@ -80,3 +80,20 @@ def test_reports_and_jobs(spark):
         jobs.write_report(jobs.qc_report(rows, "all", "p", 2, "f"), path)
     with pytest.raises(ValueError, match="no job"):
         jobs.candidates(rows, "nothing")
+
+
+def test_appended_chains_where_heads_turn_small(spark):
+    """A join with heads that is planned as a sorted one and broadcast at run time leaves each chain in one task."""
+    rows = stage(spark.range(40000).selectExpr("id % 500 AS chain", "id AS at").repartition(8), "events").df
+    first = stage(audit.append_events(rows.where("at < 20000"), None, "chain", "at", ["at"]), "audit").df
+    told = {"spark.sql.autoBroadcastJoinThreshold": "500000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in told}
+    for k, v in told.items():
+        spark.conf.set(k, v)
+    try:
+        then = audit.append_events(rows.where("at >= 20000"), audit.chain_heads(first, "chain"), "chain", "at", ["at"])
+        got = then.selectExpr("max(seq)", "count(DISTINCT chain, seq)", "count(*)").first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[:] == (80, 20000, 20000)
