@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import norm
-from sparkdocket.operators import dedupe, gap, neardup, qc, rollups, text
+from sparkdocket.operators import concepts, dedupe, gap, neardup, qc, rollups, text
 from sparkdocket.operators.filterspec import FilterError, apply_filter
 from sparkdocket.operators.graph import connected_components
 from sparkdocket.plans.numbering import number_rows
@@ -223,3 +223,10 @@ def test_prose_lines_drop_phrases_not_words(spark):
     text = "From: a@b\n  The report is confidential to some.  \r\n\nThis e-mail is STRICTLY CONFIDENTIAL.\n-----Original Message-----\nTo whom\nto: x\nAttachments: y\nbegin forwarded message:"
     got = spark.createDataFrame([(text,), (None,)], "t string").select(prose_lines(F.col("t")).alias("p")).collect()
     assert [r.p for r in got] == ["The report is confidential to some.\nTo whom", ""]
+
+
+def test_sentence_units_keep_their_digits(spark):
+    """A unit that begins or ends with its own number in the list loses no digit."""
+    want = ["First one.", "1 is next.", "222 then 2!", "3?", "44.", "x 5."]
+    got = spark.createDataFrame([(" ".join(want),)], "t string").select(concepts.sentence_units(F.col("t"), None)).first()[0]
+    assert got == want
