@@ -166,6 +166,8 @@ def _lines_sql(profile):
       UNION ALL SELECT o_orderkey + 1, md5({join([clean(v) for v in vals], '¶')}), md5({join([csv(v) for v in vals], ',')}) FROM orders"""
 
 
+# At least three digits, as ``produce.volume_of``: lpad alone would cut the thousandth volume to VOL100.
+_VOLUME_SQL = lambda n: f"'VOL' || lpad(CAST((seq - 1) // {n} + 1 AS VARCHAR), greatest(length(CAST((seq - 1) // {n} + 1 AS VARCHAR)), 3)::INT, '0')"
 QUERIES = {
     "integrity_best_effort": _classes(False), "integrity_strict": _classes(True), "integrity_sidecar": integrity_sidecar, "integrity_reasons": integrity_reasons, "scan_preflight": scan_preflight, "error_codes": error_codes,
     "dedup_report": dedup_report, "production_volumes": production_volumes, "production_sweep": production_sweep, "production_resolve": production_resolve, "production_written": production_written, "production_lines": _lines("plain"), "production_lines_us": _lines("us_dates"), "production_family": production_family,
@@ -179,14 +181,14 @@ ORACLE = {
         SELECT label, n, false AS is_rest FROM k WHERE i <= 20 UNION ALL SELECT '(other)', CAST(sum(n) AS BIGINT), true FROM k WHERE i > 20 HAVING count(*) > 0""",
     "dedup_report": f"""WITH {ROLES_SQL} SELECT r.group_id, r.item_id, CASE WHEN r.item_id = r.group_id THEN 'unique' ELSE 'duplicate' END AS dedup_role, dedup_tier, h.path, h.size_bytes, k.path AS kept_path, k.size_bytes AS kept_size_bytes
         FROM roles r JOIN h USING (item_id) LEFT JOIN h k ON k.item_id = r.group_id""",
-    "production_volumes": """WITH n AS (SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_custkey END NULLS LAST, o_orderkey) AS seq FROM orders WHERE o_orderpriority <> '1-URGENT')
-        SELECT item_id, 'PRD' || CASE WHEN seq < 1000000 THEN lpad(CAST(seq AS VARCHAR), 6, '0') ELSE CAST(seq AS VARCHAR) END AS control_number, 'VOL' || lpad(CAST((seq - 1) // 1000 + 1 AS VARCHAR), 3, '0') AS volume FROM n""",
+    "production_volumes": f"""WITH n AS (SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_custkey END NULLS LAST, o_orderkey) AS seq FROM orders WHERE o_orderpriority <> '1-URGENT')
+        SELECT item_id, 'PRD' || CASE WHEN seq < 1000000 THEN lpad(CAST(seq AS VARCHAR), 6, '0') ELSE CAST(seq AS VARCHAR) END AS control_number, {_VOLUME_SQL(1000)} AS volume FROM n""",
     "production_sweep": """WITH n AS (SELECT o_orderkey AS item_id, o_orderpriority AS p, row_number() OVER (ORDER BY o_custkey NULLS LAST, o_orderkey) AS seq FROM orders WHERE o_orderpriority <> '1-URGENT')
         SELECT item_id, 'S' || CASE WHEN seq < 10000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS control_number, CASE WHEN p = '5-LOW' THEN 'withdrawn' ELSE 'produced' END AS status FROM n""",
     "production_resolve": """WITH r AS (SELECT doc_id AS item_id, lang, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id))
         SELECT item_id, CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END AS ext, CASE WHEN own THEN 'file' WHEN mail THEN 'mail' END AS native,
           CASE WHEN red THEN CASE WHEN made THEN 'redacted' END WHEN txt THEN 'text' END AS text_source, CASE WHEN NOT coalesce(own, false) AND NOT coalesce(mail, false) THEN 'missing_native' WHEN red AND NOT made THEN 'redacted_text_missing' END AS fault FROM r""",
-    "production_written": """WITH r AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS seq, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id)),
+    "production_written": f"""WITH r AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS seq, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id)),
         b AS (SELECT *, CASE WHEN red THEN CASE WHEN made THEN text || 'r' END WHEN txt THEN text END AS body FROM r),
         n AS (SELECT *, CASE WHEN own THEN text WHEN mail THEN 'From: ' || chr(13) || chr(10) || 'Subject: en' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(body, '') END AS nat, 'PRD' || lpad(CAST(seq AS VARCHAR), 8, '0') AS c, 'VOL' || lpad(CAST((seq - 1) // 100 + 1 AS VARCHAR), 3, '0') AS v,
           CASE WHEN NOT own AND mail THEN 'eml' ELSE CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END END AS e FROM b WHERE NOT (red AND NOT made))
