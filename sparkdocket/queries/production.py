@@ -190,7 +190,7 @@ ORACLE = {
           CASE WHEN red THEN CASE WHEN made THEN 'redacted' END WHEN txt THEN 'text' END AS text_source, CASE WHEN NOT coalesce(own, false) AND NOT coalesce(mail, false) THEN 'missing_native' WHEN red AND NOT made THEN 'redacted_text_missing' END AS fault FROM r""",
     "production_written": f"""WITH r AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS seq, n_chars > 1500 AS own, lang = 'en' AS mail, coalesce(quality = 1, false) AS red, coalesce(toxic = 0, false) AS made, n_chars > 60 AS txt FROM documents LEFT JOIN labels USING (doc_id)),
         b AS (SELECT *, CASE WHEN red THEN CASE WHEN made THEN text || 'r' END WHEN txt THEN text END AS body FROM r),
-        n AS (SELECT *, CASE WHEN own THEN text WHEN mail THEN 'From: ' || chr(13) || chr(10) || 'Subject: en' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(body, '') END AS nat, 'PRD' || lpad(CAST(seq AS VARCHAR), 8, '0') AS c, 'VOL' || lpad(CAST((seq - 1) // 100 + 1 AS VARCHAR), 3, '0') AS v,
+        n AS (SELECT *, CASE WHEN own THEN text WHEN mail THEN 'From: ' || chr(13) || chr(10) || 'Subject: en' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(body, '') END AS nat, 'PRD' || lpad(CAST(seq AS VARCHAR), 8, '0') AS c, {_VOLUME_SQL(100)} AS v,
           CASE WHEN NOT own AND mail THEN 'eml' ELSE CASE lang WHEN 'de' THEN 'txt' WHEN 'fr' THEN 'gz' WHEN 'es' THEN 'html' WHEN 'en' THEN 'eml' ELSE 'bin' END END AS e FROM b WHERE NOT (red AND NOT made))
         SELECT doc_id AS item_id, c AS control_number, v AS volume, CASE WHEN nat IS NOT NULL THEN v || '/NATIVES/' || c || '.' || e END AS native_path, CASE WHEN body IS NOT NULL THEN v || '/TEXT/' || c || '.txt' END AS text_path, strlen(nat) AS file_size, sha256(nat) AS native_sha256,
           CASE WHEN nat IS NOT NULL AND body IS NOT NULL THEN 'NATIVE_AND_TEXT' WHEN nat IS NOT NULL THEN 'NATIVE' ELSE 'TEXT_ONLY' END AS prod_status, sha256(nat) AS native_read_sha256, sha256(body) AS text_read_sha256 FROM n WHERE nat IS NOT NULL OR body IS NOT NULL""",

@@ -1,7 +1,9 @@
 import io
+import re
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkdocket.sources import archives, chat, loadfiles
 from sparkdocket.streaming.incremental import dedupe_stream
@@ -176,3 +178,18 @@ def test_csv_in_any_split(spark, tmp_path):
         with pytest.raises(ValueError, match="more than"):
             loadfiles.read_csv(spark, f"file://{tmp_path}/*.csv", **option)
     assert loadfiles.read_csv(spark, f"file://{tmp_path}/*.csv", max_rows=151, max_bytes=10**6).count() == 151
+
+
+@pytest.mark.parametrize("name,per", [("production_volumes", 1000), ("production_written", 100)])
+def test_sql_names_the_thousandth_volume(spark, name, per):
+    """Volume names grow beyond three digits in the query and in its SQL."""
+    import duckdb
+
+    from sparkdocket.operators.produce import volume_of
+    from sparkdocket.queries.production import ORACLE
+
+    part = re.search(r"'VOL' \|\| .*?(?= AS (?:v|volume)\b)", ORACLE[name]).group(0)
+    seqs = [1, per, per + 1, 998 * per + 1, 999 * per, 999 * per + 1, 1000 * per + 1, 123456 * per]
+    want = [r[0] for r in spark.createDataFrame([(n,) for n in seqs], "seq long").coalesce(1).select(volume_of(F.col("seq") - 1, per)).collect()]
+    assert [duckdb.sql(f"SELECT {part} FROM (SELECT {n}::BIGINT AS seq)").fetchall()[0][0] for n in seqs] == want
+    assert want[5] == "VOL1000"
