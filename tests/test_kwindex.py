@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from sparkdocket.operators import keyword as kw
 from sparkdocket.operators import kwindex, kwquery
 from sparkdocket.operators.kwindex import KeywordIndex
 from sparkdocket.operators.kwquery import InvalidQuery, holds, parse
@@ -154,3 +155,27 @@ def test_hostile_texts_are_tokenized_in_time(spark):
     rows = [(1, "a", "a." * 100_000), (2, "a", "a-b_" * 50_000), (3, "x" * 100_000, "@" * 100_000)]
     index = fresh(spark).upsert(items(spark, rows), fields())
     assert ids(index.search("a")) == [1, 2]
+
+
+def test_postings_are_dealt_by_the_number_of_tokens(spark, monkeypatch):
+    """A task of the build sorts about as many tokens at any size: more of them make more files, with the same postings."""
+    rows = [(k, f"s{k}", f"word{k} common" + " common again" * (k % 3)) for k in range(300)]
+    few = fresh(spark, spread=1).upsert(items(spark, rows), fields())
+    monkeypatch.setattr(kwindex, "_TOLD", 20)
+    many = fresh(spark, spread=1).upsert(items(spark, rows), fields())
+    files = lambda x: len({r[0] for r in x.postings(["common"]).select(F.input_file_name()).distinct().collect()})
+    assert files(few) == 1 and files(many) >= 5
+    shown = lambda x: sorted(tuple(map(str, r)) for r in x.postings().collect())
+    said = []
+    for k, s, b in rows:
+        for name, words in (("subject", s.split()), ("body", b.split())):
+            said += [(k, name, t, words.count(t), len(words), [n for n, w in enumerate(words) if w == t], 1) for t in set(words)]
+    assert shown(few) == shown(many) == sorted(tuple(map(str, r)) for r in said)
+    assert shown(many.merge()) == sorted(tuple(map(str, (*r[:-1], 2))) for r in said) and files(many.merge()) >= 5
+
+
+def test_tokens_of_texts_and_of_columns_agree(spark):
+    odd = ["", " ", "A.B@c.de x@y a@b@c.d", "一有的 的x一y有", "Größe ÅNGSTRÖM İx ß_ẞ", "x" * 41 + " " + "y" * 40, "한국어 テスト abc", "@ a@ @b 1@2-", "%+-a@b.c.", "ǅ \U0001d400 𠀀一 \x00a", "a" * 70 + "@b.cd", "×÷ é-è"]
+    rows = spark.createDataFrame([*enumerate(odd), (99, None)], "id int, t string")
+    for r in rows.select("t", F.lower(F.coalesce("t", F.lit(""))).alias("low"), kw.tokens_of(F.col("t")).alias("terms")).collect():
+        assert kw.terms_of(r.low) == r.terms, r.t
