@@ -39,11 +39,15 @@ def people_nodes(p: DataFrame) -> DataFrame:
     )
 
 
-def people_edges(p: DataFrame) -> DataFrame:
-    """Directed edges from writers to recipients; blind copies count but are not visible; no self loops."""
+def people_edges(p: DataFrame, parts: int | None = None) -> DataFrame:
+    """Directed edges from writers to recipients; blind copies count but are not visible; no self loops.
+
+    Edges are about as many as messages: ``parts`` says over how many tasks they are dealt, else the session does.
+    """
     senders = p.where("role = 'from'").select("item_id", F.col("person").alias("src"))
     got = p.where("role <> 'from'").select("item_id", F.col("person").alias("dst"), "role", "item_at")
     e = senders.join(got, "item_id").where("src <> dst")
+    e = e if parts is None else e.repartition(parts, "src", "dst")
     n = lambda r: F.count_if(F.col("role") == r).alias(f"n_{r}")
     return e.groupBy("src", "dst").agg(n("to"), n("cc"), n("bcc"), F.count_if(F.col("role") != "bcc").alias("n_visible"), F.min("item_at").alias("first_at"), F.max("item_at").alias("last_at"))
 
@@ -53,11 +57,11 @@ def iso_week(t: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(t).cast("string"), 2, "0"))
 
 
-def people_timeline(p: DataFrame, bucket: str = "week") -> DataFrame:
-    """Distinct items per bucket, for everyone (person null) and per person."""
+def people_timeline(p: DataFrame, bucket: str = "week", parts: int | None = None) -> DataFrame:
+    """Distinct items per bucket, for everyone (person null) and per person; ``parts`` as for edges."""
     b = iso_week(F.col("item_at")) if bucket == "week" else F.date_format("item_at", "yyyy-MM-dd")
     seen = p.where("item_at IS NOT NULL").select(b.alias("bucket"), "person", "item_id").distinct()
-    single = seen.groupBy("bucket", "person").agg(F.count(F.lit(1)).alias("n_items"))
+    single = (seen if parts is None else seen.repartition(parts, "bucket", "person")).groupBy("bucket", "person").agg(F.count(F.lit(1)).alias("n_items"))
     everyone = seen.select("bucket", "item_id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n_items"))
     return everyone.select("bucket", F.lit(None).cast("string").alias("person"), "n_items").union(single.select("bucket", "person", "n_items"))
 

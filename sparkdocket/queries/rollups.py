@@ -41,11 +41,11 @@ def people_nodes(spark, sf_dir):
 
 
 def people_edges(spark, sf_dir):
-    return r.people_edges(adapt.participants(spark, sf_dir))
+    return r.people_edges(adapt.participants(spark, sf_dir), adapt.pieces(adapt.table(spark, sf_dir, "lineitem")))
 
 
 def people_timeline(spark, sf_dir):
-    return r.people_timeline(adapt.participants(spark, sf_dir))
+    return r.people_timeline(adapt.participants(spark, sf_dir), parts=adapt.pieces(adapt.table(spark, sf_dir, "lineitem")))
 
 
 def domain_rollup(spark, sf_dir):

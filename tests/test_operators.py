@@ -10,6 +10,7 @@ from sparkdocket.functions import norm
 from sparkdocket.operators import concepts, dedupe, gap, neardup, qc, rollups, text
 from sparkdocket.operators.filterspec import FilterError, apply_filter
 from sparkdocket.operators.graph import connected_components
+from sparkdocket.plans import items as adapt
 from sparkdocket.plans.numbering import number_rows
 
 
@@ -230,3 +231,16 @@ def test_sentence_units_keep_their_digits(spark):
     want = ["First one.", "1 is next.", "222 then 2!", "3?", "44.", "x 5."]
     got = spark.createDataFrame([(" ".join(want),)], "t string").select(concepts.sentence_units(F.col("t"), None)).first()[0]
     assert got == want
+
+
+def test_participants_stay_dealt_by_item(spark, monkeypatch):
+    """People are counted where their orders' lines are, over as many tasks as the lines need, whatever the session says."""
+    assert [adapt.pieces(spark.range(n)) for n in (0, 500_000, 500_001)] == [1, 1, 2]
+    monkeypatch.setattr(adapt, "pieces", lambda rows, per=0: 9)
+    p = adapt.participants(spark, "/root/testdata/sf0.001")
+    assert p.rdd.getNumPartitions() == 9
+    plan = rollups.people_timeline(p, parts=7)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "ENSURE_REQUIREMENTS" in x and "hashpartitioning" in x and ("item_id" in x or "person" in x)]
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(rollups.people_timeline(p, parts=7)) == plain(rollups.people_timeline(p))
+    assert rollups.people_edges(p, 7).rdd.getNumPartitions() == 7 and plain(rollups.people_edges(p, 7)) == plain(rollups.people_edges(p))
