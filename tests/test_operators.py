@@ -244,3 +244,29 @@ def test_participants_stay_dealt_by_item(spark, monkeypatch):
     plain = lambda df: sorted(map(str, df.collect()))
     assert plain(rollups.people_timeline(p, parts=7)) == plain(rollups.people_timeline(p))
     assert rollups.people_edges(p, 7).rdd.getNumPartitions() == 7 and plain(rollups.people_edges(p, 7)) == plain(rollups.people_edges(p))
+
+
+def test_hashed_vectors_shuffle_buckets_only(spark):
+    """Odd texts against a direct version; repeated keys are one text; no word is shuffled."""
+    import hashlib
+    import math
+    import re
+
+    rows = [(1, "Hello hello wörld x"), (1, "more of it"), (2, None), (3, "?!"), (4, "z" * 500 + " a ab abc"), (5, "ÅÄ ÷ 一 Straße")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    made = concepts.hashed_vectors(df, "id", "text")
+    sums = {}
+    for key, t in rows:
+        for w in re.findall("[a-z0-9ß-ÿ]+", (t or "").lower()):
+            for name, v in [("w:" + w, 1.0), *[("3:" + w[i : i + 3], 0.35) for i in range(len(w) - 2)]]:
+                h = hashlib.md5(name.encode()).hexdigest()
+                for b, x in ((int(h[:8], 16) % 32, v), (int(h[8:16], 16) % 32, v / 2)):
+                    sums.setdefault(key, {}).setdefault(b, []).append(x)
+    want = {}
+    for key, own in sums.items():
+        norm_ = math.sqrt(sum(math.fsum(x) ** 2 for x in own.values()))
+        want |= {(key, b): math.fsum(x) / norm_ for b, x in own.items()}
+    got = {(r.id, r.bucket): r.weight for r in made.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(id#\d+, w#", x)]
