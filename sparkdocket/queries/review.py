@@ -8,7 +8,6 @@ from sparkdocket.functions import norm
 from sparkdocket.operators import cull as c
 from sparkdocket.operators import thread
 from sparkdocket.plans import items as adapt
-from sparkdocket.plans.staging import stage
 
 _RULES = c.Rules(statuses=["extracted", "partial", "normalized"], start="1995-01-01 00:00:00", end="1997-01-01 00:00:00", missing_date_culls=True, categories_excluded=["R", "5-low"], min_size=20_000, max_size=200_000, paths_excluded=["cust/1"])
 
@@ -30,10 +29,8 @@ def cull_family_cull(spark, sf_dir):
 
 
 def promote_order(spark, sf_dir):
-    items = stage(adapt.order_items(spark, sf_dir).select("item_id", "parent_item_id", "path", "status"), "promote-items").df  # read six times
-    base = c.promotion_base(items)
-    family = items.join(c.expand_both_ways(base, items), "item_id", "left_semi")
-    return c.promote(family)
+    items = adapt.order_items(spark, sf_dir).select("item_id", "parent_item_id", "path", "status")
+    return c.promote(c.whole_families(c.promotion_base(items), items))
 
 
 def promote_culled(spark, sf_dir):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import norm
-from sparkdocket.operators import concepts, dedupe, gap, neardup, qc, rollups, text
+from sparkdocket.operators import concepts, cull, dedupe, gap, neardup, qc, rollups, text
 from sparkdocket.operators.filterspec import FilterError, apply_filter
 from sparkdocket.operators.graph import connected_components
 from sparkdocket.plans import items as adapt
@@ -70,6 +70,28 @@ def test_numbering(spark):
     assert got == {k: k + 1 for k in range(1000)}
 
 
+def _hash_shuffles(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join"), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_numbers_need_no_second_shuffle(spark):
+    numbered = number_rows(spark.range(50).repartition(3), [F.col("id").desc()], "n")
+    assert _hash_shuffles(numbered)[1] == 1  # that of the ranges' counts
+    assert {r.id: r.n for r in numbered.collect()} == {k: 50 - k for k in range(50)}
+    sums = number_rows(spark.range(50).repartition(3), [F.col("id")], "n", F.col("id"))
+    assert {r.id: r.n for r in sums.collect()} == {k: k * (k + 1) // 2 for k in range(50)}
+
+
+def test_whole_families(spark):
+    rows = [(f"O{k}", None) for k in range(20) if k != 7] + [(f"L{k}-{n}", f"O{k}") for k in range(20) for n in range(k % 4)]
+    items = spark.createDataFrame(rows, "item_id string, parent_item_id string")
+    base = items.where("item_id IN ('O3', 'L5-0', 'L7-2', 'O8')")
+    got = cull.whole_families(base, items)
+    want = {r.item_id for r in cull.expand_both_ways(base, items).collect()}
+    assert {r.item_id for r in got.collect()} == want and {"L3-1", "O5", "L7-0", "O8"} < want and "O6" not in want
+    assert _hash_shuffles(got)[0] == 1
+
+
 def test_minhash_estimates_jaccard():
     a, b = {f"s{k}" for k in range(1000)}, {f"s{k}" for k in range(200, 1200)}
     same = (neardup.signature(a) == neardup.signature(b)).mean()
