@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default severity of each rule.
@@ -18,17 +18,22 @@ PACKS = {
 _TEXTUAL = ["email", "document", "spreadsheet", "presentation", "pdf"]
 
 
-def findings(items: DataFrame, selection: DataFrame, pack: str = "default", overrides: dict | None = None) -> DataFrame:
+def findings(items: DataFrame, selection: DataFrame | Column, pack: str = "default", overrides: dict | None = None) -> DataFrame:
     """``rule, item_id, severity`` for every rule that a selected item breaks.
 
-    ``items`` has ``item_id, parent_item_id, file_category, status, size_bytes,
-    withheld, has_native, has_text, needs_ocr, redaction_count, redacted_ok``.
-    Rules about the whole selection have a null item.
+    ``items`` has ``item_id`` (unique), ``parent_item_id, file_category, status, size_bytes,
+    withheld, has_native, has_text, needs_ocr, redaction_count, redacted_ok``.  The selection
+    is a table of ``item_id`` or a condition on the items.  Rules about the whole selection
+    have a null item.  What children and parents say of each other comes from one join of
+    the two.
     """
     level = SEVERITY | PACKS[pack] | (overrides or {})
-    chosen = items.join(selection.select("item_id").distinct(), "item_id", "left_semi")
+    if isinstance(selection, DataFrame):
+        items = items.join(selection.select("item_id", F.lit(True).alias("_in")).distinct(), "item_id", "left")
+        selection = F.col("_in")
     withheld = F.coalesce(F.col("withheld"), F.lit(False))
-    ids = chosen.select("item_id")
+    marked = items.withColumns({"_in": F.coalesce(selection, F.lit(False)), "_held": withheld})
+    chosen = marked.where("_in")
     own = F.array_compact(
         F.array(
             F.when(withheld, "withheld"),
@@ -41,18 +46,25 @@ def findings(items: DataFrame, selection: DataFrame, pack: str = "default", over
         )
     )
     plain = chosen.select("item_id", F.explode(own).alias("rule"))
-    orphans = chosen.where("parent_item_id IS NOT NULL").join(ids.select(F.col("item_id").alias("parent_item_id")), "parent_item_id", "left_anti").select("item_id", F.lit("orphan_child").alias("rule"))
-    absent = items.where((F.col("parent_item_id").isNotNull()) & ~withheld).join(ids, "item_id", "left_anti").select(F.col("parent_item_id").alias("item_id")).distinct()
-    incomplete = ids.join(absent, "item_id", "left_semi").select("item_id", F.lit("incomplete_parent").alias("rule"))
-    held = items.where(withheld)
-    open_items = chosen.where(~withheld)
-    by_parent = open_items.join(held.select(F.col("item_id").alias("parent_item_id")), "parent_item_id", "left_semi").select("item_id")
-    by_child = open_items.join(held.where("parent_item_id IS NOT NULL").select(F.col("parent_item_id").alias("item_id")).distinct(), "item_id", "left_semi").select("item_id")
-    relatives = by_parent.union(by_child).distinct().select("item_id", F.lit("withheld_relative").alias("rule"))
+    # A parent that is neither selected nor withheld says as much as one that is missing.
+    kids = marked.where("parent_item_id IS NOT NULL").select("parent_item_id", F.col("item_id").alias("kid"), F.col("_in").alias("kid_in"), F.col("_held").alias("kid_held"))
+    parents = marked.where("_in OR _held").select("item_id", F.col("_in").alias("up_in"), F.col("_held").alias("up_held"))
+    both = kids.join(parents, F.col("parent_item_id") == F.col("item_id"), "left").na.fill(False, ["up_in", "up_held"])
+    kid_in, kid_held, up_in, up_held = (F.col(c) for c in ("kid_in", "kid_held", "up_in", "up_held"))
+    said = lambda cond, rule, item: F.when(cond, F.struct(F.col(item).alias("item_id"), F.lit(rule).alias("rule")))
+    told = F.array_compact(
+        F.array(
+            said(kid_in & ~up_in, "orphan_child", "kid"),
+            said(up_in & ~kid_in & ~kid_held, "incomplete_parent", "parent_item_id"),
+            said(kid_in & ~kid_held & up_held, "withheld_relative", "kid"),
+            said(up_in & ~up_held & kid_held, "withheld_relative", "parent_item_id"),
+        )
+    )
+    related = both.select(F.explode(told).alias("t")).select("t.*").distinct()
     whole = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if(~withheld).alias("open")).select(
         F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.when(F.col("n") == 0, "empty_selection").when(F.col("open") == 0, "only_withheld").alias("rule")
     )
-    every = plain.union(orphans).union(incomplete).union(relatives).union(whole.where("rule IS NOT NULL"))
+    every = plain.union(related).union(whole.where("rule IS NOT NULL"))
     severity = F.lit(None).cast("string")
     for rule, s in level.items():
         severity = F.when(F.col("rule") == rule, s).otherwise(severity)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkdocket.operators import audit, gap, qc
 from sparkdocket.operators import rollups as r
 from sparkdocket.plans import items as adapt
-from sparkdocket.plans.staging import stage
 
 
 def _t(name):
@@ -144,21 +143,19 @@ def gap_unexpected(spark, sf_dir):
 
 def _qc_items(spark, sf_dir):
     i = adapt.order_items(spark, sf_dir)
-    slim = i.select(
+    return i.select(
         "item_id", "parent_item_id", "family_id", F.when(F.col("file_category") == "1-urgent", "email").when(F.col("file_category") == "N", "pdf").otherwise("other").alias("file_category"), "status",
         F.when(F.col("size_bytes") < 2000, 0).otherwise(F.col("size_bytes")).alias("size_bytes"), (F.col("size_bytes") > 320_000).alias("withheld"), (F.col("size_bytes") > 5000).alias("has_native"),
         (F.col("status") != "partial").alias("has_text"), (F.col("file_category") == "A").alias("needs_ocr"), F.when(F.col("size_bytes") < 3000, 1).alias("redaction_count"), F.lit(False).alias("redacted_ok"),
     )
-    return stage(slim, "qc-items").df  # each rule reads it
 
 
-def _selected(items):
-    return items.where("status <> 'error' AND NOT (parent_item_id IS NOT NULL AND size_bytes BETWEEN 40000 AND 60000)")
+#: What the QC queries select.
+QC_SELECTED = "status <> 'error' AND NOT (parent_item_id IS NOT NULL AND size_bytes BETWEEN 40000 AND 60000)"
 
 
 def qc_findings(spark, sf_dir):
-    i = _qc_items(spark, sf_dir)
-    return qc.findings(i, _selected(i))
+    return qc.findings(_qc_items(spark, sf_dir), F.expr(QC_SELECTED))
 
 
 def qc_rollup(spark, sf_dir):
@@ -166,8 +163,7 @@ def qc_rollup(spark, sf_dir):
 
 
 def qc_gate(spark, sf_dir):
-    i = _qc_items(spark, sf_dir)
-    return qc.gate(qc.findings(i, _selected(i), "native_heavy", {"text_missing": "off"}))
+    return qc.gate(qc.findings(_qc_items(spark, sf_dir), F.expr(QC_SELECTED), "native_heavy", {"text_missing": "off"}))
 
 
 def privilege_family_consistency(spark, sf_dir):

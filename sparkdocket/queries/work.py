@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkdocket.operators import audit, gap, jobs, qc
 from sparkdocket.plans import items as adapt
-from sparkdocket.plans.staging import shared_dir
+from sparkdocket.plans.staging import shared_dir, stage
 from sparkdocket.queries import rollups
 
 _PATHS = ["src.ICS", "a/b.html", "notes.txt", "mail.eml", "", "x/team chat/1", "data.JSON", "scan.PDF"]
@@ -49,11 +49,11 @@ def _back(spark, path, name):
 def qc_report(spark, sf_dir):
     """A QC report written and read back: its summary, and its findings by rule."""
     i = rollups._qc_items(spark, sf_dir)
-    chosen = rollups._selected(i)
-    found = qc.findings(i, chosen)
+    found = stage(qc.findings(i, F.expr(rollups.QC_SELECTED)), "qc-found")  # the report reads it twice
     path = f"{shared_dir(spark)}/qc-report-{uuid.uuid4().hex}"
-    root = audit.selection_fingerprint(chosen, "item_id").first()
-    jobs.write_report(jobs.qc_report(found, "selection", "default", root["items"], root["root"]), path)
+    root = audit.selection_fingerprint(i.where(rollups.QC_SELECTED), "item_id").first()
+    jobs.write_report(jobs.qc_report(found.df, "selection", "default", root["items"], root["root"]), path)
+    found.drop()
     rules = _back(spark, path, "findings").groupBy(F.concat_ws("/", F.lit("rule"), "rule", "severity").alias("metric")).agg(F.count(F.lit(1)).cast("string").alias("value"))
     return _back(spark, path, "summary").where("metric NOT IN ('selection_fingerprint', 'candidate_count')").union(rules)
 

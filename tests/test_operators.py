@@ -114,6 +114,25 @@ def test_normal_forms(spark):
     assert list(row) == ["a@b", "hi there", ["x@y", "z"], "a/b/c.txt", None, "2000-01-01"]
 
 
+def test_findings_among_relatives(spark):
+    """Three levels, missing parents, and a selection as a table and as a condition, against sets."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, rng.randrange(k // 2, k + 1), 900]) if k > 3 else None, rng.random() < 0.2, rng.random() < 0.6) for k in range(300)]
+    rows = [(k, None if p == k else p, w, c) for k, p, w, c in rows]
+    items = spark.createDataFrame(rows, "item_id long, parent_item_id long, withheld boolean, picked boolean").selectExpr(
+        "*", "'email' AS file_category", "'extracted' AS status", "1L AS size_bytes", "true AS has_native", "true AS has_text", "false AS needs_ocr", "0 AS redaction_count", "false AS redacted_ok"
+    )
+    chosen, held = {r[0] for r in rows if r[3]}, {r[0] for r in rows if r[2]}
+    want = {("withheld", k) for k in chosen & held}
+    want |= {("orphan_child", k) for k, p, _, c in rows if c and p is not None and p not in chosen}
+    want |= {("incomplete_parent", p) for k, p, w, c in rows if p in chosen and not w and not c}
+    want |= {("withheld_relative", k) for k, p, w, c in rows if c and not w and p in held} | {("withheld_relative", p) for k, p, w, _ in rows if w and p in chosen - held}
+    by_table, by_condition = qc.findings(items, items.where("picked").select("item_id")), qc.findings(items, F.col("picked"))
+    for found in (by_table, by_condition):
+        assert sorted((r.rule, r.item_id) for r in found.collect()) == sorted(want)
+    assert _hash_shuffles(by_condition)[0] == 1
+
+
 def test_empty_inputs(spark):
     with pytest.raises(ValueError):
         rollups.date_coverage(spark.createDataFrame([], "at timestamp"), "2020-02-01", "2020-01-01", "week")
