@@ -18,8 +18,8 @@ c(s, t) = ceil(T (s + t) / (100 + T)) shingles, T being the threshold in per cen
 The order puts rare shingles first.  Document frequencies are counted for the
 shingles whose hash falls below a global cut, enough of each set to fill a prefix:
 first those that occur once (they need no list at all), then the others by
-frequency, last the uncounted.  Short lists give pairs, which are checked on the
-exact sets.  Sets of long lists form clusters (two sets of one long list are always
+frequency, last the uncounted.  Short lists give pairs; what pairs connect is
+compared as a group, on the exact sets.  Sets of long lists form clusters (two sets of one long list are always
 in the same cluster).  A cluster is compared block by block, first with some of its
 sets, which joins groups of near copies at linear cost, then between the parts that
 are still apart; a task returns a spanning forest of the links it finds, never the
@@ -405,8 +405,9 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
     lengths = stage(listed.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
     lists = stage(listed.join(lengths, "key"), "jj-lists")
     pairs = stage(_short_pairs(lists.where(F.col("len") <= short_list), percent, extra), "jj-pairs")
-    clusters = _clusters(lists.where(F.col("len") > short_list), scratch)
-    links = _verified(pairs, with_sets, percent, scratch, sent).union(_cluster_links(clusters, with_sets, percent, block_rows, scratch, sent)).union(light_links)
+    clusters = stage(_clusters(lists.where(F.col("len") > short_list), pairs, scratch), "jj-clusters")
+    paired, listed_long = (clusters.where(c).select("rid", "cluster") for c in ("paired", "NOT paired"))
+    links = _pair_links(paired, pairs, with_sets, percent, block_rows, scratch, sent).union(_cluster_links(listed_long, with_sets, percent, block_rows, scratch, sent)).union(light_links)
     parts = connected_components(stage(links, "jj-links"), "x", "y", scratch=scratch)
 
     # From rows to the smallest document of each component.
@@ -431,11 +432,15 @@ def _short_pairs(lists: DataFrame, percent: int, extra: int) -> DataFrame:
     return joined.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("both").alias("both")).where(F.col("shared") >= F.least(F.lit(1 + extra), need)).select("x", "y")
 
 
-def _clusters(long_lists: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rid, cluster``: sets of one long list are in one cluster."""
+def _clusters(long_lists: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rid, cluster, paired``: sets of one long list are in one cluster, and, apart from those, sets that pairs of short lists connect.
+
+    Both kinds take the same rounds, as odd and even vertices.
+    """
     heads = scratch.stage(long_lists.groupBy("key").agg(F.min("rid").alias("head")), "jj-heads")
-    parts = connected_components(long_lists.join(heads, "key").select("rid", "head"), "rid", "head", scratch=scratch)
-    return parts.select(F.col("vertex").alias("rid"), F.col("component").alias("cluster"))
+    listed = long_lists.join(heads, "key").select((F.col("rid") * 2 + 1).alias("u"), (F.col("head") * 2 + 1).alias("v"))
+    parts = connected_components(listed.union(pairs.select(F.col("x") * 2, F.col("y") * 2)), "u", "v", scratch=scratch)
+    return parts.select(F.shiftright("vertex", 1).alias("rid"), F.shiftright("component", 1).alias("cluster"), (F.col("vertex") % 2 == 0).alias("paired"))
 
 
 def _linked_rows(packed: list[bytes], percent: int) -> np.ndarray:
@@ -537,6 +542,29 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
     return links.union(_forest(dealt, ["cluster", "bi", "bj"], percent))
 
 
+#: Sets of small groups that are compared together, about.
+PACKED = 64
+
+
+def _pair_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, block_rows: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
+    """Links among sets that pairs connect (``rid, cluster``), which connect what all links connect.
+
+    A group of at most a block's sets is compared as a whole, small ones several at a time: each set
+    travels once, however many pairs it is in.  Pairs of larger groups are checked one by one.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    placed = scratch.stage(members.join(sizes, "cluster"), "jj-paired")
+    told = placed.agg(F.count_if(F.col("rows") <= PACKED).alias("packed"), F.count_if(F.col("rows") > block_rows).alias("beyond")).first()
+    together = F.pmod(F.xxhash64("cluster"), F.lit(-(-told["packed"] // PACKED) or 1)).cast("long")
+    block = F.when(F.col("rows") > PACKED, F.col("cluster")).otherwise(-1 - together)
+    dealt = placed.where(F.col("rows") <= block_rows).select("rid", block.alias("block"))
+    links = _forest(_bodies(sets, dealt.select("rid"), sent).join(dealt, "rid"), ["block"], percent)
+    if told["beyond"]:
+        beyond = placed.where(F.col("rows") > block_rows).select(F.col("rid").alias("x"))
+        links = links.union(_verified(pairs.join(beyond, "x", "left_semi"), sets, percent, scratch, sent))
+    return links
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, sent: list[Broadcast]) -> DataFrame:
     """Those of the pairs (x, y) that link, by their exact sets."""
     wanted = scratch.stage(pairs.select(F.col("x").alias("rid")).union(pairs.select(F.col("y").alias("rid"))).distinct(), "jj-wanted")

@@ -61,6 +61,20 @@ def test_against_brute_force(spark, k, percent, options):
     assert got == sorted(brute(rows, k, percent), key=key)
 
 
+@pytest.mark.parametrize("block_rows", [400, 4])
+def test_what_pairs_connect_is_compared_as_a_group(spark, monkeypatch, block_rows):
+    """Sets travel once a group; only pairs of groups beyond a block are checked one by one."""
+    from sparkdocket.llm import jaccard_join
+
+    sent, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *rest: sent.append(pairs.count()) or verified(pairs, *rest))
+    rows = [r for r in corpus(8) if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, short_list=1_000_000, block_rows=block_rows).collect())
+    assert got == sorted(brute(rows, 4, 85))
+    assert bool(sent) == (block_rows == 4) and all(sent)
+
+
 def test_clusters_of_several_parts(spark, monkeypatch):
     """Texts of shared passages, all in one cluster: groups of near copies of many sizes, chains, and sets that link with few or none."""
     from sparkdocket.llm import jaccard_join
