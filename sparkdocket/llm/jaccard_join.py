@@ -601,15 +601,32 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     judged = staged(judged.where("NOT first OR rows > 1"), "jj-judged").df
     own = [F.col(f"`{c}`").alias(f"own_{n}") for n, c in enumerate(docs.columns)]
     names = [F.col(f"own_{n}").alias(c) for n, c in enumerate(docs.columns)]
-    keyed = docs.select(*own, F.col(id_col).alias("_id"), mark.alias("_mark"))
-    met = keyed.join(judged, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_anti")
+    clear, hits = _parted(docs.select(*own, F.col(id_col).alias("_id"), mark.alias("_mark")), judged)
+    met = clear.union(hits.join(judged, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_anti"))
     repeated = judged.where("first")
     if not repeated.isEmpty():
-        again = keyed.join(repeated, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
+        again = hits.join(repeated, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
         met = met.union(again.dropDuplicates(["_id", "_mark"]))
     return met.select(*names)
 
 
+def _parted(keyed: DataFrame, judged: DataFrame, most_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Rows ``_id, _mark`` that are not judged, and those that may be.
+
+    A broadcast table of bits, of bounded size, tells them apart, so that a join with what is
+    judged shuffles few texts beyond its own.  Where it is full, more rows are joined and none is lost.
+    """
+    rows, words = judged.count(), 1 << 10
+    while words < min(rows // 8, most_words):  # 8 bits a row
+        words *= 2
+    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(64 * words))
+    bits = judged.select(place("id", "mark").alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("_bits"))
+    placed = keyed.withColumn("_at", place("_id", "_mark"))
+    placed = placed.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
+    hit = F.expr("coalesce(shiftright(_bits, CAST(_at % 64 AS INT)) & 1L, 0L) = 1L")
+    return placed.where(~hit).select(*keyed.columns), placed.where(hit).select(*keyed.columns)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

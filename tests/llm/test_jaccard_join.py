@@ -75,6 +75,17 @@ def test_what_pairs_connect_is_compared_as_a_group(spark, monkeypatch, block_row
     assert bool(sent) == (block_rows == 4) and all(sent)
 
 
+@pytest.mark.parametrize("most_words", [1 << 20, 1])
+def test_rows_that_are_not_judged_are_not_joined(spark, most_words):
+    from sparkdocket.llm.jaccard_join import _parted
+
+    keyed = spark.range(5000).selectExpr("IF(id % 1000 = 7, NULL, id) AS _id", "CAST(CAST(id AS STRING) AS BINARY) AS _mark")
+    judged = keyed.where("crc32(_mark) % 100 = 3").selectExpr("_id AS id", "_mark AS mark").union(keyed.where("_id IS NULL").toDF("id", "mark"))
+    clear, hits = ([(r._id, bytes(r._mark)) for r in part.collect()] for part in _parted(keyed, judged, most_words))
+    assert len(clear) + len(hits) == 5000 and {(r.id, bytes(r.mark)) for r in judged.collect()} <= set(hits)
+    assert len(hits) < 150
+
+
 def test_clusters_of_several_parts(spark, monkeypatch):
     """Texts of shared passages, all in one cluster: groups of near copies of many sizes, chains, and sets that link with few or none."""
     from sparkdocket.llm import jaccard_join
