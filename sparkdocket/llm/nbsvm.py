@@ -8,6 +8,7 @@ is then fitted over the scaled features by full-batch gradient steps (Adam).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ class RatioModel:
 
 
 def train_ratio_model(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: list, space: FeatureSpace, *, alpha: float = 1.0, l2: float = 5e-3, steps: int = 150, rate: float = 0.05
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: list, space: FeatureSpace, *, alpha: float = 1.0, l2: float = 5e-3, steps: int = 150, rate: float = 0.05
 ) -> RatioModel:
     """Fit on sparse rows with labels 0 and 1.
 

@@ -8,6 +8,7 @@ vectors and output layer fold into one table of logits per feature.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,7 @@ class SubwordModel:
 
 
 def train_subword(
-    rows: list[tuple[np.ndarray, np.ndarray]],
+    rows: Sequence[tuple[np.ndarray, np.ndarray]],
     labels: list,
     space: FeatureSpace,
     *,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,20 @@ from sparkdocket.llm.textfeat import FeatureSpace, sparse_rows
 _PARTS = 1_000_003
 
 
+class FeatureRows(Sequence):
+    """Sparse rows as they came, four bytes a number; only the row that is asked for is widened for the arithmetic."""
+
+    def __init__(self) -> None:
+        self.narrow: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return len(self.narrow)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, cnt = self.narrow[k]
+        return idx.astype(np.int64), cnt.astype(np.float64)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds).cast("long"))
@@ -35,7 +50,7 @@ def sample_by_hash(rows: DataFrame, per_class: int, *, key: str, label: str) ->
 
 def collect_features(
     sample: DataFrame, space: FeatureSpace, per_class: int, *, key: str, label: str, text: str = "text", distinct: bool = False, snippets: tuple[int, ...] = ()
-) -> tuple[list[tuple[np.ndarray, np.ndarray]], list, np.ndarray, dict[int, tuple[list, list]]]:
+) -> tuple[FeatureRows, list, np.ndarray, dict[int, tuple[list, list]]]:
     """Sparse rows (made on the executors), labels, and which rows are held back (a fifth, by hash).
 
     At most ``per_class`` rows of each label.  Of each text held back there are also
@@ -67,21 +82,22 @@ def collect_features(
 
     kind = sample.schema[label].dataType.simpleString()
     slim = sample.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(key, F.lit(5)).alias("h"), F.col(text).alias("text"))
-    got = slim.mapInArrow(run, f"label {kind}, h long, size int, idx binary, cnt binary").toArrow().combine_chunks()
+    got = slim.mapInArrow(run, f"label {kind}, h long, size int, idx binary, cnt binary").toArrow()
     sizes, hashes, named = (got.column(c).to_pylist() for c in ("size", "h", "label"))
-    features, counts = (got.column(c).combine_chunks() for c in ("idx", "cnt"))
-    order = sorted(range(got.num_rows), key=lambda k: (sizes[k], hashes[k], str(named[k]), features[k].as_py()))
-    rows, labels, held, short, left = [], [], [], {n: ([], []) for n in snippets}, {}
+    # Views of the batches' own bytes.
+    features, counts = ([np.frombuffer(x.as_buffer(), number) for x in got.column(c)] for c, number in (("idx", np.uint32), ("cnt", np.float32)))
+    place = lambda k: (sizes[k], hashes[k], str(named[k]))
+    order = [k for _, alike in groupby(sorted(range(got.num_rows), key=place), place) for k in sorted(alike, key=lambda k: features[k].tobytes())]
+    rows, labels, held, short, left = FeatureRows(), [], [], {n: ([], []) for n in snippets}, {}
     for k in order:
-        # Views of the table's own bytes.
-        row = (np.frombuffer(features[k].as_buffer(), np.uint32), np.frombuffer(counts[k].as_buffer(), np.float32))
+        row = (features[k], counts[k])
         if sizes[k]:
             short[sizes[k]][0].append(row)
             short[sizes[k]][1].append(named[k])
             continue
         left[named[k]] = left.get(named[k], per_class) - 1
         if left[named[k]] >= 0:
-            rows.append((row[0].astype(np.int64), row[1].astype(np.float64)))
+            rows.narrow.append(row)
             labels.append(named[k])
             held.append(hashes[k] % 5 == 4)
     return rows, labels, np.array(held, bool), short

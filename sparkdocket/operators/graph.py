@@ -7,27 +7,29 @@ plus a join that Spark may split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocket.plans.staging import Scratch, stage
 
 
+def _ends(*pairs: tuple[Column, Column]) -> Column:
+    """A row ``u, v`` of each pair.  One pass over the edges: a union would double the plan each time it is used."""
+    return F.inline(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in pairs]))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    both = edges.select(_ends((u, v), (v, u)))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return (
-        both.where("v > u").join(low, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .where("u <> v").distinct()
-    )
+    return both.where("v > u").join(low, "u").select(v.alias("u"), m.alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return down.join(low, "u").select(_ends((v, m), (u, m))).where("u <> v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

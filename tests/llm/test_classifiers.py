@@ -9,6 +9,7 @@ from sparkdocket.llm.quality import fit_quality, op1_quality, score_quality
 from sparkdocket.llm.subword import train_subword
 from sparkdocket.llm.textfeat import FeatureSpace, WordSums, linear_values, sparse_rows
 from sparkdocket.llm.toxicity import fit_toxicity, op2_toxicity, score_toxicity
+from sparkdocket.llm.training import collect_features
 
 SF = "/root/testdata/sf0.01"
 
@@ -153,3 +154,12 @@ def test_rejection_is_calibrated_by_length(spark):
         out = identify_language(part, model).toPandas()
         assert out["accepted"].mean() >= 0.97
         assert (out["lang_pred"] == out["lang"])[out["accepted"]].mean() >= 0.97
+
+
+def test_collected_rows_stay_narrow(spark):
+    """A row is widened when it is read; the driver holds four bytes a number."""
+    docs = spark.createDataFrame([(k, f"some words of text number {k} and more", k % 2) for k in range(60)], "id long, text string, label int")
+    rows, labels, held, _ = collect_features(docs, FeatureSpace(buckets=1 << 16, low=2, high=4, lower=True), 100, key="id", label="label")
+    assert len(rows) == len(labels) == len(held) == 60
+    assert all((i.dtype, c.dtype) == (np.int64, np.float64) for i, c in rows)
+    assert all((i.dtype, c.dtype) == (np.uint32, np.float32) for i, c in rows.narrow)

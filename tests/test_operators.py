@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocket.functions import norm
-from sparkdocket.operators import concepts, cull, dedupe, gap, neardup, qc, rollups, text
+from sparkdocket.operators import concepts, cull, dedupe, gap, graph, neardup, qc, rollups, text
 from sparkdocket.operators.filterspec import FilterError, apply_filter
 from sparkdocket.operators.graph import connected_components
 from sparkdocket.plans import items as adapt
@@ -33,6 +33,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_a_round_of_components_reads_the_edges_few_times(spark):
+    """What the driver plans grows with the leaves of the plan (there were twelve), several times a round."""
+    edges = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    leaves = graph._small_star(graph._large_star(edges))._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves <= 4
+
+
 def test_scan_replay(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"ABCDEFGHIJ"])) for k in range(120)]
