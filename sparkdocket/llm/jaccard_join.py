@@ -361,7 +361,9 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
         return np.concatenate(who), np.concatenate(key), np.concatenate(pos)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = standing.value
         for b in batches:
+            b = b.filter(pa.array(_has_bit(words, bits, b.column("rid").to_numpy())))
             n = b.column("n").to_numpy()
             parts = np.cumsum(n) // 200_000  # rows of about so many shingles at a time
             cuts = [*np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0].tolist(), len(n)]
@@ -387,6 +389,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
     # One row stands for each distinct set.
     same = stage(sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
     one_each = same.select("rid")
+    standing = spark.sparkContext.broadcast(_bit_filter(one_each, "rid"))
+    sent.append(standing)
 
     # Light sets: a star around the smallest set of each subset group.
     subsets = with_sets.where(F.col("n") <= light).select("rid", "n", "sh").mapInArrow(subset_rows, "key binary, c int, rid long, n long").join(one_each, "rid", "left_semi")
@@ -399,8 +403,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
         .select(F.col("rid").alias("x"), F.col("mrid").alias("y")).distinct()
     )
 
-    # Heavy sets: inverted lists that hold more than one set.
-    listed = stage(with_sets.select("rid", "n", "sh").mapInArrow(index_rows, "key long, rid long, n long, pos int").join(one_each, "rid", "left_semi"), "jj-listed")
+    # Heavy sets: inverted lists that hold more than one set.  A few copies pass the bits; they link with their like and change nothing.
+    listed = stage(with_sets.select("rid", "n", "sh").mapInArrow(index_rows, "key long, rid long, n long, pos int"), "jj-listed")
     table.unpersist()
     lengths = stage(listed.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
     lists = stage(listed.join(lengths, "key"), "jj-lists")
@@ -601,26 +605,31 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     judged = staged(judged.where("NOT first OR rows > 1"), "jj-judged").df
     own = [F.col(f"`{c}`").alias(f"own_{n}") for n, c in enumerate(docs.columns)]
     names = [F.col(f"own_{n}").alias(c) for n, c in enumerate(docs.columns)]
-    clear, hits = _parted(docs.select(*own, F.col(id_col).alias("_id"), mark.alias("_mark")), judged)
-    met = clear.union(hits.join(judged, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_anti"))
+    alike = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))
+    keys = [F.col(id_col).alias("_id"), mark.alias("_mark")]
+    clear, hits = _parted(docs.select(*own, *keys), judged)
+    # Keys alone tell which hits are not judged; texts are joined only where a second table of bits may hold their key.
+    spared = _parted(docs.select(*keys), judged)[1].join(judged, alike, "left_anti").select(F.col("_id").alias("id"), F.col("_mark").alias("mark")).distinct()
+    unsure = _parted(hits, staged(spared, "jj-spared").df, seed=1)[1]
+    met = clear.union(unsure.join(judged, alike, "left_anti"))
     repeated = judged.where("first")
     if not repeated.isEmpty():
-        again = hits.join(repeated, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
+        again = hits.join(repeated, alike, "left_semi")
         met = met.union(again.dropDuplicates(["_id", "_mark"]))
     return met.select(*names)
 
 
-def _parted(keyed: DataFrame, judged: DataFrame, most_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """Rows ``_id, _mark`` that are not judged, and those that may be.
+def _parted(keyed: DataFrame, listed: DataFrame, most_words: int = 1 << 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows ``_id, _mark`` that are not listed (``id, mark``), and those that may be.
 
     A broadcast table of bits, of bounded size, tells them apart, so that a join with what is
-    judged shuffles few texts beyond its own.  Where it is full, more rows are joined and none is lost.
+    listed shuffles few texts beyond its own.  Where it is full, more rows are joined and none is lost.
     """
-    rows, words = judged.count(), 1 << 10
-    while words < min(rows // 8, most_words):  # 8 bits a row
+    rows, words = listed.count(), 1 << 10
+    while words < min(rows // 2, most_words):  # 32 bits a row
         words *= 2
-    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(64 * words))
-    bits = judged.select(place("id", "mark").alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("_bits"))
+    place = lambda *key: F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(64 * words))
+    bits = listed.select(place("id", "mark").alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("_bits"))
     placed = keyed.withColumn("_at", place("_id", "_mark"))
     placed = placed.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
     hit = F.expr("coalesce(shiftright(_bits, CAST(_at % 64 AS INT)) & 1L, 0L) = 1L")

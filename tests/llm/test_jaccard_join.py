@@ -147,3 +147,18 @@ def test_one_of_each_group_by_row(spark):
     want = [(1, x), (5, y), (7, z), (None, "only null"), (8, None), (8, None), (9, ""), (9, "")]
     assert got == sorted((str(d), str(t), "own", 3) for d, t in want)
     assert keep_one_per_component(df.limit(0)).count() == 0
+
+
+def test_few_texts_beside_the_listed_ones_are_joined(spark):
+    """Of rows that are not listed the bits let 3 in 100 through (12 before), and others with another seed."""
+    from sparkdocket.llm.jaccard_join import _parted
+
+    keyed = spark.range(48_000).selectExpr("id AS _id", "unhex(md5(CAST(id AS STRING))) AS _mark")
+    listed = keyed.where("_id % 6 = 0").selectExpr("_id AS id", "_mark AS mark")
+    through = []
+    for seed in (0, 1):
+        clear, hits = _parted(keyed, listed, seed=seed)
+        ids = {r._id for r in hits.select("_id").collect()}
+        assert clear.count() + len(ids) == 48_000 and {r.id for r in listed.select("id").collect()} <= ids
+        through.append({k for k in ids if k % 6})
+    assert all(len(t) < 0.05 * 40_000 for t in through) and len(through[0] & through[1]) < 0.01 * 40_000
