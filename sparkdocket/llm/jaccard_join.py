@@ -16,14 +16,18 @@ c(s, t) = ceil(T (s + t) / (100 + T)) shingles, T being the threshold in per cen
   rows is smallest, from the histogram of set sizes.
 
 The order puts rare shingles first.  Document frequencies are counted for the
-shingles whose hash falls below a global cut, enough of each set to fill a prefix:
-first those that occur once (they need no list at all), then the others by
-frequency, last the uncounted.  Short lists give pairs; what pairs connect is
+shingles whose hash falls below a global cut; for the others a sample of the sets
+tells which are frequent.  First come those that occur once (they need no list at
+all), then the uncounted that the sample does not know, which are mostly rare, then
+the counted that occur a few times, last the frequent of both kinds by frequency.
+So a set that holds enough rare shingles, counted or not, is in no long list.  The
+order steers the work alone: any order of all shingles gives the same result.
+Short lists give pairs; what pairs connect is
 compared as a group, on the exact sets.  Sets of long lists form clusters (two sets of one long list are always
 in the same cluster).  A cluster is compared block by block, first with some of its
 sets, which joins groups of near copies at linear cost, then between the parts that
-are still apart; a task returns a spanning forest of the links it finds, never the
-pairs.  Nothing is capped.
+are still apart, where sizes allow a link; a task returns a spanning forest of the
+links it finds, never the pairs.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -94,6 +98,14 @@ def subset_sizes(s: int, percent: int) -> list[int]:
     return sorted({c for t in partner_sizes(s, percent) if t > 0 and (c := needed(s, t, percent)) <= min(s, t)})
 
 
+def size_classes(percent: int, largest: int = 1 << 31) -> list[int]:
+    """Least sizes of classes of sizes: sets that link are of one class or of neighbouring ones."""
+    out = [1]
+    while (least := max(100 * out[-1] // percent, 5 * out[-1] // 4) + 1) < largest:
+        out.append(least)
+    return out
+
+
 def prefix_size(s: int, percent: int) -> int:
     return s - -(-percent * s // 100) + 1
 
@@ -132,6 +144,8 @@ _SPACE = 1 << 48
 #: Sets with hashes below this share of the space are counted.
 COUNTED = 0.35
 _CUT = int(_SPACE * COUNTED)
+#: One set in so many tells which of the other hashes are frequent: those that two sets of the sample hold.
+SAMPLED = 16
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -170,16 +184,17 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
-    """Document frequencies of 2 and more (``key, df``) of the counted shingles.
+def _frequencies(sets: DataFrame, shingles: int, standing: Broadcast, low: int = 0, high: int = _CUT) -> DataFrame:
+    """Document frequencies of 2 and more (``key, df``) of the shingles from ``low`` to below ``high``, in the ``standing`` sets.
 
     Keys travel as packed, sorted stretches of key ranges; the number of ranges
     follows the number of shingles, so a range stays at about a million keys.
     """
-    ranges = max(64, 2 * int(shingles * COUNTED) // 1_000_000)
-    width = -(-_CUT // ranges)
+    ranges = max(64, int(2 * shingles * (high - low) / _SPACE) // 1_000_000)
+    width = -(-(high - low) // ranges)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = standing.value
         held: list[np.ndarray] = []
         size = 0
 
@@ -196,9 +211,9 @@ def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
             )
 
         for b in batches:
-            for raw in b.column("sh").to_pylist():
+            for raw in b.filter(pa.array(_has_bit(words, bits, b.column("rid").to_numpy()))).column("sh").to_pylist():
                 keys = unpack(raw)
-                held.append(keys[: np.searchsorted(keys, _CUT)])
+                held.append(keys[np.searchsorted(keys, low) : np.searchsorted(keys, high)] - low)
                 size += len(held[-1])
                 if size > 500_000:
                     yield flush()
@@ -214,9 +229,9 @@ def _frequencies(sets: DataFrame, shingles: int) -> DataFrame:
         heads = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
         df = np.add.reduceat(counts, heads)
         often = df >= 2
-        return pd.DataFrame({"key": keys[heads][often] + int(pdf["range"].iloc[0]) * width, "df": df[often]})
+        return pd.DataFrame({"key": keys[heads][often] + (low + int(pdf["range"].iloc[0]) * width), "df": df[often]})
 
-    return sets.select("sh").mapInArrow(packed, "range int, keys binary, counts binary").groupBy("range").applyInPandas(counted, "key long, df long")
+    return sets.select("rid", "sh").mapInArrow(packed, "range int, keys binary, counts binary").groupBy("range").applyInPandas(counted, "key long, df long")
 
 
 def _bit_of(values: np.ndarray, bits: int) -> np.ndarray:
@@ -291,7 +306,8 @@ def jaccard_components(
     The other parameters steer the work, not the result: ``extra`` is the d of the
     prefix rule, ``short_list`` the length up to which lists give pairs,
     ``block_rows`` the block size of clusters, and ``ordered_shingles`` how many of
-    the most frequent shingles are ordered among each other (a broadcast table).
+    the most frequent shingles are ordered among each other (a broadcast table; bits
+    tell which others are longer than a short list).
     """
     parts = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("mark")), k, percent, extra, short_list, block_rows, ordered_shingles)
     return parts.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
@@ -323,11 +339,19 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
     # Six bytes a shingle travel, some twice: partitions of about 8 MB, so that sorts and fetches stay small.
     partitions = min(20_000, totals["t"] * 12 // (8 << 20))
     spark.conf.set("spark.sql.shuffle.partitions", str(max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    frequent = stage(_frequencies(with_sets, totals["t"]), "jj-frequent")
-    top = frequent.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
+    # One row stands for each distinct set.  A few copies pass the bits; they link with their like and change nothing.
+    same = stage(sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
+    one_each = same.select("rid")
+    standing = spark.sparkContext.broadcast(_bit_filter(one_each, "rid"))
+    sent.append(standing)
+    counted = stage(_frequencies(with_sets, totals["t"], standing), "jj-frequent")
+    sampled = with_sets.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0)
+    sampled = stage(_frequencies(sampled, totals["t"] // SAMPLED, standing, _CUT, _SPACE).withColumn("df", F.col("df") * SAMPLED), "jj-sampled")
+    often = counted.where(F.col("df") > short_list).union(sampled)
+    top = often.orderBy(F.desc("df"), "key").limit(ordered_shingles).toArrow()
     by_key = np.argsort(top["key"].to_numpy())
     table = spark.sparkContext.broadcast(
-        (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(frequent, "key"))
+        (top["key"].to_numpy()[by_key].astype(np.int64), top["df"].to_numpy()[by_key].astype(np.int64), *_bit_filter(counted, "key"), *_bit_filter(often, "key"))
     )
     sent.append(table)
     sizes = {r["n"]: r["c"] for r in with_sets.where("n <= 32").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -335,15 +359,16 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
 
     def prefixes_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, key, place) of the prefix shingles that may occur elsewhere."""
-        top_keys, top_df, words, bits = table.value
+        top_keys, top_df, words, bits, often_words, often_bits = table.value
         lens = np.fromiter((len(r) // 6 for r in raws), np.int64, len(raws))
         flat = unpack(b"".join(raws))
-        counted = flat < _CUT
-        rank = np.full(len(flat), 1 << 40, np.int64)
-        rank[counted] = np.where(_has_bit(words, bits, flat[counted]), 2, 0)
+        known = flat < _CUT
+        rank = np.ones(len(flat), np.int64)
+        rank[known] = np.where(_has_bit(words, bits, flat[known]), 2, 0)
         if len(top_keys):
+            rank[(rank > 0) & _has_bit(often_words, often_bits, flat)] = 3
             spot = np.minimum(np.searchsorted(top_keys, flat), len(top_keys) - 1)
-            rank = np.where(top_keys[spot] == flat, 2 + top_df[spot], rank)
+            rank = np.where(top_keys[spot] == flat, 3 + top_df[spot], rank)
         who, key, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         ends = np.cumsum(lens)
         for i, s in enumerate(lens.tolist()):
@@ -386,12 +411,6 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
             rows = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int32()), b.column("rid").take(rows), b.column("n").take(rows)], names=["key", "c", "rid", "n"])
 
-    # One row stands for each distinct set.
-    same = stage(sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("low")), "jj-same")
-    one_each = same.select("rid")
-    standing = spark.sparkContext.broadcast(_bit_filter(one_each, "rid"))
-    sent.append(standing)
-
     # Light sets: a star around the smallest set of each subset group.
     subsets = with_sets.where(F.col("n") <= light).select("rid", "n", "sh").mapInArrow(subset_rows, "key binary, c int, rid long, n long").join(one_each, "rid", "left_semi")
     smallest = stage(
@@ -403,7 +422,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, extra: int, short_list: int
         .select(F.col("rid").alias("x"), F.col("mrid").alias("y")).distinct()
     )
 
-    # Heavy sets: inverted lists that hold more than one set.  A few copies pass the bits; they link with their like and change nothing.
+    # Heavy sets: inverted lists that hold more than one set.
     listed = stage(with_sets.select("rid", "n", "sh").mapInArrow(index_rows, "key long, rid long, n long, pos int"), "jj-listed")
     table.unpersist()
     lengths = stage(listed.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "jj-lengths")
@@ -499,12 +518,15 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
     In a cluster of few blocks all pairs of blocks are compared.  Of larger ones each block is
     compared with itself and with some sets of the cluster, its leaders, which takes
     work in proportion to the cluster and joins a group of near copies to one part.
-    Only sets of different parts are then left to compare: two blocks of one part
+    Only sets of different parts are then left to compare: two blocks of one large part
     never meet, and the blocks of the largest part meet those of the others alone.
+    Blocks hold sets of one class of sizes, and meet those of the same and the next classes.
     """
     stage = scratch.stage
     members = stage(clusters, "jj-clusters")
-    bodies = stage(_bodies(sets, members.select("rid"), sent).join(members, "rid"), "jj-members")
+    bounds = F.array(*[F.lit(6 * n).cast("long") for n in size_classes(percent)])
+    klass = F.size(F.filter(bounds, lambda n: n <= F.octet_length("sh")))
+    bodies = stage(_bodies(sets, members.select("rid"), sent).join(members, "rid").withColumn("klass", klass), "jj-members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     sizes = stage(sizes, "jj-blocks")
     few = bodies.join(sizes.where(F.col("blocks") <= FEW_BLOCKS), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
@@ -529,18 +551,20 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, block_row
         parts = stage(parts, "jj-parts")
         counts = stage(parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows")), "jj-counts")
         open_rows = stage(parts.join(counts.where(F.col("rows") < block_rows), ["cluster", "part"], "left_semi").select("rid", "cluster"), "jj-open")
-    # Blocks: of a large part alone, or of small parts together.
-    small = F.col("rows") < block_rows
-    shape = counts.groupBy("cluster").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.ceil(F.sum(F.when(small, F.col("rows")).otherwise(0)) / block_rows).cast("int").alias("mixed"), F.count(F.lit(1)).alias("parts"))
-    placed = parts.join(counts, ["cluster", "part"]).join(shape.where("parts > 1"), "cluster")
-    pure = F.when(~small, F.col("part"))
-    block = F.when(small, F.pmod(F.xxhash64("part"), F.col("mixed"))).otherwise(F.pmod(F.xxhash64("rid"), F.ceil(F.col("rows") / block_rows)))
-    placed = stage(placed.select("rid", "cluster", F.struct(pure.alias("pure"), block.alias("number")).alias("block"), pure.eqNullSafe(F.col("main")).alias("in_main")), "jj-placed")
+    # Blocks: of a large part alone, or of small parts together (pure = -1).
+    shape = counts.groupBy("cluster").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    pure = F.when(F.col("rows") < block_rows, F.lit(-1)).otherwise(F.col("part"))
+    shelf = parts.join(counts, ["cluster", "part"]).join(shape.where("parts > 1"), "cluster").join(bodies.select("rid", "klass"), "rid").select("rid", "cluster", "part", pure.alias("pure"), "klass", (pure == F.col("main")).alias("in_main"))
+    shelves = shelf.groupBy("cluster", "pure", "klass").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    number = F.pmod(F.xxhash64(F.when(F.col("pure") < 0, F.col("part")).otherwise(F.col("rid"))), F.col("blocks"))
+    placed = shelf.join(shelves, ["cluster", "pure", "klass"]).select("rid", "cluster", F.struct("pure", "klass", number.alias("number")).alias("block"), "in_main")
+    placed = stage(placed, "jj-placed")
     blocks = stage(placed.select("cluster", "block", "in_main").distinct(), "jj-meeting")
     a, b = blocks.where("NOT in_main").alias("a"), blocks.alias("b")
-    apart = F.col("a.block.pure").isNull() | ~F.col("a.block.pure").eqNullSafe(F.col("b.block.pure"))
+    apart = (F.col("a.block.pure") < 0) | (F.col("a.block.pure") != F.col("b.block.pure"))
+    near = F.abs(F.col("a.block.klass") - F.col("b.block.klass")) <= 1
     once = F.col("b.in_main") | (F.col("a.block") <= F.col("b.block"))
-    meet = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & apart & once).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("bi"), F.col("b.block").alias("bj"))
+    meet = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & near & apart & once).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("bi"), F.col("b.block").alias("bj"))
     sides = meet.select("cluster", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"), "bi", "bj")
     dealt = placed.select("rid", "cluster", "block").join(sides, ["cluster", "block"]).join(bodies.select("rid", "sh"), "rid").select("cluster", "bi", "bj", "rid", "sh")
     return links.union(_forest(dealt, ["cluster", "bi", "bj"], percent))

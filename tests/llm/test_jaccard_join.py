@@ -162,3 +162,30 @@ def test_few_texts_beside_the_listed_ones_are_joined(spark):
         assert clear.count() + len(ids) == 48_000 and {r.id for r in listed.select("id").collect()} <= ids
         through.append({k for k in ids if k % 6})
     assert all(len(t) < 0.05 * 40_000 for t in through) and len(through[0] & through[1]) < 0.01 * 40_000
+
+
+def test_sets_with_enough_rare_shingles_are_in_no_long_list(spark, monkeypatch):
+    """Texts of common passages and some words of their own: what is not counted does not push them into clusters."""
+    from sparkdocket.llm import jaccard_join
+
+    found, clusters = [], jaccard_join._clusters
+    monkeypatch.setattr(jaccard_join, "_clusters", lambda lists, *rest: found.append(lists.select("rid").distinct().count()) or clusters(lists, *rest))
+    passages = [[f"{c}{k}" for k in range(12)] for c in "abcdef"]
+    rows = []
+    for k in range(200):
+        rows.append((k, " ".join([*[w for p in passages for w in p], *[f"own{k}x{i}" for i in range(36)]])))
+    rows.append((900, rows[5][1] + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect())
+    assert got == sorted(brute(rows, 4, 85)) and len({c for _, _, c in got}) == 200
+    assert found[0] < 20  # of 201; all of them before
+
+
+def test_sizes_that_link_are_of_neighbouring_classes():
+    from sparkdocket.llm.jaccard_join import size_classes
+
+    for percent in (60, 80, 85, 100):
+        bounds = size_classes(percent, 5000)
+        klass = lambda s: sum(b <= s for b in bounds)  # noqa: E731, B023
+        for s in range(1, 900):
+            assert 1 <= klass(s) <= klass(partner_sizes(s, percent)[-1]) <= klass(s) + 1
