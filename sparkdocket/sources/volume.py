@@ -10,6 +10,7 @@ file twice, and a job that fails leaves no volume.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sparkdocket.sources.loadfiles import read_dat
 
@@ -130,15 +131,39 @@ def write_volumes(rows: DataFrame, path: str, *, line: str, csv: str, readme: st
     told.write.format("production_volume").option("line", line).option("csv", csv).option("readme", readme).mode("overwrite" if overwrite else "append").save(path)
 
 
+#: Bytes of file contents in a batch, about (one larger file is taken whole).
+_READ_BYTES = 2 << 20
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """Volumes read back: the load files' fields, ``volume``, ``native`` and ``text`` as bytes (null: none)."""
+    """Volumes read back: the load files' fields, ``volume``, ``native`` and ``text`` as bytes (null: none).
+
+    Tasks open the files that their lines name.  The driver lists the load files alone, one a volume,
+    and never the items' own files.
+    """
     path = path.rstrip("/")
-    files = spark.read.format("binaryFile").load([f"{path}/VOL*/NATIVES/", f"{path}/VOL*/TEXT/"])
-    place = F.regexp_extract("path", r"(VOL[^/]*/(?:NATIVES|TEXT)/[^/]*)$", 1)
-    files = files.select(place.alias("_place"), "content")
-    lines = read_dat(spark, f"{path}/VOL*/DATA/load.dat")
-    named = lambda c: F.concat(F.regexp_replace(c, r"[/\\]+", "/"))
-    out = lines.withColumn("volume", F.regexp_extract(F.coalesce("NATIVE_PATH", "TEXT_PATH"), r"^(VOL[^/]*)/", 1))
-    for field, name in (("NATIVE_PATH", "native"), ("TEXT_PATH", "text")):
-        out = out.join(files.select(F.col("_place").alias(f"_{name}"), F.col("content").alias(name)), named(F.col(field)) == F.col(f"_{name}"), "left").drop(f"_{name}")
-    return out
+    out = read_dat(spark, f"{path}/VOL*/DATA/load.dat").withColumn("volume", F.regexp_extract(F.coalesce("NATIVE_PATH", "TEXT_PATH"), r"^(VOL[^/]*)/", 1))
+    names = [*out.columns, "native", "text"]
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+
+        def content(named: str | None) -> bytes | None:
+            place = re.sub(r"[/\\]+", "/", named or "")
+            if not re.fullmatch(r"VOL[^/]*/(?:NATIVES|TEXT)/[^/]*", place) or store.get_file_info(f"{root}/{place}").type != fs.FileType.File:
+                return None
+            with store.open_input_stream(f"{root}/{place}", compression=None) as f:
+                return f.read()
+
+        for b in batches:
+            natives, texts, size, begin = [], [], 0, 0
+            named = zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("NATIVE_PATH", "TEXT_PATH")], strict=True)
+            for end, (native, text) in enumerate(named, 1):
+                natives.append(content(native))
+                texts.append(content(text))
+                size += len(natives[-1] or b"") + len(texts[-1] or b"")
+                if size >= _READ_BYTES or end == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(begin, end - begin).columns, pa.array(natives, pa.binary()), pa.array(texts, pa.binary())], names=names)
+                    natives, texts, size, begin = [], [], 0, end
+
+    return out.mapInArrow(contents, StructType([*out.schema.fields, StructField("native", BinaryType()), StructField("text", BinaryType())]))

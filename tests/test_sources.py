@@ -193,3 +193,21 @@ def test_sql_names_the_thousandth_volume(spark, name, per):
     want = [r[0] for r in spark.createDataFrame([(n,) for n in seqs], "seq long").coalesce(1).select(volume_of(F.col("seq") - 1, per)).collect()]
     assert [duckdb.sql(f"SELECT {part} FROM (SELECT {n}::BIGINT AS seq)").fetchall()[0][0] for n in seqs] == want
     assert want[5] == "VOL1000"
+
+
+def test_volumes_are_read_without_a_list_of_their_files(spark, tmp_path, monkeypatch):
+    """The driver lists load files alone; a line's file that is missing or lies outside the volumes gives null; contents come in bounded batches."""
+    from sparkdocket.sources import volume
+
+    names = ["ITEM_ID", "NATIVE_PATH", "TEXT_PATH"]
+    dat = lambda vs: "¶".join(f"þ{v}þ" for v in vs)
+    rows = [("VOL001", k, f"C{k}", "bin", bytes([k]) * 3000, f"text {k}", dat([k, f"VOL001/NATIVES/C{k}.bin", f"VOL001/TEXT/C{k}.txt"]), "") for k in range(40)]
+    rows += [("VOL002", 50 + k, f"C{50 + k}", "bin", None, None, dat([50 + k, named, ""]), "") for k, named in enumerate([r"VOL001\\\\NATIVES\\\\C7.bin", "VOL001//NATIVES/C7.bin", "VOL001/NATIVES/C99.bin", "VOL001/NATIVES/..", "VOL001/DATA/load.dat", "../secret"])]
+    path = f"file://{tmp_path}/out"
+    volume.write_volumes(spark.createDataFrame(rows, volume.ROW), path, line=dat(names), csv="")
+    (tmp_path / "secret").write_text("no")
+    monkeypatch.setattr(volume, "_READ_BYTES", 5000, raising=False)
+    back = volume.read_volumes(spark, path)
+    assert sorted(f.rsplit("/", 2)[-2:] for f in back.inputFiles()) == [["DATA", "load.dat"]] * 2
+    got = {int(r.ITEM_ID): (r.native and bytes(r.native), r.text and bytes(r.text).decode()) for r in back.collect()}
+    assert got == {r[1]: (r[4], r[5]) for r in rows[:40]} | {50 + k: (bytes([7]) * 3000 if k < 2 else None, None) for k in range(6)}
