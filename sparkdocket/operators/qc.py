@@ -47,20 +47,21 @@ def findings(items: DataFrame, selection: DataFrame | Column, pack: str = "defau
     )
     plain = chosen.select("item_id", F.explode(own).alias("rule"))
     # A parent that is neither selected nor withheld says as much as one that is missing.
-    kids = marked.where("parent_item_id IS NOT NULL").select("parent_item_id", F.col("item_id").alias("kid"), F.col("_in").alias("kid_in"), F.col("_held").alias("kid_held"))
+    kids = marked.where("parent_item_id IS NOT NULL").select("parent_item_id", F.col("item_id").alias("kid"), F.monotonically_increasing_id().alias("kid_row"), F.col("_in").alias("kid_in"), F.col("_held").alias("kid_held"))
     parents = marked.where("_in OR _held").select("item_id", F.col("_in").alias("up_in"), F.col("_held").alias("up_held"))
     both = kids.join(parents, F.col("parent_item_id") == F.col("item_id"), "left").na.fill(False, ["up_in", "up_held"])
     kid_in, kid_held, up_in, up_held = (F.col(c) for c in ("kid_in", "kid_held", "up_in", "up_held"))
-    said = lambda cond, rule, item: F.when(cond, F.struct(F.col(item).alias("item_id"), F.lit(rule).alias("rule")))
+    # An orphan is told once a row, also where ids repeat; the others once an item, whatever its relatives.
+    said = lambda cond, rule, item, row=None: F.when(cond, F.struct(F.col(item).alias("item_id"), F.lit(rule).alias("rule"), (F.col(row) if row else F.lit(None).cast("long")).alias("row")))
     told = F.array_compact(
         F.array(
-            said(kid_in & ~up_in, "orphan_child", "kid"),
+            said(kid_in & ~up_in, "orphan_child", "kid", "kid_row"),
             said(up_in & ~kid_in & ~kid_held, "incomplete_parent", "parent_item_id"),
             said(kid_in & ~kid_held & up_held, "withheld_relative", "kid"),
             said(up_in & ~up_held & kid_held, "withheld_relative", "parent_item_id"),
         )
     )
-    related = both.select(F.explode(told).alias("t")).select("t.*").distinct()
+    related = both.select(F.explode(told).alias("t")).select("t.*").distinct().drop("row")
     whole = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if(~withheld).alias("open")).select(
         F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.when(F.col("n") == 0, "empty_selection").when(F.col("open") == 0, "only_withheld").alias("rule")
     )
